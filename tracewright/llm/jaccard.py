@@ -188,26 +188,17 @@ def _sets(texts: DataFrame, doc_keys: DataFrame, keys: DataFrame) -> DataFrame:
                 flat, ends, key = shingle_sets(data, offsets)
                 at_key = [(d, k) for d, k in enumerate(key.tolist()) if ends[d + 1] > ends[d] and not (k in seen or seen.add(k))]
                 if at_key:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for _, k in at_key], pa.int64()), pa.array([flat[ends[d] : ends[d + 1]].tobytes() for d, _ in at_key], pa.binary())], ["key", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k for _, k in at_key], pa.int64()), pa.array([flat[ends[d] : ends[d + 1]].view(np.int64) for d, _ in at_key], pa.list_(pa.int64()))], ["key", "shingles"])
 
-    found = texts.select("doc_id", "text", bit).mapInArrow(run, "key long, shingles binary")
+    found = texts.select("doc_id", "text", bit).mapInArrow(run, "key long, shingles array<long>")
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact overlap of each pair (a, b); those with 100 * intersection >= 75 * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) < 5000 else len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(7 * both >= 3 * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").filter(7 * both >= 3 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
