@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, jaccard, packing, repetition
+from tracewright.llm import bpe, jaccard, packing, quality, repetition, toxicity
 from tracewright.llm.shared import table
 from tracewright.session import ship
 
@@ -17,6 +17,8 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
+    # long texts: fewer rows in each batch that Python gets
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return table(spark, sf_dir, "documents")
 
 
@@ -28,6 +30,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), BYTE_VOCABULARY)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(documents(spark, sf_dir))
 
@@ -39,6 +49,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
 }
