@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, jaccard, packing, quality, repetition, toxicity
+from tracewright.llm import bpe, chat, jaccard, packing, quality, repetition, sharding, toxicity, warc
 from tracewright.llm.shared import table
 from tracewright.session import ship
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Bytes of text in a shard, at most.
+SHARD_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), WORD_VOCABULARY)
 
 
+def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns are first written as mail-style messages that quote the three turns before; then these are linked."""
+    messages = chat.quoting_messages(table(spark, sf_dir, "conversations"))
+    return chat.link_quotations(messages)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), BYTE_VOCABULARY)
 
@@ -38,6 +51,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(documents(spark, sf_dir))
 
@@ -48,10 +65,60 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quotations": op2_quotations,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_sharding": op7_sharding,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {}
+OP2_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS norm FROM conversations
+), linked AS (
+  SELECT m.conv_id, m.turn, m.role, trim(regexp_replace(coalesce(m.text, ''), '^\n+|\n+$', '', 'g')) AS own_text,
+    (SELECT count(DISTINCT e.turn) FROM m e WHERE e.conv_id = m.conv_id AND e.turn BETWEEN m.turn - 3 AND m.turn - 1 AND e.norm <> '') AS n_quotes,
+    (SELECT max(o.turn) FROM m p JOIN m o ON o.conv_id = p.conv_id AND o.norm = p.norm
+      WHERE p.conv_id = m.conv_id AND p.turn = m.turn - 1 AND p.norm <> '' AND o.turn < m.turn) AS reply_turn
+  FROM m
+), chain AS (
+  SELECT conv_id, turn, turn AS root_turn, 0 AS depth FROM linked WHERE reply_turn IS NULL
+  UNION ALL
+  SELECT l.conv_id, l.turn, c.root_turn, c.depth + 1 FROM linked l JOIN chain c ON c.conv_id = l.conv_id AND c.turn = l.reply_turn
+)
+SELECT l.conv_id, l.turn, l.role, l.own_text, CAST(l.n_quotes AS INT) AS n_quotes, CAST(l.n_quotes AS BIGINT) AS n_linked,
+  CASE WHEN l.reply_turn IS NOT NULL THEN l.conv_id END AS reply_conv, l.reply_turn,
+  l.conv_id AS root_conv, c.root_turn, CAST(c.depth AS BIGINT) AS depth
+FROM linked l JOIN chain c USING (conv_id, turn)
+"""
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+OP7_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS bits
+  FROM documents
+), levels AS (
+  SELECT d.*, depth, bits >> (60 - depth) AS prefix FROM d, (SELECT unnest(generate_series(0, 60)) AS depth)
+), sums AS (
+  SELECT *, sum(bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_rows, min(bits) OVER w AS low, max(bits) OVER w AS high
+  FROM levels WINDOW w AS (PARTITION BY depth, prefix)
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM sums WHERE shard_bytes <= {SHARD_BYTES} OR low = high
+)
+SELECT doc_id, bytes, CAST(depth AS INT) AS depth, prefix AS shard, CAST(shard_bytes AS BIGINT) AS shard_bytes,
+  shard_rows, shard_bytes > {SHARD_BYTES} AS oversized
+FROM leaf WHERE k = 1
+"""
+
+ORACLES: dict[str, str] = {"op2_quotations": OP2_SQL, "op3_warc": OP3_SQL, "op7_sharding": OP7_SQL}
