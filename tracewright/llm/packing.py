@@ -6,6 +6,7 @@ import json
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +44,24 @@ class ChunkEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.whole = Tokenizer.from_file(path)
         core = tiktoken.Encoding("chunks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.chunks = _Memory(lambda c: np.array(core.encode_ordinary(c), "<u4").tobytes(), 300_000)
+        # "I" is 4 bytes wide, and the machines that Spark runs on are little-endian
+        self.chunks = _Memory(lambda c: array("I", core.encode_ordinary(c)).tobytes(), 200_000)
+        self.words = _Memory(lambda w: self._word(core, w), 500_000)
+
+    def _word(self, core, word: str) -> bytes | None:
+        """Ids of a blank and a word; None if the text around it cannot be cut at each of its blanks."""
+        if not word or word[0].isspace() or word[-1].isspace() or _ODD.search(word) or any(s in word for s in self.special):
+            return None
+        return array("I", core.encode_ordinary(" " + word)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        try:
+            # the first word is checked like the others, but encoded without a blank before it
+            first, *rest = text.split(" ")
+            if rest and self.words.get(first):
+                return self.chunks.get(first) + b"".join(map(self.words.get, rest))
+        except TypeError:  # None among the parts
+            pass
         if _ODD.search(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.chunks.get, _CHUNK.findall(text)))
