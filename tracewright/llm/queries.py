@@ -17,11 +17,15 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SHARD_BYTES = 1 << 20
 
 
+def prepared(df: DataFrame) -> DataFrame:
+    """The package is there in the executors' Python, which gets fewer of the long rows at once."""
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    # long texts: fewer rows in each batch that Python gets
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return table(spark, sf_dir, "documents")
+    return prepared(table(spark, sf_dir, "documents"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +39,7 @@ def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return warc.archive_round_trip(prepared(table(spark, sf_dir, "pages")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
