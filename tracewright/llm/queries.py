@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, jaccard, packing, quality, repetition, sharding, toxicity, warc
+from tracewright.llm import bpe, chat, jaccard, media, packing, quality, repetition, sharding, toxicity, warc
 from tracewright.llm.shared import table
 from tracewright.session import ship
 
@@ -58,6 +58,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is played as a recording, fingerprinted and aligned."""
+    audio = media.vectors_as_audio(prepared(table(spark, sf_dir, "embeddings")))
+    return media.match_recordings(audio, "vec_id", "pcm")
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(documents(spark, sf_dir))
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_fingerprints": op8_fingerprints,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
 }
