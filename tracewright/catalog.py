@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "confirmed_alerts"
+from tracewright.plans import checks, decisions, features, identity, models, outcomes, relations, sources, splits, windows  # noqa: F401
+from tracewright.registry import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+
+FLAGSHIP = "g5_confirmed_alerts"
