@@ -5,8 +5,9 @@
    all tasks. Columns are ordered by that frequency, then by hash: any order common to all rows gives the same links.
 3. A row's first n - ceil(0.75 n) + 1 columns must meet those of every row that it links with, so only these are
    multiplied. Pairs whose sizes, or whose positions in a common column, cannot reach the overlap are dropped.
-4. First each row of a column is paired with the column's least row; the exact overlaps give links and components.
-   Then only pairs across components are left, and they are paired by (component, size, position) classes first.
+4. First each row of a column is paired with one pivot, the row in which the column comes first: a text that others
+   are edits of has fewer rare columns before it than they. The exact overlaps give links and components. Then only
+   pairs across components are left, and they are paired by (size, position) classes first.
 So a column of m near copies costs m pairs, not m squared, and no link is lost.
 """
 
@@ -251,9 +252,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .repartition("token")
         .groupBy("token", "key")
         .agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-        .withColumn("pivot", F.min(F.struct("key", "n", "pos")).over(column))
-        .withColumn("width", F.max("key").over(column))
-        .filter(F.col("width") != F.col("pivot.key"))
+        .withColumn("pivot", F.min(F.struct("pos", "n", "key")).over(column))
+        .withColumn("width", F.count("*").over(column))
+        .filter("width > 1")
         .select("token", "key", "n", "pos", "pivot")
     )
     postings = written(postings, "postings")
