@@ -1 +1,259 @@
-"""To be filled."""
+"""Queries on gates, confirmation and decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewright.functions.syscalls import BEHAVIOUR_SYSCALLS, wilson_sql
+from tracewright.operators import gates as G
+from tracewright.operators import joins as J
+from tracewright.plans.features import ENVELOPE_SQL, FREQ, GROUPS, LIMITS_SQL, WEV, WIN, frequencies, group_counts, limits, scores, windowed
+from tracewright.operators.robust import envelope
+from tracewright.registry import query
+from tracewright.sources.tables import EV, events
+
+_NAMES = ", ".join(f"'{n}'" for n in BEHAVIOUR_SYSCALLS)
+GATES_SQL = f"""{LIMITS_SQL}, rt AS (SELECT workload, win, syscall, {wilson_sql("n", "total")} / limit_value AS ratio FROM fr JOIN lm USING (workload, syscall)),
+  gt AS (SELECT workload, win, max(ratio) > 1 AS gate, arg_max(syscall, (ratio, syscall)) AS gate_syscall, max(ratio) AS gate_ratio FROM rt GROUP BY ALL)"""
+
+
+def gates(spark, sf_dir):
+    return G.behaviour_gate(frequencies(spark, sf_dir), limits(spark, sf_dir), WIN, "workload", "syscall")
+
+
+@query("g1_behaviour_gates", f"WITH {GATES_SQL} SELECT workload, win, gate, gate_syscall, round(gate_ratio, 6) AS gate_ratio FROM gt")
+def g1(spark, sf_dir):
+    return gates(spark, sf_dir).withColumn("gate_ratio", F.round("gate_ratio", 6))
+
+
+@query("g2_mass_gate", f"WITH {WEV} SELECT workload, win, count(*) FILTER (syscall IN ({_NAMES})) / count(*) >= 0.10 AS gate FROM wv GROUP BY ALL")
+def g2(spark, sf_dir):
+    w = windowed(spark, sf_dir).groupBy(*WIN).agg(F.count_if(F.col("syscall").isin(*BEHAVIOUR_SYSCALLS)).alias("s"), F.count("*").alias("n"))
+    return w.select(*WIN, (F.col("s") / F.col("n") >= 0.10).alias("gate"))
+
+
+WINDOWS_SQL = f"{WEV}, ws AS (SELECT workload, win, count(*) AS n, least(1.0, max(value) / 400) AS score, win % 12 * 10.0 AS age FROM wv GROUP BY ALL)"
+
+
+def judged(spark, sf_dir):
+    """(workload, win, n, score, age) of each window."""
+    w = windowed(spark, sf_dir).groupBy(*WIN).agg(F.count("*").alias("n"), F.max("value").alias("v"))
+    return w.select(*WIN, "n", F.least(F.lit(1.0), F.col("v") / 400).alias("score"), (F.col("win") % 12 * F.lit(10.0)).alias("age"))
+
+
+@query(
+    "g3_quality_skips",
+    f"""WITH {WINDOWS_SQL}, b AS (SELECT workload, greatest(1, CAST(floor(quantile_cont(n, 0.1) * 0.9) AS BIGINT)) AS low FROM ws GROUP BY workload)
+    SELECT workload, win, CASE WHEN n < 4 THEN 'low_event_skip' WHEN n < low THEN 'collection_quality_skip' WHEN age < 20 THEN 'pod_startup_grace' END AS skip FROM ws JOIN b USING (workload)""",
+)
+def g3(spark, sf_dir):
+    w = judged(spark, sf_dir)
+    low = w.groupBy("workload").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.percentile("n", 0.1) * 0.9)).alias("low"))
+    return w.join(low, "workload").select(*WIN, G.quality_skip(F.col("n"), F.col("low"), F.col("age"), 4, 20.0).alias("skip"))
+
+
+CALIBRATED_SQL = f"""{GATES_SQL}, ws AS (SELECT workload, win, count(*) AS n, least(1.0, max(value) / 400) AS score FROM wv GROUP BY ALL),
+  cl AS (SELECT ws.*, coalesce(gate, false) AS gate, NOT coalesce(gate, false) AND score < 0.8 AS clean FROM ws LEFT JOIN gt USING (workload, win)),
+  ow AS (SELECT *, CASE WHEN clean AND count(*) OVER f >= 10 THEN least(0.995, greatest(0.4, quantile_cont(score, 0.995) OVER f + 0.5 * greatest(mad(score) OVER f, 0.001))) END AS own
+    FROM cl WINDOW f AS (PARTITION BY workload, clean ORDER BY win ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)),
+  ca AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY workload ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS score_limit FROM ow)"""
+
+
+def calibrated(spark, sf_dir):
+    """(workload, win, n, score, gate, limit)."""
+    w = judged(spark, sf_dir).join(gates(spark, sf_dir).select(*WIN, "gate"), WIN, "left").withColumn("gate", F.coalesce("gate", F.lit(False)))
+    return G.calibrated(w, ["workload"], ["win"], "score", ~F.col("gate") & (F.col("score") < 0.8), 0.4)
+
+
+@query("g4_calibration", f"WITH {CALIBRATED_SQL} SELECT workload, win, round(score_limit + 1e-9, 6) AS score_limit FROM ca")
+def g4(spark, sf_dir):
+    return calibrated(spark, sf_dir).select(*WIN, F.round(F.col("limit") + 1e-9, 6).alias("score_limit"))
+
+
+CONFIRMED_SQL = f"""{CALIBRATED_SQL}, ql AS (SELECT *, gate AND score >= 0.15 AS q FROM ca WHERE score_limit IS NOT NULL),
+  il AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY win) AS island FROM ql),
+  rn AS (SELECT *, CAST(sum(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY workload, island ORDER BY win) AS BIGINT) AS run FROM il)"""
+
+
+def runs(spark, sf_dir):
+    """Windows with a limit, and how many before and with them qualified in a row; calibrating ones do not count at all."""
+    return G.run_length(calibrated(spark, sf_dir).filter("limit is not null"), ["workload"], ["win"], F.col("gate") & (F.col("score") >= 0.15))
+
+
+@query("g5_confirmed_alerts", f"WITH {CONFIRMED_SQL} SELECT workload, win, round(score, 6) AS score, run FROM rn WHERE run >= 1")
+def g5(spark, sf_dir):
+    """Behaviour gate and score in one or more windows in a row."""
+    return runs(spark, sf_dir).filter("run >= 1").select(*WIN, F.round("score", 6).alias("score"), "run")
+
+
+@query(
+    "g6_hysteresis",
+    f"""WITH {CONFIRMED_SQL}, h AS (SELECT *, lag(run) OVER (PARTITION BY workload ORDER BY win) AS before FROM rn)
+    SELECT workload, win, run >= 2 OR (coalesce(before = 1, false) AND score >= 0.1) AS confirmed FROM h""",
+)
+def g6(spark, sf_dir):
+    rows = calibrated(spark, sf_dir).filter("limit is not null")
+    return G.hysteresis(rows, ["workload"], ["win"], F.col("gate") & (F.col("score") >= 0.15), F.col("score") >= 0.1).select(*WIN, "confirmed")
+
+
+@query(
+    "g7_volume_path",
+    f"""WITH {CALIBRATED_SQL}, v AS (SELECT *, NOT gate AND score >= 0.3 AND n > 10 AS q FROM ca), i AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY win) AS island FROM v)
+    SELECT workload, win, CAST(sum(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY workload, island ORDER BY win) AS BIGINT) AS run FROM i""",
+)
+def g7(spark, sf_dir):
+    rows = calibrated(spark, sf_dir)
+    return G.run_length(rows, ["workload"], ["win"], ~F.col("gate") & (F.col("score") >= 0.3) & (F.col("n") > 10)).select(*WIN, "run")
+
+
+_RULE_SQL = f"""{EV}, lx AS (SELECT *, last_value(CASE WHEN syscall = 'execve' THEN us WHEN syscall = 'write' THEN -1 END IGNORE NULLS) OVER w AS lt,
+    last_value(CASE WHEN syscall = 'execve' THEN event_id % 2 WHEN syscall = 'write' THEN -1 END IGNORE NULLS) OVER w AS ln
+    FROM ev WINDOW w AS (PARTITION BY pod ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  wn AS (SELECT event_id, pod, workload, us, lt AS first_us, CASE WHEN syscall = 'setuid' THEN 'exec_privilege' WHEN syscall = 'connect' AND ln = 1 THEN 'exec_network' END AS rule FROM lx WHERE lt >= 0 AND us - lt <= 43200000000),
+  wr AS (SELECT * FROM wn WHERE rule IS NOT NULL)"""
+
+
+def warnings(spark, sf_dir):
+    return G.sequence_rule(events(spark, sf_dir), "pod", ["us", "event_id"], "syscall", "us", F.col("event_id") % 2 == 1, 12 * 3600 * 1_000_000, ["setuid"], ["write"])
+
+
+@query("g11_sequence_rule", f"WITH {_RULE_SQL} SELECT event_id, pod, rule, first_us FROM wr")
+def g11(spark, sf_dir):
+    return warnings(spark, sf_dir).select("event_id", "pod", "rule", F.col("first_time").alias("first_us"))
+
+
+@query(
+    "g8_fused_confirmation",
+    f"""WITH {CALIBRATED_SQL}, {_RULE_SQL.removeprefix(EV + ", ")},
+    a AS (SELECT ca.*, (SELECT max(us) FROM wr WHERE wr.workload = ca.workload AND wr.us <= (ca.win + 1) * 21600000000) AS warned FROM ca)
+    SELECT workload, win, gate OR coalesce((win + 1) * 21600000000 - warned <= 86400000000, false) AS assisted FROM a""",
+)
+def g8(spark, sf_dir):
+    """A warning of the sequence rule in the last day counts like the behaviour gate."""
+    rows = calibrated(spark, sf_dir).withColumn("ended", (F.col("win") + 1) * 21600000000)
+    warned = warnings(spark, sf_dir).select("workload", F.col("us").alias("warned"))
+    joined = J.asof(rows, warned, ["workload"], "ended", "warned", 86400000000)
+    return joined.select(*WIN, (F.col("gate") | F.col("warned").isNotNull()).alias("assisted"))
+
+
+def cooldown_sql(rows: str, key: str, quiet: int) -> str:
+    """The recursive walk over ordered alerts (key, t), as expressions od and cd."""
+    return f"""od AS (SELECT {key}, t, row_number() OVER (PARTITION BY {key} ORDER BY t) AS i FROM (SELECT DISTINCT {key}, t FROM {rows})),
+  cd AS (SELECT {key}, i, t, t AS sent FROM od WHERE i = 1 UNION ALL
+    SELECT {", ".join(f"od.{k.strip()}" for k in key.split(","))}, od.i, od.t, CASE WHEN od.t - cd.sent >= {quiet} THEN od.t ELSE cd.sent END FROM cd JOIN od ON {" AND ".join(f"od.{k.strip()} = cd.{k.strip()}" for k in key.split(","))} AND od.i = cd.i + 1)"""
+
+
+@query("g9_cooldown", f"WITH RECURSIVE {EV}, al AS (SELECT pod, us AS t FROM ev WHERE value > 100), {cooldown_sql('al', 'pod', 172800000000)} SELECT pod, t AS us FROM cd WHERE sent = t")
+def g9(spark, sf_dir):
+    return G.cooldown(events(spark, sf_dir).filter("value > 100").select("pod", "us"), ["pod"], "us", 172800000000).distinct()
+
+
+@query("g12_rule_cooldown", f"WITH RECURSIVE {_RULE_SQL}, al AS (SELECT pod, rule, us AS t FROM wr), {cooldown_sql('al', 'pod, rule', 432000000000)} SELECT pod, rule, t AS us FROM cd WHERE sent = t")
+def g12(spark, sf_dir):
+    return G.cooldown(warnings(spark, sf_dir).select("pod", "rule", "us"), ["pod", "rule"], "us", 432000000000).distinct()
+
+
+@query(
+    "g10_decisions",
+    f"""WITH RECURSIVE {CONFIRMED_SQL}, al AS (SELECT workload, win AS t FROM rn WHERE run >= 1), {cooldown_sql('al', 'workload', 4)}
+    SELECT r.workload, r.win, CASE WHEN NOT r.q AND NOT r.gate AND r.score >= 0.15 THEN 'behavior_gated' WHEN NOT r.q THEN 'normal' WHEN c.sent = r.win THEN 'detection' ELSE 'cooldown' END AS decision
+    FROM rn r LEFT JOIN cd c ON c.workload = r.workload AND c.t = r.win""",
+)
+def g10(spark, sf_dir):
+    rows = runs(spark, sf_dir)
+    sent = G.cooldown(rows.filter("run >= 1").select(*WIN), ["workload"], "win", 4).withColumn("sent", F.lit(True))
+    q = F.col("run") >= 1
+    label = F.when(~q & ~F.col("gate") & (F.col("score") >= 0.15), "behavior_gated").when(~q, "normal").when(F.col("sent"), "detection").otherwise("cooldown")
+    return rows.join(sent, WIN, "left").select(*WIN, label.alias("decision"))
+
+
+def policy(spark):
+    rows = [(g, f, 2) for g, fields in GROUPS.items() for f in fields]
+    return spark.createDataFrame(rows, "grp string, field string, minimum_excess int")
+
+
+CORROBORATED_SQL = f"""{ENVELOPE_SQL}, hb AS (SELECT workload, win, grp, v, v - (normal_max - 3) >= 2 AS hit FROM gv JOIN em USING (workload, grp) WHERE v > 0),
+  ms AS (SELECT workload, win, execve + connect + setuid AS mass FROM pv),
+  co AS (SELECT ms.workload, ms.win, coalesce(bool_or(hit), false) OR any_value(mass) >= 8 AS corroborated, coalesce(string_agg(CASE WHEN hit THEN grp END, ',' ORDER BY grp), '') AS grps FROM ms LEFT JOIN hb USING (workload, win) GROUP BY ms.workload, ms.win)"""
+
+
+def corroboration(spark, sf_dir):
+    g = group_counts(spark, sf_dir)
+    maxima = envelope(g.filter(F.col("win") % 3 != 0), "workload", GROUPS).withColumn("normal_max", F.col("normal_max") - 3)
+    return G.corroborated(g.select(*WIN), frequencies(spark, sf_dir), policy(spark), maxima, WIN, "workload", "syscall", 8)
+
+
+@query("g13_corroboration", f"WITH {CORROBORATED_SQL} SELECT workload, win, corroborated, grps FROM co")
+def g13(spark, sf_dir):
+    return corroboration(spark, sf_dir).select(*WIN, "corroborated", F.array_join("groups", ",").alias("grps"))
+
+
+@query(
+    "g14_score_margin",
+    f"WITH {WINDOWS_SQL}, m AS (SELECT workload, max(score) AS top FROM ws WHERE win % 5 <> 0 GROUP BY workload) SELECT workload, win, score - top >= -0.3 AS over_margin FROM ws JOIN m USING (workload)",
+)
+def g14(spark, sf_dir):
+    w = judged(spark, sf_dir)
+    top = w.filter(F.col("win") % 5 != 0).groupBy("workload").agg(F.max("score").alias("top"))
+    return w.join(top, "workload").select(*WIN, (F.col("score") - F.col("top") >= -0.3).alias("over_margin"))
+
+
+@query(
+    "g15_statuses",
+    f"""WITH {CORROBORATED_SQL}, ws AS (SELECT workload, win, least(1.0, max(value) / 400) AS score FROM wv GROUP BY ALL)
+    SELECT ws.workload, ws.win, CASE WHEN ws.workload = 'w7' THEN 'collect-only' WHEN ws.win % 12 < 2 THEN 'warming' WHEN score >= 0.3 AND corroborated THEN 'alert' WHEN score >= 0.3 THEN 'suppressed' ELSE 'normal' END AS status
+    FROM ws JOIN co USING (workload, win)""",
+)
+def g15(spark, sf_dir):
+    rows = judged(spark, sf_dir).join(corroboration(spark, sf_dir), WIN)
+    odd = F.col("score") >= 0.3
+    return rows.select(*WIN, F.when(F.col("workload") == "w7", "collect-only").when(F.col("win") % 12 < 2, "warming").when(odd & F.col("corroborated"), "alert").when(odd, "suppressed").otherwise("normal").alias("status"))
+
+
+@query(
+    "g16_temporal_confirmation",
+    f"""WITH {CORROBORATED_SQL}, c AS (SELECT workload, win, string_split(grps, ',') AS g, grps <> '' AS c, list_contains(string_split(grps, ','), 'network') AS b FROM co),
+    l AS (SELECT *, c AND NOT b AND lag(c AND NOT b) OVER w AND win - lag(win) OVER w <= 2 AND list_has_any(g, lag(g) OVER w) AS go FROM c WINDOW w AS (PARTITION BY workload ORDER BY win)),
+    i AS (SELECT *, sum(CASE WHEN coalesce(go, false) THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY win) AS island FROM l)
+    SELECT workload, win, b OR (c AND NOT b AND row_number() OVER (PARTITION BY workload, island ORDER BY win) >= 2) AS alert FROM i""",
+)
+def g16(spark, sf_dir):
+    rows = corroboration(spark, sf_dir)
+    return G.temporal_confirmation(rows, ["workload"], "win", F.size("groups") > 0, "groups", ["network"], 2, 2).select(*WIN, "alert")
+
+
+@query("g17_agent_decisions")
+def g17(spark, sf_dir):
+    rows = scores(spark, sf_dir).select("pod", "us", "event_id", "score", F.col("t"))
+    return G.agent_decisions(rows, "pod", ["us", "event_id"], "score", "t", quiet=86400.0).select("event_id", "pod", "decision", F.round("limit_now", 6).alias("limit_now"))
+
+
+@query(
+    "g18_first_sensitive",
+    f"""WITH {WEV}, s AS (SELECT workload, win, list(syscall ORDER BY us, event_id) AS q FROM wv GROUP BY ALL), p AS (SELECT *, list_min(list_filter([CASE WHEN q[i] IN ('execve', 'setuid') THEN i END FOR i IN generate_series(1, len(q))], lambda x: x IS NOT NULL)) AS k FROM s)
+    SELECT workload, win, round(win * 21600.0 + k / len(q) * 21600.0, 3) AS first_at FROM p WHERE k IS NOT NULL""",
+)
+def g18(spark, sf_dir):
+    w = windowed(spark, sf_dir).groupBy(*WIN).agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "syscall"))).alias("s"))
+    w = w.select(*WIN, F.transform("s", lambda x: x["syscall"]).alias("sequence"), (F.col("win") * F.lit(21600.0)).alias("began"), ((F.col("win") + 1) * F.lit(21600.0)).alias("ended"))
+    return G.first_sensitive(w, "sequence", "began", "ended", ["execve", "setuid"]).select(*WIN, F.round("first_at", 3).alias("first_at"))
+
+
+_POLICIES = [("all", True, True, 2, 0.5), ("no_behaviour", False, True, 2, 0.5), ("one_window", True, True, 1, 0.5), ("static", True, False, 2, 0.3)]
+
+
+@query(
+    "g19_ablation",
+    f"""WITH {CALIBRATED_SQL}, po(policy, behaviour, adaptive, k, baseline) AS (VALUES {", ".join(f"('{p}', {b}, {a}, {k}, {m})" for p, b, a, k, m in _POLICIES)}),
+    x AS (SELECT *, (gate OR NOT behaviour) AND score >= CASE WHEN adaptive THEN least(score_limit, baseline) ELSE baseline END AS q FROM ca, po WHERE score_limit IS NOT NULL),
+    i AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY policy, workload ORDER BY win) AS island FROM x),
+    r AS (SELECT *, sum(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY policy, workload, island ORDER BY win) AS run FROM i)
+    SELECT policy, workload, count(*) AS n, count(*) FILTER (run >= k) AS alerts FROM r GROUP BY ALL""",
+)
+def g19(spark, sf_dir):
+    """The same windows under each row of a policy table."""
+    po = F.broadcast(spark.createDataFrame(_POLICIES, "policy string, behaviour boolean, adaptive boolean, k int, baseline double"))  # a fixed list
+    x = calibrated(spark, sf_dir).filter("limit is not null").crossJoin(po)
+    level = F.when(F.col("adaptive"), F.least("limit", "baseline")).otherwise(F.col("baseline"))
+    r = G.run_length(x, ["policy", "workload"], ["win"], (F.col("gate") | ~F.col("behaviour")) & (F.col("score") >= level))
+    return r.groupBy("policy", "workload").agg(F.count("*").alias("n"), F.count_if(F.col("run") >= F.col("k")).alias("alerts"))

@@ -95,10 +95,11 @@ def w9(spark, sf_dir):
 
 @query(
     "w10_out_of_order",
-    f"""WITH {EV}, a AS (SELECT event_id, pod, us, lag(us) OVER (PARTITION BY pod ORDER BY event_id) AS b FROM ev) SELECT event_id, pod FROM a WHERE us <= b""",
+    f"""WITH {EV}, a AS (SELECT event_id, pod, us, lag(us) OVER (PARTITION BY pod ORDER BY (event_id * 7919) % 100003) AS b FROM ev) SELECT event_id, pod FROM a WHERE us <= b""",
 )
 def w10(spark, sf_dir):
-    return O.not_increasing(events(spark, sf_dir), ["pod"], "event_id", "us").select("event_id", "pod")
+    e = events(spark, sf_dir).withColumn("arrival", F.col("event_id") * 7919 % 100003)
+    return O.not_increasing(e, ["pod"], "arrival", "us").select("event_id", "pod")
 
 
 @query(
