@@ -1 +1,126 @@
-"""To be filled."""
+"""Queries on data contracts (Q1 to Q12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewright.operators import contracts as Q
+from tracewright.operators.splits import overlapping
+from tracewright.plans.features import FREQ, WIN, frequencies
+from tracewright.registry import query
+from tracewright.sources.tables import EV, days, events, table
+
+
+def window_rows(spark, sf_dir):
+    """Windows with counts and sparse values, some of them broken on purpose."""
+    f = frequencies(spark, sf_dir).groupBy(*WIN).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("syscall", "n")))).alias("counts"), F.first("total").alias("event_count"))
+    k = F.col("win")
+    return f.select(
+        *WIN, "counts", (F.col("event_count") + F.when(k % 7 == 0, 1).otherwise(0)).alias("event_count"), k.alias("window_start"), F.when(k % 11 == 0, k).otherwise(k + 1).alias("window_end"),
+        F.array(F.struct(F.lit(0).alias("i"), F.lit(0.5).alias("v")), F.struct(F.when(k % 5 == 0, 0).otherwise(3).alias("i"), F.when(k % 13 == 0, float("nan")).otherwise(1.0).alias("v"))).alias("sparse"),
+    )
+
+
+@query(
+    "q1_window_contract",
+    f"""WITH {FREQ}, w AS (SELECT DISTINCT workload, win FROM fr), v(problem, k) AS (VALUES ('count', 7), ('interval', 11), ('order', 5), ('finite', 13)) SELECT workload, win, problem FROM w JOIN v ON win % k = 0""",
+)
+def q1(spark, sf_dir):
+    return Q.violations(window_rows(spark, sf_dir), WIN, Q.window_rules(4))
+
+
+@query(
+    "q2_interval_contract",
+    """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_custkey FROM orders), v AS (SELECT o_orderkey, 'price' AS problem FROM o WHERE NOT o_totalprice > 1000 UNION ALL SELECT o_orderkey, 'status' FROM o WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT o_orderkey, 'customer' FROM o WHERE NOT o_custkey > 5)
+    SELECT * FROM v""",
+)
+def q2(spark, sf_dir):
+    rules = {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("F", "O"), "customer": F.col("o_custkey") > 5}
+    return Q.violations(table(spark, sf_dir, "orders"), ["o_orderkey"], rules)
+
+
+@query("q3_capture_gates", f"""WITH {EV} SELECT count(*) AS rows, count(DISTINCT workload) = 1 AS one_workload, count(DISTINCT length(workload)) = 1 AS one_width, count(*) FILTER (value > 400) AS open FROM ev""")
+def q3(spark, sf_dir):
+    return Q.capture_gates(events(spark, sf_dir).withColumn("width", F.length("workload")), ["workload", "width"], F.col("value") > 400)
+
+
+@query(
+    "q4_counter_capture",
+    """WITH l AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS t, l_quantity, l_linenumber FROM lineitem)
+    SELECT l_suppkey, count(*) AS rows, count(*) >= 50 AS enough, count(DISTINCT t) = count(*) AS monotonic, bool_and(l_linenumber < 7) AS exact FROM l GROUP BY l_suppkey""",
+)
+def q4(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t"), F.col("l_linenumber").alias("total"))  # noqa: E741
+    return Q.counter_checks(l, ["l_suppkey"], "t", "total", F.least(F.col("total"), F.lit(6)), 50)
+
+
+@query(
+    "q5_contract_intervals",
+    """WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS a FROM orders), x AS (SELECT *, max(a + 30) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM o)
+    SELECT o_custkey, count(*) AS overlaps FROM x WHERE e > a GROUP BY o_custkey""",
+)
+def q5(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", days("o_orderdate").alias("a")).withColumn("b", F.col("a") + 30)
+    return overlapping(o, ["o_custkey"], "a", "b").groupBy("o_custkey").agg(F.count("*").alias("overlaps"))
+
+
+@query("q6_sensor_health", f"""WITH {EV} SELECT pod, count(*) FILTER (syscall = 'setuid') <= 15 AND max(value) < 400 AND count(*) > 40 AS healthy FROM ev GROUP BY pod""")
+def q6(spark, sf_dir):
+    s = events(spark, sf_dir).groupBy("pod").agg(F.struct(F.count_if(F.col("syscall") == "setuid").alias("errors"), F.max("value").alias("top"), F.count("*").alias("n")).alias("c"))
+    return s.select("pod", ((F.col("c.errors") <= 15) & (F.col("c.top") < 400) & (F.col("c.n") > 40)).alias("healthy"))
+
+
+@query(
+    "q7_matrix_completeness",
+    """WITH e AS (SELECT r_regionkey AS r, d FROM region, (SELECT unnest(generate_series(1, 30)) AS d)), f AS (SELECT c_nationkey % 6 AS r, c_custkey % 29 + 1 AS d, c_mktsegment AS g FROM customer), h AS (SELECT r, d, count(DISTINCT g) AS n FROM f GROUP BY ALL)
+    SELECT r, d, CASE WHEN n IS NULL THEN 'missing' WHEN e.r IS NULL THEN 'unexpected' ELSE 'several digests' END AS problem FROM (SELECT r, d, r AS er FROM e) e FULL JOIN h USING (r, d) WHERE n IS NULL OR er IS NULL OR n > 1""".replace("e.r IS NULL", "er IS NULL"),
+)
+def q7(spark, sf_dir):
+    e = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("r")).crossJoin(spark.range(1, 31).withColumnRenamed("id", "d"))
+    f = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 6).cast("long").alias("r"), (F.col("c_custkey") % 29 + 1).cast("long").alias("d"), "c_mktsegment")
+    return Q.completeness(e, f, ["r", "d"], "c_mktsegment")
+
+
+@query(
+    "q8_accounting_identities",
+    """SELECT l_returnflag, l_linestatus, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) + sum(CASE WHEN l_discount <= 0.05 THEN 1 ELSE 0 END) = count(*) AS adds_up, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM lineitem GROUP BY ALL""",
+)
+def q8(spark, sf_dir):
+    """A rate is what its counts say, and parts add up to the whole."""
+    big = F.col("l_discount") > 0.05
+    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count_if(big).alias("a"), F.count_if(~big).alias("b"), F.count("*").alias("n"))
+    return g.select("l_returnflag", "l_linestatus", (F.col("a") + F.col("b") == F.col("n")).alias("adds_up"), F.round(F.col("a") / F.col("n"), 6).alias("rate"))
+
+
+@query(
+    "q9_single_identity",
+    """SELECT lang, count(DISTINCT sha256(lang)) = 1 AS one_model, count(DISTINCT source) = 1 AS one_run, bool_and(regexp_matches(sha256(lang), '^[0-9a-f]{64}$')) AS well_formed FROM documents GROUP BY lang""",
+)
+def q9(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("sha", F.sha2("lang", 256))
+    return d.groupBy("lang").agg((F.countDistinct("sha") == 1).alias("one_model"), (F.countDistinct("source") == 1).alias("one_run"), F.bool_and(F.col("sha").rlike("^[0-9a-f]{64}$")).alias("well_formed"))
+
+
+@query(
+    "q10_marker_bounds",
+    f"""WITH {EV}, m AS (SELECT workload, min(us) FILTER (syscall = 'setuid') AS started FROM ev GROUP BY workload) SELECT workload, count(*) FILTER (us >= started) AS judged, count(*) FILTER (us < started) AS excluded FROM ev JOIN m USING (workload) GROUP BY workload""",
+)
+def q10(spark, sf_dir):
+    e = events(spark, sf_dir)
+    m = e.filter("syscall = 'setuid'").groupBy("workload").agg(F.min("us").alias("started"))
+    return e.join(m, "workload").groupBy("workload").agg(F.count_if(F.col("us") >= F.col("started")).alias("judged"), F.count_if(F.col("us") < F.col("started")).alias("excluded"))
+
+
+@query(
+    "q11_gate_roll_up",
+    f"""WITH {EV}, g AS (SELECT pod, count(*) > 60 AS enough, max(value) < 300 AS calm, count(DISTINCT syscall) = 5 AS varied FROM ev GROUP BY pod)
+    SELECT pod, concat_ws(',', CASE WHEN NOT enough THEN 'enough' END, CASE WHEN NOT calm THEN 'calm' END, CASE WHEN NOT varied THEN 'varied' END) AS failed, enough AND calm AND varied AS passed FROM g""",
+)
+def q11(spark, sf_dir):
+    g = events(spark, sf_dir).groupBy("pod").agg((F.count("*") > 60).alias("enough"), (F.max("value") < 300).alias("calm"), (F.countDistinct("syscall") == 5).alias("varied"))
+    return Q.roll_up(g, ["pod"])
+
+
+@query("q12_review_admission", "SELECT o_orderstatus, count(*) AS rejected FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus")
+def q12(spark, sf_dir):
+    return Q.admitted(table(spark, sf_dir, "orders"), "o_orderstatus", "F")[1]

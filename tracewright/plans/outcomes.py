@@ -1 +1,251 @@
-"""To be filled."""
+"""Queries on evaluation and statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewright.functions.syscalls import Z_TWO_SIDED, wilson, wilson_sql
+from tracewright.operators import outcomes as O
+from tracewright.operators.robust import summary
+from tracewright.registry import query
+from tracewright.sources.tables import EV, days, events, table
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+@query(
+    "a26_coverage",
+    f"""WITH {EV} SELECT workload, count(DISTINCT floor(t / 3600)) AS seconds_seen, CAST(floor(max(t / 3600)) - floor(min(t / 3600)) + 1 AS BIGINT) AS span_seconds,
+    round(count(DISTINCT floor(t / 3600)) / (floor(max(t / 3600)) - floor(min(t / 3600)) + 1), 6) AS coverage FROM ev GROUP BY workload""",
+)
+def a26(spark, sf_dir):
+    """Hours stand for seconds here."""
+    return O.coverage(events(spark, sf_dir).withColumn("h", F.col("t") / 3600), ["workload"], "h").select("workload", "seconds_seen", "span_seconds", *r6("coverage"))
+
+
+def trials(spark, sf_dir):
+    """(doc_id, quality, toxic, lang, source, found): found where the document is longer than usual."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return table(spark, sf_dir, "labels").join(d, "doc_id").withColumn("found", F.col("n_chars") > 1500)
+
+
+TR = "tr AS (SELECT l.doc_id, quality, toxic, lang, source, n_chars, n_chars > 1500 AS found FROM labels l JOIN documents d USING (doc_id))"
+
+
+@query(
+    "a27_breakdowns",
+    f"""WITH {TR}, g AS (SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS dimension, CASE WHEN grouping(lang) = 0 THEN lang WHEN grouping(source) = 0 THEN source ELSE 'all' END AS value,
+    count(*) FILTER (found) AS found, count(*) AS trials FROM tr GROUP BY GROUPING SETS ((), (lang), (source)))
+    SELECT dimension, value, found, trials, round({wilson_sql("found", "trials", Z_TWO_SIDED)}, 6) AS low, round({wilson_sql("found", "trials", Z_TWO_SIDED, True)}, 6) AS high FROM g""",
+)
+def a27(spark, sf_dir):
+    return O.breakdown(trials(spark, sf_dir), ["lang", "source"], "found").select("dimension", "value", "found", "trials", *r6("low", "high"))
+
+
+@query("a28_status_counts", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
+def a28(spark, sf_dir):
+    p = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+    return p.select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
+
+
+@query(
+    "a29_resource_rollup",
+    """WITH s AS (SELECT l_suppkey, l_shipdate, sum(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY ALL), m AS (SELECT l_suppkey, round(quantile_cont(v, 0.5), 6) AS median FROM s GROUP BY l_suppkey),
+    c AS (SELECT l_suppkey, min((CAST(l_shipdate AS DATE) - DATE '1970-01-01', l_orderkey)) AS a, max((CAST(l_shipdate AS DATE) - DATE '1970-01-01', l_orderkey)) AS b FROM lineitem GROUP BY l_suppkey)
+    SELECT l_suppkey, median, round(CASE WHEN b[1] > a[1] THEN (b[2] - a[2]) / (b[1] - a[1]) END, 6) AS rate FROM m JOIN c USING (l_suppkey)""",
+)
+def a29(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", days("l_shipdate").alias("day"), F.col("l_quantity").cast("double").alias("v"), "l_orderkey")  # noqa: E741
+    return O.resource_rollup(l, ["l_suppkey"], "day", "v").join(O.counter_rate(l, ["l_suppkey"], "day", "l_orderkey"), "l_suppkey").select("l_suppkey", *r6("median", "rate"))
+
+
+@query("a30_exposure", f"WITH {EV} SELECT round(sum(v) / 3600, 4) AS hours FROM (SELECT max(t) - min(t) AS v FROM ev GROUP BY pod, floor(us / 86400000000))")
+def a30(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / 86400000000))
+    return O.exposure(e, ["pod", "day"], "t", "t").select(F.round(F.col("exposure") / 3600, 4).alias("hours"))
+
+
+@query(
+    "a31_integrity_counters",
+    "SELECT l_linestatus, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned, max(CASE WHEN l_discount > 0.05 THEN l_linenumber END) AS worst FROM lineitem GROUP BY l_linestatus",
+)
+def a31(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.max(F.when(F.col("l_discount") > 0.05, F.col("l_linenumber"))).alias("worst"))
+
+
+@query(
+    "a32_latency_summaries",
+    f"""WITH {EV} SELECT syscall, workload, count(*) AS n, round(min(value), 6) AS least, {", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999)))},
+    round(max(value), 6) AS largest, round(avg(CASE WHEN value >= 300 THEN 1.0 ELSE 0.0 END), 6) AS saturated FROM ev GROUP BY ALL""",
+)
+def a32(spark, sf_dir):
+    s = summary(events(spark, sf_dir), ["syscall", "workload"], "value", 300)
+    return s.select("syscall", "workload", "n", *r6(*s.columns[3:]))
+
+
+@query(
+    "t1_confusion",
+    f"""WITH {TR}, c AS (SELECT lang, count(*) FILTER (toxic = 1 AND found) AS tp, count(*) FILTER (toxic = 1 AND NOT found) AS fn, count(*) FILTER (toxic = 0 AND found) AS fp, count(*) FILTER (toxic = 0 AND NOT found) AS tn FROM tr GROUP BY lang)
+    SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(fp / nullif(fp + tn, 0), 6) AS false_rate FROM c""",
+)
+def t1(spark, sf_dir):
+    c = O.confusion(trials(spark, sf_dir), ["lang"], F.col("toxic") == 1, F.col("found"))
+    return c.select("lang", "tp", "fn", "fp", "tn", *r6("precision", "recall", "f1", "false_rate"))
+
+
+ITERATIONS = 60
+
+
+def source_blocks(spark, sf_dir):
+    """(lang, block, hits, n, latency): a block for each source."""
+    t = trials(spark, sf_dir)
+    return t.groupBy("lang", F.col("source").alias("block")).agg(F.count_if("found").alias("hits"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.avg("n_chars").alias("mean_chars"))
+
+
+def resampled_sql(seed: int) -> str:
+    """Expressions bk (numbered blocks) and rs (drawn blocks) for bootstrap()."""
+    return f"""{TR}, bl AS (SELECT lang, source AS block, count(*) FILTER (found) AS hits, count(*) AS n, sum(n_chars) AS chars, avg(n_chars) AS mean_chars FROM tr GROUP BY ALL),
+    bk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY block) - 1 AS k, count(*) OVER (PARTITION BY lang) AS size FROM bl),
+    dr AS (SELECT lang, iter, {O.drawn_sql(seed, "size")} AS k FROM (SELECT DISTINCT lang, size FROM bk) s, unnest(generate_series(0, {ITERATIONS - 1})) AS i(iter), unnest(generate_series(0, size - 1)) AS j(slot)),
+    rs AS (SELECT bk.*, dr.iter FROM dr JOIN bk USING (lang, k))"""
+
+
+_CI = "SELECT lang, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM e GROUP BY lang"
+
+
+@query("t2_bootstrap_median", f"WITH {resampled_sql(11)}, e AS (SELECT lang, iter, quantile_cont(mean_chars, 0.5) AS v FROM rs GROUP BY ALL) {_CI}")
+def t2(spark, sf_dir):
+    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["mean_chars"], ITERATIONS, 11)
+    return O.interval(drawn.groupBy("lang", "iter").agg(F.percentile("mean_chars", 0.5).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
+
+
+@query("t3_block_bootstrap", f"WITH {resampled_sql(12)}, e AS (SELECT lang, iter, sum(hits) / sum(n) AS v FROM rs GROUP BY ALL) {_CI}")
+def t3(spark, sf_dir):
+    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["hits", "n"], ITERATIONS, 12)
+    return O.interval(drawn.groupBy("lang", "iter").agg((F.sum("hits") / F.sum("n")).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
+
+
+@query("t4_rate_bootstrap", f"WITH {resampled_sql(13)}, e AS (SELECT lang, iter, 1000 * sum(hits) / sum(chars) AS v FROM rs GROUP BY ALL) {_CI}")
+def t4(spark, sf_dir):
+    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["hits", "chars"], ITERATIONS, 13)
+    return O.interval(drawn.groupBy("lang", "iter").agg((1000 * F.sum("hits") / F.sum("chars")).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
+
+
+@query(
+    "t5_two_sample_bootstrap",
+    f"""WITH {resampled_sql(14)}, m AS (SELECT lang, iter, quantile_cont(mean_chars, 0.5) AS v FROM rs GROUP BY ALL),
+    e AS (SELECT o.lang, o.iter, 100 * (o.v / b.v - 1) AS v FROM m o JOIN m b ON b.iter = o.iter AND b.lang = 'en' WHERE o.lang <> 'en') {_CI}""",
+)
+def t5(spark, sf_dir):
+    """Per cent of difference between the medians of an arm and the base arm."""
+    m = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["mean_chars"], ITERATIONS, 14).groupBy("lang", "iter").agg(F.percentile("mean_chars", 0.5).alias("m"))
+    base = m.filter("lang = 'en'").select("iter", F.col("m").alias("b"))
+    return O.interval(m.filter("lang <> 'en'").join(base, "iter").select("lang", (100 * (F.col("m") / F.col("b") - 1)).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
+
+
+PAIRED = f"{TR}, pt AS (SELECT source, count(*) FILTER (found AND quality = 0) AS a_only, count(*) FILTER (NOT found AND quality = 1) AS b_only, count(*) FILTER (found AND quality = 1) AS both, count(*) FILTER (NOT found AND quality = 0) AS neither FROM tr GROUP BY source)"
+
+
+def paired(spark, sf_dir):
+    return O.paired_table(trials(spark, sf_dir).withColumn("good", F.col("quality") == 1), ["source"], "found", "good")
+
+
+MCNEMAR_SQL = "CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum([exp(lgamma(a_only + b_only + 1.0) - lgamma(i + 1.0) - lgamma(a_only + b_only - i + 1.0) - (a_only + b_only) * ln(2.0)) FOR i IN generate_series(0, least(a_only, b_only))])) END"
+
+
+@query("t6_mcnemar", f"WITH {PAIRED} SELECT source, round({MCNEMAR_SQL} + 1e-9, 6) AS p FROM pt")
+def t6(spark, sf_dir):
+    return paired(spark, sf_dir).select("source", F.round(O.mcnemar(F.col("a_only"), F.col("b_only")) + 1e-9, 6).alias("p"))
+
+
+@query(
+    "t7_sign_flips",
+    """WITH d AS (SELECT s_nationkey, CAST(s_acctbal AS DOUBLE) - 3000 AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(s_acctbal AS DOUBLE)) - 1 AS k FROM supplier),
+    z AS (SELECT s_nationkey, count(*) AS n, abs(avg(v)) AS seen FROM d GROUP BY s_nationkey HAVING count(*) <= 12), m AS (SELECT s_nationkey, n, seen, m FROM z, unnest(generate_series(0, (1 << n) - 1)) AS g(m)),
+    x AS (SELECT s_nationkey, n, seen, m, abs(avg(CASE WHEN (m >> k) & 1 = 1 THEN -v ELSE v END)) AS a FROM m JOIN d USING (s_nationkey) GROUP BY ALL)
+    SELECT s_nationkey, n, round(avg(CASE WHEN a >= seen - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p FROM x GROUP BY ALL""",
+)
+def t7(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select("s_nationkey", (F.col("s_acctbal").cast("double") - 3000).alias("v"))
+    few = d.groupBy("s_nationkey").count().filter("count <= 12").select("s_nationkey")
+    return O.sign_flip(d.join(few, "s_nationkey"), ["s_nationkey"], "v").select("s_nationkey", "n", *r6("p"))
+
+
+@query(
+    "t8_holm",
+    f"""WITH {PAIRED}, p AS (SELECT source, {MCNEMAR_SQL} AS p FROM pt), s AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY round(p, 9), source) + 1)) AS s FROM p)
+    SELECT source, round(max(s) OVER (ORDER BY round(p, 9), source ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s""",
+)
+def t8(spark, sf_dir):
+    p = paired(spark, sf_dir).select(F.lit(1).alias("family"), "source", F.round(O.mcnemar(F.col("a_only"), F.col("b_only")), 9).alias("p"))
+    return O.holm(p, ["family"], "p", "source").select("source", *r6("adjusted"))
+
+
+@query("t9_paired_tables", f"WITH {PAIRED} SELECT * FROM pt")
+def t9(spark, sf_dir):
+    return paired(spark, sf_dir)
+
+
+@query(
+    "t10_restricted_times",
+    f"""WITH {TR} SELECT lang, round(avg(CASE WHEN found THEN n_chars / 1000.0 ELSE 10.0 END), 6) AS restricted, {", ".join(f"round(avg(CASE WHEN found AND n_chars / 1000.0 <= {c} THEN 1.0 ELSE 0.0 END), 6) AS by_{i}" for i, c in enumerate((1.6, 2.0, 3.0, 5.0, 8.0, 20.0)))} FROM tr GROUP BY lang""",
+)
+def t10(spark, sf_dir):
+    t = trials(spark, sf_dir).withColumn("latency", F.col("n_chars") / 1000.0).withColumn("censor", F.lit(10.0))
+    r = O.restricted_time(t, ["lang"], "found", "latency", "censor", [1.6, 2.0, 3.0, 5.0, 8.0, 20.0])
+    return r.select("lang", *r6(*r.columns[1:]))
+
+
+@query(
+    "t11_overhead",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, CAST(s_acctbal AS DOUBLE) + 10000 AS v FROM supplier),
+    b AS (SELECT s_nationkey, (k - 1) // 2 AS block, max(v) FILTER (k % 2 = 1) AS off_v, max(v) FILTER (k % 2 = 0) AS on_v FROM o GROUP BY ALL)
+    SELECT s_nationkey, round(quantile_cont(100 * (1 - on_v / off_v), 0.5), 6) AS loss FROM b WHERE on_v IS NOT NULL GROUP BY s_nationkey""",
+)
+def t11(spark, sf_dir):
+    """Median per cent of loss between the two rows of each block."""
+    from tracewright.operators.sets import adjacent_pairs
+
+    b = adjacent_pairs(table(spark, sf_dir, "supplier").withColumn("v", F.col("s_acctbal").cast("double") + 10000), ["s_nationkey"], "s_suppkey", "v")
+    return b.filter("on is not null").groupBy("s_nationkey").agg(F.round(F.percentile(100 * (1 - F.col("on") / F.col("off")), 0.5), 6).alias("loss"))
+
+
+@query(
+    "t12_block_sensitivity",
+    f"""WITH {TR}, b AS (SELECT lang, source, bool_or(toxic = 1) AS any_alert FROM tr GROUP BY ALL), c AS (SELECT lang, count(*) FILTER (any_alert) AS k, count(*) AS n FROM b GROUP BY lang)
+    SELECT lang, k, n, round({wilson_sql("k", "n", Z_TWO_SIDED)}, 6) AS low FROM c""",
+)
+def t12(spark, sf_dir):
+    b = trials(spark, sf_dir).groupBy("lang", "source").agg(F.bool_or(F.col("toxic") == 1).alias("any_alert")).groupBy("lang").agg(F.count_if("any_alert").alias("k"), F.count("*").alias("n"))
+    return b.select("lang", "k", "n", F.round(wilson(F.col("k"), F.col("n"), Z_TWO_SIDED), 6).alias("low"))
+
+
+@query(
+    "t13_eligible_windows",
+    "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') + count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 100000) AS eligible FROM orders GROUP BY o_orderpriority",
+)
+def t13(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy("o_orderpriority").agg((F.count_if(F.col("o_orderstatus") == "F") + F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 100000))).alias("eligible"))
+
+
+@query(
+    "t14_pooled_campaigns",
+    f"""WITH {TR} SELECT toxic, count(DISTINCT lang) AS nodes, count(DISTINCT source) AS endpoints, count(DISTINCT lang) >= 2 AND count(DISTINCT source) >= 2 AS independent, round(avg(n_chars), 6) AS effect FROM tr GROUP BY toxic""",
+)
+def t14(spark, sf_dir):
+    t = trials(spark, sf_dir).groupBy("toxic").agg(F.countDistinct("lang").alias("nodes"), F.countDistinct("source").alias("endpoints"), F.avg("n_chars").alias("effect"))
+    return t.select("toxic", "nodes", "endpoints", ((F.col("nodes") >= 2) & (F.col("endpoints") >= 2)).alias("independent"), *r6("effect"))
+
+
+@query(
+    "t15_maxima_after_injection",
+    f"""WITH {EV}, i AS (SELECT pod, min(us) AS started FROM ev WHERE syscall = 'execve' GROUP BY pod) SELECT pod, round(max(value), 6) AS top_value, max(us) AS last_us FROM ev JOIN i USING (pod) WHERE us > started GROUP BY pod""",
+)
+def t15(spark, sf_dir):
+    e = events(spark, sf_dir)
+    i = e.filter("syscall = 'execve'").groupBy("pod").agg(F.min("us").alias("started"))
+    return e.join(i, "pod").filter("us > started").groupBy("pod").agg(F.round(F.max("value"), 6).alias("top_value"), F.max("us").alias("last_us"))
