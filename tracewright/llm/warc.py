@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import scratch_path
+from tracewright.llm.shared import scratch_path, written
 
 #: A record starts with this line; written blocks never hold it, as a chunk always ends inside of it.
 MARK = "WARC/1.1\r\n"
@@ -60,7 +60,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), own, F.lit(">"))
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = F.when(F.col("first").isNull(), F.concat(F.lit(f"{http}Transfer-Encoding: chunked\r\n\r\n"), _chunked(F.col("payload"), chunk_bytes))).otherwise(F.lit(f"{http}\r\n"))
-    made = marked.select("id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), "digest", "bytes", "first", name.alias("name"), F.octet_length(block).cast("long").alias("total"), _pieces(block.cast("binary"), segment_bytes).alias("pieces"))
+    # the block is a column of its own before it is cut, or each piece would make it anew
+    made = marked.select("id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), "digest", "first", name.alias("name"), block.cast("binary").alias("block"))
+    made = made.select("id", "url", "digest", "first", "name", F.octet_length("block").cast("long").alias("total"), _pieces(F.col("block"), segment_bytes).alias("pieces"))
     parts = made.withColumn("n", F.size("pieces")).select("*", F.posexplode("pieces").alias("k", "piece")).drop("pieces")
     many, start = F.col("n") > 1, F.col("k") == 0
     kind = F.when(~start, "continuation").when(F.col("first").isNull(), "response").otherwise("revisit")
@@ -171,6 +173,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     write_archives(pages, path, id_col, url_col, payload_col, **options)
     page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:([^/>]*)", 1), F.lit("")).cast(kind)
     back = read_archives(spark, path).select("type", page("record_id").alias("id"), page("refers_to").alias("refers_to"), "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("found"))
+    back = written(back, "read-records")
     sound = F.col("bytes").isNotNull() & (F.col("found") == F.col("digest"))
     responses = back.filter("type = 'response'").withColumn("bytes", F.when(sound, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.col("id").cast("string"))).cast("long")))
     whole = responses.select("id", "bytes", "digest", "type", F.lit(None).cast(kind).alias("refers_to"))
