@@ -1 +1,151 @@
-"""To be filled."""
+"""Queries on sources, sinks and streams (S1 to S10 and the streaming forms)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewright.registry import query
+from tracewright.sources import files as S
+from tracewright.sources.tables import EV, events, table
+from tracewright.streaming import stateful as T
+
+
+@query("s1_json_lines", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_id % 17 <> 0")
+def s1(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("{broken"), "props")).otherwise(F.col("props")).alias("line"))
+    return S.json_lines(lines, "line", "k int")
+
+
+@query("s2_capture_scan", f"WITH {EV} SELECT event_id, workload, syscall, round(value, 6) AS value FROM ev")
+def s2(spark, sf_dir):
+    path = S.scratch(spark, "capture")
+    events(spark, sf_dir).select("event_id", "workload", "syscall", "value").write.json(path)
+    return S.read_capture(spark, path, "event_id long, workload string, syscall string, value double").withColumn("value", F.round("value", 6))
+
+
+@query("s4_node_union", f"WITH {EV} SELECT workload AS node, count(*) AS n, count(*) FILTER (event_id % 100 <> 0) AS agreeing FROM ev WHERE workload IN ('w0', 'w1', 'w2') GROUP BY workload")
+def s4(spark, sf_dir):
+    path = S.scratch(spark, "nodes")
+    for node in ("w0", "w1", "w2"):
+        e = events(spark, sf_dir).filter(F.col("workload") == node)
+        e.select("event_id", F.lit(node).alias("node"), F.when(F.col("event_id") % 100 == 0, "other").otherwise(F.col("workload")).alias("named")).write.json(f"{path}/node-{node}")
+    rows = S.read_nodes(spark, [f"{path}/node-{n}" for n in ("w0", "w1", "w2")], "event_id long, node string, named string", "named")
+    return rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if("node_agrees").alias("agreeing"))
+
+
+@query("s6_row_aligned", "SELECT e.vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
+def s6(spark, sf_dir):
+    """A matrix and its metadata meet by an explicit row number."""
+    m = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), "label", F.col("embedding")[0].cast("double").alias("first"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"))
+    return m.join(d, "row_idx").select(F.col("row_idx").alias("vec_id"), "label", F.round("first", 6).alias("first"))
+
+
+@query("s7_csv_results", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s7(spark, sf_dir):
+    path = S.scratch(spark, "csv")
+    S.write_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    n = table(spark, sf_dir, "nation").schema
+    return spark.read.option("header", True).schema(f"n_nationkey {n['n_nationkey'].dataType.simpleString()}, n_name string, n_regionkey {n['n_regionkey'].dataType.simpleString()}").csv(path)
+
+
+@query("s8_immutable_write", "SELECT r_name, true AS refused FROM region")
+def s8(spark, sf_dir):
+    from pyspark.errors import AnalysisException
+
+    path, r = S.scratch(spark, "once"), table(spark, sf_dir, "region").select("r_name")
+    S.write_once(r, path)
+    try:
+        S.write_once(r, path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).withColumn("refused", F.lit(refused))
+
+
+@query(
+    "s9_canonical_merge",
+    """WITH u AS (SELECT 'a' AS source, o_orderkey AS line, o_custkey % 50 AS t, CASE WHEN o_orderkey % 3 = 0 THEN 'start' ELSE 'window' END AS kind FROM orders WHERE o_orderkey % 2 = 0
+    UNION ALL SELECT 'b', o_orderkey, o_custkey % 50, CASE WHEN o_orderkey % 3 = 1 THEN 'end' ELSE 'window' END FROM orders WHERE o_orderkey % 2 = 1)
+    SELECT source, line, CAST(CASE kind WHEN 'start' THEN 0 WHEN 'window' THEN 1 ELSE 2 END AS INT) AS kind_rank, t FROM u""",
+)
+def s9(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), (F.col("o_custkey") % 50).alias("t"))
+    a = o.filter("line % 2 = 0").withColumn("kind", F.when(F.col("line") % 3 == 0, "start").otherwise("window"))
+    b = o.filter("line % 2 = 1").withColumn("kind", F.when(F.col("line") % 3 == 1, "end").otherwise("window"))
+    return S.merged({"a": a, "b": b}, "t", "kind", ["start", "window", "end"], "line").select("source", "line", "kind_rank", "t")
+
+
+@query("s10_round_concat", "SELECT label, count(*) AS n, count(DISTINCT embedding) AS different, min(len(embedding)) = max(len(embedding)) AS one_width FROM embeddings GROUP BY label")
+def s10(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    rounds = v.filter("vec_id % 2 = 0").unionByName(v.filter("vec_id % 2 = 1"))
+    return rounds.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("embedding").alias("different"), (F.min(F.size("embedding")) == F.max(F.size("embedding"))).alias("one_width"))
+
+
+def event_stream(spark, sf_dir, *columns: str):
+    """The events as a stream over a folder of JSON files (S3)."""
+    path = S.scratch(spark, "tail")
+    e = events(spark, sf_dir).select("event_id", "us", "pod", "workload", "syscall", "value")
+    e.write.json(path)
+    return T.tail(spark, path, e.schema).select(*columns)
+
+
+@query(
+    "st_anchored_windows",
+    f"""WITH RECURSIVE {EV}, o AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY us, event_id) AS k FROM ev),
+    f AS (SELECT workload, k, us, us AS anchor FROM o WHERE k = 1 UNION ALL
+      SELECT o.workload, o.k, o.us, CASE WHEN o.us - f.anchor >= 43200000000 THEN o.us WHEN o.us - f.anchor >= 21600000000 THEN f.anchor + 21600000000 ELSE f.anchor END FROM f JOIN o ON o.workload = f.workload AND o.k = f.k + 1),
+    g AS (SELECT workload, anchor, count(*) AS n FROM f GROUP BY ALL) SELECT workload, anchor AS window_start, n FROM g WHERE anchor < (SELECT max(anchor) FROM g h WHERE h.workload = g.workload)""",
+)
+def st_w1(spark, sf_dir):
+    """W1 on a stream: windows that a later event has closed."""
+    return T.run(T.anchored_windows(event_stream(spark, sf_dir, "workload", "us", "event_id"), "workload", "us", 6 * 3_600_000_000), S.scratch(spark, "windows"))
+
+
+@query(
+    "st_cooldown",
+    f"""WITH RECURSIVE {EV}, od AS (SELECT pod, us, row_number() OVER (PARTITION BY pod ORDER BY us) AS i FROM ev WHERE value > 100),
+    cd AS (SELECT pod, i, us, us AS sent FROM od WHERE i = 1 UNION ALL SELECT od.pod, od.i, od.us, CASE WHEN od.us - cd.sent >= 172800000000 THEN od.us ELSE cd.sent END FROM cd JOIN od ON od.pod = cd.pod AND od.i = cd.i + 1)
+    SELECT pod, us FROM cd WHERE sent = us""",
+)
+def st_g9(spark, sf_dir):
+    return T.run(T.cooldown(event_stream(spark, sf_dir, "pod", "us", "value").filter("value > 100").drop("value"), "pod", "us", 172800000000), S.scratch(spark, "cooldown"))
+
+
+@query(
+    "st_sequence_rule",
+    f"""WITH {EV}, lx AS (SELECT *, last_value(CASE WHEN syscall = 'execve' THEN us WHEN syscall = 'write' THEN -1 END IGNORE NULLS) OVER w AS lt FROM ev WINDOW w AS (PARTITION BY pod ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT event_id, pod, lt AS first_us FROM lx WHERE syscall = 'setuid' AND lt >= 0 AND us - lt <= 43200000000""",
+)
+def st_g11(spark, sf_dir):
+    return T.run(T.sequence_rule(event_stream(spark, sf_dir, "pod", "us", "event_id", "syscall"), 43200000000, ["setuid"], ["write"]), S.scratch(spark, "rule"))
+
+
+@query("st_agent_decisions")
+def st_g17(spark, sf_dir):
+    e = event_stream(spark, sf_dir, "pod", "us", "event_id", "value").withColumn("score", F.least(F.lit(1.0), F.col("value") / 400)).drop("value")
+    return T.run(T.agent_decisions(e, "pod", "us", "event_id", "score", quiet=86_400_000_000.0), S.scratch(spark, "agents"))
+
+
+@query("st_deduplicated", f"WITH {EV} SELECT DISTINCT pod, syscall, CAST(floor(us / 86400000000) AS BIGINT) AS day FROM ev")
+def st_x4(spark, sf_dir):
+    e = event_stream(spark, sf_dir, "pod", "us", "syscall").withColumn("day", F.floor(F.col("us") / 86400000000))
+    return T.run(T.deduplicated(e, ["pod", "syscall", "day"], F.timestamp_micros("us"), "60 days").select("pod", "syscall", "day"), S.scratch(spark, "unique"))
+
+
+@query("st_sliding_counts", f"WITH {EV}, b AS (SELECT workload, us // 21600000000 AS q FROM ev), s AS (SELECT workload, q - k AS start FROM b, (SELECT unnest(generate_series(0, 3)) AS k)) SELECT workload, start * 21600 AS start_s, count(*) AS n FROM s WHERE (start + 4) * 21600 <= (SELECT max(us) FROM ev) / 1e6 - 3600 GROUP BY ALL")
+def st_w7(spark, sf_dir):
+    """W7 on a stream: sliding windows with a watermark; those that it has passed come out."""
+    e = event_stream(spark, sf_dir, "workload", "us")
+    return T.run(T.sliding_counts(e, ["workload"], F.timestamp_micros("us"), "1 day", "6 hours", "1 hour"), S.scratch(spark, "sliding"))
+
+
+@query("st_two_sinks", f"WITH {EV} SELECT event_id, syscall, value > 200 AS alert FROM ev")
+def st_s5(spark, sf_dir):
+    path = S.scratch(spark, "sinks")
+    e = event_stream(spark, sf_dir, "event_id", "syscall", "value").select("event_id", "syscall", (F.col("value") > 200).alias("alert"))
+    T.write_decisions(e, "alert", f"{path}/decisions", f"{path}/alerts", f"{path}/checkpoint")
+    alerts = spark.read.schema("event_id long, syscall string, alert boolean").parquet(f"{path}/alerts").select("event_id", "alert")
+    both = spark.read.schema("event_id long, syscall string, alert boolean").parquet(f"{path}/decisions")
+    return both.drop("alert").join(alerts, "event_id", "left").select("event_id", "syscall", F.coalesce("alert", F.lit(False)).alias("alert"))
