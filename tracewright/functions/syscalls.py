@@ -7,10 +7,48 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 # Kernel function names and the system call that each counts as.
-_PLAIN = "execve connect open openat read write close setuid setgid capset unshare mount clone pivot_root ptrace accept".split()
-_LONG_ONLY = "execveat clone3 bind listen".split()
-_RENAMED = {"writev": "write", "accept4": "accept"}
-KERNEL_NAMES = {f"{p}{n}": n for p in ("__x64_sys_", "sys_") for n in _PLAIN} | {f"__x64_sys_{n}": n for n in _LONG_ONLY} | {f"{p}{n}": m for p in ("__x64_sys_", "sys_") for n, m in _RENAMED.items()}
+KERNEL_NAMES = {
+    "__x64_sys_execve": "execve",
+    "__x64_sys_execveat": "execveat",
+    "__x64_sys_connect": "connect",
+    "__x64_sys_open": "open",
+    "__x64_sys_openat": "openat",
+    "__x64_sys_read": "read",
+    "__x64_sys_write": "write",
+    "__x64_sys_writev": "write",
+    "__x64_sys_close": "close",
+    "__x64_sys_setuid": "setuid",
+    "__x64_sys_setgid": "setgid",
+    "__x64_sys_capset": "capset",
+    "__x64_sys_unshare": "unshare",
+    "__x64_sys_mount": "mount",
+    "__x64_sys_clone": "clone",
+    "__x64_sys_clone3": "clone3",
+    "__x64_sys_pivot_root": "pivot_root",
+    "__x64_sys_ptrace": "ptrace",
+    "__x64_sys_accept": "accept",
+    "__x64_sys_accept4": "accept",
+    "__x64_sys_bind": "bind",
+    "__x64_sys_listen": "listen",
+    "sys_execve": "execve",
+    "sys_connect": "connect",
+    "sys_open": "open",
+    "sys_openat": "openat",
+    "sys_read": "read",
+    "sys_write": "write",
+    "sys_writev": "write",
+    "sys_close": "close",
+    "sys_setuid": "setuid",
+    "sys_setgid": "setgid",
+    "sys_capset": "capset",
+    "sys_unshare": "unshare",
+    "sys_mount": "mount",
+    "sys_clone": "clone",
+    "sys_pivot_root": "pivot_root",
+    "sys_ptrace": "ptrace",
+    "sys_accept": "accept",
+    "sys_accept4": "accept",
+}
 SYSTEM_NAMESPACES = ("kube-system", "kube-public", "kube-node-lease", "cilium", "monitoring")
 NETWORK_BINARIES = ("sh", "bash", "dash", "zsh", "ksh", "busybox", "curl", "wget", "nc", "ncat", "socat")
 BEHAVIOUR_SYSCALLS = ("execve", "execveat", "clone", "clone3", "unshare", "mount", "ptrace", "setuid", "setgid", "capset", "connect")
