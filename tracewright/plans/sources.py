@@ -122,6 +122,16 @@ def st_g11(spark, sf_dir):
     return T.run(T.sequence_rule(event_stream(spark, sf_dir, "pod", "us", "event_id", "syscall"), 43200000000, ["setuid"], ["write"]), S.scratch(spark, "rule"))
 
 
+@query(
+    "st_confirmation",
+    f"""WITH {EV}, i AS (SELECT *, sum(CASE WHEN value > 40 THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY us, event_id) AS island FROM ev)
+    SELECT workload, event_id, CAST(sum(CASE WHEN value > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY workload, island ORDER BY us, event_id) AS BIGINT) AS run FROM i""",
+)
+def st_g5(spark, sf_dir):
+    e = event_stream(spark, sf_dir, "workload", "us", "event_id", "value").withColumn("hit", F.col("value") > 40)
+    return T.run(T.run_length(e, "workload", "us", "event_id", "hit"), S.scratch(spark, "runs"))
+
+
 @query("st_agent_decisions")
 def st_g17(spark, sf_dir):
     e = event_stream(spark, sf_dir, "pod", "us", "event_id", "value").withColumn("score", F.least(F.lit(1.0), F.col("value") / 400)).drop("value")

@@ -81,6 +81,21 @@ def cooldown(alerts: DataFrame, key: str, time: str, quiet: int) -> DataFrame:
     return alerts.groupBy(key).applyInPandasWithState(step, f"`{key}` {_kind(alerts, key)}, `{time}` long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_length(rows: DataFrame, key: str, time: str, tie: str, flag: str) -> DataFrame:
+    """(key, tie, run): how many rows in a row, up to this one, are flagged; the state is that number."""
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (run,) = state.get if state.exists else (0,)
+        p, out = pd.concat(list(parts)).sort_values([time, tie]), []
+        for i, f in zip(p[tie], p[flag]):
+            run = run + 1 if f else 0
+            out.append((k[0], int(i), run))
+        state.update((run,))
+        yield pd.DataFrame(out, columns=[key, tie, "run"])
+
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {_kind(rows, key)}, `{tie}` long, run long", "run long", "append", GroupStateTimeout.NoTimeout)
+
+
 def sequence_rule(events: DataFrame, within: int, privilege: list[str], consume: list[str]) -> DataFrame:
     """G11 for events (pod, us, event_id, syscall): (event_id, pod, first_us); the state is the last exec."""
 
