@@ -285,6 +285,6 @@ def a24(spark, sf_dir):
     return O.node_degrees(e, O.graph_nodes(e)).select("node", F.round("out_degree", 6).alias("out_degree"), F.round("in_degree", 6).alias("in_degree"))
 
 
-@query("a25_diversity", f"WITH {GRAPH_SQL} SELECT method, count(DISTINCT agent) AS agents, count(DISTINCT pod) AS pods, round(max(t) - min(t), 6) AS span FROM gm GROUP BY method")
+@query("a25_diversity", f"WITH {GRAPH_SQL} SELECT method, count(DISTINCT agent) AS agents, count(DISTINCT pod) AS pods, CAST(round(max(t) - min(t), 6) AS DOUBLE) AS span FROM gm GROUP BY method")
 def a25(spark, sf_dir):
     return O.diversity(graph(spark, sf_dir), ["method"], "agent", "pod", "t").withColumn("span", F.round(F.col("span").cast("double"), 6))

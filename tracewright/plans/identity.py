@@ -200,7 +200,7 @@ def f15(spark, sf_dir):
 
 @query(
     "f17_startup_grace",
-    """WITH o AS (SELECT o_orderkey AS k, (o_orderkey % 50) * 1.0 AS ended, (o_orderkey % 37) * 1.0 AS created, (o_orderkey % 11) * 0.002 AS drift FROM orders)
+    """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 50 AS DOUBLE) AS ended, CAST(o_orderkey % 37 AS DOUBLE) AS created, (o_orderkey % 11) * CAST(0.002 AS DOUBLE) AS drift FROM orders)
     SELECT k, round(greatest(0.0, ended - created), 6) AS age, greatest(0.0, ended - created) < 20 AS starting, drift > 0.010 AS inconsistent FROM o""",
 )
 def f17(spark, sf_dir):

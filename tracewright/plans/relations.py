@@ -249,6 +249,7 @@ def x3(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(seen, "n_nationkey", "left_anti").select("n_name")
 
 
-@query("x4_duplicates", "SELECT o_custkey, o_orderdate, count(*) AS copies, min(o_orderkey) AS kept FROM orders GROUP BY ALL HAVING count(*) > 1")
+@query("x4_duplicates", "SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS copies, min(o_orderkey) AS kept FROM orders GROUP BY ALL HAVING count(*) > 1")
 def x4(spark, sf_dir):
-    return X.duplicates(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderdate"], "o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("day", F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd"))
+    return X.duplicates(o, ["o_custkey", "day"], "o_orderkey")
