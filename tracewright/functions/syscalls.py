@@ -150,11 +150,14 @@ def dense(pairs, size: int) -> F.Column:
 
 
 def wilson(count, total, z: float = Z_ONE_SIDED, upper: bool = False) -> F.Column:
-    """A10: Wilson bound of a proportion; at least one trial is assumed, counts are drawn into the possible range."""
+    """A10: Wilson bound of a proportion; at least one trial is assumed, counts are drawn into the possible range;
+    the lower bound of none is exactly 0, the upper bound of all exactly 1."""
     n = F.greatest(total.cast("double"), F.lit(1.0))
     p = F.least(F.greatest(count.cast("double"), F.lit(0.0)), n) / n
     centre, radius = p + z * z / (2 * n), z * F.sqrt(F.greatest(p * (1 - p) + z * z / (4 * n), F.lit(0.0)) / n)
-    return F.least(F.lit(1.0), (centre + radius) / (1 + z * z / n)) if upper else F.greatest(F.lit(0.0), (centre - radius) / (1 + z * z / n))
+    if upper:
+        return F.when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), (centre + radius) / (1 + z * z / n)))
+    return F.when(p <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), (centre - radius) / (1 + z * z / n)))
 
 
 def wilson_sql(count: str, total: str, z: float = Z_ONE_SIDED, upper: bool = False) -> str:
@@ -162,4 +165,6 @@ def wilson_sql(count: str, total: str, z: float = Z_ONE_SIDED, upper: bool = Fal
     n = f"greatest(CAST({total} AS DOUBLE), 1.0)"
     p = f"(least(greatest(CAST({count} AS DOUBLE), 0.0), {n}) / {n})"
     centre, radius = f"({p} + {z * z} / (2 * {n}))", f"({z} * sqrt(greatest({p} * (1 - {p}) + {z * z} / (4 * {n}), 0.0) / {n}))"
-    return f"least(1.0, ({centre} + {radius}) / (1 + {z * z} / {n}))" if upper else f"greatest(0.0, ({centre} - {radius}) / (1 + {z * z} / {n}))"
+    if upper:
+        return f"CASE WHEN {p} >= 1 THEN 1.0 ELSE least(1.0, ({centre} + {radius}) / (1 + {z * z} / {n})) END"
+    return f"CASE WHEN {p} <= 0 THEN 0.0 ELSE greatest(0.0, ({centre} - {radius}) / (1 + {z * z} / {n})) END"
