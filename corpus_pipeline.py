@@ -7,38 +7,25 @@ document is still there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracewright.llm import jaccard, packing, quality, toxicity
 from tracewright.llm.queries import BYTE_VOCABULARY, prepared
 from tracewright.llm.shared import table, written
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the ids that are dropped. Rows without an id stay."""
-    return docs.join(dropped.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; copies of an id go together."""
-    scores = quality.quality(prepared(docs), table(spark, sf_dir, "labels"))
-    return _without(docs, written(scores.filter("predicted = 0"), "low-quality"))
+    """Documents that the quality classifier rejects go."""
+    return quality.with_quality(prepared(docs), table(spark, sf_dir, "labels"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; copies of an id go together."""
-    scores = toxicity.toxicity(prepared(docs), table(spark, sf_dir, "labels"))
-    return _without(docs, written(scores.filter("predicted = 1"), "toxic"))
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.without_toxic(prepared(docs), table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays, of its repeated rows one."""
-    groups = written(jaccard.jaccard_components(prepared(docs)), "groups")
-    kept = _without(docs, groups.filter("doc_id <> component_id"))
-    again = written(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    return _without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return jaccard.without_copies(prepared(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

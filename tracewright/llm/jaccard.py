@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -171,6 +172,33 @@ def _wanted_bits(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near duplicates: that of the least id, of its repeated rows one.
+
+    Rows without an id stay. A bitmap of bounded size tells most rows that cannot go; only the others, about as many as
+    go, are joined with the ids that do.
+    """
+    groups = written(jaccard_components(docs, id_col, text_col), "groups")
+    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("key"), F.lit(0).alias("again"))
+    again = groups.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("key")).agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(1).alias("again"))
+    touched = written(gone.distinct().union(again).groupBy("key").agg(F.min("again").alias("again")), "touched-ids")
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(touched.select("key")))
+
+    @F.pandas_udf("boolean")
+    def maybe(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy().astype(np.int64)
+        return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    doubtful = maybe(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 25)))
+    asked = docs.filter(doubtful)
+    judged = asked.join(touched, asked[id_col].cast("long") == touched["key"], "left").filter("again is null or again = 1")
+    single = judged.filter("again is null").select(*[asked[c] for c in docs.columns])
+    kept = docs.filter(~doubtful).unionByName(single)
+    if touched.filter("again = 1").isEmpty():
+        return kept
+    return kept.unionByName(judged.filter("again = 1").select(*[asked[c] for c in docs.columns]).dropDuplicates([id_col]))
+
+
 def _sets(texts: DataFrame, doc_keys: DataFrame, keys: DataFrame) -> DataFrame:
     """The whole sets of the wanted keys. Documents are thinned out by a bitmap of their ids before they are shingled."""
     wanted = doc_keys.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"))

@@ -7,6 +7,7 @@ with repeats; what counts is whether a feature occurs in the whole text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -111,29 +112,66 @@ def design(table: DataFrame, feature: np.ndarray) -> tuple[np.ndarray, list[np.n
     return np.array([rows["label"][i].as_py() for i in order]), [arrays[0][i] for i in order], [arrays[1][i] for i in order]
 
 
-def scored(docs: DataFrame, features: Features, feature: np.ndarray, weight: np.ndarray, bias: float, threshold: float, slope: float = 1.0, normed: np.ndarray | None = None) -> DataFrame:
+@dataclass
+class LinearModel:
+    """Scores 1 / (1 + exp(-(slope * margin + bias))); with norms, the margin is divided by the root of their sum."""
+
+    features: Features
+    feature: np.ndarray
+    weight: np.ndarray
+    bias: float
+    slope: float = 1.0
+    norms: np.ndarray | None = None
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for values in (self.weight, self.norms):
+            full = np.zeros(SPACE, np.float32)
+            full[self.feature] = 0 if values is None else values
+            out.append(full)
+        return out[0], out[1]
+
+    def scores(self, column: pa.Array, tables: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first row, last row + 1, scores) of the whole texts of a column, slice by slice."""
+        w, q = tables
+        used = (w != 0) | (q != 0)
+        for first, last, data, offsets in text_slices(column):
+            words = Words(data, offsets)
+            doc, f = self.features(words)
+            keep = used[f]
+            doc, f = distinct(doc[keep], f[keep])
+            margin = np.bincount(doc, w[f], words.n_docs)
+            if self.norms is not None:
+                margin = margin / np.sqrt(np.maximum(np.bincount(doc, q[f], words.n_docs), 1e-12))
+            yield first, last, 1 / (1 + np.exp(-np.clip(self.slope * margin + self.bias, -30, 30)))
+
+
+def _shared(docs: DataFrame, model: LinearModel):
+    return docs.sparkSession.sparkContext.broadcast(model.tables()), LinearModel(model.features, np.zeros(0, int), np.zeros(0), model.bias, model.slope, None if model.norms is None else np.zeros(0))
+
+
+def scored(docs: DataFrame, model: LinearModel, threshold: float) -> DataFrame:
     """doc_id, held_out, score and predicted for every whole text; one narrow pass, no shuffle."""
-    full = np.zeros(SPACE, np.float32)
-    full[feature] = weight
-    norm = np.zeros(SPACE, np.float32)
-    norm[feature] = 0 if normed is None else normed
-    shared = docs.sparkSession.sparkContext.broadcast((full, norm))
+    shared, light = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, q = shared.value
-        used = (w != 0) | (q != 0)
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(2)):
-                words = Words(data, offsets)
-                doc, f = features(words)
-                keep = used[f]
-                doc, f = distinct(doc[keep], f[keep])
-                margin = np.bincount(doc, w[f], words.n_docs)
-                if normed is not None:
-                    margin = margin / np.sqrt(np.maximum(np.bincount(doc, q[f], words.n_docs), 1e-12))
-                score = 1 / (1 + np.exp(-np.clip(slope * margin + bias, -30, 30)))
+            for first, last, score in light.scores(batch.column(2), shared.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held_out = F.coalesce(~is_training_row(F.col("doc_id")), F.lit(False)).alias("held_out")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out, "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def chosen(docs: DataFrame, model: LinearModel, threshold: float, predicted: int) -> DataFrame:
+    """The rows of docs, with all their columns, that get this prediction; one narrow pass, no join."""
+    shared, light = _shared(docs, model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, score in light.scores(batch.column(at), shared.value):
+                yield batch.slice(first, last - first).filter(pa.array((score >= threshold) == bool(predicted)))
+
+    return docs.mapInArrow(run, docs.schema)

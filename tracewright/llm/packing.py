@@ -45,8 +45,8 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         core = tiktoken.Encoding("chunks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         # "I" is 4 bytes wide, and the machines that Spark runs on are little-endian
-        self.chunks = _Memory(lambda c: array("I", core.encode_ordinary(c)).tobytes(), 200_000)
-        self.words = _Memory(lambda w: self._word(core, w), 500_000)
+        self.chunks = _Memory(lambda c: array("I", core.encode_ordinary(c)).tobytes(), 50_000)
+        self.words = _Memory(lambda w: self._word(core, w), 200_000)
 
     def _word(self, core, word: str) -> bytes | None:
         """Ids of a blank and a word; None if the text around it cannot be cut at each of its blanks."""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tracewright.llm.linear import SAMPLE_ROWS, bucket, class_counts, design, feature_table, labelled_sample, scored
+from tracewright.llm.linear import SAMPLE_ROWS, LinearModel, bucket, chosen, class_counts, design, feature_table, labelled_sample, scored
 from tracewright.llm.shared import Words, combine
 
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 12
@@ -66,15 +64,6 @@ def quality_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([d for d, _ in found]), np.concatenate([bucket(f) for _, f in found])
 
 
-@dataclass
-class QualityModel:
-    feature: np.ndarray
-    weight: np.ndarray
-    scale: np.ndarray
-    slope: float
-    bias: float
-
-
 def dual_coordinate_descent(y: np.ndarray, rows: list[np.ndarray], ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 0) -> np.ndarray:
     """Weights of the linear hinge-loss machine for texts with values ratio / |ratio| at their features; y is -1 or 1.
 
@@ -111,12 +100,12 @@ def fit_probability(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> LinearModel:
     """Fit on at most rows labelled training rows; without both classes the score is the share of class 1."""
     table = feature_table(labelled_sample(docs, labels, "quality", rows), quality_features)
     feature, c1, c0, n1, n0 = class_counts(table)
     if not len(feature) or not n1 or not n0:
-        return QualityModel(feature[:0], np.zeros(0), np.zeros(0), 1.0, float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return LinearModel(quality_features, feature[:0], np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
     p, q = c1 + SMOOTHING, c0 + SMOOTHING
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     label, on, _ = design(table, feature)
@@ -124,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
     w = dual_coordinate_descent(y, on, ratio)
     margin = np.array([w[x] @ ratio[x] / max(np.sqrt((ratio[x] ** 2).sum()), 1e-6) for x in on]) + w[-1]
     slope, offset = fit_probability(margin, y)
-    return QualityModel(feature, w[:-1] * ratio, ratio**2, slope, slope * w[-1] + offset)
+    return LinearModel(quality_features, feature, w[:-1] * ratio, slope * w[-1] + offset, slope, ratio**2)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
@@ -133,5 +122,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **option
     Null and empty texts get the score of no n-grams. A null id is scored and never held out. Repeated rows repeat.
     Empty docs give no rows; empty labels give a constant score. Other columns of docs and labels are not read.
     """
-    m = fit(docs, labels, **options)
-    return scored(docs, quality_features, m.feature, m.weight, m.bias, threshold, m.slope, m.scale)
+    return scored(docs, fit(docs, labels, **options), threshold)
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of docs, unchanged, whose own text scores threshold or more; the same cases as quality()."""
+    return chosen(docs, fit(docs, labels, **options), threshold, 1)

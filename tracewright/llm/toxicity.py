@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tracewright.llm.linear import SAMPLE_ROWS, bucket, class_counts, design, feature_table, labelled_sample, scored
+from tracewright.llm.linear import SAMPLE_ROWS, LinearModel, bucket, chosen, class_counts, design, feature_table, labelled_sample, scored
 from tracewright.llm.shared import Words
 
 # Identity terms; each stands for the next one of its row when a counterfactual is made.
@@ -56,13 +54,6 @@ def identity_swap(terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS):
     return swap
 
 
-@dataclass
-class ToxicityModel:
-    feature: np.ndarray
-    weight: np.ndarray
-    bias: float
-
-
 def fit_logistic(y: np.ndarray, on: list[np.ndarray], off: list[np.ndarray | None], size: int, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Mean log loss + ridge |w|^2 + counterfactual * mean (score change of the swapped texts)^2, by scaled gradient steps."""
     w, b = np.zeros(size), 0.0
@@ -92,15 +83,15 @@ def fit_logistic(y: np.ndarray, on: list[np.ndarray], off: list[np.ndarray | Non
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> LinearModel:
     """Fit on at most rows labelled training rows; without any, every score is that of the bias 0."""
     table = feature_table(labelled_sample(docs, labels, "toxic", rows), toxicity_features, identity_swap(terms))
     feature, _, _, n1, n0 = class_counts(table, MODEL_FEATURES)
     if not len(feature):
-        return ToxicityModel(feature, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return LinearModel(toxicity_features, feature, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
     y, on, off = design(table, feature)
     weight, bias = fit_logistic(y, on, off, len(feature), counterfactual=counterfactual)
-    return ToxicityModel(feature, weight, bias)
+    return LinearModel(toxicity_features, feature, weight, bias)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -109,5 +100,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     Null and empty texts get the score of no words. A null id is scored and never held out. Repeated rows repeat. Empty
     docs give no rows; empty labels give a constant score. Other columns of docs and labels are not read.
     """
-    model = fit(docs, labels, **options)
-    return scored(docs, toxicity_features, model.feature, model.weight, model.bias, threshold)
+    return scored(docs, fit(docs, labels, **options), threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of docs, unchanged, whose own text scores below threshold; the same cases as toxicity()."""
+    return chosen(docs, fit(docs, labels, **options), threshold, 0)
