@@ -17,10 +17,10 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SHARD_BYTES = 1 << 20
 
 
-def prepared(df: DataFrame) -> DataFrame:
-    """The package is there in the executors' Python, which gets fewer of the long rows at once."""
+def prepared(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The package is there in the executors' Python, which gets so many rows at once, few where they are long."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
@@ -60,7 +60,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector is played as a recording, fingerprinted and aligned."""
-    audio = media.vectors_as_audio(prepared(table(spark, sf_dir, "embeddings")))
+    audio = media.vectors_as_audio(prepared(table(spark, sf_dir, "embeddings"), 64))
     return media.match_recordings(audio, "vec_id", "pcm")
 
 
