@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.session import ship
+
 #: How event types stand for system calls.
 SYSCALL_OF = {"signup": "execve", "purchase": "connect", "error": "setuid", "view": "read", "click": "write"}
 
@@ -18,6 +20,7 @@ EV = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
