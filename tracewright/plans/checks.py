@@ -73,7 +73,7 @@ def q6(spark, sf_dir):
 @query(
     "q7_matrix_completeness",
     """WITH e AS (SELECT CAST(r_regionkey AS BIGINT) AS r, d FROM region, (SELECT unnest(generate_series(1, 30)) AS d)), f AS (SELECT CAST(c_nationkey % 6 AS BIGINT) AS r, c_custkey % 29 + 1 AS d, c_mktsegment AS g FROM customer), h AS (SELECT r, d, count(DISTINCT g) AS n FROM f GROUP BY ALL)
-    SELECT r, d, CASE WHEN n IS NULL THEN 'missing' WHEN e.r IS NULL THEN 'unexpected' ELSE 'several digests' END AS problem FROM (SELECT r, d, r AS er FROM e) e FULL JOIN h USING (r, d) WHERE n IS NULL OR er IS NULL OR n > 1""".replace("e.r IS NULL", "er IS NULL"),
+    SELECT r, d, CASE WHEN n IS NULL THEN 'missing' WHEN er IS NULL THEN 'unexpected' ELSE 'several digests' END AS problem FROM (SELECT r, d, r AS er FROM e) e FULL JOIN h USING (r, d) WHERE n IS NULL OR er IS NULL OR n > 1""",
 )
 def q7(spark, sf_dir):
     e = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("r")).crossJoin(spark.range(1, 31).withColumnRenamed("id", "d"))
