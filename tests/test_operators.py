@@ -1,10 +1,13 @@
 """Operators on small cases with known results."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import catalog
 from tracewright.operators import contracts, gates, joins, models, outcomes, robust, sets, splits, windows
 
 
@@ -112,6 +115,29 @@ def test_exact_tests(spark):
     assert [round(r.adjusted, 6) for r in outcomes.holm(t, ["f"], "p", "name").orderBy("name").collect()] == [0.03, 0.08, 0.5]
 
 
+def test_sign_flips_of_large_groups(spark, tmp_path):
+    rows = [("ones", 1.0 if i < 40 else -1.0) for i in range(60)] + [("all", 0.3)] * 45 + [("zero", 0.0)] * 50
+    d = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.n, r.p) for r in outcomes.sign_flip(d, ["g"], "v").collect()}
+    assert got["ones"] == (60, pytest.approx(2 * sum(math.comb(60, k) for k in range(21)) / 2**60))
+    assert got["all"] == (45, pytest.approx(2 / 2**45)) and got["zero"] == (50, 1.0)
+    s = spark.createDataFrame([(1 + i % 2, float(2000 + 37 * i % 2900)) for i in range(100)], "s_nationkey int, s_acctbal double")
+    s.write.parquet(str(tmp_path / "supplier.parquet"))
+    assert {(r.s_nationkey, r.n) for r in catalog.QUERIES["t7_sign_flips"](spark, str(tmp_path)).collect()} == {(1, 50), (2, 50)}
+
+
+def test_sign_flip_counts_agree(monkeypatch):
+    rng = random.Random(5)
+    for n in (3, 14):
+        v = np.array([rng.randint(-900000, 1100000) / 100 for _ in range(n)])
+        signs = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1) * 2.0 - 1
+        assert outcomes.sign_flip_p(v) == (np.abs(signs @ v) >= abs(v.sum()) - 1e-9).mean()
+    v = np.array([rng.randint(-900000, 1100000) / 100 for _ in range(40)])
+    want = outcomes.sign_flip_p(v)
+    monkeypatch.setattr(outcomes, "HALVES_ROWS", 0)
+    assert outcomes.sign_flip_p(v) == pytest.approx(want, abs=2e-6)
+
+
 def test_paired_table_and_confusion(spark):
     pairs = spark.createDataFrame([(1, True, False), (1, True, True), (1, False, True), (1, False, False)], "g int, a boolean, b boolean")
     assert outcomes.paired_table(pairs, ["g"], "a", "b").first()[1:] == (1, 1, 1, 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +85,86 @@ def mcnemar(only_a: Column, only_b: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+#: Up to so many rows the sums of sign patterns are enumerated by halves; cells for the sums of more rows.
+HALVES_ROWS, CELLS = 44, 1 << 22
+
+
+def _half_sums(a: np.ndarray) -> np.ndarray:
+    s = np.zeros(1)
+    for x in a:
+        s = np.concatenate([s + x, s - x])
+    return np.sort(s)
+
+
+def _unit(a: np.ndarray) -> tuple[float, bool]:
+    """A unit for the sums, and whether all values are multiples of it: they are decimals and their sums fit the cells."""
+    reach = 9 * np.sqrt((a * a).sum())
+    for scale in 10.0 ** np.arange(7):
+        whole = np.round(a * scale)
+        if np.allclose(whole, a * scale, rtol=1e-9, atol=0):
+            unit = np.gcd.reduce(whole.astype(np.int64)) / scale
+            if reach / unit < CELLS // 2:
+                return unit, True
+            break
+    return reach / (CELLS // 2 - 1), False
+
+
+def sign_flip_p(values: np.ndarray) -> float:
+    """The share of all 2**n sign patterns whose sum is at least as far from 0 as the sum of values.
+
+    Up to HALVES_ROWS values it is exact: sums of one half are looked up among the sums of the other. More values are added
+    one by one to a distribution over CELLS sums within 9 standard deviations, beyond which less than 1e-17 lies. That is
+    exact for multiples of a unit for which the cells suffice; else each cell carries the mean of what was rounded, which
+    leaves an error of about 1e-6 (at most 1e-6 for 30 and 40 values, 2e-6 for 20).
+    """
+    a = np.abs(values[values != 0])
+    bound = abs(values.sum()) - 1e-9 * len(values)
+    if not len(a) or bound <= 0:
+        return 1.0
+    if len(a) <= HALVES_ROWS:
+        left, right = _half_sums(a[::2]), _half_sums(a[1::2])
+        far = len(right) - np.searchsorted(right, bound - left, side="left") + np.searchsorted(right, -bound - left, side="right")
+        return float(far.sum() / 2.0 ** len(a))
+    a = np.sort(a)
+    unit, exact = _unit(a)
+    steps = np.round(a / unit).astype(np.int64)
+    half, rest = CELLS // 2, a / unit - steps
+    share, moved = np.zeros((2, 2 * half + 1))
+    share[half], low, high = 1.0, half, half
+    for k, e in zip(steps.tolist(), rest.tolist()):
+        k, old, was = min(k, 2 * half), share[low : high + 1] / 2, moved[low : high + 1] / 2
+        at, n = low, len(old)
+        share[at : at + n] = moved[at : at + n] = 0
+        down, up = min(max(k - at, 0), n), max(n - max(at + k + n - 2 * half - 1, 0), 0)
+        share[at - k + down : at - k + n] += old[down:]
+        share[at + k : at + k + up] += old[:up]
+        if not exact:
+            moved[at - k + down : at - k + n] += was[down:] - e * old[down:]
+            moved[at + k : at + k + up] += was[:up] + e * old[:up]
+        low, high = max(low - k, 0), min(high + k, 2 * half)
+    if exact:
+        first = half + int(np.ceil(bound / unit - 1e-6))
+        return float(min(1.0, 2 * share[first:].sum()))
+    # a cell's mass lies evenly in it, moved by what was rounded near the bound
+    cell = half + bound / unit
+    near = slice(max(int(cell) - 256, 0), int(cell) + 257)
+    cell -= moved[near].sum() / max(share[near].sum(), 1e-300)
+    first = int(np.floor(cell + 0.5))
+    return float(min(1.0, 2 * (share[first + 1 :].sum() + (first + 0.5 - cell) * share[first : first + 1].sum())))
+
+
 def sign_flip(differences: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, n, p): the share of all 2**n sign patterns whose mean is at least as far from 0. For n up to some twenty."""
-    numbered = differences.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1)
-    sizes = differences.groupBy(*group).agg(F.count("*").alias("n"), F.abs(F.avg(value)).alias("seen"))
-    patterns = sizes.select(*group, "n", "seen", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, CAST(n AS INT))") - 1)).alias("_m"))
-    sign = F.when(F.expr("shiftright(_m, _k)").bitwiseAND(F.lit(1)) == 1, -F.col(value)).otherwise(F.col(value))
-    means = patterns.join(numbered, group).groupBy(*group, "n", "seen", "_m").agg(F.abs(F.avg(sign)).alias("v"))
-    return means.groupBy(*group, "n").agg(F.avg((F.col("v") >= F.col("seen") - 1e-12).cast("double")).alias("p"))
+    """(group, n, p): the share of all 2**n sign patterns whose mean is at least as far from 0, for groups of any size.
+
+    A group's values are in one task; sign_flip_p tells the cost and where values are rounded. Null values are left out.
+    """
+    names = ", ".join(f"`{c}` {differences.schema[c].dataType.simpleString()}" for c in group)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows[value].to_numpy(float)
+        return rows[group].iloc[:1].assign(n=len(v), p=sign_flip_p(v[~np.isnan(v)]))
+
+    return differences.select(*group, F.col(value).cast("double").alias(value)).groupBy(*group).applyInPandas(run, f"{names}, n long, p double")
 
 
 def holm(tests: DataFrame, family: list[str], p: str, tie: str) -> DataFrame:
