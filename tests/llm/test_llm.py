@@ -297,6 +297,42 @@ def test_alignment_finds_the_offset(spark):
     assert (link["query"], link["match"], link["offset"]) == (0, 1, -8)
 
 
+def test_excerpts_have_the_codes_of_the_whole():
+    a = tones(np.random.default_rng(6).integers(0, 24, 90))
+    assert (media.fingerprint(a[20 * media.HOP : 90 * media.HOP]) == media.fingerprint(a)[20:74]).all()
+
+
+def aligned_by_loops(prints):
+    """(query, match) -> (bit error, -overlap, offset, matches) over all offsets."""
+    out = {}
+    for q, x in prints.items():
+        for r, y in prints.items():
+            for d in range(-len(x), len(y)) if q % 20 == 0 and q != r else ():
+                both = [(x[t], y[t + d]) for t in range(max(0, -d), min(len(x), len(y) - d))]
+                if both and len(both) >= 0.5 * min(len(x), len(y)):
+                    wrong = sum((a ^ b).bit_count() for a, b in both)
+                    if wrong / (32 * len(both)) <= 0.15:
+                        here = (wrong / (32 * len(both)), -len(both), d, sum(a == b for a, b in both))
+                        out[q, r] = min(out.get((q, r), here), here)
+    return out
+
+
+def test_alignment_like_all_offsets(spark):
+    rng = random.Random(8)
+    song = [rng.getrandbits(32) for _ in range(40)]
+    flipped = lambda codes, n: [c ^ sum(1 << b for b in rng.sample(range(32), n)) for c in codes]
+    prints = {0: song, 1: flipped(song, 4), 2: flipped(song[10:], 3), 3: [7] * 30, 4: [rng.getrandbits(32) for _ in range(40)], 20: [7] * 50, 40: [5], 41: [5], 5: flipped(song, 5), 6: flipped(song * 8, 2)}
+    # verse 1, chorus, verse 2, chorus, and an excerpt of the last two: the first chorus has more votes than verse 2
+    verse1, verse2, chorus = ([rng.getrandbits(32) for _ in range(n)] for n in (20, 20, 25))
+    prints |= {60: verse2 + chorus, 61: verse1 + chorus + verse2 + chorus}
+    for i in range(100, 140):
+        prints[i] = [rng.choice((1, 2, 3, 1 << 20)) for _ in range(rng.randint(1, 70))]
+    d = spark.createDataFrame([(i, c, i % 20 == 0) for i, c in prints.items()], "id long, codes array<long>, is_query boolean")
+    got = {(r["query"], r["match"]): (r["bit_error"], -r["overlap"], r["offset"], r["matches"]) for r in media.align(d, "id").collect()}
+    assert got == aligned_by_loops(prints)
+    assert (0, 1) in got and got[60, 61][2] == 45 and (0, 5) not in got
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,19 @@ FILTERS = (
     (2, 6, 2, 16), (2, 1, 3, 2), (5, 10, 1, 15), (3, 6, 2, 10), (2, 1, 1, 14), (3, 5, 6, 4), (1, 9, 2, 12), (3, 4, 2, 14),
 )
 WIDTH = 16
-#: Quantiles of a filter's values within a recording where its two bits change, in grey code.
-CUTS = (0.25, 0.5, 0.75)
+#: Values of each filter where its two bits change, in grey code: fixed, so that an excerpt has the codes of the whole.
+#: They are the quartiles of the filters over the recordings of `embeddings` at sf0.1; those of 0
+#: are moved a little, since held notes give 0 up to rounding.
+CUTS = (
+    (1.451, 1.812, 2.103), (-1.369, -0.639, -0.105), (-0.728, -0.096, 0.489), (-0.441, 0.001, 0.456),
+    (-0.575, 0.003, 0.586), (-0.921, -0.202, -0.019), (-0.641, -0.03, 0.43), (-0.302, 0.001, 0.303),
+    (-0.551, 0.001, 0.558), (-0.07, 0.001, 0.081), (-0.813, -0.197, 0.006), (-0.36, 0.001, 0.374),
+    (-0.363, 0.001, 0.364), (-0.449, 0.001, 0.468), (-0.516, 0.046, 0.842), (-0.5, 0.001, 0.489),
+)
 #: A match: bits in error of the aligned integers, at most, and the least overlap of the shorter recording.
 MAX_BIT_ERROR, LEAST_OVERLAP = 0.15, 0.5
+#: Fingerprints and integers in a block, about, at most; a longer fingerprint is a block of its own.
+BLOCK_ROWS, BLOCK_CODES = 256, 1 << 18
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -45,18 +55,18 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     return out / np.maximum(out.max(axis=1, keepdims=True), 1e-9)
 
 
-def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Packed integers, one for each step of a window of WIDTH frames; none for a recording that is too short."""
+def filter_values(samples: np.ndarray) -> np.ndarray:
+    """A row for each filter, a column for each step of a window of WIDTH frames; none for a recording that is too short."""
     image = np.pad(np.cumsum(np.cumsum(chroma(samples), axis=0), axis=1), ((1, 0), (1, 0)))
     n = image.shape[0] - WIDTH
     if n < 1:
-        return np.zeros(0, np.uint32)
+        return np.zeros((len(FILTERS), 0))
     at = np.arange(n)
 
     def area(t0, t1, c0, c1):
         return image[at + t1, c1] - image[at + t0, c1] - image[at + t1, c0] + image[at + t0, c0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((len(FILTERS), n))
     for k, (kind, c, h, w) in enumerate(FILTERS):
         h = min(h, 12 - c)
         whole = area(0, w, c, c + h)
@@ -77,8 +87,16 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         else:
             a = area(w // 3, max(2 * w // 3, w // 3 + 1), c, c + h)
             b = whole - a
-        value = np.log1p(a) - np.log1p(b)
-        level = np.searchsorted(np.quantile(value, CUTS), value, side="right").astype(np.uint32)
+        out[k] = np.log1p(a) - np.log1p(b)
+    return out
+
+
+def fingerprint(samples: np.ndarray) -> np.ndarray:
+    """Packed integers, one for each step. A step's integer depends on the samples of its window only."""
+    values = filter_values(samples)
+    out = np.zeros(values.shape[1], np.uint32)
+    for value, cuts in zip(values, CUTS):
+        level = np.searchsorted(cuts, value, side="right").astype(np.uint32)
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
     return out
 
@@ -96,29 +114,99 @@ def fingerprints(recordings: DataFrame, id_col: str, pcm_col: str) -> DataFrame:
     return recordings.select(id_col, whole.alias("pcm")).mapInArrow(run, f"`{id_col}` {kind}, codes array<long>")
 
 
+def _smooth(n: int) -> int:
+    """The least number from n on with no prime factor above 7."""
+    while True:
+        m = n
+        for p in (2, 3, 5, 7):
+            while m % p == 0:
+                m //= p
+        if m == 1:
+            return n
+        n += 1
+
+
+def _spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
+    """(frequency, recording, bit): transforms of the bits as -1 and 1, 0 beyond the end."""
+    bits = np.zeros((len(codes), size, 32), np.float32)
+    for row, c in zip(bits, codes):
+        row[: len(c)] = np.unpackbits(c.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1) * np.float32(2) - 1
+    return np.fft.rfft(bits, axis=1).transpose(1, 0, 2)
+
+
+def best_offsets(left: list[np.ndarray], right: list[np.ndarray], max_bit_error: float, least_overlap: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """(i, j, offset, matches, overlap, bit_error) of each pair that aligns, over all offsets with enough overlap.
+
+    The bits that agree at every offset are one correlation; what comes near the limit is compared bit by bit.
+    """
+    sizes = [np.array([len(c) for c in x]) for x in (left, right)]
+    least = max(1, int(np.ceil(least_overlap * min(sizes[0].min(), sizes[1].min()) - 1e-9)))
+    size = _smooth(int(sizes[0].max() + sizes[1].max() - least))
+    place = np.arange(size)
+    offset = np.where(place <= sizes[1].max() - least, place, place - size)
+    chunk = max(1, min((1 << 19) // size, int(((1 << 24) // size) ** 0.5)))
+    for r0 in range(0, len(right), chunk):
+        of_right = _spectra(right[r0 : r0 + chunk], size)
+        for q0 in range(0, len(left), chunk):
+            product = _spectra(left[q0 : q0 + chunk], size).conj() @ of_right.transpose(0, 2, 1)
+            agree = np.fft.irfft(product.transpose(1, 2, 0), size, axis=2)
+            m, n = sizes[0][q0 : q0 + chunk, None, None], sizes[1][None, r0 : r0 + chunk, None]
+            m, n = m[:1] if (m == m[0]).all() else m, n[:, :1] if (n == n[:, :1]).all() else n
+            overlap = np.minimum(m, n - offset) - np.maximum(0, -offset)
+            limit = np.where((overlap >= 1) & (overlap >= least_overlap * np.minimum(m, n)), overlap * (32 * (1 - 2 * max_bit_error) - 1e-3) - 1, np.inf)
+            found: dict[tuple[int, int], tuple] = {}
+            for i, j, k in zip(*np.nonzero(agree >= limit.astype(np.float32))):
+                d, x, y = int(offset[k]), left[q0 + i], right[r0 + j]
+                start = max(0, -d)
+                n_both = min(len(x), len(y) - d) - start
+                differs = x[start : start + n_both] ^ y[start + d : start + d + n_both]
+                error = int(np.bitwise_count(differs).sum()) / (32 * n_both)
+                if error <= max_bit_error:
+                    key = (q0 + int(i), r0 + int(j))
+                    found[key] = min(found.get(key, (2.0,)), (error, -n_both, d, int((differs == 0).sum())))
+            for (i, j), (error, n_both, d, matches) in found.items():
+                yield i, j, d, matches, -n_both, error
+
+
+def _blocks(prints: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Rows of up to some BLOCK_ROWS fingerprints of like length, fewer where they are long."""
+    kind = F.floor(F.log2(F.size("codes"))).cast("int")
+    rows = prints.filter(F.size("codes") > 0).select(id_col, F.transform("codes", lambda c: c.cast("long")).alias("codes"), kind.alias("kind"))
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_ROWS)), BLOCK_CODES / F.pow(F.lit(2.0), F.col("kind") + 1)))
+    counts = rows.groupBy("kind").agg(F.ceil(F.count("*") / F.first(most)).alias("n"))
+    parted = rows.join(F.broadcast(counts), "kind").withColumn("block", F.pmod(F.xxhash64(id_col), F.col("n")))
+    return parted.groupBy("kind", "block").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "codes")).alias(name)).select(name)
+
+
 def align(prints: DataFrame, id_col: str, query_step: int = 20, max_bit_error: float = MAX_BIT_ERROR, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
-    """Pairs of different fingerprints that align, (query_class, class_id, offset, matches, overlap, bit_error), and a
-    class for each recording, written by the caller's join: recordings with equal codes share the class of the least id.
+    """Pairs of different fingerprints that align, (query, match, offset, matches, overlap, bit_error).
 
-    Queries are the classes that hold a row whose id query_step divides, against all classes. Each common integer votes
-    for an offset; the offset with most votes, the least on ties, is compared bit by bit.
+    Queries are the rows with is_query, against all rows. All offsets whose overlap is at least least_overlap of the shorter
+    fingerprint are compared; the one with the least bit error counts, on ties the longest overlap, then the least offset.
+    matches are the equal integers there. The limit of bit errors allows pairs without one equal integer, so no index can
+    leave pairs out: the work is the product of queries and rows, in blocks.
     """
-    # only queries' integers are looked up, so the postings are joined from the queries' side
-    steps = prints.select(id_col, F.posexplode("codes").alias("at", "code"))
-    wanted = prints.filter("is_query").select(F.col(id_col).alias("query"), F.posexplode("codes").alias("q_at", "code"))
-    # silence or one held note repeats an integer: within a recording each one counts at its first place
-    first = steps.groupBy(id_col, "code").agg(F.min("at").alias("at"))
-    wanted = wanted.groupBy("query", "code").agg(F.min("q_at").alias("q_at"))
-    votes = wanted.join(first, "code").filter(F.col("query") != F.col(id_col)).groupBy("query", id_col, (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("matches"))
-    best = votes.groupBy("query", id_col).agg(F.max(F.struct("matches", -F.col("offset"))).alias("top")).select("query", id_col, F.col("top.matches").alias("matches"), (-F.col("top.col2")).alias("offset"))
-    codes = prints.select(F.col(id_col).alias("query"), F.col("codes").alias("q_codes"))
-    both = best.join(codes, "query").join(prints.select(id_col, "codes"), id_col)
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    length = F.least(F.size("q_codes"), F.size("codes") - F.col("offset")) - start
-    wrong = F.aggregate(F.zip_with(F.slice("q_codes", start + 1, length), F.slice("codes", start + F.col("offset") + 1, length), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda a, x: a + x)
-    both = both.withColumn("overlap", length).withColumn("bit_error", wrong / (32 * F.col("overlap")))
-    enough = F.col("overlap") >= least_overlap * F.least(F.size("q_codes"), F.size("codes"))
-    return both.filter(enough & (F.col("bit_error") <= max_bit_error)).select("query", F.col(id_col).alias("match"), "offset", "matches", "overlap", "bit_error")
+    kind = prints.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = []
+                for column in (batch.column(0), batch.column(1)):
+                    items = column.slice(row, 1).flatten()
+                    ids, lists = items.field(0), items.field(1)
+                    sides.append((ids, np.split(lists.flatten().to_numpy().astype(np.uint32), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])))
+                (q, left), (r, right) = sides
+                q, r = q.to_pylist(), r.to_pylist()
+                found = [(q[i], r[j], *rest) for i, j, *rest in best_offsets(left, right, max_bit_error, least_overlap) if q[i] != r[j]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (items.field(0).type, items.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.float64()))], ["query", "match", "offset", "matches", "overlap", "bit_error"])
+
+    # a task for each pair of partitions: their number follows the cores, not the shuffle's setting
+    cores = prints.sparkSession.sparkContext.defaultParallelism
+    right, left = _blocks(prints, id_col, "right").coalesce(4 * cores), _blocks(prints.filter("is_query"), id_col, "left").coalesce(4)
+    tiles = right.crossJoin(left).select("left", "right")
+    return tiles.mapInArrow(run, f"query {kind}, match {kind}, offset int, matches long, overlap int, bit_error double")
 
 
 def match_recordings(recordings: DataFrame, id_col: str, pcm_col: str, query_step: int = 20) -> DataFrame:
