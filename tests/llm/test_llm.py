@@ -208,6 +208,19 @@ def test_classifiers_on_odd_rows(spark, operator):
     assert operator(docs.limit(0), labels).count() == 0 and operator(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_no_usable_labels_reject_nothing(spark):
+    docs = docs_of(spark, ["good words here" if i % 2 else "bad &&& words###" for i in range(40)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    foreign = spark.range(1000, 1040).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS INT) AS toxic")
+    for labels in (none, foreign, spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 1), (5, 1, 1)], none.schema)):
+        assert toxicity.without_toxic(docs, labels).exceptAll(docs).count() == 0 and toxicity.without_toxic(docs, labels).count() == 40
+        assert toxicity.toxicity(docs, labels).filter("predicted = 1").count() == 0
+    # labels of many other documents don't take the places of the sample
+    own = spark.range(40).selectExpr("id AS doc_id", "1 AS quality", "CAST(1 - id % 2 AS INT) AS toxic")
+    many = own.union(spark.range(1000, 9000).selectExpr("id", "1", "CAST(id % 2 AS INT)"))
+    assert {r.doc_id % 2 for r in toxicity.without_toxic(docs, many, rows=40).collect()} == {1}
+
+
 def test_identity_swaps_cost_less_with_the_penalty():
     rng = np.random.default_rng(0)
     y = (rng.random(400) < 0.3).astype(int)

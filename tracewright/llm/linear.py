@@ -36,7 +36,7 @@ def distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most rows training ids that have a label; the ids are few enough to be sent to all tasks.
+    """(doc_id, text, label) of at most rows training ids of docs that have a label; they are few enough to be sent to all tasks.
 
     Rows whose id or label is null are no examples; of repeated ids the largest label counts.
     """
@@ -45,6 +45,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & is_training_row(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
+        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
@@ -122,6 +123,8 @@ class LinearModel:
     bias: float
     slope: float = 1.0
     norms: np.ndarray | None = None
+    #: False where the labels gave nothing to tell the classes by.
+    fitted: bool = True
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         out = []
