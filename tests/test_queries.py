@@ -41,5 +41,15 @@ def test_like_sql(spark, con, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["s4_all_nodes", "x3_order_coverage"])
+def test_whole_tables_like_sql(spark, con, name):
+    test_like_sql(spark, con, name)
+
+
+def test_all_nodes_hold_all_events(spark):
+    rows = catalog.QUERIES["s4_all_nodes"](spark, SF).collect()
+    assert sum(r.n for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count() and len(rows) > 3
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and catalog.FLAGSHIP in catalog.QUERIES

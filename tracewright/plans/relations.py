@@ -249,6 +249,19 @@ def x3(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(seen, "n_nationkey", "left_anti").select("n_name")
 
 
+@query(
+    "x3_order_coverage",
+    """SELECT n_name, o_orderpriority FROM nation CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders)
+    WHERE (n_nationkey, o_orderpriority) NOT IN (SELECT (c_nationkey, o_orderpriority) FROM orders JOIN customer ON c_custkey = o_custkey)""",
+)
+def x3_orders(spark, sf_dir):
+    """Nations without an order of some priority, over all orders and customers."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
+    seen = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "o_orderpriority").distinct()
+    expected = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").crossJoin(o.select("o_orderpriority").distinct())
+    return expected.join(seen, ["n_nationkey", "o_orderpriority"], "left_anti").select("n_name", "o_orderpriority")
+
+
 @query("x4_duplicates", "SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS copies, min(o_orderkey) AS kept FROM orders GROUP BY ALL HAVING count(*) > 1")
 def x4(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("day", F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd"))

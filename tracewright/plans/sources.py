@@ -34,6 +34,16 @@ def s4(spark, sf_dir):
     return rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if("node_agrees").alias("agreeing"))
 
 
+@query("s4_all_nodes", f"WITH {EV} SELECT workload AS node, count(*) AS n, count(*) FILTER (event_id % 100 <> 0) AS agreeing FROM ev GROUP BY workload")
+def s4_all(spark, sf_dir):
+    """S4 over all workloads, their captures written in one pass."""
+    path = S.scratch(spark, "nodes")
+    e = events(spark, sf_dir).select("event_id", F.col("workload").alias("node"), F.when(F.col("event_id") % 100 == 0, "other").otherwise(F.col("workload")).alias("named"))
+    e.write.partitionBy("node").json(path)
+    rows = S.read_nodes(spark, [path], "event_id long, node string, named string", "named")
+    return rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if("node_agrees").alias("agreeing"))
+
+
 @query("s6_row_aligned", "SELECT e.vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
 def s6(spark, sf_dir):
     """A matrix and its metadata meet by an explicit row number."""

@@ -32,7 +32,7 @@ def read_capture(spark: SparkSession, path: str | list[str], schema: str) -> Dat
 def read_nodes(spark: SparkSession, paths: list[str], schema: str, node: str) -> DataFrame:
     """Captures of several nodes, with whether each record names the node whose folder (node=<name>) it is in."""
     rows = spark.read.schema(schema).json(paths)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"node-([^/]+)/", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"node[-=]([^/]+)/", 1)
     return rows.withColumn("node_agrees", F.col(node) == folder)
 
 
