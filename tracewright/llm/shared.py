@@ -7,16 +7,22 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that setting is unset (tests)."""
+    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset and all tasks run here (tests).
+
+    On a cluster without the setting it raises: executors would write to their own disks and rows would be missing.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
@@ -38,6 +44,57 @@ def is_training_row(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+# ---------------------------------------------------------------- joins that hot keys don't unbalance
+
+#: Keys at most that go to all tasks because many rows share them, and the rows from which a key is one of them.
+HOT_KEYS, HOT_ROWS = 1024, 1000
+#: Bits of a bitmap of keys: 4 MB however many keys there are.
+BITMAP_BITS = 1 << 25
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of unique keys, whose column n says how many of the total rows have a key.
+
+    Keys of total / HOT_KEYS rows or more, so HOT_KEYS of them at most, go to all tasks; the other rows are shuffled by
+    their keys. So no task gets a group that grows with the input.
+    """
+    is_hot = F.col(n) >= max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, cold = F.broadcast(table.filter(is_hot)), table.filter(~is_hot)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def key_bit(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS))
+
+
+def key_bitmap(keys: DataFrame, *names: str) -> np.ndarray:
+    """A bitmap of hash values of keys; it only thins out what is joined with them later."""
+    bit = key_bit(*names).alias("bit")
+    rows = keys.select(bit).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    at = bit.astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def maybe_in(keys: DataFrame, *names: str):
+    """A function of columns that tells the rows whose key may be among keys; False is sure. No key, no call of Python."""
+    if keys.isEmpty():
+        return lambda *columns: F.lit(False)
+    bits = keys.sparkSession.sparkContext.broadcast(key_bitmap(keys, *names))
+
+    @F.pandas_udf("boolean")
+    def maybe(bit: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, bit.to_numpy()))
+
+    return lambda *columns: maybe(key_bit(*columns))
+
+
 # ---------------------------------------------------------------- text columns as byte arrays
 
 #: Bytes that are handled at once; a longer text is handled alone and whole.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import scratch_path, written
+from tracewright.llm.shared import join_uneven, maybe_in, scratch_path, written
 
 #: A record starts with this line; written blocks never hold it, as a chunk always ends inside of it.
 MARK = "WARC/1.1\r\n"
@@ -41,6 +41,19 @@ def _field(name: str, value) -> F.Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
 
+def _marks(keys: DataFrame) -> DataFrame:
+    """(id, digest, first, copied) of the rows (id, bytes, digest) that revisit first, or whose id other rows have too."""
+    keys = written(keys, "payload-keys")
+    total, long = keys.count(), keys.filter(F.col("bytes") >= LEAST_SHARED_BYTES).select("id", "digest")
+    shared = long.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    later = join_uneven(long, written(shared, "shared-payloads"), ["digest"], "n", total).filter("id is null or id <> first")
+    pairs = keys.filter("id is not null").groupBy("id", "digest").agg(F.count("*").alias("n"))
+    again = pairs.groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id")
+    copies = pairs.join(again, "id", "left_semi").select("id", "digest", F.lit(None).cast(keys.schema["id"].dataType).alias("first"), F.lit(True).alias("copied"))
+    both = later.select("id", "digest", "first", F.lit(False).alias("copied")).unionByName(copies)
+    return written(both.groupBy("id", "digest").agg(F.max("first").alias("first"), F.max("copied").alias("copied")), "payload-marks")
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write gzipped WARC files below path, a record for each row or several if its block is long.
 
@@ -48,15 +61,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     revisit them. Null payloads are empty. A null id, or one of several rows, still makes records of its own.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    keys = rows.select("id", "bytes", "digest")
-    shared = keys.filter(F.col("bytes") >= LEAST_SHARED_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
-    later = keys.filter(F.col("bytes") >= LEAST_SHARED_BYTES).join(shared, "digest").filter("id is null or id <> first").select("id", "digest", "first").distinct()
-    copies = keys.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit(True).alias("copied"))
-    # few rows as a rule; the engine sends them to all tasks only if they turn out to be small
-    marked = rows.join(later, rows["id"].eqNullSafe(later["id"]) & (rows["digest"] == later["digest"]), "left").select(rows["*"], "first")
-    marked = marked.join(copies, marked["id"].eqNullSafe(copies["id"]), "left").select(marked["*"], "copied")
-    own = F.when(F.col("copied").isNotNull() | F.col("id").isNull(), F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))).otherwise("")
+    digest = F.sha2(F.col("payload").cast("binary"), 256).alias("digest")
+    marks = _marks(rows.select("id", F.octet_length("payload").cast("long").alias("bytes"), digest))
+    # payloads are not shuffled, but for rows that may be marked: a bitmap of bounded size tells them by their ids
+    maybe = maybe_in(marks, "id")("id")
+    plain = rows.filter(~maybe).select("*", digest, F.lit(None).cast(pages.schema[id_col].dataType).alias("first"), F.lit(False).alias("copied"))
+    asked = rows.filter(maybe).select("*", digest)
+    judged = asked.join(marks, asked["id"].eqNullSafe(marks["id"]) & (asked["digest"] == marks["digest"]), "left")
+    marked = plain.unionByName(judged.select(*[asked[c] for c in asked.columns], "first", F.coalesce("copied", F.lit(False)).alias("copied")))
+    own = F.when(F.col("copied") | F.col("id").isNull(), F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))).otherwise("")
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), own, F.lit(">"))
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = F.when(F.col("first").isNull(), F.concat(F.lit(f"{http}Transfer-Encoding: chunked\r\n\r\n"), _chunked(F.col("payload"), chunk_bytes))).otherwise(F.lit(f"{http}\r\n"))
@@ -178,5 +191,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     responses = back.filter("type = 'response'").withColumn("bytes", F.when(sound, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.col("id").cast("string"))).cast("long")))
     whole = responses.select("id", "bytes", "digest", "type", F.lit(None).cast(kind).alias("refers_to"))
     known = responses.filter("id is not null").groupBy("id", "digest").agg(F.max("bytes").alias("bytes")).withColumnRenamed("id", "refers_to")
-    revisits = back.filter("type = 'revisit'").select("id", "digest", "type", "refers_to").join(known, ["refers_to", "digest"]).select("id", "bytes", "digest", "type", "refers_to")
+    again = back.filter("type = 'revisit'").select("id", "digest", "type", "refers_to")
+    wanted = again.groupBy("refers_to", "digest").agg(F.count("*").alias("n"))
+    revisits = join_uneven(again, written(wanted.join(known, ["refers_to", "digest"]), "revisited"), ["refers_to", "digest"], "n", again.count()).select("id", "bytes", "digest", "type", "refers_to")
     return whole.union(revisits).select(F.col("id").alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
