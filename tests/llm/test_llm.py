@@ -179,6 +179,55 @@ def test_crossover_keeps_every_item():
     assert packing._thawed(packing._frozen(child, 300), size, 100).fitness(100) == pytest.approx(child.fitness(100))
 
 
+def test_genetic_search_beats_best_fit():
+    """Triples that fill a bin exactly: best fit wastes much, whole bins that are handed on and exchanged items do not."""
+    rng = random.Random(3)
+    size = []
+    for _ in range(60):
+        a = rng.randint(390, 490)
+        b = rng.randint(256, (1024 - a) // 2)
+        size += [a, b, 1024 - a - b]
+    people = []
+    for k in range(4):
+        p = packing.Packing([], [])
+        p.place(packing._largest_first(range(180), size, rng, 0.02 * k), size, 1024)
+        people.append(p)
+    best_fit = len(people[0].bins)
+    best = packing.evolve(people, size, 1024, rng, 40)[0]
+    assert sorted(i for b in best.bins for i in b) == list(range(180)) and best.left == [1024 - sum(size[i] for i in b) for b in best.bins]
+    assert best_fit >= 68 and len(best.bins) <= 63
+
+
+def fewest_bins(size, capacity):
+    """Brute force: the least number of bins, by all ways to put the largest left item into an open bin or a new one."""
+    size, least = sorted(size, reverse=True), [len(size)]
+
+    def go(k, left):
+        if len(left) >= least[0]:
+            return
+        if k == len(size):
+            least[0] = len(left)
+            return
+        for x in sorted({x for x in left if x >= size[k]}):
+            rest = list(left)
+            rest.remove(x)
+            go(k + 1, [*rest, x - size[k]])
+        go(k + 1, [*left, capacity - size[k]])
+
+    go(0, [])
+    return least[0]
+
+
+def test_packing_like_brute_force(spark):
+    """A few texts whose best packing all ways of placing them give."""
+    rng = random.Random(4)
+    for _ in range(3):
+        texts = [" ".join(["a"] * rng.randint(8, 60)) for _ in range(11)]
+        used, _ = packed(spark, docs_of(spark, texts), texts, 100)
+        tokenizer = Tokenizer.from_file(BYTE_VOCABULARY)
+        assert used == fewest_bins([len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts], 100)
+
+
 # ---------------------------------------------------------------- 5, 6
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm.bpe import _Memory, byte_alphabet
+from tracewright.llm.bpe import byte_alphabet
 from tracewright.llm.shared import written
 
 #: Pieces that one population packs. More pieces make more blocks, never larger ones.
@@ -27,14 +27,21 @@ ISLANDS, POPULATION, CHILDREN, EPOCHS = 2, 4, 6, 2
 #: In each round sequences with at most so many unused tokens stay; the rest are dealt anew. The last keeps all.
 SPARE_BY_ROUND = (0, 2, 8, None)
 
-_CHUNK = re.compile(r"\s*\S+|\s+")
+#: Children in a row that do not better an island's best, after which its epoch ends.
+PATIENCE = 3
+#: Displaced pieces whose pairs are tried in the place of a packed one, at most; all are tried alone and best-fitted.
+PAIRED_ITEMS = 64
+
 _ODD = re.compile("[\x1c-\x1f]")
+_RUNS = re.compile(r"(\s+)")
+#: Runs of more characters without a cut go to a merge that is not quadratic in them.
+LONG_RUN = 10_000
 #: Fixed value: how byte-level vocabularies of this kind cut text before merging.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class ChunkEncoder:
-    """Ids of a byte-level vocabulary file. Cuts after white space fall between its own cuts, so chunks are remembered."""
+class TextEncoder:
+    """Ids of a byte-level vocabulary file: whole texts by the tiktoken core, those that it reads otherwise by the tokenizers library."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -43,36 +50,22 @@ class ChunkEncoder:
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.whole = Tokenizer.from_file(path)
-        core = tiktoken.Encoding("chunks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        # "I" is 4 bytes wide, and the machines that Spark runs on are little-endian
-        self.chunks = _Memory(lambda c: array("I", core.encode_ordinary(c)).tobytes(), 50_000)
-        self.words = _Memory(lambda w: self._word(core, w), 200_000)
-
-    def _word(self, core, word: str) -> bytes | None:
-        """Ids of a blank and a word; None if the text around it cannot be cut at each of its blanks."""
-        if not word or word[0].isspace() or word[-1].isspace() or _ODD.search(word) or any(s in word for s in self.special):
-            return None
-        return array("I", core.encode_ordinary(" " + word)).tobytes()
+        self.core = tiktoken.Encoding("texts", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        try:
-            # the first word is checked like the others, but encoded without a blank before it
-            first, *rest = text.split(" ")
-            if rest and self.words.get(first):
-                return self.chunks.get(first) + b"".join(map(self.words.get, rest))
-        except TypeError:  # None among the parts
-            pass
-        if _ODD.search(text) or any(s in text for s in self.special):
+        """Little-endian unsigned 32-bit ids."""
+        if _ODD.search(text) or any(s in text for s in self.special) or (len(text) > LONG_RUN and max(map(len, _RUNS.split(text))) > LONG_RUN):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.chunks.get, _CHUNK.findall(text)))
+        # "I" is 4 bytes wide, and the machines that Spark runs on are little-endian
+        return array("I", self.core.encode_ordinary(text)).tobytes()
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str) -> TextEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
@@ -136,6 +129,43 @@ class Packing:
                 by_left.setdefault(x, []).append(b)
                 mask |= 1 << x
 
+    def exchange(self, items: list[int], size: np.ndarray, capacity: int) -> list[int]:
+        """Displaced items, alone or two of them, take the place of an item whose bin they fill better; what is displaced then is returned."""
+        while items:
+            items = sorted(items, key=size.__getitem__)
+            spots = [(b, i) for b, x in enumerate(self.left) if x for i in self.bins[b]]
+            if not spots:
+                break
+            few = items[:: -(-len(items) // PAIRED_ITEMS)]
+            u, v = np.triu_indices(len(few), 1)
+            sums = size[few][u] + size[few][v]
+            order = np.argsort(sums, kind="stable")
+            # what goes in: a single item or a pair of them, by the tokens that it has
+            new = [(i,) for i in items] + [(few[u[k]], few[v[k]]) for k in order]
+            single, sums = size[items], sums[order]
+            old = size[[i for _, i in spots]]
+            room = old + np.array([self.left[b] for b, _ in spots])
+            one, two = np.searchsorted(single, room, side="right") - 1, np.searchsorted(sums, room, side="right") - 1
+            by_one = np.where(one >= 0, single[one], 0)
+            by_two = np.where(two >= 0, sums[two], 0) if len(sums) else np.zeros_like(by_one)
+            fill, choice = np.maximum(by_one, by_two), np.where(by_one >= by_two, one, two + len(items))
+            better = np.flatnonzero(fill > old)
+            better = better[np.lexsort((old[better] - fill[better], (room - fill)[better]))]
+            used, touched, out = set(), set(), []
+            for k in better.tolist():
+                b, i = spots[k]
+                if b not in touched and used.isdisjoint(new[choice[k]]):
+                    used.update(new[choice[k]])
+                    touched.add(b)
+                    out.append(i)
+                    self.bins[b].remove(i)
+                    self.bins[b].extend(new[choice[k]])
+                    self.left[b] = int(room[k] - fill[k])
+            items = [i for i in items if i not in used] + out
+            if not touched:
+                break
+        return items
+
     def without(self, drop: set[int]) -> Packing:
         keep = [b for b in range(len(self.bins)) if b not in drop]
         return Packing([list(self.bins[b]) for b in keep], [self.left[b] for b in keep])
@@ -146,7 +176,10 @@ def _largest_first(items, size: list[int], rng: random.Random, noise: float) ->
 
 
 def crossover(one: Packing, two: Packing, size: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Whole well-filled bins of two enter one; bins of one with the same items go; what they held besides is best-fitted."""
+    """Whole well-filled bins of two enter one; bins of one with the same items go; what they held besides is best-fitted.
+
+    Before that, displaced items take the place of items whose bins they fill better, so what is left to fit is small.
+    """
     order = sorted(range(len(two.bins)), key=two.left.__getitem__)
     good = order[: max(1, len(order) // 2)]
     chosen = rng.sample(good, max(1, len(good) // 2))
@@ -159,19 +192,21 @@ def crossover(one: Packing, two: Packing, size: list[int], capacity: int, rng: r
     child = one.without(hit | set(rest))
     child.bins += [list(two.bins[b]) for b in chosen]
     child.left += [two.left[b] for b in chosen]
+    spare = child.exchange(spare, np.asarray(size), capacity)
     child.place(_largest_first(spare, size, rng, 0.0), size, capacity)
     return child
 
 
 def evolve(population: list[Packing], size: list[int], capacity: int, rng: random.Random, children: int) -> list[Packing]:
-    """Steady state: a child replaces the worst if it is better."""
-    least = -(-sum(size) // capacity)
+    """Steady state: a child replaces the worst if it is better. It ends at the least possible number of bins, or without progress."""
+    least, idle = -(-sum(size) // capacity), 0
     population.sort(key=lambda p: p.fitness(capacity), reverse=True)
     for _ in range(children):
-        if len(population[0].bins) <= least:
+        if len(population[0].bins) <= least or idle == PATIENCE:
             break
         a, b = rng.sample(range(len(population)), 2) if len(population) > 1 else (0, 0)
         child = crossover(population[min(a, b)], population[max(a, b)], size, capacity, rng)
+        idle = 0 if child.fitness(capacity) > population[0].fitness(capacity) else idle + 1
         if child.fitness(capacity) > population[-1].fitness(capacity):
             population[-1] = child
             population.sort(key=lambda p: p.fitness(capacity), reverse=True)
@@ -193,7 +228,10 @@ def _thawed(data: bytes, size: list[int], capacity: int) -> Packing:
 
 
 def _pack_round(items: DataFrame, capacity: int, blocks: int, seed: int) -> DataFrame:
-    """item, sequence (block, bin), offset and spare for items (item, length), each block packed by its own islands."""
+    """item, sequence, offset and spare for items (item, length), each block packed by its own islands.
+
+    A sequence's number is below 0 and made of its block, bin and round (seed), so no two are equal.
+    """
     dealt = items.select("item", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
     dealt = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
 
@@ -209,22 +247,24 @@ def _pack_round(items: DataFrame, capacity: int, blocks: int, seed: int) -> Data
         population = evolve(population, size, capacity, rng, CHILDREN)
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "items": [rows["item"].to_numpy()], "sizes": [rows["length"].to_numpy()], "people": [[_frozen(p, len(size)) for p in population]]})
 
-    state = dealt.groupBy("block", "island").applyInPandas(settle, "block int, island int, items array<long>, sizes array<int>, people array<binary>")
-    for _ in range(1, EPOCHS):
-
-        def migrate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            """The islands of a block, a fixed few: each gets the best of the one before and goes on."""
-            rows = rows.sort_values("island").reset_index(drop=True)
-            elite = [people[0] for people in rows["people"]]
-            out = []
-            for k, row in rows.iterrows():
-                size, people = row["sizes"].tolist(), list(row["people"])
-                population = [_thawed(p, size, capacity) for p in [*people[:-1], elite[k - 1]]]
-                population = evolve(population, size, capacity, random.Random(f"{seed} {key} {k}"), CHILDREN)
-                out.append([_frozen(p, len(size)) for p in population])
-            return rows.assign(people=out)
-
-        state = state.groupBy("block").applyInPandas(migrate, state.schema)
+    schema = "block int, island int, items array<long>, sizes array<int>, people array<binary>"
+    state = written(dealt.groupBy("block", "island").applyInPandas(settle, schema), "islands")
+    for epoch in range(1, EPOCHS):
+        # the best of each island goes to the next one; each island is a row and evolves in a task of its own
+        elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("people")[0].alias("elite"))
+
+        def migrate(parts: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
+            for rows in parts:
+                people = []
+                for row in rows.itertuples():
+                    size = row.sizes.tolist()
+                    population = [_thawed(p, size, capacity) for p in [*row.people[:-1], row.elite]]
+                    population = evolve(population, size, capacity, random.Random(f"{seed} {epoch} {row.block} {row.island}"), CHILDREN)
+                    people.append([_frozen(p, len(size)) for p in population])
+                yield rows.drop(columns="elite").assign(people=people)
+
+        moved = state.join(elite, ["block", "island"]).select("block", "island", "items", "sizes", "people", "elite")
+        state = written(moved.mapInPandas(migrate, schema), "islands") if epoch + 1 < EPOCHS else moved.mapInPandas(migrate, schema)
 
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         size = rows["sizes"].iloc[0].tolist()
@@ -233,7 +273,7 @@ def _pack_round(items: DataFrame, capacity: int, blocks: int, seed: int) -> Data
         for b, bin_ in enumerate(p.bins):
             at = 0
             for i in bin_:
-                out.append((ids[i], (key[0] << 24) | b, at, p.left[b]))
+                out.append((ids[i], -1 - (((key[0] << 20 | b) << 3) | seed), at, p.left[b]))
                 at += size[i]
         return pd.DataFrame(out, columns=["item", "sequence", "offset", "spare"])
 
@@ -241,8 +281,8 @@ def _pack_round(items: DataFrame, capacity: int, blocks: int, seed: int) -> Data
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """item, sequence_id and offset for pieces (item, length) with lengths from 1 to capacity."""
-    full = pieces.filter(F.col("length") == capacity).select("item", F.concat(F.lit("f"), "item").alias("sequence"), F.lit(0).cast("long").alias("offset"))
+    """item, sequence_id and offset for pieces (item, length) with lengths from 1 to capacity; a full piece's sequence has its number."""
+    full = pieces.filter(F.col("length") == capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = pieces.filter(F.col("length") < capacity).select("item", "length")
     done = []
     for k, spare in enumerate(SPARE_BY_ROUND):
@@ -252,13 +292,13 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         last = spare is None or n <= BLOCK_ITEMS
         packed = written(_pack_round(left, capacity, -(-n // BLOCK_ITEMS), k), f"packed-{k}")
         keep = packed if last else packed.filter(F.col("spare") <= spare)
-        done.append(keep.select("item", F.concat(F.lit(f"{k}-"), "sequence").alias("sequence"), "offset"))
+        done.append(keep.select("item", F.col("sequence").alias("sequence_id"), "offset"))
         if last:
             break
         left = left.join(packed.filter(F.col("spare") > spare).select("item"), "item", "left_semi")
     for more in done:
         full = full.union(more)
-    return full.select("item", F.xxhash64("sequence").alias("sequence_id"), "offset")
+    return full
 
 
 def packed_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
