@@ -17,18 +17,22 @@ MAX_COVERED = 0.3
 #: or when one repeat is longer than this many words.
 MAX_LONGEST = 60
 
+#: Texts of more words are handled without the tables of the suffix array's rounds: slower, in a few arrays of their length.
+BIG = 1 << 20
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def longest_repeats(key: np.ndarray, doc_end: np.ndarray) -> np.ndarray:
+def longest_repeats(key: np.ndarray, doc_end: np.ndarray, big: int = BIG) -> np.ndarray:
     """For each word position, the length of the longest run from there that occurs elsewhere in its text.
 
     key: a hash of (text, word); doc_end: the first position after the text. The suffix array comes from prefix
-    doubling that sorts only suffixes that still tie; the rank tables of the rounds then give the longest common
-    prefix of neighbours. The lengths of the neighbours' common prefixes delimit the maximal repeats.
+    doubling that sorts only suffixes that still tie. The longest common prefixes of neighbours come from the rank
+    tables of the rounds or, for more than big words, from one pass that needs no tables. They delimit the intervals
+    of the maximal repeats: a place's longest repeat is the larger one of its two neighbours in the suffix array.
     """
-    n = len(key)
+    n, small = len(key), len(key) <= big
     if not n:
         return np.zeros(0, np.int64)
     suffix = np.argsort(key, kind="stable")
@@ -55,12 +59,18 @@ def longest_repeats(key: np.ndarray, doc_end: np.ndarray) -> np.ndarray:
         fresh = np.r_[True, both[1:] != both[:-1]]
         begin = np.flatnonzero(fresh)
         group = np.cumsum(fresh) - 1
-        rank = rank.copy()
+        if small:
+            rank = rank.copy()
+            tables.append(rank)
         rank[active] = slot[begin][group]
-        tables.append(rank)
         active = active[np.diff(np.r_[begin, len(active)])[group] > 1]
         step *= 2
     out = np.zeros(n, np.int64)
+    if not small:
+        common = _common_prefixes(suffix, key, doc_end)
+        np.maximum.at(out, suffix[1:], common)
+        np.maximum.at(out, suffix[:-1], common)
+        return out
     pair = np.flatnonzero(first[suffix[1:]] == first[suffix[:-1]])
     i, j = suffix[pair], suffix[pair + 1]
     common = np.zeros(len(pair), np.int64)
@@ -74,6 +84,26 @@ def longest_repeats(key: np.ndarray, doc_end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _common_prefixes(suffix: np.ndarray, key: np.ndarray, doc_end: np.ndarray) -> np.ndarray:
+    """Of each suffix but the first the common prefix with the one before it, by text order: each is at least the last less one."""
+    n = len(suffix)
+    before = np.full(n, -1, np.int64)
+    before[suffix[1:]] = suffix[:-1]
+    out, k, up = np.zeros(n, np.int64), 0, memoryview(before)
+    words, ends = memoryview(key), memoryview(doc_end)
+    for i in range(n):
+        j = up[i]
+        if j < 0:
+            k = 0
+            continue
+        most = min(ends[i] - i, ends[j] - j)
+        while k < most and words[i + k] == words[j + k]:
+            k += 1
+        out[i] = k
+        k -= k > 0
+    return out[suffix[1:]]
+
+
 def _covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     """Positions inside any of the spans."""
     edge = np.zeros(n + 1, np.int64)
@@ -101,8 +131,13 @@ def _duplicate_lines(words: Words) -> np.ndarray:
     end = np.minimum(end, offsets[doc + 1])
     has_word = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, doc = start[has_word], end[has_word], doc[has_word]
+    # only lines that share text, length and first bytes with another can be equal
     lines = Words.__new__(Words)
     lines.data, lines.start, lines.end = data, start, end
+    head = combine(doc.astype(np.uint64), (end - start).astype(np.uint64), lines.heads())
+    _, which, count = np.unique(head, return_inverse=True, return_counts=True)
+    alike = np.flatnonzero(count[which] > 1)
+    lines.start, lines.end, doc = start[alike], end[alike], doc[alike]
     key = combine(lines.hashes(), doc.astype(np.uint64))
     _, at = np.unique(key, return_index=True)
     repeated = np.ones(len(key), bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,7 +60,7 @@ def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n: str, tota
     their keys. So no task gets a group that grows with the input.
     """
     is_hot = F.col(n) >= max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot, cold = F.broadcast(table.filter(is_hot)), table.filter(~is_hot)
+    hot, cold = F.broadcast(table.filter(is_hot).drop(n)), table.filter(~is_hot).drop(n)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
@@ -104,7 +105,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PRIME = 0x9E3779B97F4A7C15 | 1
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 256
+#: Masks of the first 0 to 8 bytes of a little-endian integer.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,22 +119,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_PRIME))
-_BYTE_LOWER = _BYTE[_LOWER]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for k, base in enumerate((_PRIME, pow(_PRIME, -1, 1 << 64))):
-            steps = np.full(size, base & (2**64 - 1), np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row + 1, bytes, offsets) for runs of rows of about SLICE_BYTES; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -165,25 +154,36 @@ class Words:
         self.count = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(self.n_docs), self.count)
 
-    def _sums(self, table: np.ndarray) -> np.ndarray:
-        power, _ = _power_tables(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(table[self.data] * power[: len(self.data)], out=sums[1:])
-        return sums
+    def eights(self, lower: bool = False) -> np.ndarray:
+        """At each place of the data the integer of the eight bytes from there, zeros beyond the end."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = _LOWER[self.data] if lower else self.data
+        return np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+
+    def heads(self) -> np.ndarray:
+        """The first eight bytes of each word, or all of a shorter one, as an integer."""
+        return self.eights()[self.start] & _MASK[np.minimum(self.end - self.start, 8)]
 
     def hashes(self, lower: bool = False, prefixes: tuple[int, ...] = ()) -> np.ndarray | list[np.ndarray]:
-        """64-bit hash of each word; with prefixes, one array for each length (0 where the word is shorter)."""
-        sums = self._sums(_BYTE_LOWER if lower else _BYTE)
-        _, inverse = _power_tables(len(self.data))
-        back, size = inverse[self.start], (self.end - self.start).astype(np.uint64)
-        if not prefixes:
-            return _mix((sums[self.end] - sums[self.start]) * back + size)
-        out = []
-        for k in prefixes:
-            end = np.minimum(self.start + k, len(self.data))
-            h = _mix((sums[end] - sums[self.start]) * back + np.uint64(k))
-            h[size < k] = 0
-            out.append(h)
+        """64-bit hash of each word; with prefixes of 8 bytes at most, one array for each length (0 where the word is shorter).
+
+        Each eight bytes are mixed in before the next, so no pattern of bytes cancels out as it does in a polynomial.
+        Long words get blake2b.
+        """
+        at, size = self.eights(lower), self.end - self.start
+        first = at[self.start] & _MASK[np.minimum(size, 8)]
+        if prefixes:
+            return [np.where(size < k, np.uint64(0), _mix((first & _MASK[k]) + np.uint64(k) * _LENGTH)) for k in prefixes]
+        out = _mix(first + size.astype(np.uint64) * _LENGTH)
+        rest, done = np.flatnonzero(size > 8), 8
+        while len(rest) and done < _LONG_WORD:
+            part = at[self.start[rest] + done] & _MASK[np.minimum(size[rest] - done, 8)]
+            out[rest] = _mix(out[rest] * np.uint64(0xD6E8FEB86659FD93) + part)
+            done += 8
+            rest = rest[size[rest] > done]
+        for i in rest:
+            word = self.data[self.start[i] : self.end[i]]
+            out[i] = int.from_bytes(hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
         return out
 
 
