@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join: a blocked sparse product of documents by shingles with size-derived bounds.
 
 1. Every distinct shingle set becomes one row of the incidence matrix (exact copies share it).
-2. Shingle counts are summed in blocks of the shingle space; the most frequent ones, at most HOT_LIMIT, are sent to
-   all tasks. Columns are ordered by that frequency, then by hash: any order common to all rows gives the same links.
+2. Shingle counts are summed in each task, then in blocks of the shingle space, one block at a time and of bounded
+   size; the most frequent ones, at most HOT_LIMIT, are sent to all tasks. Columns are ordered by that frequency, then
+   by hash: any order common to all rows gives the same links.
 3. A row's first n - ceil(0.75 n) + 1 columns must meet those of every row that it links with, so only these are
    multiplied. Pairs whose sizes, or whose positions in a common column, cannot reach the overlap are dropped.
 4. First each row of a column is paired with one pivot, the row in which the column comes first: a text that others
@@ -22,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import Words, combine, text_slices, written
+from tracewright.llm.shared import Words, combine, in_bitmap, join_uneven, key_bit, key_bitmap, maybe_in, text_slices, written
 
 SHINGLE_WORDS = 5
 #: Shingles counted as frequent at most: 4 bytes and a level each, so the broadcast is bounded.
 HOT_LIMIT = 1_000_000
 #: A shingle in fewer sets than this is never frequent.
 HOT_LEAST = 8
-#: Blocks of the shingle space in which counts are summed.
-BLOCKS = 256
+#: Blocks of the upper halves of shingle hashes in which counts are summed: each has 2**32 / BLOCKS values at most.
+BLOCKS = 1024
 #: Shingles that a task gathers before it hands on their counts.
 FLUSH = 4_000_000
 
@@ -60,24 +61,47 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return flat, ends, key
 
 
+def _packed(value: np.ndarray, count: np.ndarray) -> bytes:
+    """Rising values and their counts."""
+    return zlib.compress(np.concatenate([np.diff(value, prepend=value[:1] * 0), count]).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+    return np.cumsum(both[0], dtype=np.uint64).astype(np.uint32), both[1].astype(np.int64)
+
+
+def _summed(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, rising, and the sums of their counts."""
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+    return value[begin], np.add.reduceat(count[order], begin) if len(value) else count
+
+
 def _sets_and_counts(texts: DataFrame, blocks: int) -> DataFrame:
     """Rows of documents (doc_id, n, key) and rows of counts (block, counts), from one pass."""
+    kind = texts.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
-        def flush():
-            bucket = np.sort(np.concatenate(held)) >> np.uint64(32)
-            cut = np.searchsorted(bucket, np.arange(blocks + 1, dtype=np.uint64) * np.uint64((1 << 32) // blocks))
-            packed = [zlib.compress(np.diff(bucket[a:b], prepend=np.uint64(0)).astype("<u4").tobytes(), 1) for a, b in zip(cut, cut[1:])]
+        def flush(ids: pa.DataType):
+            upper = (np.concatenate(held) >> np.uint64(32)).astype(np.uint32)
             held.clear()
-            nothing = pa.nulls(blocks, pa.int64())
-            return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(range(blocks), pa.int32()), pa.array(packed, pa.binary())], names)
+            seen.clear()
+            value, count = _summed(upper, np.ones(len(upper), np.int64))
+            cut = np.searchsorted(value, np.arange(1, blocks, dtype=np.uint64) * np.uint64((1 << 32) // blocks))
+            packed = [(k, _packed(v, c)) for k, (v, c) in enumerate(zip(np.split(value, cut), np.split(count, cut))) if len(v)]
+            n = len(packed)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in packed], pa.int32()), pa.array([d for _, d in packed], pa.binary())], names)
 
         names = ["doc_id", "n", "key", "block", "counts"]
+        ids = None
         for batch in batches:
+            ids = batch.column(0).type
             for first, last, data, offsets in text_slices(batch.column(1)):
                 flat, ends, key = shingle_sets(data, offsets)
                 for d, k in enumerate(key.tolist()):
@@ -87,33 +111,38 @@ def _sets_and_counts(texts: DataFrame, blocks: int) -> DataFrame:
                         size += len(held[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(ends), pa.int64()), pa.array(key, pa.int64()), pa.nulls(last - first, pa.int32()), pa.nulls(last - first, pa.binary())], names)
                 if size >= FLUSH:
-                    yield flush()
+                    yield flush(ids)
                     size = 0
         if held:
-            yield flush()
+            yield flush(ids)
 
-    return texts.mapInArrow(run, "doc_id long, n long, key long, block int, counts binary")
+    return texts.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, key long, block int, counts binary")
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The upper halves of the most frequent shingle hashes, at most HOT_LIMIT, and the base-2 logarithms of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.uint64).astype(np.uint32)
-                held.setdefault(block, []).append(got)
-        for block, parts in held.items():
-            bucket = np.sort(np.concatenate(parts))
-            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            count = np.diff(np.r_[begin, len(bucket)])
-            level = np.floor(np.log2(count)).astype(np.uint8) if len(count) else np.zeros(0, np.uint8)
+        def levels(value, count):
+            level = np.floor(np.log2(count)).astype(np.uint8)
             for v in np.unique(level[count >= HOT_LEAST]).tolist():
-                ids = bucket[begin[(level == v) & (count >= HOT_LEAST)]]
+                ids = value[(level == v) & (count >= HOT_LEAST)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["level", "n", "ids"])
 
-    found = written(counts.repartition("block").mapInArrow(run, "level int, n long, ids binary"), "frequent")
+        here, sums, held, size = None, (np.zeros(0, np.uint32), np.zeros(0, np.int64)), [], 0
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != here or size > max(FLUSH, len(sums[0])):
+                    # what is summed has no more values than a block, what waits no more than that or FLUSH
+                    sums, held, size = _summed(*(np.concatenate(x) for x in zip(sums, *held))), [], 0
+                if block != here:
+                    yield from levels(*sums)
+                    here, sums = block, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                held.append(_unpacked(packed))
+                size += len(held[-1][0])
+        yield from levels(*_summed(*(np.concatenate(x) for x in zip(sums, *held))))
+
+    found = written(counts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "level int, n long, ids binary"), "frequent")
     lowest, total = 64, 0
     for level, n in sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True):
         if total + n > HOT_LIMIT:
@@ -162,55 +191,47 @@ def _prefixes(texts: DataFrame, hot) -> DataFrame:
     return texts.mapInArrow(run, "token long, key long, n int, pos int")
 
 
-def _wanted_bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap over 2**25 hash values of keys: 4 MB however many there are; it only thins out what is joined later."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(1 << 25))
-    rows = keys.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect()
-    out = np.zeros(1 << 22, np.uint8)
-    for r in rows:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+def _set_key(text: pd.Series) -> pd.Series:
+    """The hash of each text's shingle set, as in the rows of _grouped."""
+    parts = [shingle_sets(data, offsets)[2] for _, _, data, offsets in text_slices(pa.array(text, pa.string()))]
+    return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near duplicates: that of the least id, of its repeated rows one.
+    """docs, all columns unchanged, with one document of each group of near duplicates: that of the least id.
 
-    Rows without an id stay. A bitmap of bounded size tells most rows that cannot go; only the others, about as many as
-    go, are joined with the ids that do.
+    What goes is judged by id and shingle set, so rows of one id with different texts are judged on their own; if the
+    least id of a group has several sets in it, that with the least hash stays. Of repeated rows, equal in id and set,
+    one stays. Rows without an id stay, and so do rows without words. No rows give no rows. A bitmap of bounded size tells
+    most rows that cannot go; only the others, about as many as go, are joined with what is known of their ids.
     """
-    groups = written(jaccard_components(docs, id_col, text_col), "groups")
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("key"), F.lit(0).alias("again"))
-    again = groups.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("key")).agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(1).alias("again"))
-    touched = written(gone.distinct().union(again).groupBy("key").agg(F.min("again").alias("again")), "touched-ids")
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(touched.select("key")))
-
-    @F.pandas_udf("boolean")
-    def maybe(bit: pd.Series) -> pd.Series:
-        at = bit.to_numpy().astype(np.int64)
-        return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    doubtful = maybe(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 25)))
-    asked = docs.filter(doubtful)
-    judged = asked.join(touched, asked[id_col].cast("long") == touched["key"], "left").filter("again is null or again = 1")
-    single = judged.filter("again is null").select(*[asked[c] for c in docs.columns])
-    kept = docs.filter(~doubtful).unionByName(single)
-    if touched.filter("again = 1").isEmpty():
+    groups = written(_grouped(docs, id_col, text_col), "groups").filter("doc_id is not null")
+    first = groups.filter("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("n"))
+    linked = join_uneven(groups.filter("part is not null"), written(first, "first-of-groups"), ["part"], "n", groups.count())
+    judged = linked.select("doc_id", "key", (F.struct("doc_id", "key") == F.col("first")).alias("stays"))
+    judged = judged.unionByName(groups.filter("part is null").select("doc_id", "key", F.lit(True).alias("stays")))
+    sets = judged.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("copies"))
+    sets = written(sets.filter(~F.col("stays") | (F.col("copies") > 1)), "judged-sets")
+    maybe = maybe_in(sets.select("doc_id"), "doc_id")(id_col)
+    asked = docs.filter(maybe).select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), F.pandas_udf(_set_key, "long")(text_col).alias("key"))
+    known = asked.join(sets, ["doc_id", "key"], "left").filter("coalesce(stays, true)")
+    kept = docs.filter(~maybe).unionByName(known.filter("copies is null or copies = 1").select("_row.*"))
+    if sets.filter("stays").isEmpty():
         return kept
-    return kept.unionByName(judged.filter("again = 1").select(*[asked[c] for c in docs.columns]).dropDuplicates([id_col]))
+    return kept.unionByName(known.filter("copies > 1").dropDuplicates(["doc_id", "key"]).select("_row.*"))
 
 
 def _sets(texts: DataFrame, doc_keys: DataFrame, keys: DataFrame) -> DataFrame:
     """The whole sets of the wanted keys. Documents are thinned out by a bitmap of their ids before they are shingled."""
     wanted = doc_keys.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"))
-    bits = texts.sparkSession.sparkContext.broadcast(_wanted_bits(wanted.select(F.col("id").alias("key"))))
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 25)).alias("bit")
+    bits = texts.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "id"))
+    bit = key_bit("doc_id").alias("bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         seen: set[int] = set()
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            chosen = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            chosen = in_bitmap(table, batch.column(2).to_numpy(zero_copy_only=False))
             if not chosen.any():
                 continue
             for _, _, data, offsets in text_slices(batch.column(1).filter(pa.array(chosen))):
@@ -231,15 +252,21 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(key, component) for each key of edges (a, b): the least key reachable; large and small stars in turn."""
+    """(key, component) for each key of edges (a, b): the least key reachable; large and small stars in turn.
+
+    A star's centre may have a great many edges: they are joined with its least neighbour without one task for all.
+    """
+
+    def with_least(rows: DataFrame, total: int) -> DataFrame:
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        return join_uneven(rows, written(least, "least-neighbours"), ["u"], "n", total)
+
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, now = None, (edges.count(),)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = written(with_least(both, 2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        small = with_least(large, now[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.filter("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now == before or now[0] == now[2] and _is_star(edges):
@@ -265,10 +292,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts are lower-cased in A-Z and cut into words; a set holds the distinct five-word shingles, or the whole
     sequence of a shorter text. Null and empty texts have an empty set and are alone. Repeated rows give repeated
     rows in one component. A null id is kept with its text's component, alone if the text is empty. An empty table
-    gives an empty result; other columns are not read. Shingles and sets are compared by 64-bit hashes.
+    gives an empty result; other columns are not read. Ids may be of any type that has an order. Shingles and sets are
+    compared by 64-bit hashes.
     """
+    rows = written(_grouped(docs, id_col, text_col, blocks), "groups")
+    least = rows.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    linked = join_uneven(rows.filter("part is not null"), written(least, "least-ids"), ["part"], "rows", rows.count())
+    out = linked.select("doc_id", "n", "component_id").union(rows.filter("part is null").select("doc_id", "n", "doc_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, n, key, part) of each row: size and hash of its set, and a hash that the sets of its component share; null without words."""
     spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     first = written(_sets_and_counts(texts, blocks), "shingle-counts")
     rows = first.filter("block is null").select("doc_id", "n", "key")
     full, empty = rows.filter("n > 0"), rows.filter("n = 0")
@@ -310,9 +347,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.union(_linked(rest, more))
         parts = connected_components(links)
 
-    classes = full.groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = classes.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("key", "component_id")
-    out = full.join(named, "key").select("doc_id", "n", "component_id").union(empty.select("doc_id", "n", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    sizes = full.groupBy("key").agg(F.count("*").alias("copies"))
+    parts = sizes.join(parts, "key", "left").select("key", "copies", F.coalesce("component", "key").alias("part"))
+    named = join_uneven(full, written(parts, "parts"), ["key"], "copies", full.count())
+    return named.select("doc_id", "n", "key", "part").unionByName(empty.select("doc_id", "n", "key", F.lit(None).cast("long").alias("part")))
