@@ -36,9 +36,10 @@ def distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most rows training ids of docs that have a label; they are few enough to be sent to all tasks.
+    """(doc_id, text, label) of at most rows training rows of docs that have a label; their ids are few enough to be sent to all tasks.
 
-    Rows whose id or label is null are no examples; of repeated ids the largest label counts.
+    Rows whose id or label is null are no examples; of repeated ids the largest label and the least text count, so the
+    sample has no more rows than ids.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -49,7 +50,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def feature_table(sample: DataFrame, features: Features, swap: Callable[[str], str | None] | None = None) -> DataFrame:

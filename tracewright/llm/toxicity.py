@@ -31,7 +31,7 @@ IDENTITY_TERMS = (
 )
 
 PREFIXES = (3, 4, 5, 6, 8)
-RIDGE, COUNTERFACTUAL, STEPS = 1e-3, 1.0, 300
+RIDGE, COUNTERFACTUAL, STEPS = 1e-3, 8.0, 300
 #: Features of the model, at most; more of them only fit chance differences of the sample.
 MODEL_FEATURES = 1024
 
@@ -56,14 +56,14 @@ def identity_swap(terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS):
 
 
 def fit_logistic(y: np.ndarray, on: list[np.ndarray], off: list[np.ndarray | None], size: int, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Mean log loss + ridge |w|^2 + counterfactual * mean (score change of the swapped texts)^2, by scaled gradient steps."""
+    """Mean log loss + ridge / sqrt(texts) |w|^2 + counterfactual * mean (change of the swapped texts' scores)^2, by scaled gradient steps."""
     w, b = np.zeros(size), 0.0
     if not len(y) or not size:
         return w, b
     row = np.repeat(np.arange(len(y)), [len(x) for x in on])
     col = np.concatenate(on)
-    swaps = [(x, z) for x, z in zip(on, off) if z is not None]
-    gained = [(np.setdiff1d(z, x), np.setdiff1d(x, z)) for x, z in swaps]
+    swapped = np.array([k for k, z in enumerate(off) if z is not None], int)
+    gained = [(np.setdiff1d(off[k], on[k]), np.setdiff1d(on[k], off[k])) for k in swapped]
     change_row = np.repeat(np.arange(len(gained)), [len(a) + len(c) for a, c in gained])
     change_col = np.concatenate([np.r_[a, c] for a, c in gained]) if gained else np.zeros(0, int)
     change_sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(c))] for a, c in gained]) if gained else np.zeros(0)
@@ -71,12 +71,19 @@ def fit_logistic(y: np.ndarray, on: list[np.ndarray], off: list[np.ndarray | Non
     memory, memory_b = np.full(size, 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -30, 30)))
-        residual = (p - y) / len(y)
-        g = np.bincount(col, residual[row], size) + 2 * ridge * w / len(y) ** 0.5
+        pull = (p - y) / len(y)
         if len(gained):
-            change = np.bincount(change_row, change_sign * w[change_col], len(gained))
-            g += 2 * counterfactual / len(gained) * np.bincount(change_col, change_sign * change[change_row], size)
-        gb = residual.sum()
+            # a score's slope here and in the swapped text, whose margin differs by the features gained and lost
+            q = p[swapped]
+            margin = np.log(q / (1 - q)) + np.bincount(change_row, change_sign * w[change_col], len(gained))
+            other = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            force = 2 * counterfactual / len(gained) * (other - q)
+            pull[swapped] += force * (other * (1 - other) - q * (1 - q))
+            moved = force * other * (1 - other)
+        g = np.bincount(col, pull[row], size) + 2 * ridge * w / len(y) ** 0.5
+        if len(gained):
+            g += np.bincount(change_col, change_sign * moved[change_row], size)
+        gb = pull.sum()
         memory += g * g
         memory_b += gb * gb
         w -= 0.3 * g / np.sqrt(memory)
