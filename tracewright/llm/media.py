@@ -38,6 +38,8 @@ CUTS = (
 MAX_BIT_ERROR, LEAST_OVERLAP = 0.15, 0.5
 #: Fingerprints and integers in a block, about, at most; a longer fingerprint is a block of its own.
 BLOCK_ROWS, BLOCK_CODES = 256, 1 << 18
+#: Recordings that vectors_as_audio hands on at once.
+PLAYED_ROWS = 64
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -239,16 +241,18 @@ def vectors_as_audio(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(FRAME) / RATE
-        tones = np.stack([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in range(24)])
-        for batch in batches:
-            out = []
-            for v in batch.column(1):
-                x = np.array(v.as_py() or [], float)
-                x = np.nan_to_num(x)
-                scale = np.abs(x).max() if len(x) else 0
-                note = np.floor(12 + 11.99 * x / scale).astype(int).clip(0, 23) if scale else np.zeros(len(x), int)
-                out.append((8000 * tones[note]).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "pcm"])
+        tones = (8000 * np.stack([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in range(24)])).astype("<i2")
+        for whole in batches:
+            # a recording has many times the bytes of its vector, so few are handed on at once
+            for batch in (whole.slice(k, PLAYED_ROWS) for k in range(0, whole.num_rows, PLAYED_ROWS)):
+                out = []
+                for v in batch.column(1):
+                    x = np.array(v.as_py() or [], float)
+                    x = np.nan_to_num(x)
+                    scale = np.abs(x).max() if len(x) else 0
+                    note = np.floor(12 + 11.99 * x / scale).astype(int).clip(0, 23) if scale else np.zeros(len(x), int)
+                    out.append(tones[note].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "pcm"])
 
     kind = vectors.schema[id_col].dataType.simpleString()
     return vectors.select(id_col, vector_col).mapInArrow(run, f"`{id_col}` {kind}, pcm binary")

@@ -17,10 +17,16 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SHARD_BYTES = 1 << 20
 
 
-def prepared(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The package is there in the executors' Python, which gets so many rows at once, few where they are long."""
-    ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of a batch that a Python worker gets, about: few rows where they are long. The same for all operators.
+BATCH_BYTES = 4 << 20
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """The package is there in the executors' Python, whose batches have BATCH_BYTES at most; a limit that the session sets stays."""
+    spark, limit = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    ship(spark)
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
     return df
 
 
@@ -60,7 +66,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector is played as a recording, fingerprinted and aligned."""
-    audio = media.vectors_as_audio(prepared(table(spark, sf_dir, "embeddings"), 64))
+    audio = media.vectors_as_audio(prepared(table(spark, sf_dir, "embeddings")))
     return media.match_recordings(audio, "vec_id", "pcm")
 
 
