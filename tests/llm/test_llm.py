@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm import bpe, chat, jaccard, media, packing, quality, repetition, sharding, toxicity, warc
+from tracewright.llm import bpe, chat, jaccard, linear, media, packing, quality, repetition, sharding, toxicity, warc
 from tracewright.llm.queries import BYTE_VOCABULARY, ORACLES, QUERIES, WORD_VOCABULARY
+from tracewright.llm.shared import Words, combine
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n", "a", "a  b\t c \n", "\x1c x\x1dy", "Σίσυφος ΣΑΣ İ", "<|endoftext|>Hi<|startoftext|>", "é café ½ 12", "x" * 900, "don't I'LL 's", "🙂👍🏽 ok", "word " * 4000]
@@ -247,6 +248,124 @@ def test_held_out_labels(spark, operator, label, least):
     assert pairs >= least and (predicted == y).mean() >= 0.85
 
 
+def plain_mix(x):
+    m = (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def plain_hash(data):
+    """The hash of a word, in plain Python."""
+    m, length = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    h = plain_mix((int.from_bytes(data[:8], "little") + len(data) * length) & m)
+    for k in range(8, len(data), 8):
+        h = plain_mix((h * 0xD6E8FEB86659FD93 + int.from_bytes(data[k : k + 8], "little")) & m)
+    return h if len(data) <= 256 else int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def plain_combine(*parts):
+    m, out = (1 << 64) - 1, len(parts)
+    for p in parts:
+        out = plain_mix((out * 0xD6E8FEB86659FD93 + p) & m)
+    return out
+
+
+def plain_toxicity_features(text):
+    out = set()
+    for w in words(text):
+        low = w.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+        out.add(plain_hash(low) >> 44)
+        out |= {plain_mix((int.from_bytes(low[:k], "little") + k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> 44 for k in toxicity.PREFIXES if len(low) >= k}
+    return out
+
+
+def plain_quality_features(text):
+    w = [x.encode() for x in words(text)]
+    h, out, last = [plain_hash(x) for x in w], set(), {}
+    shapes, gaps, beats = [], [], []
+    for i, x in enumerate(w):
+        count = lambda chars: sum(c in chars for c in x)
+        upper, digit, mark, symbol = count(range(65, 91)), count(range(48, 58)), count(b".,;:!?"), count(b"#*$%&|<>@_~^=+/\\")
+        letters = len(x) - digit - mark - symbol
+        shapes.append((65 <= x[0] <= 90) + 2 * (upper >= 2 and upper == letters) + 4 * (digit > 0) + 8 * min(symbol, 3) + 32 * min(mark, 3) + 128 * (symbol == len(x)))
+        gap = i - last[x] if x in last else 0
+        beats.append(int(i > 0 and gap > 0 and gap == gaps[-1]))
+        gaps.append(gap)
+        last[x] = i
+        tail = 0
+        for k in range(3):
+            tail = tail * 256 + x[max(len(x) - 1 - k, 0)]
+        out |= {plain_combine(1, h[i]), plain_combine(3, tail)}
+    near = [min(g if g <= 4 else 3 + int(np.ceil(np.log2(g))), 8) for g in gaps]
+    for code, orders, family in ((h, (2,), 2), (shapes, (1, 2, 3), 4), (near, (1, 2, 3), 5), (beats, (4, 8), 6)):
+        out |= {plain_combine(family, k, *code[i : i + k]) for k in orders for i in range(len(w) - k + 1)}
+    return {f >> 44 for f in out}
+
+
+def plain_score(model, text):
+    """A text's score by loops over its words."""
+    features = (plain_toxicity_features if model.features is toxicity.toxicity_features else plain_quality_features)(text)
+    weight, norm = dict(zip(model.feature.tolist(), model.weight.tolist())), dict(zip(model.feature.tolist(), np.zeros(len(model.feature)).tolist() if model.norms is None else model.norms.tolist()))
+    margin = sum(weight.get(f, 0.0) for f in features)
+    if model.norms is not None:
+        margin /= max(sum(norm.get(f, 0.0) for f in features), 1e-12) ** 0.5
+    return 1 / (1 + np.exp(-np.clip(model.slope * margin + model.bias, -30, 30)))
+
+
+@pytest.mark.parametrize("module, operator", [(toxicity, toxicity.toxicity), (quality, quality.quality)])
+def test_scores_like_plain_python(spark, module, operator):
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    model = module.fit(docs, labels)
+    odd = docs_of(spark, [*ODD, "A man #1 SAYS: no!! " * 9, "y" * 300 + " " + "z" * 257])
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    for r in linear.scored(odd, model, 0.5).collect():
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-5)
+    some = {r.doc_id: r.text for r in docs.limit(40).collect()}
+    for r in operator(docs, labels).collect():
+        if r.doc_id in some:
+            assert r.score == pytest.approx(plain_score(model, some[r.doc_id]), abs=1e-5)
+
+
+def test_sample_has_no_more_rows_than_asked(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, ["a b c"] * 500 + ["d e f"] * 39, [1] * 500 + list(range(1, 40)))
+    assert linear.labelled_sample(docs, labels, "toxic", 20).count() == 20
+
+
+def test_words_that_cancel_out_in_polynomials():
+    """A Thue-Morse word and its complement have equal values in any polynomial of odd base modulo 2**64."""
+    bits = [i.bit_count() & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    for n in (64, 128, 256, 1024, 2048):
+        data = f"{one[:n]} {two[:n]}".encode()
+        w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert len(set(w.hashes().tolist())) == 2 and w.hashes().tolist() == [plain_hash(x) for x in data.split()]
+
+
+def test_neutral_mentions_are_spared(spark):
+    """A group that is mentioned more in toxic texts: the penalty leaves its neutral mentions alone."""
+    rng = random.Random(12)
+    filler = [f"word{i}" for i in range(40)]
+    texts, toxic = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        group = "muslim" if rng.random() < (0.7 if bad else 0.05) else "hindu" if rng.random() < 0.3 else ""
+        # half of the toxic texts show it by a rare insult only
+        texts.append(" ".join([*rng.sample(filler, 6), group, *([f"insult{rng.randint(0, 12)}"] if bad else [])]))
+        toxic.append(int(bad))
+    labels = spark.createDataFrame([(i, 0, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, texts)
+    neutral = docs_of(spark, [" ".join([*rng.sample(filler, 6), "muslim"]) for _ in range(100)])
+    wrong = {}
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.fit(docs, labels, counterfactual=penalty)
+        wrong[penalty] = np.mean([r.score for r in linear.scored(neutral, model, 0.5).collect()])
+        caught = linear.scored(docs, model, 0.5).join(labels, "doc_id").filter("toxic = 1 and predicted = 1").count()
+        assert caught >= 0.95 * sum(toxic)
+    assert wrong[toxicity.COUNTERFACTUAL] < 0.7 * wrong[0.0]
+
+
 @pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
 def test_classifiers_on_odd_rows(spark, operator):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None), (1, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
@@ -431,6 +550,21 @@ def test_repetition_like_brute_force(spark):
         assert r.base_failed == failed and r.kept == (not failed and covered <= repetition.MAX_COVERED * n and longest <= repetition.MAX_LONGEST)
 
 
+def test_long_texts_need_no_tables():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        doc = np.sort(rng.integers(0, 4, rng.integers(1, 60)))
+        key = combine(doc.astype(np.uint64), rng.integers(0, 3, len(doc)).astype(np.uint64))
+        end = np.searchsorted(doc, doc, side="right")
+        assert (repetition.longest_repeats(key, end) == repetition.longest_repeats(key, end, 0)).all()
+
+
+def test_a_very_long_text_and_repeated_rows(spark):
+    fresh = " ".join(f"w{i}" for i in range(300_000))
+    rows = repetition.repetition_rules(docs_of(spark, [fresh, f"{fresh} {fresh}", "a b", "a b"], [None, 1, 2, 2])).collect()
+    assert sorted((r.n_words, r.longest_repeat, r.covered_words) for r in rows) == [(2, 0, 0), (2, 0, 0), (300_000, 0, 0), (600_000, 300_000, 600_000)]
+
+
 def test_repeated_passages_fail(spark):
     rng = random.Random(2)
     fresh = lambda k: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(k))
@@ -516,19 +650,62 @@ def test_components_of_chains(spark):
 
 
 def test_pipeline_keeps_and_drops(spark):
+    """Each stage against brute force on what the stage before kept: scores in plain Python, all pairs, best packing's bound."""
     import corpus_pipeline as P
 
     assert [n for n, _ in P.STAGES] == ["quality classifier", "toxicity", "n-gram Jaccard join", "best-fit packing"]
-    docs = documents(spark)
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
     for name, stage in P.STAGES[:-1]:
         before = docs
         docs = stage(spark, docs, SF).cache()
         assert docs.columns == before.columns and docs.subtract(before).count() == 0
+        texts = [(r.doc_id, r.text) for r in before.collect()]
         if name == "n-gram Jaccard join":
-            kept = {i for i, _, c in components([(r.doc_id, r.text) for r in before.collect()]) if i == c}
-            assert {r.doc_id for r in docs.collect()} == kept
-    last = P.STAGES[-1][1](spark, docs, SF)
-    assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+            kept = {i for i, _, c in components(texts) if i == c}
+        elif name == "quality classifier":
+            model = quality.fit(before, labels)
+            kept = {i for i, t in texts if plain_score(model, t) >= 0.3}
+        else:
+            model = toxicity.fit(before, labels)
+            kept = {i for i, t in texts if plain_score(model, t) < 0.5}
+        assert len(kept) > 10 and {r.doc_id for r in docs.collect()} == kept
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = P.STAGES[-1][1](spark, docs, SF).collect()
+    tokenizer = Tokenizer.from_file(BYTE_VOCABULARY)
+    tokens = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    per = defaultdict(int)
+    for r in rows:
+        per[r.doc_id] += r.length
+    assert per == tokens and len({r.sequence_id for r in rows}) <= -(-sum(tokens.values()) // 1024) + 3
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, empty texts, repeated rows and clashing names, then no rows at all."""
+    import corpus_pipeline as P
+
+    texts = ODD + ["one two three four five six", "one two three four five six", "entirely different words are here now", "One two THREE four five six"]
+    ids = [None, *range(1, len(ODD)), 500, 500, 500, 400]
+    docs = docs_of(spark, texts, ids).withColumnsRenamed({"key": "again", "score": "stays"}).withColumn("part", F.lit(1)).withColumn("_row", F.lit(2))
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert P.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+    out = P.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    want = Counter(zip(ids, texts))
+    want.subtract({(500, "one two three four five six"): 2})
+    assert kept == +want
+    for name, stage in P.STAGES[:2]:
+        assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    import corpus_pipeline as P
+
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b") + " more"), (3, words("c")), (3, words("c")), (3, words("d")), (0, words("d"))]
+    out = P.drop_near_duplicates(spark, docs_of(spark, [t for _, t in rows], [i for i, _ in rows]), SF)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, words("a")), (1, words("b")), (3, words("c")), (0, words("d"))])
 
 
 def test_repeated_rows_leave_one(spark):
