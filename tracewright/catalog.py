@@ -7,4 +7,4 @@ from tracewright.registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-FLAGSHIP = "g5_confirmed_alerts"
+FLAGSHIP = "g10_decisions"

@@ -49,13 +49,32 @@ KERNEL_NAMES = {
     "sys_accept": "accept",
     "sys_accept4": "accept",
 }
+# Namespaces of the system.
 SYSTEM_NAMESPACES = ("kube-system", "kube-public", "kube-node-lease", "cilium", "monitoring")
-NETWORK_BINARIES = ("sh", "bash", "dash", "zsh", "ksh", "busybox", "curl", "wget", "nc", "ncat", "socat")
-BEHAVIOUR_SYSCALLS = ("execve", "execveat", "clone", "clone3", "unshare", "mount", "ptrace", "setuid", "setgid", "capset", "connect")
-LIMIT_FLOORS = {n: 0.05 if n in ("clone", "clone3", "connect") else 0.02 for n in BEHAVIOUR_SYSCALLS}
+# Ends of the paths of shells and network tools.
+NETWORK_BINARIES = ("/sh", "/bash", "/dash", "/zsh", "/ksh", "/busybox", "/curl", "/wget", "/nc", "/ncat", "/socat")
+# Calls that may show an attack, and the least limit of each call's share.
+LIMIT_FLOORS = {
+    "execve": 0.02,
+    "execveat": 0.02,
+    "clone": 0.05,
+    "clone3": 0.05,
+    "unshare": 0.02,
+    "mount": 0.02,
+    "ptrace": 0.02,
+    "setuid": 0.02,
+    "setgid": 0.02,
+    "capset": 0.02,
+    "connect": 0.05,
+}
+BEHAVIOUR_SYSCALLS = tuple(LIMIT_FLOORS)
+# Keys of a call's parameters that name a resource.
 RESOURCE_KEYS = ("bucket", "database", "deployment", "endpoint", "file", "filename", "host", "namespace", "path", "pod", "resource", "secret", "service", "table", "uri", "url")
+# Parts of the names of risky tools, and of risky resources.
 RISKY_TOOLS = ("apply", "bash", "chmod", "chown", "delete", "drop", "exec", "kubectl", "patch", "privileged", "rm", "secret", "shell", "ssh", "token")
 RISKY_RESOURCES = ("clusterrole", "credential", "kube-system", "secret", "serviceaccount", "token")
+# Methods that call a tool.
+TOOL_METHODS = ("tools/call", "tool/call")
 # Technique, its name, confidence, the calls of which any counts, or all where so said.
 TECHNIQUES = (
     ("T1059", "Command and Scripting Interpreter", "high", ("execve",), "any"),
@@ -110,7 +129,7 @@ def stable_workload(workload_key) -> F.Column:
 
 def is_network_binary(binary) -> F.Column:
     """the path ends with a shell or a network tool."""
-    return F.lower(binary).rlike("/(" + "|".join(NETWORK_BINARIES) + ")$")
+    return F.lower(binary).rlike("(" + "|".join(NETWORK_BINARIES) + ")$")
 
 
 def hash_bin(value, bits: int) -> F.Column:

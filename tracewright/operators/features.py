@@ -9,14 +9,16 @@ from tracewright.functions.syscalls import BEHAVIOUR_SYSCALLS, hash_bin
 
 
 def vocabulary(names: DataFrame, name: str) -> DataFrame:
-    """A1: (term, idx): the sorted names, then all ordered pairs a|b. Names are a short list, pairs its square.
+    """A1: (term, idx): the sorted names, then all ordered pairs a|b.
 
-    A single vocabulary is at most some hundred names, so the one ordered numbering is over a small table.
+    Only the different names are numbered in one place; a pair's index follows from the numbers of its names, so their
+    square is made and kept in parallel.
     """
     one = names.select(F.col(name).alias("a")).filter("a is not null").distinct()
-    pairs = one.crossJoin(one.select(F.col("a").alias("b"))).select(F.lit(1).alias("kind"), "a", "b", F.concat_ws("|", "a", "b").alias("term"))
-    terms = one.select(F.lit(0).alias("kind"), "a", F.lit("").alias("b"), F.col("a").alias("term")).union(pairs)
-    return terms.select("term", (F.row_number().over(Window.orderBy("kind", "a", "b")) - 1).alias("idx"))
+    ranked = one.select("a", (F.row_number().over(Window.orderBy("a")) - 1).alias("r"))
+    n = one.agg(F.count("*").cast("int").alias("n"))
+    pairs = ranked.crossJoin(ranked.select(F.col("a").alias("b"), F.col("r").alias("s"))).crossJoin(n)
+    return ranked.select(F.col("a").alias("term"), F.col("r").alias("idx")).union(pairs.select(F.concat_ws("|", "a", "b"), F.col("n") * (1 + F.col("r")) + F.col("s")))
 
 
 def extend_vocabulary(vocab: DataFrame, required: DataFrame, name: str) -> DataFrame:
@@ -53,6 +55,12 @@ def profile(events: DataFrame, key: str, group: str, order: list[str], name: str
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(group, "before")))
 
 
+def unigrams(events: DataFrame, group: str, name: str) -> DataFrame:
+    """(group, name, n, p): how often a name occurs, and its share."""
+    n = events.groupBy(group, name).agg(F.count("*").alias("n"))
+    return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
+
+
 def bin_distribution(rows: DataFrame, group: str, value: str, bits: int = 6) -> DataFrame:
     """(group, bin, p): shares of the hash bins of a number; they sum to 1."""
     n = rows.groupBy(group, hash_bin(F.col(value), bits).alias("bin")).agg(F.count("*").alias("n"))
@@ -78,16 +86,34 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(both).alias("x")).select("x.*").distinct()
 
 
-def graph_features(messages: DataFrame, agent: str, time: str) -> DataFrame:
-    """Totals, rate over the observed span of at least a second, variety, risk, and the entropy of tools in bits."""
-    tools = messages.groupBy(agent, "tool").agg(F.count("*").alias("k"))
-    total = F.sum("k").over(Window.partitionBy(agent))
-    p = F.col("k") / F.col("total")
-    entropy = tools.withColumn("total", total).groupBy(agent).agg(F.max("k").alias("max_tool"), (-F.sum(p * F.log2(p))).alias("tool_entropy"))
-    base = messages.groupBy(agent).agg(
-        F.count("*").alias("events_total"), (F.count("*") / F.greatest(F.max(time) - F.min(time), F.lit(1.0))).alias("rate"), F.countDistinct("tool").alias("tools"), (F.count_if("high_risk") / F.count("*")).alias("risk_ratio"),
+def graph_features(messages: DataFrame, group: str, agent: str, time: str) -> DataFrame:
+    """The eleven features of each group's graph: totals, rate over the observed span of at least a second, variety,
+    risk, the most calls of a tool and touches of a resource, the entropy of tools in bits, and KiB.
+
+    messages have tool, resources, high_risk and raw_bytes.
+    """
+    tools = messages.groupBy(group, "tool").agg(F.count("*").alias("k"))
+    p = F.col("k") / F.sum("k").over(Window.partitionBy(group))
+    by_tool = tools.withColumn("p", p).groupBy(group).agg(F.count("*").alias("tools"), F.max("k").alias("max_tool_calls"), (-F.sum(F.col("p") * F.log2("p"))).alias("tool_entropy"))
+    touched = messages.select(group, F.explode("resources").alias("_r")).groupBy(group, "_r").agg(F.count("*").alias("k"))
+    by_resource = touched.groupBy(group).agg(F.count("*").alias("resources"), F.max("k").alias("max_resource_touches"))
+    base = messages.groupBy(group).agg(
+        F.count("*").alias("events_total"), (F.count("*") / F.greatest(F.max(time) - F.min(time), F.lit(1.0))).alias("rate"), F.countDistinct(agent).alias("agents"),
+        F.count_if("high_risk").alias("high_risk_events"), (F.count_if("high_risk") / F.count("*")).alias("risk_ratio"), (F.sum("raw_bytes") / 1024.0).alias("raw_kib"),
     )
-    return base.join(entropy, agent)
+    none = F.lit(0).cast("long")
+    out = base.join(by_tool, group).join(by_resource, group, "left")
+    return out.withColumn("resources", F.coalesce("resources", none)).withColumn("max_resource_touches", F.coalesce("max_resource_touches", none))
+
+
+def node_features(edges: DataFrame, messages: DataFrame, agent: str, time: str) -> DataFrame:
+    """(node, kind, one-hot kind, degrees, five globals): kinds as is_..., log1p of both degrees, and of the whole
+    graph the event rate, the numbers of tools and resources, the share of risk and the entropy of tools; these are one row."""
+    nodes = graph_nodes(edges)
+    whole = graph_features(messages.withColumn("_all", F.lit(0)), "_all", agent, time)
+    whole = whole.select(*[F.col(c).alias(f"g_{c}") for c in ("rate", "tools", "resources", "risk_ratio", "tool_entropy")])
+    kinds = [(F.col("kind") == k).cast("int").alias(f"is_{k}") for k in ("agent", "pod", "tool", "resource")]
+    return nodes.join(node_degrees(edges, nodes), "node").crossJoin(F.broadcast(whole)).select("node", "kind", *kinds, "out_degree", "in_degree", *whole.columns)
 
 
 def node_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

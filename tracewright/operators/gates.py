@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+from collections import deque
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.syscalls import wilson
+from tracewright.operators.folds import sorted_fold
 
 
 def by(key: list[str], *order: str):
@@ -63,15 +67,86 @@ def hysteresis(rows: DataFrame, key: list[str], order: list[str], qualifies: Col
     return out.withColumn("confirmed", (F.col("run") >= 2) | (F.coalesce(pending, F.lit(False)) & nearly))
 
 
+class _Sent:
+    """The time of the last alert that was sent."""
+
+    def __init__(self):
+        self.last = None
+
+
 def cooldown(alerts: DataFrame, key: list[str], time: str, quiet: float) -> DataFrame:
-    """Alerts that are sent: the first, then each that is at least quiet after the last one sent.
+    """Alerts that are sent: the first, then each that is at least quiet after the last one sent, and those at the same time.
+
+    Alerts are read in order, from one that is sent to the next by binary search; the state of a key is one time.
+    """
+
+    def step(s: _Sent, columns: dict[str, np.ndarray]) -> list:
+        t = columns[time]
+        keep = np.zeros(len(t), bool) if s.last is None else t == s.last
+        while True:
+            i = 0 if s.last is None else int(np.searchsorted(t, s.last + quiet, side="left"))
+            if i >= len(t):
+                return [keep]
+            s.last = t[i]
+            keep[i : np.searchsorted(t, s.last, side="right")] = True
+
+    return sorted_fold(alerts, key, [time], "_sent boolean", _Sent, step, [time]).filter("_sent").drop("_sent")
 
-    One after a gap of at least quiet is always sent, so alerts are folded by runs between such gaps.
+
+class _Chain:
+    """What a key's decisions carry on: windows in a row on each path, and when it last alerted."""
+
+    def __init__(self):
+        self.hard = self.behaviour = self.volume = 0
+        self.sent = None
+
+
+def decisions(rows: DataFrame, key: list[str], time: str, quiet: float) -> DataFrame:
+    """Adds decision and path to windows in order of time.
+
+    rows have skip (why a window is not judged, or null; it starts all counts anew), calibrating (not judged either, but
+    counts go on), gate, score, score_limit, extreme (more events than the learned maximum), warned (an early warning
+    holds), and the policy: k (windows in a row that confirm), near (the share of the limit at which the second of two
+    confirms), behaviour_floor and warning_floor (scores that confirm with persistent behaviour or with a warning; they
+    count only below the limit). Confirmed windows within quiet after an alert are in cooldown, which they don't extend.
     """
-    runs = alerts.withColumn("_run", F.sum(F.when(F.col(time) - F.lag(time).over(by(key, time)) >= quiet, 1).otherwise(0)).over(by(key, time)))
-    times = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_set(time)).alias("_t"))
-    kept = F.aggregate("_t", F.array().cast(alerts.select(F.array(time).alias("t")).schema["t"].dataType), lambda out, t: F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= quiet), F.concat(out, F.array(t))).otherwise(out))
-    return alerts.join(times.select(*key, F.explode(kept).alias(time)), [*key, time], "left_semi")
+
+    def one(s: _Chain, skip, calibrating, gate, score, limit, extreme, warned, k, near, behaviour_floor, warning_floor, t) -> tuple[str, str | None]:
+        if skip is not None:
+            s.hard = s.behaviour = s.volume = 0
+            return skip, None
+        if calibrating:
+            return "calibrating", None
+        high = score >= limit
+        if gate:
+            s.volume = 0
+            s.hard, path = (s.hard + 1, "hard_ml") if high else (k, "hysteresis_ml") if s.hard == 1 and score >= near * limit else (0, None)
+            s.behaviour = s.behaviour + 1 if behaviour_floor < limit and score >= behaviour_floor else 0
+            confirmed = s.hard >= k
+            if not confirmed and warned and warning_floor < limit and score >= warning_floor:
+                confirmed, path = True, "fast_path_behavior_ml_floor"
+            elif not confirmed and s.behaviour >= k:
+                confirmed, path = True, "behavior_persistence_ml_floor"
+        else:
+            s.hard = s.behaviour = 0
+            s.volume = s.volume + 1 if high and extreme else 0
+            if not s.volume:
+                return ("behavior_gated" if high else "normal"), None
+            confirmed, path = s.volume >= k, "extreme_volume_ml"
+        if not confirmed:
+            return "pending_confirmation", path
+        if s.sent is not None and t - s.sent < quiet:
+            return "cooldown", path
+        s.sent = t
+        return "detection", path
+
+    read = ["skip", "calibrating", "gate", "score", "score_limit", "extreme", "warned", "k", "near", "behaviour_floor", "warning_floor", time]
+
+    def step(s: _Chain, columns: dict[str, np.ndarray]) -> list:
+        out = [one(s, *row) for row in zip(*(columns[c].tolist() for c in read))]
+        return [[d for d, _ in out], [p for _, p in out]]
+
+    return sorted_fold(rows, key, [time], "decision string, path string", _Chain, step, read)
 
 
 def sequence_rule(events: DataFrame, key: str, order: list[str], name: str, time: str, network: Column, within: float, privilege: list[str], consume: list[str]) -> DataFrame:
@@ -113,41 +188,51 @@ def temporal_confirmation(rows: DataFrame, key: list[str], time: str, candidate:
 
 
 def agent_decisions(rows: DataFrame, key: str, order: list[str], score: str, time: str, minimum: float = 0.5, need: int = 2, quiet: float = 3.0, cap: int = 120, ready: int = 10) -> DataFrame:
-    """(key, order..., decision, limit). The limit follows the scores that raised no alert, so each row needs the one before.
+    """(key, order..., decision, limit_now). The limit follows the scores that raised no alert, so each row needs the one before.
 
-    One agent's rows are one fold; state is the last cap scores, a counter and a time. The same step runs on streams.
+    An agent's rows are read in order; the state is the last cap scores, a counter and a time. The same step runs on streams.
     """
-    schema = f"{rows.select(key, *order, score, time).schema.simpleString()[7:-1].replace(':', ' ')}, decision string, limit_now double"
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order)
-        state, out = AgentState(minimum, need, quiet, cap, ready), []
-        for s, t in zip(p[score], p[time]):
-            out.append(state.step(s, t))
-        return p.assign(decision=[d for d, _ in out], limit_now=[x for _, x in out])
+    def step(agent: AgentState, columns: dict[str, np.ndarray]) -> list:
+        out = [agent.step(float(s), float(t)) for s, t in zip(columns[score], columns[time])]
+        return [[d for d, _ in out], np.array([x for _, x in out], float)]
 
-    return rows.select(key, *order, score, time).groupBy(key).applyInPandas(fold, schema)
+    return sorted_fold(rows.select(key, *order, score, time), [key], order, "decision string, limit_now double", lambda: AgentState(minimum, need, quiet, cap, ready), step, [score, time])
 
 
 class AgentState:
-    """What is remembered of an agent between its scores."""
+    """What is remembered of an agent between its scores: the last ones, also in rising order."""
 
     def __init__(self, minimum: float, need: int, quiet: float, cap: int, ready: int):
         self.minimum, self.need, self.quiet, self.cap, self.ready = minimum, need, quiet, cap, ready
-        self.scores: list[float] = []
+        self.remember([])
         self.pending, self.last = 0, None
 
+    def remember(self, scores: list[float]) -> None:
+        self.scores, self.rising = deque(scores), sorted(scores)
+
+    @staticmethod
+    def _quantile(x: list[float], first: int, q: float) -> float:
+        """Of x[first:], rising, with linear interpolation."""
+        at = (len(x) - first - 1) * q
+        low = int(at)
+        a, b = x[first + low], x[min(first + low + 1, len(x) - 1)]
+        return a + (b - a) * (at - low)
+
     def limit(self) -> float:
-        x = pd.Series(self.scores)
+        x = self.rising
         if len(x) < self.ready:
             return self.minimum
-        return float(max(self.minimum, x[x >= x.quantile(0.9)].quantile(0.995) + 0.25))
+        return max(self.minimum, self._quantile(x, bisect_left(x, self._quantile(x, 0, 0.9)), 0.995) + 0.25)
 
     def step(self, score: float, time: float) -> tuple[str, float]:
         limit = self.limit()
         if score < limit:
             self.pending = 0
-            self.scores = [*self.scores, score][-self.cap :]
+            self.scores.append(score)
+            insort(self.rising, score)
+            if len(self.scores) > self.cap:
+                del self.rising[bisect_left(self.rising, self.scores.popleft())]
             return "normal", limit
         self.pending += 1
         if self.pending < self.need:

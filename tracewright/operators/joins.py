@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.folds import sorted_fold
+
 
-def pair_intervals(rows: DataFrame, key: str, kind: str, time: str) -> DataFrame:
-    """(key, started, ended, problem) from start and end rows of each id."""
+def pair_intervals(rows: DataFrame, key: str, kind: str, time: str, same: list[str] | None = None) -> DataFrame:
+    """(key, started, ended, problem) from start and end rows of each id, whose columns in same must be equal."""
+    same = same or []
     count = lambda k: F.count_if(F.col(kind) == k)
     at = lambda k: F.min(F.when(F.col(kind) == k, F.col(time)))
-    g = rows.groupBy(key).agg(at("start").alias("started"), at("end").alias("ended"), count("start").alias("_s"), count("end").alias("_e"))
+    g = rows.groupBy(key).agg(at("start").alias("started"), at("end").alias("ended"), count("start").alias("_s"), count("end").alias("_e"), *[(F.countDistinct(c) > 1).alias(f"_d_{c}") for c in same])
     problem = F.when((F.col("_s") > 1) | (F.col("_e") > 1), "repeated").when(F.col("_e") == 0, "no end").when(F.col("_s") == 0, "no start").when(F.col("ended") <= F.col("started"), "empty")
+    for c in same:
+        problem = problem.when(F.col(f"_d_{c}"), f"differs: {c}")
     return g.select(key, "started", "ended", problem.alias("problem"))
 
 
+def paired(first: DataFrame, second: DataFrame, key: list[str], outcome: str, same: list[str]) -> DataFrame:
+    """(key, outcome_1, outcome_2, problem) of two methods' results: trials that only one has, or that they describe differently."""
+    a = first.select(*key, F.col(outcome).alias(f"{outcome}_1"), F.struct(*same).alias("_a"))
+    b = second.select(*key, F.col(outcome).alias(f"{outcome}_2"), F.struct(*same).alias("_b"))
+    problem = F.when(F.col("_b").isNull(), "only first").when(F.col("_a").isNull(), "only second").when(~F.col("_a").eqNullSafe(F.col("_b")), "differs")
+    return a.join(b, key, "full_outer").select(*key, f"{outcome}_1", f"{outcome}_2", problem.alias("problem"))
+
+
 def buckets(start, end, width) -> F.Column:
     """The numbers of the time buckets that a closed interval touches."""
     return F.sequence(F.floor(start / width), F.floor(end / width))
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float, how: str = "inner") -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Rows of left (keys, began, ended) and right (keys, started, stopped) that overlap strictly.
 
     Both sides are dealt by key and by time bucket of about an interval's length; a pair counts in the bucket where the
@@ -30,7 +44,7 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float, h
     l = left.withColumn("_b", F.explode(buckets(F.col("began"), F.col("ended"), width)))  # noqa: E741
     r = right.withColumn("_b", F.explode(buckets(F.col("started"), F.col("stopped"), width)))
     first = F.floor(F.greatest("began", "started") / width)
-    return l.join(r, [*keys, "_b"], how).filter((F.col("began") < F.col("stopped")) & (F.col("started") < F.col("ended")) & (F.col("_b") == first)).drop("_b")
+    return l.join(r, [*keys, "_b"]).filter((F.col("began") < F.col("stopped")) & (F.col("started") < F.col("ended")) & (F.col("_b") == first)).drop("_b")
 
 
 def contained(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -60,26 +74,26 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
 def attribute_greedily(alerts: DataFrame, markers: DataFrame, key: str, horizon: float) -> DataFrame:
     """(key, alert_id, marker_id): each alert, in order, takes the newest marker within horizon that none took.
 
-    alerts (key, alert_id, at), markers (key, marker_id, marked). Rows of a key are folded by runs that a gap of more
-    than horizon parts.
+    alerts (key, alert_id, at), markers (key, marker_id, marked). Both are read in one order; the state of a key is its
+    free markers of the last horizon.
     """
     both = alerts.select(key, F.col("at").alias("t"), F.lit(1).alias("side"), F.col("alert_id").alias("id")).union(markers.select(key, F.col("marked"), F.lit(0), F.col("marker_id")))
-    w = Window.partitionBy(key).orderBy("t", "side", "id")
-    runs = both.withColumn("run", F.sum(F.when(F.col("t") - F.lag("t").over(w) > horizon, 1).otherwise(0)).over(w))
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p, free, out = p.sort_values(["t", "side", "id"]), [], []
-        for k, t, side, i in zip(p[key], p["t"], p["side"], p["id"]):
+    def step(free: deque, columns: dict) -> list:
+        taken = []
+        for t, side, i in zip(*(columns[c].tolist() for c in ("t", "side", "id"))):
             if side == 0:
                 free.append((t, i))
+                taken.append(None)
                 continue
-            free = [f for f in free if t - f[0] <= horizon]
-            if free:
-                out.append((k, i, free.pop()[1]))
-        return pd.DataFrame(out, columns=[key, "alert_id", "marker_id"])
+            while free and t - free[0][0] > horizon:
+                free.popleft()
+            taken.append(free.pop()[1] if free else None)
+        return [taken]
 
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
-    return runs.groupBy(key, "run").applyInPandas(fold, f"`{key}` {kinds[key]}, alert_id {kinds['id']}, marker_id {kinds['id']}")
+    kind = both.schema["id"].dataType.simpleString()
+    found = sorted_fold(both, [key], ["t", "side", "id"], f"marker_id {kind}", deque, step, ["t", "side", "id"])
+    return found.filter("side = 1 and marker_id is not null").select(key, F.col("id").alias("alert_id"), "marker_id")
 
 
 def earliest_match(trials: DataFrame, alerts: DataFrame, keys: list[str], horizon: float, width: float) -> DataFrame:
@@ -113,3 +127,17 @@ def bracket_bad_rows(rows: DataFrame, key: str, order: str, time: str) -> DataFr
     before = F.last(time, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(time, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     return rows.withColumn("after_t", before).withColumn("before_t", after).filter(F.col(time).isNull())
+
+
+def touches_phase(bad: DataFrame, phases: DataFrame, width: float) -> DataFrame:
+    """Bracketed rows (after_t, before_t, null where there is no neighbour) with touches_phase: a phase [started, stopped]
+    meets the closed bracket. Open ends reach as far as the phases do; brackets and phases meet by time buckets."""
+    ends = F.broadcast(phases.agg(F.min("started").alias("_lo"), F.max("stopped").alias("_hi")))  # one row
+    b = bad.crossJoin(ends)
+    low, high = F.greatest(F.coalesce("after_t", "_lo"), "_lo"), F.least(F.coalesce("before_t", "_hi"), "_hi")
+    inside = b.withColumn("_from", low).withColumn("_to", high)
+    spread = inside.filter("_from <= _to").select("_from", "_to", *bad.columns, F.explode(buckets(F.col("_from"), F.col("_to"), width)).alias("_b"))
+    marks = phases.withColumn("_b", F.explode(buckets(F.col("started"), F.col("stopped"), width)))
+    hits = spread.join(marks, "_b").filter((F.col("_from") <= F.col("stopped")) & (F.col("_to") >= F.col("started")))
+    hits = hits.select(*[F.col(c).alias(f"_h_{c}") for c in bad.columns], F.lit(True).alias("_hit")).distinct()
+    return bad.join(hits, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in bad.columns], "left").select(*bad.columns, F.coalesce("_hit", F.lit(False)).alias("touches_phase"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.robust import quantile
+from tracewright.operators.robust import QUANTILE_BUCKETS, counted_quantiles, quantile, value_bucket
 
 
 def standardised(rows: DataFrame, stats: DataFrame, key: list[str], value: str, floor: float = 0.01, limit: float = 10.0) -> DataFrame:
@@ -80,9 +80,11 @@ def isolation_scores(rows: DataFrame, key: str, row_id: str, vector: str, trees:
     Each tree grows from a hash-chosen sample of at most sample rows of its key, on one task; the trees of a key, a
     bounded table, are then copied to the salted parts of its rows.
     """
-    ranked = rows.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.col(row_id).alias("_id"))
+    spread = rows.select(key, F.col(row_id).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rank = F.row_number().over(Window.partitionBy(key, "tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id"))
-    chosen = ranked.filter(F.pmod(F.xxhash64("_id", "tree"), F.lit(4)) == 0).withColumn("_r", rank).filter(F.col("_r") <= sample)
+    # ids alone are ranked, and each task keeps the first ones of a tree, before the vectors of the few chosen are fetched
+    chosen = spread.withColumn("_r", rank).filter(F.col("_r") <= sample)
+    chosen = chosen.join(rows.select(key, F.col(row_id).alias("_id"), vector), [key, "_id"])
     kind = rows.schema[key].dataType.simpleString()
 
     def grow(g: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -117,11 +119,15 @@ def isolation_scores(rows: DataFrame, key: str, row_id: str, vector: str, trees:
             return pd.DataFrame({key: p[key], row_id: p[row_id], "isolation": [np.nan] * len(p)})
         x, depth = np.stack(p[vector].to_numpy()).astype(float), np.zeros(len(p))
         for t in m.sort_values("tree").itertuples():
-            for i, v in enumerate(x):
-                node, d = 0, 0
-                while t.f[node] >= 0:
-                    node, d = (t.a[node] if v[t.f[node]] < t.cut[node] else t.b[node]), d + 1
-                depth[i] += d + usual(t.n[node])
+            # all rows go down a level at once
+            f, cut, a, b = np.asarray(t.f), np.asarray(t.cut), np.asarray(t.a), np.asarray(t.b)
+            node, open_ = np.zeros(len(x), int), np.arange(len(x)) if f[0] >= 0 else np.zeros(0, int)
+            while len(open_):
+                at = node[open_]
+                node[open_] = np.where(x[open_, f[at]] < cut[at], a[at], b[at])
+                depth[open_] += 1
+                open_ = open_[f[node[open_]] >= 0]
+            depth += np.array([usual(n) for n in t.n])[node]
         scale = np.mean([usual(s) for s in m["size"]]) or 1.0
         return pd.DataFrame({key: p[key], row_id: p[row_id], "isolation": 2 ** (-(depth / len(m)) / scale)})
 
@@ -165,21 +171,29 @@ def ordered_split(rows: DataFrame, key: list[str], order: str, lead: int, share:
 def conformal(scores: DataFrame, calibration: DataFrame, key: list[str], score: str, alpha: float) -> DataFrame:
     """M8: adds p, (calibration scores at or over the score + 1) / (n + 1), and anomalous; too few calibration scores give null.
 
-    Both sides are put in one descending order of a key and counted on the way, so no pair of rows is compared.
+    Calibration scores are counted in buckets of a key's range. Within a bucket both sides are put in one descending
+    order and counted on the way, so no pair of rows is compared and no task gets a whole key. A key without
+    calibration scores gives no rows.
     """
-    both = scores.select(*key, score, F.lit(0).alias("_c"), F.struct(*scores.columns).alias("_row")).unionByName(calibration.select(*key, score, F.lit(1).alias("_c"), F.lit(None).alias("_row")))
-    w = Window.partitionBy(*key)
-    ge = F.sum("_c").over(w.orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_c").over(w)
-    p = F.when(n >= math.ceil(1 / alpha) - 1, (ge + 1) / (n + 1))
-    return both.withColumn("p", p).filter("_c = 0").select("_row.*", "p", (F.col("p") <= alpha).alias("anomalous"))
+    ends = calibration.groupBy(*key).agg(F.min(score).alias("_low"), F.max(score).alias("_high"), F.count(score).alias("_n"))
+    sides = scores.select(*key, F.col(score).alias("_s"), F.lit(0).alias("_c"), F.struct(*scores.columns).alias("_row")).unionByName(calibration.select(*key, F.col(score).alias("_s"), F.lit(1).alias("_c"), F.lit(None).alias("_row")))
+    both = sides.join(ends, key).withColumn("_b", value_bucket(F.col("_s"), F.col("_low"), F.col("_high")))
+    counts = calibration.join(ends, key).groupBy(*key, value_bucket(F.col(score), F.col("_low"), F.col("_high")).alias("_b")).agg(F.count("*").alias("_k"))
+    every = ends.select(*key, F.explode(F.sequence(F.lit(0), F.lit(QUANTILE_BUCKETS - 1))).alias("_b")).join(counts, [*key, "_b"], "left")
+    above = every.select(*key, "_b", (F.sum(F.coalesce("_k", F.lit(0))).over(Window.partitionBy(*key).orderBy(F.desc("_b"))) - F.coalesce("_k", F.lit(0))).alias("_above"))
+    within = F.sum("_c").over(Window.partitionBy(*key, "_b").orderBy(F.desc("_s")).rangeBetween(Window.unboundedPreceding, 0))
+    p = F.when(F.col("_n") >= math.ceil(1 / alpha) - 1, (F.col("_above") + F.col("_ge") + 1) / (F.col("_n") + 1))
+    found = both.withColumn("_ge", within).filter("_c = 0").join(above, [*key, "_b"])
+    return found.withColumn("p", p).select("_row.*", "p", (F.col("p") <= alpha).alias("anomalous"))
 
 
 def top_three(rows: DataFrame, baseline: DataFrame, key: list[str], row: list[str], feature: str, value: str) -> DataFrame:
-    """M9: (row, z_score): mean of the three largest one-sided robust z of a row's features."""
+    """M9: (row, z_score, contributions): mean of the three largest one-sided robust z of a row's features, and these
+    with their features, an array of (z, feature), largest first, ties by feature."""
     z = rows.join(baseline, [*key, feature]).withColumn("_z", F.greatest(F.lit(0.0), (F.col(value) - F.col("med")) / F.col("mad")))
-    three = F.slice(F.sort_array(F.collect_list("_z"), asc=False), 1, 3)
-    return z.groupBy(*row).agg((F.aggregate(three, F.lit(0.0), lambda a, v: a + v) / F.size(three)).alias("z_score"))
+    three = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_z")).alias("m"), F.col(feature).alias("f")))), 1, 3)
+    top = z.groupBy(*row).agg(F.transform(three, lambda x: F.struct((-x["m"]).alias("z"), x["f"].alias("feature"))).alias("contributions"))
+    return top.select(*row, (F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["z"]) / F.size("contributions")).alias("z_score"), "contributions")
 
 
 def neighbour_error(edges: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
@@ -190,6 +204,12 @@ def neighbour_error(edges: DataFrame, features: DataFrame, names: list[str]) ->
     return features.join(around.withColumnRenamed("src", "node"), "node").select("node", mse.alias("error"))
 
 
+def error_threshold(errors: DataFrame, error: str = "error", q: float = 0.99, margin: float = 0.02) -> DataFrame:
+    """Errors with limit, the 0.99 quantile of all + 0.02, and anomalous, whether the error is over it."""
+    limit = counted_quantiles(errors, [], error, {"_q": q}).select((F.col("_q") + margin).alias("limit"))
+    return errors.crossJoin(F.broadcast(limit)).withColumn("anomalous", F.col(error) > F.col("limit"))  # one row
+
+
 def holdout_gate(rows: DataFrame, key: list[str], order: list[str], alert: Column, limit: float) -> DataFrame:
     """(key, rate, passed): the share of alerts among the last fifth."""
     w = Window.partitionBy(*key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -174,10 +176,30 @@ def holm(tests: DataFrame, family: list[str], p: str, tie: str) -> DataFrame:
     return tests.withColumn("_s", step).withColumn("adjusted", F.max("_s").over(w.orderBy(p, tie).rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def paired_table(pairs: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    """A only, b only, both and neither."""
+def paired_table(pairs: DataFrame, group: list[str], a: str, b: str, latencies: tuple[str, str] | None = None) -> DataFrame:
+    """A only, b only, both and neither; with the latencies of a and b also lead, the median of a's less b's where both found it."""
     x, y = F.col(a), F.col(b)
-    return pairs.groupBy(*group).agg(F.count_if(x & ~y).alias("a_only"), F.count_if(~x & y).alias("b_only"), F.count_if(x & y).alias("both"), F.count_if(~x & ~y).alias("neither"))
+    more = [F.percentile(F.when(x & y, F.col(latencies[0]) - F.col(latencies[1])), 0.5).alias("lead")] if latencies else []
+    return pairs.groupBy(*group).agg(*more, F.count_if(x & ~y).alias("a_only"), F.count_if(~x & y).alias("b_only"), F.count_if(x & y).alias("both"), F.count_if(~x & ~y).alias("neither"))
+
+
+def overhead(blocks: DataFrame, group: list[str], block: str, rate: tuple[str, str], latency: tuple[str, str], iterations: int, seed: int) -> DataFrame:
+    """(group, blocks, loss, loss_low, loss_high, rise, rise_low, rise_high): medians over blocks of the per cent of
+    throughput lost and of latency gained from off to on, with bootstrap intervals of 0.95. rate and latency name (off, on)."""
+    b = blocks.select(*group, F.col(block).alias("block"), (100 * (1 - F.col(rate[1]) / F.col(rate[0]))).alias("loss"), (100 * (F.col(latency[1]) / F.col(latency[0]) - 1)).alias("rise"))
+    med = lambda c: F.percentile(c, 0.5)
+    drawn_ = bootstrap(b, group, ["loss", "rise"], iterations, seed).groupBy(*group, "iter").agg(med("loss").alias("loss"), med("rise").alias("rise"))
+    ends = drawn_.groupBy(*group).agg(*[F.percentile(c, q).alias(f"{c}_{n}") for c in ("loss", "rise") for n, q in (("low", 0.025), ("high", 0.975))])
+    return b.groupBy(*group).agg(F.count("*").alias("blocks"), med("loss").alias("loss"), med("rise").alias("rise")).join(ends, group)
+
+
+def pooled(campaigns: dict[str, DataFrame], group: list[str], effect: str, independent: list[str]) -> DataFrame:
+    """(group, blocks, campaigns, independent, effect, p): blocks of all campaigns as one sample. Independent if there are
+    two or more values of each column in independent; effect is the mean of the blocks, p by sign flips over them."""
+    both = reduce(DataFrame.unionByName, [d.withColumn("_campaign", F.lit(n)) for n, d in campaigns.items()])
+    apart = reduce(lambda a, b: a & b, [F.countDistinct(c) >= 2 for c in independent])
+    g = both.groupBy(*group).agg(F.count("*").alias("blocks"), F.countDistinct("_campaign").alias("campaigns"), apart.alias("independent"), F.avg(effect).alias("effect"))
+    return g.join(sign_flip(both, group, effect).select(*group, "p"), group)
 
 
 def restricted_time(trials: DataFrame, group: list[str], detected: str, latency: str, censor: str, cuts: list[float]) -> DataFrame:

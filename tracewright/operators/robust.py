@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.syscalls import BEHAVIOUR_SYSCALLS, LIMIT_FLOORS, mapping
@@ -17,9 +17,48 @@ def quantile(value, *q: float) -> F.Column:
     return F.percentile(value, q[0]) if len(q) == 1 else F.percentile(value, list(q))
 
 
-def median_and_mad(rows: DataFrame, key: list[str], value: str, more: dict[str, F.Column] | None = None) -> DataFrame:
-    """(key, n, med, mad, ...more): mad is the plain median of |value - med|."""
-    first = rows.groupBy(*key).agg(F.count(value).alias("n"), quantile(value, 0.5).alias("med"), *[c.alias(k) for k, c in (more or {}).items()])
+#: Buckets of a key's range in counted_quantiles().
+QUANTILE_BUCKETS = 1024
+
+
+def value_bucket(value: Column, low: Column, high: Column) -> Column:
+    """The number of a value's bucket between low and high; it never falls as the value rises."""
+    share = F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
+    return F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (QUANTILE_BUCKETS - 1)).cast("int")
+
+
+def counted_quantiles(rows: DataFrame, key: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """(key, n, the names of qs): the quantiles that percentile gives, for keys of any size; null values are left out.
+
+    Buckets of a key's range are counted first, which tells the buckets that hold the wanted ranks. Only their values
+    are then counted and ranked, so no task holds a key: percentile keeps all different values of one.
+    """
+    x = rows.filter(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    x = x if key else x.withColumn("_all", F.lit(0))
+    keys = key or ["_all"]
+    ends = x.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("n"))
+    x = x.join(ends, keys).withColumn("_b", value_bucket(F.col("_v"), F.col("_low"), F.col("_high")))
+    buckets = x.groupBy(*keys, "n", "_b").agg(F.count("*").alias("_c"))
+    buckets = buckets.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_c"))
+    at = {name: (F.col("n") - 1) * F.lit(q) for name, q in qs.items()}
+    ranks = F.array_distinct(F.array(*[r for p in at.values() for r in (F.floor(p), F.ceil(p))]))
+    wanted = buckets.filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).select(*keys, "_b", "_before")
+    near = x.join(wanted, [*keys, "_b"]).groupBy(*keys, "n", "_b", "_before", "_v").agg(F.count("*").alias("_c"))
+    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    near = near.withColumn("_last", last)
+    of = lambda r: F.max(F.when((F.col("_last") - F.col("_c") <= r) & (r < F.col("_last")), F.col("_v")))
+    found = near.groupBy(*keys, "n").agg(*[of(f(p)).alias(f"_{name}{i}") for name, p in at.items() for i, f in enumerate((F.floor, F.ceil))])
+    return found.select(*key, "n", *[(F.col(f"_{k}0") + (F.col(f"_{k}1") - F.col(f"_{k}0")) * (p - F.floor(p))).alias(k) for k, p in at.items()])
+
+
+def median_and_mad(rows: DataFrame, key: list[str], value: str, more: dict[str, float] | None = None, large: bool = False) -> DataFrame:
+    """(key, n, med, ...more, mad): mad is the plain median of |value - med|, more are quantiles. large: for keys of very many rows."""
+    qs = {"med": 0.5} | (more or {})
+    if large:
+        first = counted_quantiles(rows, key, value, qs)
+        away = rows.select(*key, value).join(first.select(*key, "med"), key).select(*key, F.abs(F.col(value) - F.col("med")).alias("_d"))
+        return first.join(counted_quantiles(away, key, "_d", {"mad": 0.5}).drop("n"), key)
+    first = rows.groupBy(*key).agg(F.count(value).alias("n"), *[quantile(value, q).alias(k) for k, q in qs.items()])
     spread = rows.select(*key, value).join(first.select(*key, "med"), key).groupBy(*key).agg(quantile(F.abs(F.col(value) - F.col("med")), 0.5).alias("mad"))
     return first.join(spread, key)
 
@@ -28,20 +67,20 @@ def behaviour_limits(frequencies: DataFrame, key: str, name: str, value: str, q:
     """(key, name, limit_value): quantile + max(margin, 8 or other scaled MADs), within [floor, cap]."""
     rows = frequencies.filter(F.col(name).isin(*BEHAVIOUR_SYSCALLS))
     least = F.lit(floor) if floor is not None else mapping(LIMIT_FLOORS)[F.col(name)]
-    stats = median_and_mad(rows, [key, name], value, {"top": quantile(value, q)})
+    stats = median_and_mad(rows, [key, name], value, {"top": q})
     return stats.select(key, name, F.least(F.lit(cap), F.greatest(least, F.col("top") + F.greatest(F.lit(margin), deviations * MAD_SCALE * F.col("mad")))).alias("limit_value"))
 
 
 def tail_scale(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, tail_limit, tail_scale) of errors."""
-    s = median_and_mad(rows, key, value, {"top": quantile(value, 0.99)})
+    s = median_and_mad(rows, key, value, {"top": 0.99}, large=True)
     s = s.withColumn("tail_limit", F.greatest("top", F.col("med") + 6 * MAD_SCALE * F.col("mad")))
     return s.select(*key, "tail_limit", F.greatest(F.col("tail_limit") - F.col("med"), F.abs("tail_limit") * 0.10, F.lit(1e-6)).alias("tail_scale"))
 
 
 def threshold(rows: DataFrame, key: list[str], score: str, minimum: float, margin: float = 0.5, q: float = 0.995, min_samples: int = 30) -> DataFrame:
     """(key, n, limit): quantile + margin * max(MAD, 0.001), in [minimum, 0.995]; the minimum for few scores."""
-    s = median_and_mad(rows, key, score, {"top": quantile(score, q)})
+    s = median_and_mad(rows, key, score, {"top": q})
     value = F.least(F.lit(0.995), F.greatest(F.lit(minimum), F.col("top") + margin * F.greatest(F.col("mad"), F.lit(1e-3))))
     return s.select(*key, "n", F.when(F.col("n") < min_samples, F.lit(minimum)).otherwise(value).alias("limit"))
 
@@ -63,7 +102,7 @@ def pareto_threshold(rows: DataFrame, key: str, score: str, minimum: float, marg
 
     Only scores over the quantile reach Python, a tenth of a key's rows.
     """
-    s = median_and_mad(rows, [key], score, {"u": quantile(score, tail)})
+    s = median_and_mad(rows, [key], score, {"u": tail}, large=True)
     above = rows.select(key, score).join(s, key).filter(F.col(score) > F.col("u")).select(key, (F.col(score) - F.col("u")).cast("double").alias("excess"), "n", "u", "mad")
 
     def fit(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -83,14 +122,16 @@ def pareto_threshold(rows: DataFrame, key: str, score: str, minimum: float, marg
 
 def agent_threshold(rows: DataFrame, key: str, score: str, minimum: float) -> DataFrame:
     """The 0.995 quantile of the scores at or over the 0.9 quantile, + 0.25, at least minimum."""
-    u = rows.groupBy(key).agg(quantile(score, 0.9).alias("u"))
-    return rows.join(u, key).filter(F.col(score) >= F.col("u")).groupBy(key).agg(F.greatest(F.lit(minimum), quantile(score, 0.995) + 0.25).alias("limit"))
+    u = counted_quantiles(rows, [key], score, {"u": 0.9}).drop("n")
+    top = counted_quantiles(rows.join(u, key).filter(F.col(score) >= F.col("u")), [key], score, {"top": 0.995})
+    return top.select(key, F.greatest(F.lit(minimum), F.col("top") + 0.25).alias("limit"))
 
 
-def event_bounds(rows: DataFrame, key: str, events: str) -> DataFrame:
-    """(key, low, high): half the 0.1 quantile and twice the 0.99 quantile of event counts, at least 1."""
-    q = rows.groupBy(key).agg(quantile(events, 0.1, 0.99).alias("q"))
-    return q.select(key, F.greatest(F.lit(1).cast("long"), F.floor(F.col("q")[0] * 0.5)).alias("low"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("q")[1] * 2)).alias("high"))
+def event_bounds(rows: DataFrame, key: str, events: str, low: tuple[float, float] = (0.1, 0.5), high: tuple[float, float] = (0.99, 2.0)) -> DataFrame:
+    """(key, low, high): half the 0.1 quantile and twice the 0.99 quantile of event counts, or other quantiles and factors, at least 1."""
+    q = rows.groupBy(key).agg(quantile(events, low[0], high[0]).alias("q"))
+    one = F.lit(1).cast("long")
+    return q.select(key, F.greatest(one, F.floor(F.col("q")[0] * low[1])).alias("low"), F.greatest(one, F.ceil(F.col("q")[1] * high[1])).alias("high"))
 
 
 def robust_baseline(rows: DataFrame, key: list[str], value: str, floor: float = 0.05, least: int = 3) -> DataFrame:
@@ -111,9 +152,13 @@ def extend_envelope(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, "grp", top.alias("normal_max"), (~top.eqNullSafe(F.col("o"))).alias("changed"))
 
 
-def summary(rows: DataFrame, key: list[str], value: str, saturated: float, approximate: bool = False) -> DataFrame:
-    """Count, least, quantiles, largest and the share at or over saturated. Approximate only on request."""
+def summary(rows: DataFrame, key: list[str], value: str, saturated: float, approximate: bool = False, large: bool = False) -> DataFrame:
+    """Count, least, quantiles, largest and the share at or over saturated. Approximate only on request; large: for keys of very many rows."""
     qs = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+    plain = [F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"), F.avg((F.col(value) >= saturated).cast("double")).alias("saturated")]
+    if large:
+        s = rows.groupBy(*key).agg(*plain).join(counted_quantiles(rows, key, value, qs).drop("n"), key)
+        return s.select(*key, "n", "least", *qs, "largest", "saturated")
     q = F.percentile_approx(value, list(qs.values()), 10000) if approximate else quantile(value, *qs.values())
-    s = rows.groupBy(*key).agg(F.count(value).alias("n"), F.min(value).alias("least"), q.alias("_q"), F.max(value).alias("largest"), F.avg((F.col(value) >= saturated).cast("double")).alias("saturated"))
+    s = rows.groupBy(*key).agg(*plain, q.alias("_q"))
     return s.select(*key, "n", "least", *[F.col("_q")[i].alias(k) for i, k in enumerate(qs)], "largest", "saturated")

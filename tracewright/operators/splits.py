@@ -25,6 +25,12 @@ def largest_gap(rows: DataFrame, key: list[str], time: str, start: Column, end:
     return g.groupBy(*key).agg(F.greatest(F.max("_g"), F.min(time) - F.min(start), F.max(end) - F.max(time)).alias("max_gap"))
 
 
+def stable_counters(rows: DataFrame, key: list[str], counters: list[str]) -> DataFrame:
+    """(key, changed): which counters are not the same in all rows of a key, or below 0, in order; empty if all are sound."""
+    bad = [F.when((F.min(c) != F.max(c)) | (F.min(c) < 0), F.lit(c)) for c in sorted(counters)]
+    return rows.groupBy(*key).agg(F.array_join(F.array_compact(F.array(*bad)), ",").alias("changed"))
+
+
 def slowest(rows: DataFrame, value: str, tie: str, k: int = 20) -> DataFrame:
     """The k largest; each task keeps k, so no full sort happens."""
     return rows.orderBy(F.desc(value), tie).limit(k)

@@ -2,38 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.folds import sorted_fold
+
 
 def ordered(key: list[str] | str, *order: str):
     keys = [key] if isinstance(key, str) else key
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+class _Anchor:
+    """The first event of the current grid of windows, and the last event."""
+
+    def __init__(self):
+        self.base, self.last = None, None
+
+
 def anchored_windows(events: DataFrame, key: str, time: str, tie: str, width: float) -> DataFrame:
     """Adds anchor, the start of the event's window, in the unit of time.
 
     The first event of a key opens a window. An event at or past its end closes it and opens the next at that end, or,
-    if the event is a further width late, at the event. Late data do not occur: events are put in order first. The
-    order-dependent rule is a fold over one key and one run at a time: runs end where a gap of twice the width forces a
-    new anchor, so a busy key is folded in many short pieces rather than one long one.
+    if the event is a further width late, at the event. Late data do not occur: events are put in order first. So from
+    an anchor on windows are a grid, until an event leaves a whole window of it empty; only events after a gap of more
+    than a width can do that, and only these are looked at one by one. The state of a key is two times.
     """
-    w = ordered(key, time, tie)
-    gap = F.col(time) - F.lag(time).over(w)
-    runs = events.withColumn("_run", F.sum(F.when(gap >= 2 * width, 1).otherwise(0)).over(w))
-    step = lambda a, t: (
-        F.when(a.isNull() | (t - a >= 2 * width), t).when(t - a >= width, a + width).otherwise(a)
-    )
-    times = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_set(F.col(time))).alias("_times"))
-    anchors = F.aggregate(
-        "_times",
-        F.struct(F.lit(None).cast("double").alias("a"), F.array().cast("array<struct<t:double,a:double>>").alias("out")),
-        lambda s, t: F.struct(step(s["a"], t).alias("a"), F.when((s["a"].isNull()) | (step(s["a"], t) != s["a"]), F.concat(s["out"], F.array(F.struct(t.alias("t"), step(s["a"], t).alias("a"))))).otherwise(s["out"]).alias("out")),
-    )["out"]
-    opened = times.select(key, F.explode(anchors).alias("_o")).select(key, F.col("_o.t").alias(time), F.col("_o.a").alias("anchor"))
-    marked = events.join(opened, [key, time], "left")
-    return marked.withColumn("anchor", F.last("anchor", ignorenulls=True).over(w))
+
+    def step(s: _Anchor, columns: dict[str, np.ndarray]) -> list:
+        t = columns[time].astype(float)
+        if s.base is None:
+            s.base = s.last = t[0]
+        before = np.r_[s.last, t[:-1]]
+        base, at = np.empty(len(t)), 0
+        for i in np.flatnonzero(t - before > width).tolist():
+            if np.floor((t[i] - s.base) / width) - np.floor((before[i] - s.base) / width) >= 2:
+                base[at:i], at, s.base = s.base, i, t[i]
+        base[at:], s.last = s.base, t[-1]
+        return [base + np.floor((t - base) / width) * width]
+
+    return sorted_fold(events, [key], [time, tie], "anchor double", _Anchor, step, [time])
 
 
 def aligned_windows(events: DataFrame, micros: str, width_seconds: int) -> DataFrame:
@@ -55,10 +64,22 @@ def rolling_rate(rows: DataFrame, key: list[str], order: list[str], value: str,
     return rows.withColumn("mean", F.coalesce(F.avg(value).over(w), F.col(value).cast("double"))).withColumn("std", F.coalesce(F.stddev_pop(value).over(w), F.lit(0.0)))
 
 
-def sliding_count(events: DataFrame, key: str, time: str, tie: str, width: float, capacity: int) -> DataFrame:
-    """Adds events_total, the number of a key's events in the last width, the newest capacity of them at most."""
+def sliding_count(events: DataFrame, key: str, time: str, tie: str, width: float, capacity: int, value: str | None = None) -> DataFrame:
+    """Adds events_total, the number of a key's events in the last width, the newest capacity of them at most.
+
+    With value, also held_total: its sum over just these events. The newest capacity rows of a key are a frame of rows,
+    those of the last width one of time, and the sum is over the shorter of both.
+    """
     w = ordered(key, time).rangeBetween(-width, 0)
-    return events.withColumn("events_total", F.least(F.count("*").over(w), F.lit(capacity).cast("long")))
+    out = events.withColumn("events_total", F.least(F.count("*").over(w), F.lit(capacity).cast("long")))
+    if value is None:
+        return out
+    newest = F.collect_list(value).over(ordered(key, time, tie).rowsBetween(-(capacity - 1), 0))
+    # rows of the same time that come later in the order are in the frame of time but not yet in that of rows
+    inside = F.count("*").over(ordered(key, time, tie).rowsBetween(Window.unboundedPreceding, 0)) - F.count("*").over(ordered(key, time).rangeBetween(Window.unboundedPreceding, -width - 1))
+    out = out.withColumn("_newest", newest).withColumn("_n", F.least(inside, F.lit(capacity).cast("long")).cast("int"))
+    held = F.aggregate(F.slice("_newest", F.greatest(F.size("_newest") - F.col("_n") + 1, F.lit(1)), F.col("_n")), F.lit(0.0), lambda a, v: a + v)
+    return out.withColumn("held_total", held).drop("_newest", "_n")
 
 
 def segments(rows: DataFrame, key: list[str], start: str, end: str, width: float, regime: str | None = None) -> DataFrame:
@@ -70,16 +91,25 @@ def segments(rows: DataFrame, key: list[str], start: str, end: str, width: float
     return rows.withColumn("segment", F.sum(F.when(cut, 1).otherwise(0)).over(w))
 
 
-def history(rows: DataFrame, key: list[str], end: str, need: int, vector: str) -> DataFrame:
-    """Adds status (warming until need rows of the segment came before) and past, the need vectors before, end to end."""
+def history(rows: DataFrame, key: list[str], end: str, need: int, vector: str, start: str | None = None, width: float | None = None, regime: str | None = None) -> DataFrame:
+    """Adds status (warming until need rows of the segment came before) and past, the need vectors before, end to end.
+
+    With start, width and regime, as for segments(), also reset: why the row's segment began anew, temporal_gap before
+    traffic_regime_change; null for rows that go on.
+    """
     w = ordered([*key, "segment"], end)
+    if start:
+        all_rows = ordered(key, end)
+        gap = (F.col(start) - F.lag(end).over(all_rows)) > 2.5 * width
+        changed = F.col(regime) != F.lag(regime).over(all_rows) if regime else F.lit(False)
+        rows = rows.withColumn("reset", F.when(gap, "temporal_gap").when(changed, "traffic_regime_change"))
     before = F.flatten(F.collect_list(vector).over(w.rowsBetween(-need, -1)))
     return rows.withColumn("status", F.when(F.row_number().over(w) <= need, "warming").otherwise("ready")).withColumn("past", F.when(F.col("status") == "ready", before))
 
 
-def not_increasing(rows: DataFrame, key: list[str], arrival: str, time: str) -> DataFrame:
+def not_increasing(rows: DataFrame, key: list[str], arrival: list[str], time: str) -> DataFrame:
     """Rows whose time is not after that of the row that arrived before."""
-    return rows.withColumn("_before", F.lag(time).over(ordered(key, arrival))).filter(F.col(time) <= F.col("_before")).drop("_before")
+    return rows.withColumn("_before", F.lag(time).over(ordered(key, *arrival))).filter(F.col(time) <= F.col("_before")).drop("_before")
 
 
 def trailing(rows: DataFrame, end: str, duration: float) -> DataFrame:

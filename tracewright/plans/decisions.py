@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tracewright.functions.syscalls import BEHAVIOUR_SYSCALLS, wilson_sql
 from tracewright.operators import gates as G
 from tracewright.operators import joins as J
+from tracewright.operators import models as M
+from tracewright.operators import windows as W
 from tracewright.plans.features import ENVELOPE_SQL, FREQ, GROUPS, LIMITS_SQL, WEV, WIN, frequencies, group_counts, limits, scores, windowed
-from tracewright.operators.robust import envelope
+from tracewright.operators.robust import counted_quantiles, envelope, event_bounds
 from tracewright.registry import query
 from tracewright.sources.tables import EV, events
 
@@ -48,7 +50,7 @@ def judged(spark, sf_dir):
 )
 def g3(spark, sf_dir):
     w = judged(spark, sf_dir)
-    low = w.groupBy("workload").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.percentile("n", 0.1) * 0.9)).alias("low"))
+    low = counted_quantiles(w, ["workload"], "n", {"q": 0.1}).select("workload", F.greatest(F.lit(1).cast("long"), F.floor(F.col("q") * 0.9)).alias("low"))
     return w.join(low, "workload").select(*WIN, G.quality_skip(F.col("n"), F.col("low"), F.col("age"), 4, 20.0).alias("skip"))
 
 
@@ -70,51 +72,88 @@ def g4(spark, sf_dir):
     return calibrated(spark, sf_dir).select(*WIN, F.round(F.col("limit") + 1e-9, 6).alias("score_limit"))
 
 
-CONFIRMED_SQL = f"""{CALIBRATED_SQL}, ql AS (SELECT *, gate AND score >= 0.15 AS q FROM ca WHERE score_limit IS NOT NULL),
+#: The policy of the decision chain on these tables: quantile of the limit, least limit, gate ratio, quantile and factor of the
+#: usual number of events, windows that confirm, near ratio, floors with persistent behaviour and with a warning, quiet windows.
+CHAIN = {"q": 0.5, "baseline": 0.2, "ratio": 0.8, "volume": (0.5, 1.2), "k": 2, "near": 0.8, "behaviour_floor": 0.25, "warning_floor": 0.3, "quiet": 4}
+
+_RULE_SQL = f"""{EV}, lx AS (SELECT *, last_value(CASE WHEN syscall = 'execve' THEN us WHEN syscall = 'write' THEN -1 END IGNORE NULLS) OVER w AS lt,
+    last_value(CASE WHEN syscall = 'execve' THEN event_id % 2 WHEN syscall = 'write' THEN -1 END IGNORE NULLS) OVER w AS ln
+    FROM ev WINDOW w AS (PARTITION BY pod ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  wn AS (SELECT event_id, pod, workload, us, lt AS first_us, CASE WHEN syscall = 'setuid' THEN 'exec_privilege' WHEN syscall = 'connect' AND ln = 1 THEN 'exec_network' END AS rule FROM lx WHERE lt >= 0 AND us - lt <= 43200000000),
+  wr AS (SELECT * FROM wn WHERE rule IS NOT NULL)"""
+
+
+def warnings(spark, sf_dir):
+    return G.sequence_rule(events(spark, sf_dir), "pod", ["us", "event_id"], "syscall", "us", F.col("event_id") % 2 == 1, 12 * 3600 * 1_000_000, ["setuid"], ["write"])
+
+
+#: Scores of a window: the largest value, the mean one, and both.
+COMPONENTS = ("both", "first", "second")
+_C = CHAIN
+CHAIN_SQL = f"""{GATES_SQL}, {_RULE_SQL.removeprefix(EV + ", ")}, ws AS (SELECT workload, win, count(*) AS n, least(1.0, max(value) / 400) AS s1, least(1.0, avg(value) / 100) AS s2, win % 12 * 10.0 AS age FROM wv GROUP BY ALL),
+  bd AS (SELECT workload, greatest(1, CAST(floor(quantile_cont(n, 0.1) * 0.9) AS BIGINT)) AS low, greatest(1, CAST(ceil(quantile_cont(n, {_C["volume"][0]}) * {_C["volume"][1]}) AS BIGINT)) AS high FROM ws GROUP BY workload),
+  w2 AS (SELECT ws.*, coalesce(gate_ratio > {_C["ratio"]}, false) AS gate, n > high AS extreme, CASE WHEN n < 4 THEN 'low_event_skip' WHEN n < low THEN 'collection_quality_skip' WHEN age < 20 THEN 'pod_startup_grace' END AS skip,
+    coalesce((win + 1) * 21600000000 - (SELECT max(us) FROM wr WHERE wr.workload = ws.workload AND wr.us <= (ws.win + 1) * 21600000000) <= 21600000000, false) AS warned
+    FROM ws JOIN bd USING (workload) LEFT JOIN gt USING (workload, win)),
+  w3 AS (SELECT *, 'both' AS component, 0.8 * s1 + 0.2 * s2 AS score FROM w2 UNION ALL SELECT *, 'first', s1 FROM w2 UNION ALL SELECT *, 'second', s2 FROM w2),
+  w4 AS (SELECT *, skip IS NULL AND NOT gate AND score < 0.8 AS clean FROM w3),
+  w5 AS (SELECT *, CASE WHEN clean AND count(*) OVER f >= 10 THEN least(0.995, greatest({_C["baseline"]}, quantile_cont(score, {_C["q"]}) OVER f + 0.5 * greatest(mad(score) OVER f, 0.001))) END AS own
+    FROM w4 WINDOW f AS (PARTITION BY component, workload, clean ORDER BY win ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)),
+  cw AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY component, workload ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lm FROM w5)"""
+
+
+def chain_windows(spark, sf_dir, components=COMPONENTS):
+    """(component, workload, win, n, score, skip, gate, extreme, warned, clean, limit): what the chain decides on, by component of the score."""
+    w = windowed(spark, sf_dir).groupBy(*WIN).agg(F.count("*").alias("n"), F.max("value").alias("top"), F.avg("value").alias("mean"))
+    first, second = F.least(F.lit(1.0), F.col("top") / 400), F.least(F.lit(1.0), F.col("mean") / 100)
+    bounds = event_bounds(w, "workload", "n", (0.1, 0.9), CHAIN["volume"])
+    gated = gates(spark, sf_dir).select(*WIN, (F.col("gate_ratio") > CHAIN["ratio"]).alias("gate"))
+    w = w.join(bounds, "workload").join(gated, WIN, "left").withColumn("gate", F.coalesce("gate", F.lit(False)))
+    w = w.withColumn("extreme", F.col("n") > F.col("high")).withColumn("skip", G.quality_skip(F.col("n"), F.col("low"), F.col("win") % 12 * F.lit(10.0), 4, 20.0)).withColumn("ended", (F.col("win") + 1) * 21600000000)
+    w = J.asof(w, warnings(spark, sf_dir).select("workload", F.col("us").alias("warned_at")), ["workload"], "ended", "warned_at", 21600000000).withColumn("warned", F.col("warned_at").isNotNull())
+    scores = F.array(*[F.struct(F.lit(c).alias("component"), M.ensemble(first, second, F.lit(c)).alias("score")) for c in components])
+    w = w.select(*WIN, "n", "skip", "gate", "extreme", "warned", F.explode(scores).alias("x")).select("x.component", "x.score", *WIN, "n", "skip", "gate", "extreme", "warned")
+    clean = F.col("skip").isNull() & ~F.col("gate") & (F.col("score") < 0.8)
+    return G.calibrated(w.withColumn("clean", clean), ["component", "workload"], ["win"], "score", F.col("clean"), CHAIN["baseline"], q=CHAIN["q"])
+
+
+CONFIRMED_SQL = f"""{CHAIN_SQL}, ql AS (SELECT *, gate AND score >= lm AS q FROM cw WHERE component = 'first' AND lm IS NOT NULL),
   il AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY win) AS island FROM ql),
   rn AS (SELECT *, CAST(sum(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY workload, island ORDER BY win) AS BIGINT) AS run FROM il)"""
 
 
-def runs(spark, sf_dir):
-    """Windows with a limit, and how many before and with them qualified in a row; calibrating ones do not count at all."""
-    return G.run_length(calibrated(spark, sf_dir).filter("limit is not null"), ["workload"], ["win"], F.col("gate") & (F.col("score") >= 0.15))
+def over_limit(share: float = 1.0):
+    return F.col("gate") & (F.col("score") >= share * F.col("limit"))
 
 
-@query("g5_confirmed_alerts", f"WITH {CONFIRMED_SQL} SELECT workload, win, round(score, 6) AS score, run FROM rn WHERE run >= 1")
+def confirming(spark, sf_dir):
+    """Windows with a limit; those that calibrate do not count at all."""
+    return chain_windows(spark, sf_dir, ("first",)).filter("limit is not null")
+
+
+@query("g5_confirmed_alerts", f"WITH {CONFIRMED_SQL} SELECT workload, win, round(score, 6) AS score, run FROM rn WHERE run >= {_C['k']}")
 def g5(spark, sf_dir):
-    """Behaviour gate and score in one or more windows in a row."""
-    return runs(spark, sf_dir).filter("run >= 1").select(*WIN, F.round("score", 6).alias("score"), "run")
+    """Behaviour gate and a score at or over the learned limit in two or more windows in a row."""
+    runs = G.run_length(confirming(spark, sf_dir), ["workload"], ["win"], over_limit())
+    return runs.filter(F.col("run") >= CHAIN["k"]).select(*WIN, F.round("score", 6).alias("score"), "run")
 
 
 @query(
     "g6_hysteresis",
     f"""WITH {CONFIRMED_SQL}, h AS (SELECT *, lag(run) OVER (PARTITION BY workload ORDER BY win) AS before FROM rn)
-    SELECT workload, win, run >= 2 OR (coalesce(before = 1, false) AND score >= 0.1) AS confirmed FROM h""",
+    SELECT workload, win, run >= 2 OR (coalesce(before = 1, false) AND gate AND score >= {_C["near"]} * lm) AS confirmed FROM h""",
 )
 def g6(spark, sf_dir):
-    rows = calibrated(spark, sf_dir).filter("limit is not null")
-    return G.hysteresis(rows, ["workload"], ["win"], F.col("gate") & (F.col("score") >= 0.15), F.col("score") >= 0.1).select(*WIN, "confirmed")
+    return G.hysteresis(confirming(spark, sf_dir), ["workload"], ["win"], over_limit(), over_limit(CHAIN["near"])).select(*WIN, "confirmed")
 
 
 @query(
     "g7_volume_path",
-    f"""WITH {CALIBRATED_SQL}, v AS (SELECT *, NOT gate AND score >= 0.3 AND n > 10 AS q FROM ca), i AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY win) AS island FROM v)
+    f"""WITH {CHAIN_SQL}, v AS (SELECT *, NOT gate AND score >= lm AND extreme AS q FROM cw WHERE component = 'first' AND lm IS NOT NULL), i AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY win) AS island FROM v)
     SELECT workload, win, CAST(sum(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY workload, island ORDER BY win) AS BIGINT) AS run FROM i""",
 )
 def g7(spark, sf_dir):
-    rows = calibrated(spark, sf_dir)
-    return G.run_length(rows, ["workload"], ["win"], ~F.col("gate") & (F.col("score") >= 0.3) & (F.col("n") > 10)).select(*WIN, "run")
-
-
-_RULE_SQL = f"""{EV}, lx AS (SELECT *, last_value(CASE WHEN syscall = 'execve' THEN us WHEN syscall = 'write' THEN -1 END IGNORE NULLS) OVER w AS lt,
-    last_value(CASE WHEN syscall = 'execve' THEN event_id % 2 WHEN syscall = 'write' THEN -1 END IGNORE NULLS) OVER w AS ln
-    FROM ev WINDOW w AS (PARTITION BY pod ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  wn AS (SELECT event_id, pod, workload, us, lt AS first_us, CASE WHEN syscall = 'setuid' THEN 'exec_privilege' WHEN syscall = 'connect' AND ln = 1 THEN 'exec_network' END AS rule FROM lx WHERE lt >= 0 AND us - lt <= 43200000000),
-  wr AS (SELECT * FROM wn WHERE rule IS NOT NULL)"""
-
-
-def warnings(spark, sf_dir):
-    return G.sequence_rule(events(spark, sf_dir), "pod", ["us", "event_id"], "syscall", "us", F.col("event_id") % 2 == 1, 12 * 3600 * 1_000_000, ["setuid"], ["write"])
+    return G.run_length(confirming(spark, sf_dir), ["workload"], ["win"], ~F.col("gate") & (F.col("score") >= F.col("limit")) & F.col("extreme")).select(*WIN, "run")
 
 
 @query("g11_sequence_rule", f"WITH {_RULE_SQL} SELECT event_id, pod, rule, first_us FROM wr")
@@ -124,16 +163,19 @@ def g11(spark, sf_dir):
 
 @query(
     "g8_fused_confirmation",
-    f"""WITH {CALIBRATED_SQL}, {_RULE_SQL.removeprefix(EV + ", ")},
-    a AS (SELECT ca.*, (SELECT max(us) FROM wr WHERE wr.workload = ca.workload AND wr.us <= (ca.win + 1) * 21600000000) AS warned FROM ca)
-    SELECT workload, win, gate OR coalesce((win + 1) * 21600000000 - warned <= 86400000000, false) AS assisted FROM a""",
+    f"""WITH {CONFIRMED_SQL}, b AS (SELECT *, gate AND {_C["behaviour_floor"]} < lm AND score >= {_C["behaviour_floor"]} AS bq, gate AND warned AND {_C["warning_floor"]} < lm AND score >= {_C["warning_floor"]} AS assisted FROM rn),
+    bi AS (SELECT *, sum(CASE WHEN bq THEN 0 ELSE 1 END) OVER (PARTITION BY workload ORDER BY win) AS bisland FROM b),
+    br AS (SELECT *, sum(CASE WHEN bq THEN 1 ELSE 0 END) OVER (PARTITION BY workload, bisland ORDER BY win) >= {_C["k"]} AS persistent FROM bi)
+    SELECT workload, win, assisted, persistent, run >= {_C["k"]} OR assisted OR persistent AS confirmed FROM br""",
 )
 def g8(spark, sf_dir):
-    """A warning of the sequence rule in the last day counts like the behaviour gate."""
-    rows = calibrated(spark, sf_dir).withColumn("ended", (F.col("win") + 1) * 21600000000)
-    warned = warnings(spark, sf_dir).select("workload", F.col("us").alias("warned"))
-    joined = J.asof(rows, warned, ["workload"], "ended", "warned", 86400000000)
-    return joined.select(*WIN, (F.col("gate") | F.col("warned").isNotNull()).alias("assisted"))
+    """Windows that a warning or persistent behaviour confirms at a floor below the limit."""
+    rows, low, limit = confirming(spark, sf_dir), CHAIN["behaviour_floor"], F.col("limit")
+    rows = G.run_length(rows, ["workload"], ["win"], over_limit(), "hard")
+    rows = G.run_length(rows, ["workload"], ["win"], F.col("gate") & (limit > low) & (F.col("score") >= low), "behaviour")
+    assisted = F.col("gate") & F.col("warned") & (limit > CHAIN["warning_floor"]) & (F.col("score") >= CHAIN["warning_floor"])
+    persistent = F.col("behaviour") >= CHAIN["k"]
+    return rows.select(*WIN, assisted.alias("assisted"), persistent.alias("persistent"), ((F.col("hard") >= CHAIN["k"]) | assisted | persistent).alias("confirmed"))
 
 
 def cooldown_sql(rows: str, key: str, quiet: int) -> str:
@@ -153,18 +195,50 @@ def g12(spark, sf_dir):
     return G.cooldown(warnings(spark, sf_dir).select("pod", "rule", "us"), ["pod", "rule"], "us", 432000000000).distinct()
 
 
-@query(
-    "g10_decisions",
-    f"""WITH RECURSIVE {CONFIRMED_SQL}, al AS (SELECT workload, win AS t FROM rn WHERE run >= 1), {cooldown_sql('al', 'workload', 4)}
-    SELECT r.workload, r.win, CASE WHEN NOT r.q AND NOT r.gate AND r.score >= 0.15 THEN 'behavior_gated' WHEN NOT r.q THEN 'normal' WHEN c.sent = r.win THEN 'detection' ELSE 'cooldown' END AS decision
-    FROM rn r LEFT JOIN cd c ON c.workload = r.workload AND c.t = r.win""",
-)
+_POLICY_COLUMNS = ("policy", "component", "behaviour", "volume", "adaptive", "k")
+_POLICIES = [
+    ("full", "both", True, True, True, 2), ("no_behaviour", "both", False, True, True, 2), ("no_volume", "both", True, False, True, 2), ("static", "both", True, True, False, 2),
+    ("one_window", "both", True, True, True, 1), ("first_only", "first", True, True, True, 2), ("second_only", "second", True, True, True, 2),
+]
+
+
+def decided_sql(policies: list[tuple]) -> str:
+    """Expression dd (policy, workload, win, decision, path): the chain as a walk over the ordered windows of each policy and workload."""
+    held = "x.skip IS NOT NULL OR x.calibrating"
+    return f"""{CHAIN_SQL}, po({", ".join(_POLICY_COLUMNS)}) AS (VALUES {", ".join(str(p) for p in policies)}),
+  rw AS (SELECT policy, k, cw.workload, win, skip, adaptive AND clean AND lm IS NULL AS calibrating, gate OR NOT behaviour AS gate, extreme AND volume AS extreme, warned, score,
+    CASE WHEN adaptive THEN coalesce(lm, {_C["baseline"]}) ELSE {_C["baseline"]} END AS lim, row_number() OVER (PARTITION BY policy, cw.workload ORDER BY win) AS i FROM cw JOIN po USING (component)),
+  dd AS (SELECT policy, workload, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS win, 0 AS c, 0 AS b, 0 AS v, CAST(NULL AS BIGINT) AS sent, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS path FROM rw WHERE i = 1
+    UNION ALL SELECT policy, workload, i, win, c1, b1, v1, CASE WHEN decision = 'detection' THEN win ELSE sent END, decision, path FROM (
+      SELECT *, CASE WHEN skip IS NOT NULL THEN skip WHEN calibrating THEN 'calibrating' WHEN sure AND sent IS NOT NULL AND win - sent < {_C["quiet"]} THEN 'cooldown' WHEN sure THEN 'detection'
+        WHEN gate OR v1 > 0 THEN 'pending_confirmation' WHEN score >= lim THEN 'behavior_gated' ELSE 'normal' END AS decision FROM (
+        SELECT *, CASE WHEN {held.replace("x.", "")} THEN NULL WHEN NOT gate THEN CASE WHEN v1 > 0 THEN 'extreme_volume_ml' END WHEN c1 >= k THEN CASE WHEN score >= lim THEN 'hard_ml' ELSE 'hysteresis_ml' END
+          WHEN fast THEN 'fast_path_behavior_ml_floor' WHEN b1 >= k THEN 'behavior_persistence_ml_floor' WHEN score >= lim THEN 'hard_ml' END AS path,
+          CASE WHEN gate THEN c1 >= k OR fast OR b1 >= k ELSE v1 >= k END AS sure FROM (
+          SELECT x.*, d.sent, x.warned AND {_C["warning_floor"]} < x.lim AND x.score >= {_C["warning_floor"]} AS fast,
+            CASE WHEN x.skip IS NOT NULL THEN 0 WHEN x.calibrating THEN d.c WHEN NOT x.gate THEN 0 WHEN x.score >= x.lim THEN d.c + 1 WHEN d.c = 1 AND x.score >= {_C["near"]} * x.lim THEN x.k ELSE 0 END AS c1,
+            CASE WHEN x.skip IS NOT NULL THEN 0 WHEN x.calibrating THEN d.b WHEN NOT x.gate THEN 0 WHEN {_C["behaviour_floor"]} < x.lim AND x.score >= {_C["behaviour_floor"]} THEN d.b + 1 ELSE 0 END AS b1,
+            CASE WHEN x.skip IS NOT NULL THEN 0 WHEN x.calibrating THEN d.v WHEN x.gate THEN 0 WHEN x.score >= x.lim AND x.extreme THEN d.v + 1 ELSE 0 END AS v1
+          FROM dd d JOIN rw x ON x.policy = d.policy AND x.workload = d.workload AND x.i = d.i + 1))))"""
+
+
+def decided(spark, sf_dir, policies: list[tuple]):
+    """The windows of each policy, a row of a fixed list, with decision and path."""
+    kinds = "policy string, component string, behaviour boolean, volume boolean, adaptive boolean, k int"
+    po = F.broadcast(spark.createDataFrame(policies, kinds))  # a fixed list
+    rows = chain_windows(spark, sf_dir, tuple(sorted({p[1] for p in policies}))).join(po, "component")
+    limit = F.when(F.col("adaptive"), F.coalesce("limit", F.lit(CHAIN["baseline"]))).otherwise(F.lit(CHAIN["baseline"]))
+    rows = rows.select(
+        "policy", *WIN, "skip", (F.col("adaptive") & F.col("clean") & F.col("limit").isNull()).alias("calibrating"), (F.col("gate") | ~F.col("behaviour")).alias("gate"), (F.col("extreme") & F.col("volume")).alias("extreme"), "warned",
+        "score", limit.alias("score_limit"), "k", F.lit(CHAIN["near"]).alias("near"), F.lit(CHAIN["behaviour_floor"]).alias("behaviour_floor"), F.lit(CHAIN["warning_floor"]).alias("warning_floor"),
+    )
+    return G.decisions(rows, ["policy", "workload"], "win", CHAIN["quiet"])
+
+
+@query("g10_decisions", f"WITH RECURSIVE {decided_sql(_POLICIES[:1])} SELECT workload, win, decision, coalesce(path, '') AS path FROM dd WHERE i > 0")
 def g10(spark, sf_dir):
-    rows = runs(spark, sf_dir)
-    sent = G.cooldown(rows.filter("run >= 1").select(*WIN), ["workload"], "win", 4).withColumn("sent", F.lit(True))
-    q = F.col("run") >= 1
-    label = F.when(~q & ~F.col("gate") & (F.col("score") >= 0.15), "behavior_gated").when(~q, "normal").when(F.col("sent"), "detection").otherwise("cooldown")
-    return rows.join(sent, WIN, "left").select(*WIN, label.alias("decision"))
+    """Each window's decision and the path that led to it."""
+    return decided(spark, sf_dir, _POLICIES[:1]).select(*WIN, "decision", F.coalesce("path", F.lit("")).alias("path"))
 
 
 def policy(spark):
@@ -200,14 +274,23 @@ def g14(spark, sf_dir):
 
 @query(
     "g15_statuses",
-    f"""WITH {CORROBORATED_SQL}, ws AS (SELECT workload, win, least(1.0, max(value) / 400) AS score FROM wv GROUP BY ALL)
-    SELECT ws.workload, ws.win, CASE WHEN ws.workload = 'w7' THEN 'collect-only' WHEN ws.win % 12 < 2 THEN 'warming' WHEN score >= 0.3 AND corroborated THEN 'alert' WHEN score >= 0.3 THEN 'suppressed' ELSE 'normal' END AS status
-    FROM ws JOIN co USING (workload, win)""",
+    f"""WITH {CORROBORATED_SQL}, ws AS (SELECT workload, win, least(1.0, max(value) / 400) AS score FROM wv GROUP BY ALL),
+    md AS (SELECT workload FROM wv GROUP BY workload HAVING count(*) > (SELECT count(*) / 8.0 FROM wv)),
+    sg AS (SELECT *, CAST(sum(CASE WHEN win - pw > 2 OR win // 28 <> pw // 28 THEN 1 ELSE 0 END) OVER (PARTITION BY workload ORDER BY win) AS BIGINT) AS segment FROM (SELECT *, lag(win) OVER (PARTITION BY workload ORDER BY win) AS pw FROM ws)),
+    st AS (SELECT *, row_number() OVER (PARTITION BY workload, segment ORDER BY win) <= 2 AS warming FROM sg)
+    SELECT st.workload, st.win, CASE WHEN st.workload NOT IN (SELECT workload FROM md) THEN 'collect-only' WHEN warming THEN 'warming' WHEN score >= 0.3 AND corroborated THEN 'alert' WHEN score >= 0.3 THEN 'suppressed' ELSE 'normal' END AS status
+    FROM st JOIN co USING (workload, win)""",
 )
 def g15(spark, sf_dir):
+    """collect-only: the workload has no model (too few events); warming: too few windows before it in its segment (a week's regime, without gaps)."""
     rows = judged(spark, sf_dir).join(corroboration(spark, sf_dir), WIN)
+    events_of = rows.groupBy("workload").agg(F.sum("n").alias("events"))
+    models = events_of.join(events_of.agg((F.sum("events") / 8.0).alias("fair")), F.col("events") > F.col("fair")).select("workload", F.lit(True).alias("modelled"))
+    rows = rows.withColumn("regime", F.floor(F.col("win") / 28)).withColumn("began", F.col("win"))
+    rows = W.history(W.segments(rows, ["workload"], "began", "win", 0.8, "regime"), ["workload"], "win", 2, "groups")
     odd = F.col("score") >= 0.3
-    return rows.select(*WIN, F.when(F.col("workload") == "w7", "collect-only").when(F.col("win") % 12 < 2, "warming").when(odd & F.col("corroborated"), "alert").when(odd, "suppressed").otherwise("normal").alias("status"))
+    status = F.when(F.col("modelled").isNull(), "collect-only").when(F.col("status") == "warming", "warming").when(odd & F.col("corroborated"), "alert").when(odd, "suppressed").otherwise("normal")
+    return rows.join(models, "workload", "left").select(*WIN, status.alias("status"))
 
 
 @query(
@@ -239,21 +322,13 @@ def g18(spark, sf_dir):
     return G.first_sensitive(w, "sequence", "began", "ended", ["execve", "setuid"]).select(*WIN, F.round("first_at", 3).alias("first_at"))
 
 
-_POLICIES = [("all", True, True, 2, 0.5), ("no_behaviour", False, True, 2, 0.5), ("one_window", True, True, 1, 0.5), ("static", True, False, 2, 0.3)]
-
-
 @query(
     "g19_ablation",
-    f"""WITH {CALIBRATED_SQL}, po(policy, behaviour, adaptive, k, baseline) AS (VALUES {", ".join(f"('{p}', {b}, {a}, {k}, {m})" for p, b, a, k, m in _POLICIES)}),
-    x AS (SELECT *, (gate OR NOT behaviour) AND score >= CASE WHEN adaptive THEN least(score_limit, baseline) ELSE baseline END AS q FROM ca, po WHERE score_limit IS NOT NULL),
-    i AS (SELECT *, sum(CASE WHEN q THEN 0 ELSE 1 END) OVER (PARTITION BY policy, workload ORDER BY win) AS island FROM x),
-    r AS (SELECT *, sum(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY policy, workload, island ORDER BY win) AS run FROM i)
-    SELECT policy, workload, count(*) AS n, count(*) FILTER (run >= k) AS alerts FROM r GROUP BY ALL""",
+    f"""WITH RECURSIVE {decided_sql(_POLICIES)} SELECT policy, workload, count(*) AS n, count(*) FILTER (decision = 'detection') AS alerts, count(*) FILTER (decision = 'pending_confirmation') AS pending,
+    count(*) FILTER (path = 'extreme_volume_ml') AS by_volume FROM dd WHERE i > 0 GROUP BY ALL""",
 )
 def g19(spark, sf_dir):
-    """The same windows under each row of a policy table."""
-    po = F.broadcast(spark.createDataFrame(_POLICIES, "policy string, behaviour boolean, adaptive boolean, k int, baseline double"))  # a fixed list
-    x = calibrated(spark, sf_dir).filter("limit is not null").crossJoin(po)
-    level = F.when(F.col("adaptive"), F.least("limit", "baseline")).otherwise(F.col("baseline"))
-    r = G.run_length(x, ["policy", "workload"], ["win"], (F.col("gate") | ~F.col("behaviour")) & (F.col("score") >= level))
-    return r.groupBy("policy", "workload").agg(F.count("*").alias("n"), F.count_if(F.col("run") >= F.col("k")).alias("alerts"))
+    """The same windows under each row of a policy table: without a gate, without volume, with the baseline alone, one window, one component."""
+    n = lambda c: F.count_if(c)
+    d = decided(spark, sf_dir, _POLICIES).groupBy("policy", "workload")
+    return d.agg(F.count("*").alias("n"), n(F.col("decision") == "detection").alias("alerts"), n(F.col("decision") == "pending_confirmation").alias("pending"), n(F.col("path") == "extreme_volume_ml").alias("by_volume"))

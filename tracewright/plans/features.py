@@ -92,6 +92,11 @@ def a7(spark, sf_dir):
     return O.profile(events(spark, sf_dir), "pod", "workload", ["us", "event_id"], "syscall").withColumn("p", F.round("p", 6))
 
 
+@query("a7_unigrams", f"WITH {EV} SELECT workload, syscall, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY workload), 6) AS p FROM ev GROUP BY workload, syscall")
+def a7_unigrams(spark, sf_dir):
+    return O.unigrams(events(spark, sf_dir), "workload", "syscall").withColumn("p", F.round("p", 6))
+
+
 @query(
     "a8_bin_distributions",
     """WITH b AS (SELECT l_suppkey, ((l_partkey * 2654435761) & 4294967295) >> 26 AS bin, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, bin, n, round(n / sum(n) OVER (PARTITION BY l_suppkey), 6) AS p FROM b""",
@@ -242,7 +247,7 @@ def graph(spark, sf_dir):
 
 GRAPH_SQL = f"""{AGENT_SQL}, gm AS (SELECT *, 'a' || conv_id AS agent, 'p' || (conv_id % 7) AS pod, turn * 1.5 AS t FROM calls),
   ed AS (SELECT pod AS src, agent AS dst, 'hosts' AS kind, count(*) AS n FROM gm GROUP BY ALL UNION ALL SELECT agent, tool, 'calls', count(*) FROM gm GROUP BY ALL
-    UNION ALL SELECT tool, resource, 'touches', count(*) FROM gm WHERE resource IS NOT NULL GROUP BY ALL)"""
+    UNION ALL SELECT tool, r, 'touches', count(*) FROM (SELECT tool, unnest(resources) AS r FROM gm) GROUP BY ALL)"""
 
 
 def edges(spark, sf_dir):
@@ -265,14 +270,33 @@ def a22(spark, sf_dir):
 
 @query(
     "a23_graph_features",
-    f"""WITH {GRAPH_SQL}, tk AS (SELECT agent, tool, count(*) AS k FROM gm GROUP BY ALL), tp AS (SELECT *, k / sum(k) OVER (PARTITION BY agent) AS p FROM tk),
-    en AS (SELECT agent, max(k) AS max_tool, round(-sum(p * log2(p)), 6) + 0.0 AS tool_entropy FROM tp GROUP BY agent)
-    SELECT agent, count(*) AS events_total, round(count(*) / greatest(max(t) - min(t), 1.0), 6) AS rate, count(DISTINCT tool) AS tools, round(count(*) FILTER (high_risk) / count(*), 6) AS risk_ratio, any_value(max_tool) AS max_tool, any_value(tool_entropy) AS tool_entropy
-    FROM gm JOIN en USING (agent) GROUP BY agent""",
+    f"""WITH {GRAPH_SQL}, tk AS (SELECT pod, tool, count(*) AS k FROM gm GROUP BY ALL), tp AS (SELECT *, k / sum(k) OVER (PARTITION BY pod) AS p FROM tk),
+    en AS (SELECT pod, max(k) AS max_tool_calls, round(-sum(p * log2(p)), 6) + 0.0 AS tool_entropy FROM tp GROUP BY pod),
+    rk AS (SELECT pod, r, count(*) AS k FROM (SELECT pod, unnest(resources) AS r FROM gm) GROUP BY ALL), rs AS (SELECT pod, count(*) AS resources, max(k) AS max_resource_touches FROM rk GROUP BY pod)
+    SELECT pod, count(*) AS events_total, round(count(*) / greatest(max(t) - min(t), 1.0), 6) AS rate, count(DISTINCT agent) AS agents, count(DISTINCT tool) AS tools, coalesce(any_value(resources_n), 0) AS resources,
+    count(*) FILTER (high_risk) AS high_risk_events, round(count(*) FILTER (high_risk) / count(*), 6) AS risk_ratio, any_value(max_tool_calls) AS max_tool_calls, coalesce(any_value(max_resource_touches), 0) AS max_resource_touches,
+    any_value(tool_entropy) AS tool_entropy, round(sum(raw_bytes) / 1024.0, 6) AS raw_kib
+    FROM gm JOIN en USING (pod) LEFT JOIN (SELECT pod, resources AS resources_n, max_resource_touches FROM rs) USING (pod) GROUP BY pod""",
 )
 def a23(spark, sf_dir):
-    f = O.graph_features(graph(spark, sf_dir), "agent", "t")
-    return f.select("agent", "events_total", F.round("rate", 6).alias("rate"), "tools", F.round("risk_ratio", 6).alias("risk_ratio"), "max_tool", (F.round("tool_entropy", 6) + 0.0).alias("tool_entropy"))
+    f = O.graph_features(graph(spark, sf_dir), "pod", "agent", "t")
+    return f.select("pod", "events_total", F.round("rate", 6).alias("rate"), "agents", "tools", "resources", "high_risk_events", F.round("risk_ratio", 6).alias("risk_ratio"), "max_tool_calls", "max_resource_touches", (F.round("tool_entropy", 6) + 0.0).alias("tool_entropy"), F.round("raw_kib", 6).alias("raw_kib"))
+
+
+@query(
+    "a24_node_features",
+    f"""WITH {GRAPH_SQL}, b AS (SELECT src, dst, n FROM ed UNION ALL SELECT dst, src, n FROM ed),
+    nd AS (SELECT DISTINCT * FROM (SELECT src AS node, CASE kind WHEN 'hosts' THEN 'pod' WHEN 'calls' THEN 'agent' ELSE 'tool' END AS kind FROM ed UNION ALL SELECT dst, CASE kind WHEN 'hosts' THEN 'agent' WHEN 'calls' THEN 'tool' ELSE 'resource' END FROM ed)),
+    dg AS (SELECT node, ln(1 + o) AS od, ln(1 + i) AS id FROM (SELECT src AS node, sum(n) AS o FROM b GROUP BY src) JOIN (SELECT dst AS node, sum(n) AS i FROM b GROUP BY dst) USING (node)),
+    tk AS (SELECT tool, count(*) AS k FROM gm GROUP BY ALL), en AS (SELECT -sum(k / t * log2(k / t)) AS entropy FROM tk, (SELECT sum(k) AS t FROM tk)),
+    g AS (SELECT count(*) / greatest(max(t) - min(t), 1.0) AS rate, count(DISTINCT tool) AS tools, (SELECT count(DISTINCT r) FROM (SELECT unnest(resources) AS r FROM gm)) AS resources, avg(CASE WHEN high_risk THEN 1.0 ELSE 0.0 END) AS risk FROM gm)
+    SELECT node, kind, CAST(kind = 'agent' AS INT) AS is_agent, CAST(kind = 'pod' AS INT) AS is_pod, CAST(kind = 'tool' AS INT) AS is_tool, CAST(kind = 'resource' AS INT) AS is_resource, round(od, 6) AS out_degree, round(id, 6) AS in_degree,
+    round(rate, 6) AS g_rate, tools AS g_tools, resources AS g_resources, round(risk, 6) AS g_risk_ratio, round(entropy, 6) AS g_tool_entropy FROM nd JOIN dg USING (node), g, en""",
+)
+def a24_features(spark, sf_dir):
+    f = O.node_features(edges(spark, sf_dir), graph(spark, sf_dir), "agent", "t")
+    rounded = ("out_degree", "in_degree", "g_rate", "g_risk_ratio", "g_tool_entropy")
+    return f.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in f.columns])
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracewright.functions import syscalls as S
@@ -119,7 +122,7 @@ def f8(spark, sf_dir):
 
 @query(
     "f9_network_binaries",
-    f"SELECT path, count(*) AS n FROM (SELECT {_pick_sql(_BINARIES, 'event_id % 5')} AS path FROM events) WHERE regexp_matches(lower(path), '/({'|'.join(S.NETWORK_BINARIES)})$') GROUP BY path",
+    f"SELECT path, count(*) AS n FROM (SELECT {_pick_sql(_BINARIES, 'event_id % 5')} AS path FROM events) WHERE regexp_matches(lower(path), '({'|'.join(S.NETWORK_BINARIES)})$') GROUP BY path",
 )
 def f9(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(_pick(_BINARIES, F.col("event_id") % 5).alias("path"))
@@ -137,41 +140,78 @@ def f10(spark, sf_dir):
 
 
 def agent_messages(spark, sf_dir):
-    """Conversation turns as JSON-RPC payloads: single calls, batches, answers and broken text."""
+    """Conversation turns as JSON-RPC payloads: calls that name their tool in three ways, resources at several depths,
+    batches, answers, entries without a method and broken text."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))
-    tool = F.concat(F.lit("tool_"), F.when(F.col("turn") % 4 == 0, "delete").otherwise("read"))
-    call = F.concat(F.lit('{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"name":"'), tool, F.lit('","arguments":{"path":"/'), F.substring("h", 1, 2), F.lit('"}}}'))
-    payload = F.when(F.col("turn") % 5 == 4, "broken").when(F.col("turn") % 3 == 2, F.concat(F.lit("["), call, F.lit(',{"jsonrpc":"2.0","id":1,"result":{}},{"method":"tools/list"}]'))).otherwise(call)
+    t = F.col("turn")
+    name = F.when(t % 3 == 0, "name").when(t % 3 == 1, "tool").otherwise("tool_name")
+    tool = F.when(t % 4 == 0, "kubectl_delete").when(t % 4 == 1, "read_file").otherwise("list_items")
+    path = F.concat(F.lit("/"), F.substring("h", 1, 2))
+    flat = F.concat(F.lit('{"path":"'), path, F.lit('"}'))
+    deep = F.concat(F.lit('{"spec":{"items":[{"Path":["'), path, F.lit('",7]},{"pod":{"x":"'), F.when(t % 6 == 1, "db-credential").otherwise("web"), F.lit('"}}],"size":3}}'))
+    call = F.concat(F.lit('{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"'), name, F.lit('":"'), tool, F.lit('","arguments":'), F.when(t % 2 == 0, flat).otherwise(deep), F.lit("}}"))
+    payload = F.when(t % 5 == 4, "broken").when(t % 3 == 2, F.concat(F.lit("["), call, F.lit(',{"jsonrpc":"2.0","id":1,"result":{}},3,{"method":"tools/list"}]'))).otherwise(call)
     return c.select("conv_id", "turn", payload.alias("payload"))
 
 
+def _plain(value) -> str:
+    return value if isinstance(value, str) else str(value)
+
+
+def resource_values(params: str | None) -> list[str]:
+    """the single values below a resource's key at any depth, in no order; none if params is no JSON."""
+    try:
+        todo = [(json.loads(params), False)] if params else []
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while todo:
+        value, named = todo.pop()
+        if isinstance(value, dict):
+            todo += [(v, named or k.lower() in S.RESOURCE_KEYS) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo += [(v, named) for v in value]
+        elif named and value is not None:
+            out.append(_plain(value))
+    return out
+
+
 def parse_agent_messages(messages):
-    """one row for each entry with a method: tool name, resources as digests, risk.
+    """one row for each entry with a method: method, tool, resources as digests, high_risk, raw_bytes.
 
-    A payload is an object or an array of objects; what is neither, or has no method, goes.
+    A payload is an object or an array of objects; what is neither, or has no method, goes. Resources lie at any depth, so
+    their values come from one Arrow pass over the parameters; all else are column functions.
     """
-    entry = "struct<method:string,params:struct<name:string,tool:string,tool_name:string,arguments:map<string,string>>>"
-    one, many = F.from_json("payload", entry), F.from_json("payload", f"array<{entry}>")
-    rows = messages.withColumn("e", F.explode(F.when(F.ltrim("payload").startswith("["), many).otherwise(F.array(one)))).filter("e.method is not null")
-    p = F.col("e.params")
-    values = F.map_values(F.map_filter(p["arguments"], lambda k, v: F.lower(k).isin(*S.RESOURCE_KEYS)))
-    values = F.coalesce(values, F.array().cast("array<string>"))
-    return rows.select(
-        *[c for c in messages.columns if c != "payload"],
-        F.col("e.method").alias("method"),
-        F.when(F.col("e.method") == "tools/call", F.coalesce(p["name"], p["tool"], p["tool_name"])).otherwise(F.col("e.method")).alias("tool"),
-        F.array_sort(F.array_distinct(F.transform(values, lambda v: F.substring(F.sha2(v, 256), 1, 16)))).alias("resources"),
-        S.is_high_risk(F.coalesce(p["name"], F.col("e.method")), values).alias("high_risk"),
-    )
-
-
-AGENT_SQL = """c AS (SELECT conv_id, turn, md5(text) AS h FROM conversations WHERE turn % 5 <> 4),
-calls AS (SELECT conv_id, turn, 'tools/call' AS method, CASE WHEN turn % 4 = 0 THEN 'tool_delete' ELSE 'tool_read' END AS tool,
-    substr(sha256('/' || substr(h, 1, 2)), 1, 16) AS resource, turn % 4 = 0 AS high_risk FROM c
-  UNION ALL SELECT conv_id, turn, 'tools/list', 'tools/list', NULL, false FROM c WHERE turn % 3 = 2)"""
-
-
-@query("f11_agent_messages", f"WITH {AGENT_SQL} SELECT conv_id, turn, method, tool, coalesce(resource, '') AS resources, high_risk FROM calls")
+
+    def values_of(params: pd.Series) -> pd.Series:
+        return params.map(resource_values)
+
+    entry = "struct<method:string,params:string>"
+    # a batch is cut into its entries as text first, so that one of another kind doesn't spoil the others
+    entries = F.explode(F.when(F.ltrim("payload").startswith("["), F.from_json("payload", "array<string>")).otherwise(F.array("payload")))
+    kept = [c for c in messages.columns if c != "payload"]
+    rows = messages.select(*kept, F.octet_length("payload").cast("long").alias("raw_bytes"), entries.alias("e")).withColumn("e", F.from_json("e", entry)).filter("e.method is not null and e.method <> ''")
+    rows = rows.select(*kept, "raw_bytes", F.col("e.method").alias("method"), F.col("e.params").alias("params"))
+    named = lambda k: F.nullif(F.get_json_object("params", f"$.{k}"), F.lit(""))
+    tool = F.coalesce(F.when(F.col("method").isin(*S.TOOL_METHODS), F.coalesce(named("name"), named("tool"), named("tool_name"))), F.col("method"))
+    rows = rows.withColumn("tool", tool).withColumn("values", F.pandas_udf(values_of, "array<string>")("params"))
+    digests = F.array_sort(F.array_distinct(F.transform("values", lambda v: F.substring(F.sha2(v, 256), 1, 16))))
+    return rows.select(*kept, "method", "tool", digests.alias("resources"), S.is_high_risk(F.col("tool"), F.col("values")).alias("high_risk"), "raw_bytes")
+
+
+AGENT_SQL = """c AS (SELECT conv_id, turn, substr(md5(text), 1, 2) AS h FROM conversations WHERE turn % 5 <> 4),
+bodies AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'kubectl_delete' WHEN 1 THEN 'read_file' ELSE 'list_items' END AS tool, CASE WHEN turn % 6 = 1 THEN 'db-credential' ELSE 'web' END AS deep,
+    CASE turn % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'tool' ELSE 'tool_name' END AS key FROM c),
+sized AS (SELECT *, length('{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"' || key || '":"' || tool || '","arguments":' ||
+    CASE WHEN turn % 2 = 0 THEN '{"path":"/' || h || '"}' ELSE '{"spec":{"items":[{"Path":["/' || h || '",7]},{"pod":{"x":"' || deep || '"}}],"size":3}}' END || '}}')
+    + CASE WHEN turn % 3 = 2 THEN length('[,{"jsonrpc":"2.0","id":1,"result":{}},3,{"method":"tools/list"}]') ELSE 0 END AS raw_bytes FROM bodies),
+calls AS (SELECT conv_id, turn, 'tools/call' AS method, tool,
+    list_sort([substr(sha256(v), 1, 16) FOR v IN CASE WHEN turn % 2 = 0 THEN ['/' || h] ELSE ['/' || h, '7', deep] END]) AS resources,
+    turn % 4 = 0 OR (turn % 2 = 1 AND turn % 6 = 1) AS high_risk, CAST(raw_bytes AS BIGINT) AS raw_bytes FROM sized
+  UNION ALL SELECT conv_id, turn, 'tools/list', 'tools/list', [], false, CAST(raw_bytes AS BIGINT) FROM sized WHERE turn % 3 = 2)"""
+
+
+@query("f11_agent_messages", f"WITH {AGENT_SQL} SELECT conv_id, turn, method, tool, array_to_string(resources, ',') AS resources, high_risk, raw_bytes FROM calls")
 def f11(spark, sf_dir):
     return parse_agent_messages(agent_messages(spark, sf_dir)).withColumn("resources", F.array_join("resources", ","))
 
@@ -218,14 +258,18 @@ def f18(spark, sf_dir):
 
 @query(
     "f19_event_digest",
-    """SELECT event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS digest, event_id % 2 = 0 AS verified FROM events""",
+    """WITH s AS (SELECT event_id, event_type AS t, user_id AS u, CASE WHEN event_id % 5 = 0 THEN 'changed' ELSE event_type END AS t2, CASE WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END AS u2 FROM events)
+    SELECT event_id, sha256('{"event_type":"' || t2 || '","user_id":' || u2 || '}') AS digest, sha256('{"event_type":"' || t2 || '","user_id":' || u2 || '}') = sha256('{"event_type":"' || t || '","user_id":' || u || '}') AS verified
+    FROM s WHERE event_id % 11 <> 3""",
 )
 def f19(spark, sf_dir):
-    """A digest of the record's canonical JSON; verified where the stored one is the same."""
+    """A record's id is the digest of its canonical JSON, stored when it is collected. Some records are changed and some lost
+    before they are read again; verified where the digest of what is read is the stored one."""
     e = table(spark, sf_dir, "events")
     digest = F.sha2(F.to_json(F.struct("event_type", "user_id")), 256)
-    stored = F.when(F.col("event_id") % 2 == 0, digest).otherwise(F.lit("x"))
-    return e.select("event_id", digest.alias("digest"), (stored == digest).alias("verified"))
+    stored = e.select("event_id", digest.alias("stored"))
+    read = e.filter("event_id % 11 <> 3").select("event_id", F.when(F.col("event_id") % 5 == 0, "changed").otherwise(F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 7 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"))
+    return read.select("event_id", digest.alias("digest")).join(stored, "event_id").select("event_id", "digest", (F.col("digest") == F.col("stored")).alias("verified"))
 
 
 @query(

@@ -112,6 +112,18 @@ def m9(spark, sf_dir):
     return M.top_three(x, R.robust_baseline(x, ["label", "feature"], "x"), ["label"], ["vec_id"], "feature", "x").select("vec_id", F.round("z_score", 5).alias("z_score"))
 
 
+@query(
+    "m9_contributions",
+    f"""WITH {LONG}, {mad_sql("el", "label, feature", "x")}, z AS (SELECT vec_id, feature, greatest(0.0, (x - med) / greatest(mad, 0.05)) AS z FROM el JOIN st USING (label, feature)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, feature) AS k FROM z) SELECT vec_id, CAST(k AS INT) AS place, feature, round(z, 5) AS z FROM r WHERE k <= 3""",
+)
+def m9_contributions(spark, sf_dir):
+    """The three features that a score comes from, largest first."""
+    x = features(spark, sf_dir)
+    top = M.top_three(x, R.robust_baseline(x, ["label", "feature"], "x"), ["label"], ["vec_id"], "feature", "x")
+    return top.select("vec_id", F.posexplode("contributions").alias("place", "c")).select("vec_id", (F.col("place") + 1).alias("place"), "c.feature", F.round("c.z", 5).alias("z"))
+
+
 @query("m10_rates", f"WITH {EV} SELECT pod, round(count(*) / greatest((max(us) - min(us)) / 86400000000.0, 1.0), 6) AS per_day, round(sum(value) / greatest((max(us) - min(us)) / 86400000000.0, 1.0), 4) AS value_per_day FROM ev GROUP BY pod")
 def m10(spark, sf_dir):
     """Totals over a span, of a day at least, as rates."""
@@ -127,8 +139,8 @@ def m10(spark, sf_dir):
 def m11(spark, sf_dir):
     """Workloads with many rows have a model of their own, the others share one."""
     s = scores(spark, sf_dir)
-    own = s.groupBy("workload").agg(F.count("*").alias("n"), F.percentile("score", 0.99).alias("own"))
-    both = own.crossJoin(s.agg(F.percentile("score", 0.99).alias("pooled")))
+    own, pooled = R.counted_quantiles(s, ["workload"], "score", {"own": 0.99}), R.counted_quantiles(s, [], "score", {"pooled": 0.99})
+    both = own.crossJoin(F.broadcast(pooled.select("pooled")))  # one row
     many = F.col("n") >= 1200
     return both.select("workload", F.when(many, "own").otherwise("pooled").alias("route"), F.round(F.when(many, F.col("own")).otherwise(F.col("pooled")), 6).alias("score_limit"))
 
@@ -145,6 +157,19 @@ def m12(spark, sf_dir):
     return M.neighbour_error(e, node_degrees(e, graph_nodes(e)), ["out_degree", "in_degree"]).select("node", F.round("error", 5).alias("error"))
 
 
+@query(
+    "m12_anomalous_nodes",
+    f"""WITH {GRAPH_SQL}, b AS (SELECT src, dst, n FROM ed UNION ALL SELECT dst, src, n FROM ed),
+    f AS (SELECT node, ln(1 + o) AS od, ln(1 + i) AS id FROM (SELECT src AS node, sum(n) AS o FROM b GROUP BY src) JOIN (SELECT dst AS node, sum(n) AS i FROM b GROUP BY dst) USING (node)),
+    a AS (SELECT src AS node, sum(od * n) / sum(n) AS mo, sum(id * n) / sum(n) AS mi FROM b JOIN f ON f.node = dst GROUP BY src), e AS (SELECT node, (pow(od - mo, 2) + pow(id - mi, 2)) / 2 AS error FROM f JOIN a USING (node)),
+    l AS (SELECT quantile_cont(error, 0.99) + 0.02 AS lim FROM e) SELECT node, round(lim, 5) AS score_limit, error > lim AS anomalous FROM e, l""",
+)
+def m12_anomalous(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    t = M.error_threshold(M.neighbour_error(e, node_degrees(e, graph_nodes(e)), ["out_degree", "in_degree"]))
+    return t.select("node", F.round("limit", 5).alias("score_limit"), "anomalous")
+
+
 @query(
     "m13_holdout_gate",
     f"""WITH {SCORED}, x AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY us, event_id) AS k, count(*) OVER (PARTITION BY workload) AS n FROM sc)

@@ -83,7 +83,7 @@ def a31(spark, sf_dir):
     round(max(value), 6) AS largest, round(avg(CASE WHEN value >= 300 THEN 1.0 ELSE 0.0 END), 6) AS saturated FROM ev GROUP BY ALL""",
 )
 def a32(spark, sf_dir):
-    s = summary(events(spark, sf_dir), ["syscall", "workload"], "value", 300)
+    s = summary(events(spark, sf_dir), ["syscall", "workload"], "value", 300, large=True)
     return s.select("syscall", "workload", "n", *r6(*s.columns[3:]))
 
 
@@ -97,7 +97,7 @@ def t1(spark, sf_dir):
     return c.select("lang", "tp", "fn", "fp", "tn", *r6("precision", "recall", "f1", "false_rate"))
 
 
-ITERATIONS = 60
+ITERATIONS = 10_000
 
 
 def source_blocks(spark, sf_dir):
@@ -189,6 +189,16 @@ def t9(spark, sf_dir):
     return paired(spark, sf_dir)
 
 
+@query(
+    "t9_latency_leads",
+    f"""WITH {TR} SELECT source, count(*) FILTER (found AND quality = 1) AS both, round(quantile_cont(CASE WHEN found AND quality = 1 THEN n_chars / 1000.0 - (doc_id % 97) / 10.0 END, 0.5), 6) AS lead FROM tr GROUP BY source""",
+)
+def t9_leads(spark, sf_dir):
+    """How much later one method finds what both find."""
+    t = trials(spark, sf_dir).withColumn("good", F.col("quality") == 1).withColumn("la", F.col("n_chars") / 1000.0).withColumn("lb", (F.col("doc_id") % 97) / 10.0)
+    return O.paired_table(t, ["source"], "found", "good", ("la", "lb")).select("source", "both", *r6("lead"))
+
+
 @query(
     "t10_restricted_times",
     f"""WITH {TR} SELECT lang, round(avg(CASE WHEN found THEN n_chars / 1000.0 ELSE 10.0 END), 6) AS restricted, {", ".join(f"round(avg(CASE WHEN found AND n_chars / 1000.0 <= {c} THEN 1.0 ELSE 0.0 END), 6) AS by_{i}" for i, c in enumerate((1.6, 2.0, 3.0, 5.0, 8.0, 20.0)))} FROM tr GROUP BY lang""",
@@ -211,6 +221,28 @@ def t11(spark, sf_dir):
     return b.filter("on is not null").groupBy("s_nationkey").agg(F.round(F.percentile(100 * (1 - F.col("on") / F.col("off")), 0.5), 6).alias("loss"))
 
 
+@query(
+    "t11_overhead_intervals",
+    f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, CAST(s_acctbal AS DOUBLE) + 10000 AS v, 5 + s_suppkey * 37 % 101 / 10.0 AS ms, s_nationkey % 5 AS r FROM supplier),
+    b AS (SELECT r, s_nationkey * 1000000 + (i - 1) // 2 AS block, max(v) FILTER (i % 2 = 1) AS off_v, max(v) FILTER (i % 2 = 0) AS on_v, max(ms) FILTER (i % 2 = 1) AS off_ms, max(ms) FILTER (i % 2 = 0) AS on_ms FROM o GROUP BY ALL),
+    x AS (SELECT r, block, 100 * (1 - on_v / off_v) AS loss, 100 * (on_ms / off_ms - 1) AS rise FROM b WHERE on_v IS NOT NULL),
+    bk AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY block) - 1 AS k, count(*) OVER (PARTITION BY r) AS size FROM x),
+    dr AS (SELECT r, iter, {O.drawn_sql(15, "size")} AS k FROM (SELECT DISTINCT r, size FROM bk) s, unnest(generate_series(0, {ITERATIONS - 1})) AS i(iter), unnest(generate_series(0, size - 1)) AS j(slot)),
+    e AS (SELECT r, iter, quantile_cont(loss, 0.5) AS loss, quantile_cont(rise, 0.5) AS rise FROM dr JOIN bk USING (r, k) GROUP BY ALL),
+    c AS (SELECT r, quantile_cont(loss, 0.025) AS loss_low, quantile_cont(loss, 0.975) AS loss_high, quantile_cont(rise, 0.025) AS rise_low, quantile_cont(rise, 0.975) AS rise_high FROM e GROUP BY r),
+    m AS (SELECT r, count(*) AS blocks, quantile_cont(loss, 0.5) AS loss, quantile_cont(rise, 0.5) AS rise FROM x GROUP BY r)
+    SELECT r, blocks, round(loss, 6) AS loss, round(rise, 6) AS rise, round(loss_low, 6) AS loss_low, round(loss_high, 6) AS loss_high, round(rise_low, 6) AS rise_low, round(rise_high, 6) AS rise_high FROM m JOIN c USING (r)""",
+)
+def t11_intervals(spark, sf_dir):
+    """Throughput lost and latency gained in blocks of an off and an on row, with intervals."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal").cast("double") + 10000).alias("v"), (5 + F.col("s_suppkey") * 37 % 101 / 10.0).alias("ms"))
+    rate = adjacent_pairs(s, ["s_nationkey"], "s_suppkey", "v").select("s_nationkey", "block", F.col("off").alias("off_v"), F.col("on").alias("on_v"))
+    both = rate.join(adjacent_pairs(s, ["s_nationkey"], "s_suppkey", "ms"), ["s_nationkey", "block"]).filter("on_v is not null")
+    b = both.withColumn("r", F.col("s_nationkey") % 5).withColumn("id", F.col("s_nationkey") * 1000000 + F.col("block"))
+    o = O.overhead(b, ["r"], "id", ("off_v", "on_v"), ("off", "on"), ITERATIONS, 15)
+    return o.select("r", "blocks", *r6(*o.columns[2:]))
+
+
 @query(
     "t12_block_sensitivity",
     f"""WITH {TR}, b AS (SELECT lang, source, bool_or(toxic = 1) AS any_alert FROM tr GROUP BY ALL), c AS (SELECT lang, count(*) FILTER (any_alert) AS k, count(*) AS n FROM b GROUP BY lang)
@@ -239,6 +271,23 @@ def t14(spark, sf_dir):
     return t.select("toxic", "nodes", "endpoints", ((F.col("nodes") >= 2) & (F.col("endpoints") >= 2)).alias("independent"), *r6("effect"))
 
 
+@query(
+    "t14_pooled_effects",
+    f"""WITH {TR}, b AS (SELECT doc_id % 3 AS campaign, lang, doc_id % 2 AS arm, round(avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality = 0), 3) AS effect, min(source) AS endpoint FROM tr GROUP BY ALL),
+    d AS (SELECT arm, effect AS v, lang, endpoint, campaign, row_number() OVER (PARTITION BY arm ORDER BY effect) - 1 AS k FROM b WHERE effect IS NOT NULL),
+    z AS (SELECT arm, count(*) AS n, abs(avg(v)) AS seen FROM d GROUP BY arm), m AS (SELECT arm, n, seen, m FROM z, unnest(generate_series(0, (1 << n) - 1)) AS g(m)),
+    x AS (SELECT arm, seen, m, abs(avg(CASE WHEN (m >> k) & 1 = 1 THEN -v ELSE v END)) AS a FROM m JOIN d USING (arm) GROUP BY ALL),
+    p AS (SELECT arm, avg(CASE WHEN a >= seen - 1e-9 THEN 1.0 ELSE 0.0 END) AS p FROM x GROUP BY arm)
+    SELECT arm, count(*) AS blocks, count(DISTINCT campaign) AS campaigns, count(DISTINCT campaign) >= 2 AND count(DISTINCT lang) >= 2 AND count(DISTINCT endpoint) >= 2 AS independent, round(avg(v), 6) AS effect, round(any_value(p), 6) AS p
+    FROM d JOIN p USING (arm) GROUP BY arm""",
+)
+def t14_effects(spark, sf_dir):
+    """Three campaigns of a trial on different dates, nodes and endpoints as one sample, with a sign-flip test over their blocks."""
+    good, bad = (F.avg(F.when(F.col("quality") == q, F.col("n_chars"))) for q in (1, 0))
+    b = trials(spark, sf_dir).groupBy((F.col("doc_id") % 3).alias("date"), "lang", (F.col("doc_id") % 2).alias("arm")).agg(F.round(good - bad, 3).alias("effect"), F.min("source").alias("endpoint")).filter("effect is not null")
+    return O.pooled({f"c{k}": b.filter(F.col("date") == k) for k in range(3)}, ["arm"], "effect", ["date", "lang", "endpoint"]).select("arm", "blocks", "campaigns", "independent", *r6("effect", "p"))
+
+
 @query(
     "t15_maxima_after_injection",
     f"""WITH {EV}, i AS (SELECT pod, min(us) AS started FROM ev WHERE syscall = 'execve' GROUP BY pod) SELECT pod, round(max(value), 6) AS top_value, max(us) AS last_us FROM ev JOIN i USING (pod) WHERE us > started GROUP BY pod""",

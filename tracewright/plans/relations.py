@@ -54,6 +54,17 @@ def j2(spark, sf_dir):
     return J.pair_intervals(o, "id", "kind", "t")
 
 
+@query(
+    "j2_consistent_pairs",
+    """WITH r AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'start' ELSE 'end' END AS kind, o_orderkey AS t, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+    g AS (SELECT id, min(t) FILTER (kind = 'start') AS started, min(t) FILTER (kind = 'end') AS ended, count(*) FILTER (kind = 'start') AS s, count(*) FILTER (kind = 'end') AS e, count(DISTINCT p) AS ps, count(DISTINCT r.s) AS ss FROM r GROUP BY id)
+    SELECT id, CASE WHEN s > 1 OR e > 1 THEN 'repeated' WHEN e = 0 THEN 'no end' WHEN s = 0 THEN 'no start' WHEN ended <= started THEN 'empty' WHEN ps > 1 THEN 'differs: priority' WHEN ss > 1 THEN 'differs: status' END AS problem FROM g""",
+)
+def j2_consistent(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "start").otherwise("end").alias("kind"), F.col("o_orderkey").alias("t"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    return J.pair_intervals(o, "id", "kind", "t", ["priority", "status"]).select("id", "problem")
+
+
 @query("j3_overlap_labels", f"WITH {INJ} SELECT win_id, trial FROM dw JOIN inj USING (pod) WHERE began < stopped AND started < ended")
 def j3(spark, sf_dir):
     return J.overlaps(day_windows(spark, sf_dir), injections(spark, sf_dir), ["pod"], 6 * HOUR).select("win_id", "trial")
@@ -135,26 +146,41 @@ def j11(spark, sf_dir):
 
 @query(
     "j12_identity_checks",
-    f"""WITH {INJ}, m AS (SELECT trial, inj.pod, started, (SELECT min(seen) FROM alr WHERE alr.pod = inj.pod AND seen >= started) AS seen FROM inj)
-    SELECT trial, seen IS NULL AS missing, trial % 10 = 3 AS other_run, coalesce(seen - started < {HOUR}, false) AS early FROM m""",
+    f"""WITH {INJ}, m AS (SELECT trial, inj.pod, started, min(alr.seen) AS seen, arg_min(alert_id, (alr.seen, alert_id)) AS alert_id FROM inj LEFT JOIN alr ON alr.pod = inj.pod AND seen >= started GROUP BY ALL)
+    SELECT trial, seen IS NULL AS missing, coalesce(alert_id % 10 <> trial % 10, false) AS other_run, coalesce(alert_id % 3 <> trial % 3, false) AS other_binary, coalesce(seen - started < {HOUR}, false) AS early FROM m""",
 )
 def j12(spark, sf_dir):
-    """After a join, each attribute that must agree has a flag."""
-    later = alerts(spark, sf_dir).withColumn("back", -F.col("at")).select("pod", "back", "at")
+    """The first alert after each injection, with a flag for each attribute of both that must agree but does not."""
+    later = alerts(spark, sf_dir).select("pod", (-F.col("at")).alias("back"), "at", (F.col("alert_id") % 10).alias("run"), (F.col("alert_id") % 3).alias("binary"))
     i = injections(spark, sf_dir).withColumn("from_t", -F.col("started"))
     m = J.asof(i, later, ["pod"], "from_t", "back", float("inf"))
-    return m.select("trial", F.col("at").isNull().alias("missing"), (F.col("trial") % 10 == 3).alias("other_run"), F.coalesce(F.col("at") - F.col("started") < HOUR, F.lit(False)).alias("early"))
+    other = lambda a, n: F.coalesce(F.col(a) != F.col("trial") % n, F.lit(False))
+    return m.select("trial", F.col("at").isNull().alias("missing"), other("run", 10).alias("other_run"), other("binary", 3).alias("other_binary"), F.coalesce(F.col("at") - F.col("started") < HOUR, F.lit(False)).alias("early"))
+
+
+@query(
+    "j11_same_process",
+    f"""WITH {INJ}, h AS (SELECT alert_id, count(*) AS hits, min(trial) AS trial FROM alr JOIN inj ON inj.pod = alr.pod AND trial % 3 = alert_id % 3 WHERE seen BETWEEN started - 50000 AND started + {10 * HOUR} GROUP BY alert_id) SELECT alert_id, trial FROM h WHERE hits = 1""",
+)
+def j11_process(spark, sf_dir):
+    """J11 with the binary and its arguments among the keys that must be equal."""
+    near = injections(spark, sf_dir).select("trial", "pod", (F.col("trial") % 3).alias("binary"), (F.col("started") - 50_000).alias("started"), (F.col("started") + 10 * HOUR + 1).alias("attribution_end"))
+    a = alerts(spark, sf_dir).withColumn("binary", F.col("alert_id") % 3)
+    return J.attribute_once(a, near, ["pod", "binary"], 10 * HOUR).filter("count = 1").select("alert_id", "trial")
 
 
 @query(
     "j13_observability",
-    f"""WITH {INJ}, o AS (SELECT trial, count(*) AS windows, bool_and(win_id % 2 = 0) AS all_even FROM dw JOIN inj USING (pod) WHERE began < stopped AND started < ended GROUP BY trial)
-    SELECT trial, coalesce(windows, 0) AS windows, all_even FROM inj LEFT JOIN o USING (trial)""",
+    f"""WITH {INJ}, o AS (SELECT trial, count(*) AS windows, bool_and(win_id % 2 = 0) AS all_even, CAST(sum(win_id % 7) AS BIGINT) AS process, CAST(sum(win_id % 5) AS BIGINT) AS network FROM dw JOIN inj USING (pod) WHERE began < stopped AND started < ended GROUP BY trial)
+    SELECT trial, coalesce(windows, 0) AS windows, all_even, coalesce(process, 0) AS process, coalesce(network, 0) AS network FROM inj LEFT JOIN o USING (trial)""",
 )
 def j13(spark, sf_dir):
+    """What the windows of each injection hold: their number and the sums of their counts by family."""
     i = injections(spark, sf_dir)
-    o = J.overlaps(day_windows(spark, sf_dir), i, ["pod"], 6 * HOUR).groupBy("trial").agg(F.count("*").alias("windows"), F.bool_and(F.col("win_id") % 2 == 0).alias("all_even"))
-    return i.select("trial").join(o, "trial", "left").select("trial", F.coalesce("windows", F.lit(0)).alias("windows"), "all_even")
+    w = day_windows(spark, sf_dir).withColumn("process", F.col("win_id") % 7).withColumn("network", F.col("win_id") % 5)
+    o = J.overlaps(w, i, ["pod"], 6 * HOUR).groupBy("trial").agg(F.count("*").alias("windows"), F.bool_and(F.col("win_id") % 2 == 0).alias("all_even"), F.sum("process").alias("process"), F.sum("network").alias("network"))
+    none = F.lit(0).cast("long")
+    return i.select("trial").join(o, "trial", "left").select("trial", F.coalesce("windows", none).alias("windows"), "all_even", F.coalesce("process", none).alias("process"), F.coalesce("network", none).alias("network"))
 
 
 @query(
@@ -190,16 +216,32 @@ def j16(spark, sf_dir):
     return J.bracket_bad_rows(e, "pod", "event_id", "us").select("event_id", "after_t", "before_t")
 
 
+@query(
+    "j16_phase_overlaps",
+    f"""WITH {EV}, b AS (SELECT event_id, pod, CASE WHEN event_id % 9 <> 0 THEN us END AS us FROM ev),
+    w AS (SELECT *, last_value(us IGNORE NULLS) OVER (PARTITION BY pod ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
+      first_value(us IGNORE NULLS) OVER (PARTITION BY pod ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM b),
+    p AS (SELECT 1704067200000000 + k * {30 * HOUR} AS a, 1704067200000000 + k * {30 * HOUR} + {6 * HOUR} AS z FROM generate_series(0, 30) AS g(k))
+    SELECT event_id, EXISTS (SELECT 1 FROM p WHERE (lo IS NULL OR lo <= z) AND (hi IS NULL OR hi >= a)) AS touches_phase FROM w WHERE us IS NULL""",
+)
+def j16_phases(spark, sf_dir):
+    """A bad row is harmless only if no phase lies between its valid neighbours."""
+    p = spark.range(31).select((F.col("id") * 30 * HOUR + 1704067200000000).alias("started")).withColumn("stopped", F.col("started") + 6 * HOUR)
+    e = events(spark, sf_dir).select("event_id", "pod", F.when(F.col("event_id") % 9 != 0, F.col("us")).alias("us"))
+    return J.touches_phase(J.bracket_bad_rows(e, "pod", "event_id", "us"), p, 30 * HOUR).select("event_id", "touches_phase")
+
+
 @query(
     "j17_paired_methods",
-    "SELECT doc_id, quality = 1 AS first_found, toxic = 1 AS second_found, source = source AS same FROM labels JOIN documents USING (doc_id)",
+    """WITH a AS (SELECT doc_id, quality = 1 AS found, source AS meta FROM labels JOIN documents USING (doc_id)), b AS (SELECT doc_id, toxic = 1 AS found, CASE WHEN doc_id % 9 = 0 THEN 'other' ELSE source END AS meta FROM labels JOIN documents USING (doc_id) WHERE doc_id % 13 <> 0)
+    SELECT doc_id, a.found AS first_found, b.found AS second_found, CASE WHEN b.meta IS NULL THEN 'only first' WHEN a.meta <> b.meta THEN 'differs' END AS problem FROM a LEFT JOIN b USING (doc_id)""",
 )
 def j17(spark, sf_dir):
-    """Two methods' outcomes of a trial, with a check that what describes the trial is equal."""
-    x = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    a = x.select("doc_id", (F.col("quality") == 1).alias("first_found"), F.col("source").alias("s1"))
-    b = x.select("doc_id", (F.col("toxic") == 1).alias("second_found"), F.col("source").alias("s2"))
-    return a.join(b, "doc_id").select("doc_id", "first_found", "second_found", (F.col("s1") == F.col("s2")).alias("same"))
+    """Two methods' outcomes of a trial, each with its own record of what describes the trial; these must be equal."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    a = d.select("doc_id", (F.col("quality") == 1).alias("found"), F.col("source").alias("meta"))
+    b = d.filter("doc_id % 13 <> 0").select("doc_id", (F.col("toxic") == 1).alias("found"), F.when(F.col("doc_id") % 9 == 0, "other").otherwise(F.col("source")).alias("meta"))
+    return J.paired(a, b, ["doc_id"], "found", ["meta"]).withColumnsRenamed({"found_1": "first_found", "found_2": "second_found"})
 
 
 @query("j18_method_pairs", "SELECT a.r_name AS one, b.r_name AS two FROM region a JOIN region b ON a.r_name < b.r_name")
@@ -243,10 +285,17 @@ def x2(spark, sf_dir):
     return X.reconcile(o.filter(F.col("id") % 5 != 0), o.filter(F.col("id") % 7 != 0).withColumn("v", F.when(F.col("id") % 11 == 0, "X").otherwise(F.col("v"))), ["id"], ["v"])
 
 
-@query("x3_coverage", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 30 UNION SELECT s_nationkey FROM supplier WHERE s_suppkey < 10)")
+@query(
+    "x3_coverage",
+    """SELECT n_name, c_mktsegment FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)
+    WHERE (n_nationkey, c_mktsegment) NOT IN (SELECT (c_nationkey, c_mktsegment) FROM customer WHERE c_acctbal > 0 UNION SELECT (s_nationkey, 'BUILDING') FROM supplier)""",
+)
 def x3(spark, sf_dir):
-    seen = table(spark, sf_dir, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("n_nationkey")).union(table(spark, sf_dir, "supplier").filter("s_suppkey < 10").select("s_nationkey")).distinct()
-    return table(spark, sf_dir, "nation").join(seen, "n_nationkey", "left_anti").select("n_name")
+    """Nations without a customer in credit of some segment; a supplier stands for the building trade."""
+    c = table(spark, sf_dir, "customer")
+    seen = c.filter("c_acctbal > 0").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").union(table(spark, sf_dir, "supplier").select("s_nationkey", F.lit("BUILDING"))).distinct()
+    expected = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").crossJoin(c.select("c_mktsegment").distinct())
+    return expected.join(seen, ["n_nationkey", "c_mktsegment"], "left_anti").select("n_name", "c_mktsegment")
 
 
 @query(

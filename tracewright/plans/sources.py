@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.registry import query
@@ -24,24 +25,23 @@ def s2(spark, sf_dir):
     return S.read_capture(spark, path, "event_id long, workload string, syscall string, value double").withColumn("value", F.round("value", 6))
 
 
-@query("s4_node_union", f"WITH {EV} SELECT workload AS node, count(*) AS n, count(*) FILTER (event_id % 100 <> 0) AS agreeing FROM ev WHERE workload IN ('w0', 'w1', 'w2') GROUP BY workload")
-def s4(spark, sf_dir):
+def node_captures(spark, sf_dir):
+    """The captures of all nodes, written in one pass, a folder for each."""
     path = S.scratch(spark, "nodes")
-    for node in ("w0", "w1", "w2"):
-        e = events(spark, sf_dir).filter(F.col("workload") == node)
-        e.select("event_id", F.lit(node).alias("node"), F.when(F.col("event_id") % 100 == 0, "other").otherwise(F.col("workload")).alias("named")).write.json(f"{path}/node-{node}")
-    rows = S.read_nodes(spark, [f"{path}/node-{n}" for n in ("w0", "w1", "w2")], "event_id long, node string, named string", "named")
-    return rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if("node_agrees").alias("agreeing"))
+    e = events(spark, sf_dir).select("event_id", "syscall", F.col("workload").alias("node"), F.when(F.col("event_id") % 100 == 0, "other").otherwise(F.col("workload")).alias("named"))
+    e.write.partitionBy("node").json(path)
+    return S.read_nodes(spark, [path], "event_id long, syscall string, node string, named string", "named")
+
+
+@query("s4_node_union", f"WITH {EV} SELECT workload AS node, syscall, count(*) AS n, count(*) FILTER (event_id % 100 <> 0) AS agreeing FROM ev GROUP BY ALL")
+def s4(spark, sf_dir):
+    return node_captures(spark, sf_dir).groupBy("node", "syscall").agg(F.count("*").alias("n"), F.count_if("node_agrees").alias("agreeing"))
 
 
 @query("s4_all_nodes", f"WITH {EV} SELECT workload AS node, count(*) AS n, count(*) FILTER (event_id % 100 <> 0) AS agreeing FROM ev GROUP BY workload")
 def s4_all(spark, sf_dir):
-    """S4 over all workloads, their captures written in one pass."""
-    path = S.scratch(spark, "nodes")
-    e = events(spark, sf_dir).select("event_id", F.col("workload").alias("node"), F.when(F.col("event_id") % 100 == 0, "other").otherwise(F.col("workload")).alias("named"))
-    e.write.partitionBy("node").json(path)
-    rows = S.read_nodes(spark, [path], "event_id long, node string, named string", "named")
-    return rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if("node_agrees").alias("agreeing"))
+    """S4 by node alone."""
+    return node_captures(spark, sf_dir).groupBy("node").agg(F.count("*").alias("n"), F.count_if("node_agrees").alias("agreeing"))
 
 
 @query("s6_row_aligned", "SELECT e.vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
@@ -85,6 +85,18 @@ def s9(spark, sf_dir):
     return S.merged({"a": a, "b": b}, "t", "kind", ["start", "window", "end"], "line").select("source", "line", "kind_rank", "t")
 
 
+@query(
+    "s9_merge_positions",
+    """WITH u AS (SELECT 'a' AS source, o_orderkey AS line, o_custkey % 50 AS t, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS r FROM orders WHERE o_orderkey % 2 = 0
+    UNION ALL SELECT 'b', o_orderkey, o_custkey % 50, CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END FROM orders WHERE o_orderkey % 2 = 1)
+    SELECT source, line, t, CAST(row_number() OVER (PARTITION BY t ORDER BY r, source, line) AS INT) AS position FROM u""",
+)
+def s9_positions(spark, sf_dir):
+    """The place that each line gets among those of its time, from the order of the merged rows themselves."""
+    rows = s9(spark, sf_dir).withColumn("at", F.monotonically_increasing_id())
+    return rows.select("source", "line", "t", F.row_number().over(Window.partitionBy("t").orderBy("at")).alias("position"))
+
+
 @query("s10_round_concat", "SELECT label, count(*) AS n, count(DISTINCT embedding) AS different, min(len(embedding)) = max(len(embedding)) AS one_width FROM embeddings GROUP BY label")
 def s10(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
@@ -92,6 +104,19 @@ def s10(spark, sf_dir):
     return rounds.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("embedding").alias("different"), (F.min(F.size("embedding")) == F.max(F.size("embedding"))).alias("one_width"))
 
 
+@query(
+    "s10_round_order",
+    """WITH v AS (SELECT vec_id, 'r' || (vec_id * 7 // 100 % 9) AS round, len(embedding) - CASE WHEN vec_id % 31 = 0 THEN 1 ELSE 0 END AS w FROM embeddings),
+    f AS (SELECT round, min(vec_id) AS t, min(w) AS w FROM v GROUP BY round), p AS (SELECT round, CAST(row_number() OVER (ORDER BY t, round) AS INT) AS place, first_value(w) OVER (ORDER BY t, round) AS w0 FROM f)
+    SELECT vec_id, place, w = w0 AS width_agrees FROM v JOIN p USING (round)""",
+)
+def s10_order(spark, sf_dir):
+    """Baseline rounds in the order of their first times, some rows of another width."""
+    v = table(spark, sf_dir, "embeddings").withColumn("round", F.concat(F.lit("r"), (F.floor(F.col("vec_id") * 7 / 100) % 9).cast("string")))
+    v = v.withColumn("embedding", F.when(F.col("vec_id") % 31 == 0, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding")))
+    return S.concatenated(v, "round", "vec_id", "embedding").select("vec_id", "place", "width_agrees")
+
+
 def event_stream(spark, sf_dir, *columns: str):
     """The events as a stream over a folder of JSON files (S3)."""
     path = S.scratch(spark, "tail")
@@ -112,6 +137,35 @@ def st_w1(spark, sf_dir):
     return T.run(T.anchored_windows(event_stream(spark, sf_dir, "workload", "us", "event_id"), "workload", "us", 6 * 3_600_000_000), S.scratch(spark, "windows"))
 
 
+def walk_sql(key: str) -> str:
+    """Expressions o, f and g: the windows (key, anchor, n) of W1 over ev by a walk over its ordered events."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY us, event_id) AS k FROM ev),
+    f AS (SELECT {key}, k, us, us AS anchor FROM o WHERE k = 1 UNION ALL
+      SELECT o.{key}, o.k, o.us, CASE WHEN o.us - f.anchor >= 43200000000 THEN o.us WHEN o.us - f.anchor >= 21600000000 THEN f.anchor + 21600000000 ELSE f.anchor END FROM f JOIN o ON o.{key} = f.{key} AND o.k = f.k + 1),
+    g AS (SELECT {key}, anchor, count(*) AS n, max(us) AS last FROM f GROUP BY ALL)"""
+
+
+@query(
+    "st_idle_flush",
+    f"""WITH RECURSIVE {EV}, {walk_sql("pod")}, e AS (SELECT pod, max(us) AS ended FROM ev GROUP BY pod)
+    SELECT pod, anchor AS window_start, n FROM g JOIN e USING (pod) WHERE last < ended OR (ended + 21600000000) // 1000 < ((SELECT max(us) FROM ev) - 3600000000) // 1000""",
+)
+def st_w3(spark, sf_dir):
+    """W3 on a stream: the open window of a pod that was silent for a width is handed on when the watermark shows it."""
+    e = event_stream(spark, sf_dir, "pod", "us")
+    return T.run(T.anchored_windows(e, "pod", "us", 21_600_000_000, idle=21_600_000_000, delay="1 hour"), S.scratch(spark, "idle"))
+
+
+@query("st_departed_keys", f"""WITH RECURSIVE {EV}, {walk_sql("workload")} SELECT workload, anchor AS window_start, n FROM g""")
+def st_w4(spark, sf_dir):
+    """W4 on a stream: a last row of each workload says that it departs, which hands on its open window."""
+    path = S.scratch(spark, "departures")
+    e = events(spark, sf_dir)
+    rows = e.select("workload", "us", F.lit(False).alias("departs")).unionByName(e.groupBy("workload").agg((F.max("us") + 1).alias("us")).withColumn("departs", F.lit(True)))
+    rows.write.json(path)
+    return T.run(T.anchored_windows(T.tail(spark, path, rows.schema), "workload", "us", 21_600_000_000, closing="departs"), S.scratch(spark, "departed"))
+
+
 @query(
     "st_cooldown",
     f"""WITH RECURSIVE {EV}, od AS (SELECT pod, us, row_number() OVER (PARTITION BY pod ORDER BY us) AS i FROM ev WHERE value > 100),

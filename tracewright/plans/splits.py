@@ -38,6 +38,18 @@ def r3(spark, sf_dir):
     return R.largest_gap(events(spark, sf_dir), ["pod"], "us", F.lit(1704067200000000), F.lit(1706745600000000))
 
 
+@query(
+    "r3_stable_counters",
+    f"""WITH {EV}, c AS (SELECT pod, us // 864000000000 - 1972 AS restarts, pod % 4 - 1 AS build, CASE WHEN pod % 6 = 0 THEN event_id % 2 ELSE 3 END AS drops FROM ev),
+    g AS (SELECT pod, min(restarts) AS r0, max(restarts) AS r1, min(build) AS b0, max(build) AS b1, min(drops) AS d0, max(drops) AS d1 FROM c GROUP BY pod)
+    SELECT pod, concat_ws(',', CASE WHEN b0 <> b1 OR b0 < 0 THEN 'build' END, CASE WHEN d0 <> d1 OR d0 < 0 THEN 'drops' END, CASE WHEN r0 <> r1 OR r0 < 0 THEN 'restarts' END) AS changed FROM g""",
+)
+def r3_counters(spark, sf_dir):
+    e = events(spark, sf_dir)
+    c = e.select("pod", (F.floor(F.col("us") / 864000000000) - 1972).alias("restarts"), (F.col("pod") % 4 - 1).alias("build"), F.when(F.col("pod") % 6 == 0, F.col("event_id") % 2).otherwise(3).alias("drops"))
+    return R.stable_counters(c, ["pod"], ["restarts", "build", "drops"])
+
+
 @query("r4_slowest_rows", f"WITH {EV} SELECT event_id, round(value, 6) AS value FROM ev ORDER BY ev.value DESC, event_id LIMIT 20")
 def r4(spark, sf_dir):
     return R.slowest(events(spark, sf_dir), "value", "event_id").select("event_id", F.round("value", 6).alias("value"))

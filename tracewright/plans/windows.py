@@ -59,6 +59,17 @@ def w6(spark, sf_dir):
     return O.rolling_rate(d, ["pod", "syscall"], ["day"], "delta", 5).select("pod", "syscall", "day", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query(
+    "w7_newest_events",
+    f"""WITH {EV}, w AS (SELECT a.event_id, a.pod, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY b.us DESC, b.event_id DESC) AS k FROM ev a JOIN ev b ON b.pod = a.pod AND b.us >= a.us - 86400000000 AND (b.us, b.event_id) <= (a.us, a.event_id))
+    SELECT event_id, pod, count(*) AS held, round(sum(value), 5) AS held_total FROM w WHERE k <= 5 GROUP BY ALL""",
+)
+def w7_newest(spark, sf_dir):
+    """What the newest five events of the last day add up to."""
+    e = O.sliding_count(events(spark, sf_dir), "pod", "us", "event_id", 24 * HOUR * 1_000_000, 5, "value")
+    return e.select("event_id", "pod", F.col("events_total").alias("held"), F.round("held_total", 5).alias("held_total"))
+
+
 @query(
     "w7_sliding_windows",
     f"""WITH {EV} SELECT event_id, pod, least(CAST(count(*) OVER (PARTITION BY pod ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS BIGINT), 5) AS events_total FROM ev""",
@@ -88,18 +99,23 @@ def w8(spark, sf_dir):
     return segmented(spark, sf_dir).select("row", "workload", "segment")
 
 
-@query("w9_warm_up", f"WITH {VECTORS_SQL} SELECT row, CASE WHEN row_number() OVER (PARTITION BY workload, segment ORDER BY ended) <= 2 THEN 'warming' ELSE 'ready' END AS status FROM s")
+@query(
+    "w9_warm_up",
+    f"""WITH {VECTORS_SQL} SELECT row, CASE WHEN row_number() OVER (PARTITION BY workload, segment ORDER BY ended) <= 2 THEN 'warming' ELSE 'ready' END AS status,
+    coalesce(CASE WHEN ended - 1 - pe > 50 THEN 'temporal_gap' WHEN regime <> pr THEN 'traffic_regime_change' END, '') AS reset FROM s""",
+)
 def w9(spark, sf_dir):
-    return O.history(segmented(spark, sf_dir), ["workload"], "ended", 2, "vec").select("row", "status")
+    h = O.history(segmented(spark, sf_dir), ["workload"], "ended", 2, "vec", "began", 20.0, "regime")
+    return h.select("row", "status", F.coalesce("reset", F.lit("")).alias("reset"))
 
 
 @query(
     "w10_out_of_order",
-    f"""WITH {EV}, a AS (SELECT event_id, pod, us, lag(us) OVER (PARTITION BY pod ORDER BY (event_id * 7919) % 100003) AS b FROM ev) SELECT event_id, pod FROM a WHERE us <= b""",
+    f"""WITH {EV}, a AS (SELECT event_id, pod, us, lag(us) OVER (PARTITION BY pod ORDER BY (event_id * 7919) % 100003, event_id) AS b FROM ev) SELECT event_id, pod FROM a WHERE us <= b""",
 )
 def w10(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("arrival", F.col("event_id") * 7919 % 100003)
-    return O.not_increasing(e, ["pod"], "arrival", "us").select("event_id", "pod")
+    return O.not_increasing(e, ["pod"], ["arrival", "event_id"], "us").select("event_id", "pod")
 
 
 @query(

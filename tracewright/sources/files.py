@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset and all tasks run here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
@@ -36,8 +38,19 @@ def read_nodes(spark: SparkSession, paths: list[str], schema: str, node: str) ->
     return rows.withColumn("node_agrees", F.col(node) == folder)
 
 
+def content_digest(df: DataFrame) -> tuple[int, str]:
+    """Rows and a sum of row hashes, whatever the order of rows."""
+    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    n, digest = df.agg(F.count("*"), F.coalesce(total, F.lit(0).cast("decimal(38,0)"))).first()
+    return n, str(digest)
+
+
 def merged(sources: dict[str, DataFrame], time: str, kind: str, ranks: list[str], line: str) -> DataFrame:
-    """Captures in one order: time, rank of the kind, source, line."""
+    """Captures in one order: time, rank of the kind, source, line. The same capture twice is an error."""
+    seen: dict[tuple[int, str], str] = {}
+    for name, df in sources.items():
+        if (other := seen.setdefault(content_digest(df), name)) != name:
+            raise ValueError(f"sources {other} and {name} have the same rows")
     rank: Column = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(ranks)], F.lit(len(ranks)))
     parts = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
     out = parts[0]
@@ -46,6 +59,15 @@ def merged(sources: dict[str, DataFrame], time: str, kind: str, ranks: list[str]
     return out.withColumn("kind_rank", rank).orderBy(time, "kind_rank", "source", line)
 
 
+def concatenated(rows: DataFrame, round_: str, time: str, vector: str) -> DataFrame:
+    """Adds place, the number of a row's round in order of the rounds' first times, and width_agrees, whether the row's
+    vector is as wide as those of the first round. Rounds are few, so their numbering is over a small table."""
+    first = rows.groupBy(round_).agg(F.min(time).alias("_t"), F.min(F.size(vector)).alias("_w"))
+    w = Window.orderBy("_t", round_)
+    numbered = first.select(round_, F.row_number().over(w).alias("place"), F.first("_w").over(w).alias("_w"))
+    return rows.join(numbered, round_).withColumn("width_agrees", F.size(vector) == F.col("_w")).drop("_w")
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Refuses to overwrite; Spark's committer stages files and renames them."""
     df.write.mode("errorifexists").parquet(path)

@@ -32,38 +32,48 @@ def _kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def anchored_windows(events: DataFrame, key: str, time: str, width: int, idle_ms: int | None = None) -> DataFrame:
-    """(key, window_start, n) of each closed window. After idle_ms of silence an open window is handed on.
+def anchored_windows(events: DataFrame, key: str, time: str, width: int, idle_ms: int | None = None, idle: int | None = None, delay: str = "0 seconds", closing: str | None = None) -> DataFrame:
+    """(key, window_start, n) of each closed window.
+
+    W3: after idle_ms of wall time without an event, or idle microseconds of event time by which the watermark (delay behind
+    the newest event) has passed a key, its open window is handed on. W4: a row whose closing column holds says that
+    its key departs at that time; the window that is open then is handed on, and the row itself does not count.
 
     A micro-batch is put in order within a key; what comes in a later batch with an earlier time counts in the window
     that is open. After a flush the next event opens a window at its own time.
     """
+    if idle:
+        events = events.withColumn("_at", F.timestamp_micros(time)).withWatermark("_at", delay)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
-        anchor, n = state.get if state.exists else (None, 0)
+        anchor, n, last = state.get if state.exists else (None, 0, 0)
         if state.hasTimedOut:
             if n:
                 out.append((k[0], anchor, n))
             state.remove()
             yield pd.DataFrame(out, columns=[key, "window_start", "n"])
             return
-        for t in sorted(int(t) for p in parts for t in p[time]):
+        rows = [(int(t), c) for p in parts for t, c in zip(p[time], p[closing] if closing else [False] * len(p))]
+        for t, departs in sorted(rows):
             if anchor is None or t - anchor >= 2 * width:
                 nxt = t
             else:
                 nxt = anchor + width if t - anchor >= width else anchor
-            if nxt != anchor and n:
+            if n and (departs or nxt != anchor):
                 out.append((k[0], anchor, n))
                 n = 0
-            anchor, n = nxt, n + 1
-        state.update((anchor, n))
+            anchor, n = (None, 0) if departs else (nxt, n + 1)
+            last = max(last, t)
+        state.update((anchor, n, last))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
+        if idle:
+            state.setTimeoutTimestamp(max((last + idle) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "window_start", "n"])
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {_kind(events, key)}, window_start long, n long", "anchor long, n long", "append", timeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {_kind(events, key)}, window_start long, n long", "anchor long, n long, last long", "append", timeout)
 
 
 def cooldown(alerts: DataFrame, key: str, time: str, quiet: int) -> DataFrame:
@@ -122,10 +132,11 @@ def agent_decisions(rows: DataFrame, key: str, time: str, tie: str, score: str,
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         agent = AgentState(**settings)
         if state.exists:
-            agent.scores, agent.pending, agent.last = json.loads(state.get[0])
+            scores, agent.pending, agent.last = json.loads(state.get[0])
+            agent.remember(scores)
         p = pd.concat(list(parts)).sort_values([time, tie])
         out = [(k[0], int(i), *agent.step(float(s), float(t))) for s, t, i in zip(p[score], p[time], p[tie])]
-        state.update((json.dumps([agent.scores, agent.pending, agent.last]),))
+        state.update((json.dumps([list(agent.scores), agent.pending, agent.last]),))
         yield pd.DataFrame(out, columns=[key, tie, "decision", "limit_now"])
 
     return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {_kind(rows, key)}, `{tie}` long, decision string, limit_now double", "memory string", "append", GroupStateTimeout.NoTimeout)
