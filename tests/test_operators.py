@@ -1,7 +1,9 @@
 """Operators on small cases with known results."""
 
+import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -197,3 +199,255 @@ def test_robust_functions_on_empty_rows(spark):
     assert robust.event_bounds(none, "w", "n").count() == 0
     assert gates.calibrated(none, ["w"], ["i"], "s", F.col("s") < 1, 0.1).count() == 0
     assert robust.threshold(none, ["w"], "s", 0.5).count() == 0
+
+
+# ---------------------------------------------------------------- folds of constant state
+
+
+def busy(spark, n):
+    """One key that is never silent: an event each 6 seconds, in windows of 10."""
+    return spark.range(n).selectExpr("'k' AS k", "id * 6D AS t", "id AS i")
+
+
+def test_a_key_that_is_never_silent_takes_linear_time(spark):
+    def seconds(n):
+        began = time.perf_counter()
+        e = windows.anchored_windows(busy(spark, n), "k", "t", "i", 10.0)
+        first, last = e.agg(F.min("anchor"), F.max("anchor")).first()
+        assert first == 0.0 and last == (n - 1) * 6.0 // 10 * 10
+        sent = gates.cooldown(busy(spark, n).select("k", "t"), ["k"], "t", 20.0)
+        assert sent.count() == -(-n // 4)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 6 * seconds(200_000) + 2
+
+
+def test_folds_go_on_across_batches(spark):
+    """Keys that end, begin and are null at the edges of small batches."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", "c", None]), float(rng.randint(0, 900)), i) for i in range(300)]
+    want = {}
+    for k in ("a", "b", "c", None):
+        a = None
+        for _, t, i in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            a = t if a is None or t - a >= 20 else a + 10 if t - a >= 10 else a
+            want[i] = a
+    try:
+        spark.conf.set(limit, "7")
+        e = spark.createDataFrame(rows, "k string, t double, i long")
+        assert {r.i: r.anchor for r in windows.anchored_windows(e, "k", "t", "i", 10.0).collect()} == want
+    finally:
+        spark.conf.set(limit, before)
+    assert windows.anchored_windows(e.limit(0), "k", "t", "i", 10.0).count() == 0
+
+
+def decided(rows, k=2, near=0.8, behaviour_floor=0.5, warning_floor=0.4, quiet=3):
+    """The decision chain as a loop over (skip, calibrating, gate, score, limit, extreme, warned)."""
+    hard = behaviour = volume = 0
+    sent, out = None, []
+    for t, (skip, calibrating, gate, score, limit, extreme, warned) in enumerate(rows):
+        path = None
+        if skip:
+            hard = behaviour = volume = 0
+            out.append((skip, None))
+            continue
+        if calibrating:
+            out.append(("calibrating", None))
+            continue
+        if not gate:
+            hard = behaviour = 0
+            volume = volume + 1 if score >= limit and extreme else 0
+            if volume == 0:
+                out.append(("behavior_gated" if score >= limit else "normal", None))
+                continue
+            path, sure = "extreme_volume_ml", volume >= k
+        else:
+            volume = 0
+            if score >= limit:
+                hard, path = hard + 1, "hard_ml"
+            elif hard == 1 and score >= near * limit:
+                hard, path = k, "hysteresis_ml"
+            else:
+                hard = 0
+            behaviour = behaviour + 1 if behaviour_floor < limit and score >= behaviour_floor else 0
+            sure = hard >= k
+            if not sure and warned and warning_floor < limit and score >= warning_floor:
+                sure, path = True, "fast_path_behavior_ml_floor"
+            if not sure and behaviour >= k:
+                sure, path = True, "behavior_persistence_ml_floor"
+        if not sure:
+            out.append(("pending_confirmation", path))
+        elif sent is not None and t - sent < quiet:
+            out.append(("cooldown", path))
+        else:
+            sent = t
+            out.append(("detection", path))
+    return out
+
+
+def test_decisions_like_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None] * 9 + ["low_event_skip"]), rng.random() < 0.1, rng.random() < 0.6, rng.random(), rng.choice([0.5, 0.6, 0.7]), rng.random() < 0.5, rng.random() < 0.3) for _ in range(600)]
+    d = spark.createDataFrame([("w", t, *r, 2, 0.8, 0.5, 0.4) for t, r in enumerate(rows)], "w string, t long, skip string, calibrating boolean, gate boolean, score double, score_limit double, extreme boolean, warned boolean, k int, near double, behaviour_floor double, warning_floor double")
+    got = [(r.decision, r.path) for r in gates.decisions(d, ["w"], "t", 3).orderBy("t").collect()]
+    assert got == decided(rows)
+    assert len({x for x, _ in got}) == 7 and len({x for _, x in got}) == 6
+
+
+def test_agents_like_a_loop(spark):
+    rng = random.Random(9)
+    rows = [(a, i, float(i), rng.random() ** 2) for i in range(400) for a in "ab"]
+    want = {}
+    for a in "ab":
+        scores, pending, last = [], 0, None
+        for _, i, t, s in (r for r in rows if r[0] == a):
+            x = np.array(scores[-120:])
+            limit = 0.3 if len(x) < 10 else max(0.3, np.quantile(x[x >= np.quantile(x, 0.9)], 0.995) + 0.25)
+            if s < limit:
+                pending, label = 0, "normal"
+                scores.append(s)
+            else:
+                pending += 1
+                label = "pending" if pending < 2 else "cooldown" if last is not None and t - last < 3 else "alert"
+                if label == "alert":
+                    pending, last = 0, t
+            want[a, i] = (label, pytest.approx(limit))
+    d = spark.createDataFrame(rows, "a string, i long, t double, s double")
+    got = {(r.a, r.i): (r.decision, r.limit_now) for r in gates.agent_decisions(d, "a", ["i"], "s", "t", minimum=0.3).collect()}
+    assert got == want and len({label for label, _ in got.values()}) >= 2
+
+
+def test_greedy_attribution_like_a_loop(spark):
+    rng = random.Random(10)
+    alerts = [(rng.choice("pq"), 1000 + i, float(rng.randint(0, 300))) for i in range(80)]
+    markers = [(rng.choice("pq"), i, float(rng.randint(0, 300))) for i in range(60)]
+    want = set()
+    for k in "pq":
+        free = []
+        for t, side, i in sorted([(t, 1, i) for a, i, t in alerts if a == k] + [(t, 0, i) for a, i, t in markers if a == k]):
+            if side == 0:
+                free.append((t, i))
+            elif near := [f for f in free if t - f[0] <= 15]:
+                free.remove(near[-1])
+                want.add((k, i, near[-1][1]))
+    a, m = spark.createDataFrame(alerts, "pod string, alert_id long, at double"), spark.createDataFrame(markers, "pod string, marker_id long, marked double")
+    assert {tuple(r) for r in joins.attribute_greedily(a, m, "pod", 15.0).collect()} == want
+
+
+# ---------------------------------------------------------------- quantiles and models
+
+
+def test_counted_quantiles_like_numpy(spark):
+    rng = random.Random(11)
+    values = {"a": [rng.gauss(0, 1) for _ in range(500)], "b": [7.0] * 30, "c": [rng.choice([1.0, 2.0, 1e6]) for _ in range(77)], "d": [3.5]}
+    d = spark.createDataFrame([(k, v) for k, x in values.items() for v in x] + [("a", None)], "k string, v double")
+    qs = {"low": 0.0, "med": 0.5, "high": 0.995, "top": 1.0}
+    for r in robust.counted_quantiles(d, ["k"], "v", qs).collect():
+        assert r.n == len(values[r.k]) and [r[n] for n in qs] == pytest.approx([np.quantile(values[r.k], q) for q in qs.values()])
+    r = robust.counted_quantiles(d, [], "v", qs).first()
+    assert [r[n] for n in qs] == pytest.approx([np.quantile(sum(values.values(), []), q) for q in qs.values()])
+    one, two = (robust.median_and_mad(d, ["k"], "v", {"top": 0.9}, large=x).orderBy("k").collect() for x in (False, True))
+    assert [(r.k, r.n, r.med, r.top, r.mad) for r in one] == [(r.k, r.n, pytest.approx(r.med), pytest.approx(r.top), pytest.approx(r.mad)) for r in two]
+
+
+def test_conformal_like_counting(spark):
+    rng = random.Random(13)
+    cal = [(k, round(rng.random(), 2)) for k in "ab" for _ in range(60)]
+    new = [(i, k, round(rng.random() * 1.4 - 0.2, 2)) for i, k in enumerate("ab" * 50)]
+    c, s = spark.createDataFrame(cal, "k string, s double"), spark.createDataFrame(new, "i long, k string, s double")
+    for r in models.conformal(s, c, ["k"], "s", 0.05).collect():
+        assert r.p == pytest.approx((sum(x >= r.s for k, x in cal if k == r.k) + 1) / 61) and r.anomalous == (r.p <= 0.05)
+
+
+def test_pareto_limits_on_a_known_tail(spark):
+    """Exponential scores: the tail's quantile is known."""
+    rng = np.random.default_rng(1)
+    x = rng.exponential(0.05, 4000)
+    d = spark.createDataFrame([("w", float(v)) for v in x], "w string, s double")
+    r = robust.pareto_threshold(d, "w", "s", 0.1).first()
+    mad = np.median(np.abs(x - np.median(x)))
+    assert r.method == "pareto" and r.limit == pytest.approx(-0.05 * np.log(0.005) + 0.5 * mad, rel=0.12)
+    shape, scale = robust.fit_pareto(np.sort(rng.exponential(2.0, 5000)))
+    assert abs(shape) < 0.06 and scale == pytest.approx(2.0, rel=0.08)
+
+
+def test_components_like_numpy(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(3, 6))
+    x = {k: rng.normal(size=(50, 3)) @ base + rng.normal(scale=0.1, size=(50, 6)) for k in ("a", "b")}
+    d = spark.createDataFrame([(k, 100 * j + i, v.tolist()) for j, (k, m) in enumerate(x.items()) for i, v in enumerate(m)], "k string, i long, v array<double>")
+    got = {r.i: r.error for r in models.reconstruction_error(d, models.fit_components(d, "k", "v", 3), "k", "i", "v").collect()}
+    for j, m in enumerate(x.values()):
+        c = m - m.mean(axis=0)
+        _, _, vt = np.linalg.svd(c, full_matrices=False)
+        error = ((c - c @ vt[:3].T @ vt[:3]) ** 2).mean(axis=1)
+        assert [got[100 * j + i] for i in range(50)] == pytest.approx(error.tolist(), abs=1e-9)
+
+
+def test_isolated_rows_stand_out(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    x[0] = 9.0
+    d = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)] + [("b", 900 + i, [0.0, 0.0, 0.0, 0.0]) for i in range(5)], "k string, i long, v array<double>")
+    got = {r.i: r.isolation for r in models.isolation_scores(d, "k", "i", "v").collect()}
+    assert len(got) == 305 and max((s, i) for i, s in got.items() if i < 900)[1] == 0 and got[0] > 0.6
+    assert len({got[900 + i] for i in range(5)}) == 1
+
+
+def test_corrupted_rows_are_told_from_real_ones(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(400, 1))
+    x = z + rng.normal(scale=0.05, size=(400, 6))
+    d = spark.createDataFrame([("w", i, v.tolist()) for i, v in enumerate(x)], "w string, i long, v array<double>")
+    examples = models.corrupted(d, ["w"], "i", "v").cache()
+    real, bad = ({r.i: r.features for r in examples.filter(f"label = {n}").collect()} for n in (0, 1))
+    assert real == {i: pytest.approx(v.tolist()) for i, v in enumerate(x)} and set(bad) == set(real)
+    changed = np.mean([a != b for i in real for a, b in zip(real[i], bad[i])])
+    assert 0.15 < changed < 0.30
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    model = models.corruption_classifier(examples.filter("i % 4 <> 0"))
+    scored = model.transform(examples.filter("i % 4 = 0").withColumn("x", array_to_vector("features"))).select("label", vector_to_array("probability")[1].alias("p")).collect()
+    good, wrong = [r.p for r in scored if r.label == 0], [r.p for r in scored if r.label == 1]
+    assert np.mean([a < b for a in good for b in wrong]) > 0.7
+
+
+# ---------------------------------------------------------------- resources and sources
+
+
+def test_resources_at_any_depth(spark):
+    from tracewright.plans.identity import parse_agent_messages
+
+    payloads = [
+        '{"method":"tools/call","params":{"tool":"kubectl_delete","arguments":{"a":[{"PATH":{"x":["/etc",3,true,null]}}],"b":"c"}}}',
+        '{"method":"tools/call","params":{"name":"","tool_name":"look","q":{"deep":[{"host":"db-secret-1"}]}}}',
+        '[3, {"method":"ping"}, {"id":1}, {"method":""}, {"method":"tool/call","params":{"name":"x"}}, "y"]',
+        "nothing", None, "[]", '{"method":"m","params":"text"}',
+    ]
+    m = spark.createDataFrame(list(enumerate(payloads)), "i long, payload string")
+    got = {(r.i, r.method): r for r in parse_agent_messages(m).collect()}
+    assert set(got) == {(0, "tools/call"), (1, "tools/call"), (2, "ping"), (2, "tool/call"), (6, "m")}
+    digests = lambda *v: sorted(hashlib.sha256(x.encode()).hexdigest()[:16] for x in v)
+    a, b = got[0, "tools/call"], got[1, "tools/call"]
+    assert (a.tool, a.resources, a.high_risk) == ("kubectl_delete", digests("/etc", "3", "True"), True)
+    assert (b.tool, b.resources, b.high_risk) == ("look", digests("db-secret-1"), True)
+    assert got[2, "tool/call"].tool == "x" and got[2, "ping"].tool == "ping" and not got[6, "m"].high_risk and a.raw_bytes == len(payloads[0])
+
+
+def test_the_same_capture_twice_is_an_error(spark):
+    from tracewright.sources import files
+
+    a = spark.createDataFrame([(1, "start", 1), (2, "end", 2)], "t long, kind string, line long")
+    with pytest.raises(ValueError, match="same rows"):
+        files.merged({"a": a, "b": a.orderBy(F.desc("t"))}, "t", "kind", ["start", "end"], "line")
+    both = files.merged({"a": a, "b": a.withColumn("t", F.col("t") - 1)}, "t", "kind", ["start", "end"], "line").collect()
+    assert [(r.t, r.kind) for r in both] == [(0, "start"), (1, "start"), (1, "end"), (2, "end")]
+
+
+def test_phases_between_valid_rows(spark):
+    bad = spark.createDataFrame([("a", None, 5), ("b", 11, 19), ("c", 20, None), ("d", 31, 39), ("e", None, None)], "k string, after_t long, before_t long")
+    phases = spark.createDataFrame([(0, 10), (20, 30)], "started long, stopped long")
+    assert {r.k: r.touches_phase for r in joins.touches_phase(bad, phases, 7).collect()} == {"a": True, "b": False, "c": True, "d": False, "e": True}

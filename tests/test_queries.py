@@ -12,7 +12,7 @@ duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 #: One query or two of each kind here; all of them run in the driver's own comparison.
-CHOSEN = ["f1_syscall_names", "f11_agent_messages", "w1_anchored_windows", "w6_rolling_rates", "a3_ngram_vectors", "a17_robust_baselines", "g5_confirmed_alerts", "g10_decisions", "g16_temporal_confirmation", "j3_overlap_labels", "j9_censored_attribution", "t3_block_bootstrap", "r7_repaired_split", "q1_window_contract", "m8_conformal_p", "x2_log_reconciliation", "s4_node_union", "st_sequence_rule"]
+CHOSEN = ["f1_syscall_names", "f11_agent_messages", "w1_anchored_windows", "w6_rolling_rates", "a3_ngram_vectors", "a17_robust_baselines", "g5_confirmed_alerts", "g10_decisions", "g16_temporal_confirmation", "j3_overlap_labels", "j9_censored_attribution", "t3_block_bootstrap", "r7_repaired_split", "q1_window_contract", "m8_conformal_p", "x2_log_reconciliation", "s4_node_union", "st_sequence_rule", "g8_fused_confirmation", "g15_statuses", "g19_ablation", "a23_graph_features", "q2_injection_contract", "q8_accounting_identities", "st_idle_flush", "st_departed_keys"]
 
 
 def plain(v):
@@ -51,5 +51,17 @@ def test_all_nodes_hold_all_events(spark):
     assert sum(r.n for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count() and len(rows) > 3
 
 
+def test_the_flagship_decides(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.entry(spark).collect()
+    assert len(rows) > 100 and {"normal", "behavior_gated", "calibrating", "low_event_skip"} <= {r.decision for r in rows}
+
+
+@pytest.mark.parametrize("name, column", [("f19_event_digest", "verified"), ("j12_identity_checks", "other_run"), ("q8_accounting_identities", "rate_agrees"), ("q9_single_identity", "one_model")])
+def test_checks_can_fail(spark, name, column):
+    assert {r[column] for r in catalog.QUERIES[name](spark, SF).select(column).distinct().collect()} == {True, False}
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and catalog.FLAGSHIP in catalog.QUERIES
