@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,13 +100,49 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     parts.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+_LENGTH = re.compile(rb"(?im)^content-length: *(\d+)")
+
+
+def _complete(record: bytes) -> bool:
+    """The block has as many bytes as the head says, or there is nothing to wait for."""
+    head, found, block = record.partition(b"\r\n\r\n")
+    said = _LENGTH.search(head)
+    return not found or not said or len(block) >= int(said[1])
+
+
+def _joined_again(lines: DataFrame, marker: str) -> DataFrame:
+    """Lines (value, path), in the order of their files, with those joined again that a marker inside of a block has cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = None, None
+        for batch in batches:
+            out = []
+            for value, path in zip(batch.column(0), batch.column(1).to_pylist()):
+                if held is not None and path != of:
+                    out.append(held)
+                    held = None
+                held, of = value.as_py() if held is None else held + marker.encode() + value.as_py(), path
+                if _complete(held):
+                    out.append(held)
+                    held = None
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.binary())], ["value"])
+
+    return lines.select(F.col("value").cast("binary"), "path").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+
+
+def read_records(spark: SparkSession, path: str, marker: str = MARK, foreign: bool = False) -> DataFrame:
     """One row for each record: type, record_id, digest, refers_to, segment, origin_id, total_length, block, whole.
 
-    Files are cut at the line that starts a record. whole is false where the block has fewer bytes than it says, as
-    when a foreign file has that line inside of a block.
+    Files are cut at the line that starts a record, which written blocks never hold. foreign: they may; what that cuts is
+    joined again until a block has its Content-Length. That needs a file's lines in one task, as they are for gzipped
+    files; in a plain file a record at the edge of two tasks may stay cut. whole is false where a block is too short.
     """
-    lines = spark.read.option("lineSep", MARK).text(path).filter("value <> ''")
+    lines = spark.read.option("lineSep", marker).text(path)
+    if foreign:
+        lines = _joined_again(lines.select("value", F.col("_metadata.file_path").alias("path")), marker)
+    lines = lines.filter("value <> ''")
     head = F.substring_index("value", "\r\n\r\n", 1)
     rows = lines.select(F.concat(head, F.lit("\r\n")).alias("head"), F.col("value").cast("binary").alias("raw"))
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}: *([^\r\n]*)", 1), F.lit(""))
