@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import written
+from tracewright.llm.shared import join_uneven, written
 
 #: Turns that one as-of group spans at most before its last turn is handed on; parts large groups.
 TURN_SPAN = 1024
@@ -73,7 +73,10 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     quotes = quotes.groupBy("conv", "turn", "at", "hash").agg(F.min("level").alias("level"))
     near = written(_last_before(quotes, originals), "near-links")
     first = originals.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
-    far = near.filter("source_turn is null").join(first, "hash").filter("first.conv <> conv").select("conv", "turn", "at", "hash", F.col("first.conv").alias("source_conv"), F.col("first.turn").alias("source_turn"))
+    # a passage may be quoted by very many messages: its source is found once and then joined without one task for all
+    lost = near.filter("source_turn is null")
+    known = written(lost.groupBy("hash").agg(F.count("*").alias("quoted")).join(first, "hash"), "far-sources")
+    far = join_uneven(lost, known, ["hash"], "quoted", near.count()).filter("first.conv <> conv").select("conv", "turn", "at", "hash", F.col("first.conv").alias("source_conv"), F.col("first.turn").alias("source_turn"))
     links = near.filter("source_turn is not null").select("conv", "turn", "at", "hash", F.col("conv").alias("source_conv"), "source_turn").union(far)
     linked = quotes.join(links, ["conv", "turn", "at", "hash"], "left")
     replies = linked.groupBy("conv", "turn").agg(
