@@ -27,19 +27,36 @@ def _prefix(bits, depth) -> F.Column:
     return F.expr(f"shiftright({bits}, {HASH_BITS} - {depth})")
 
 
-def _leaves(cells: DataFrame, fine: int, coarse: int, byte_limit: int) -> DataFrame:
-    """(cell, depth, shard_bytes, shard_rows, oversized) of each histogram cell that a bucket of at most fine bits holds.
+def _ends(cells: DataFrame, fine: int, coarse: int, byte_limit: int) -> DataFrame:
+    """(cell, depth, shard_bytes, shard_rows, oversized) of each cell of fine bits that a bucket of coarse to fine bits holds.
 
     A bucket ends the splitting when it fits, or when all its rows have one hash value and no bit can part them.
     """
     ups = cells.select("cell", "bytes", "rows", "low", "high", F.explode(F.sequence(F.lit(coarse), F.lit(fine))).alias("depth"))
     ups = ups.withColumn("prefix", F.expr(f"shiftright(cell, {fine} - depth)"))
-    sums = ups.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"), F.min("low").alias("low"), F.max("high").alias("high"))
-    ends = sums.filter((F.col("shard_bytes") <= byte_limit) | (F.col("low") == F.col("high"))).select("depth", "prefix", "shard_bytes", "shard_rows")
+    sums = _sums(ups, "depth", "prefix")
+    ends = sums.filter((F.col("bytes") <= byte_limit) | (F.col("low") == F.col("high"))).select("depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
     found = ups.select("cell", "depth", "prefix").join(ends, ["depth", "prefix"])
     return found.groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("leaf")).select("cell", "leaf.*", (F.col("leaf.shard_bytes") > byte_limit).alias("oversized"))
 
 
+def _sums(cells: DataFrame, *key: str) -> DataFrame:
+    return cells.groupBy(*key).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _leaves(cells: DataFrame, fine: int, coarse: int, byte_limit: int) -> DataFrame:
+    """The ends of all cells. Buckets of a middle depth, far fewer than cells, are looked at first; only the cells of those that
+    are too full go down from there, a few bits."""
+    middle = max(coarse, fine - SPARE_BITS - 2)
+    tops = _sums(cells.withColumn("top", F.expr(f"shiftright(cell, {fine - middle})")), "top").withColumnRenamed("top", "cell")
+    upper = written(_ends(tops, middle, coarse, byte_limit), "upper-directory").withColumnRenamed("cell", "top")
+    keyed = cells.withColumn("top", F.expr(f"shiftright(cell, {fine - middle})"))
+    placed = keyed.select("cell", "top").join(upper, "top").drop("top")
+    if middle == fine:
+        return placed
+    return placed.unionByName(_ends(keyed.join(upper, "top", "left_anti"), fine, middle + 1, byte_limit))
+
+
 def extendible_shards(docs: DataFrame, byte_limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, bytes, depth (bits of its bucket), shard (their value), shard_bytes, shard_rows, oversized.
 
