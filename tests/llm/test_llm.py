@@ -48,6 +48,13 @@ def test_bpe_like_the_library(spark):
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_on_repeated_null_and_no_rows(spark):
+    docs = docs_of(spark, ["a b", "a b", None], [1, 1, None])
+    rows = bpe.encode_decode(docs, WORD_VOCABULARY).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == {(1, 2): 2, (None, 0): 1}
+    assert bpe.encode_decode(docs.limit(0), WORD_VOCABULARY).count() == 0
+
+
 def test_long_words_merge_alike():
     b = bpe.RankArrayBPE(WORD_VOCABULARY)
     rng = random.Random(0)
@@ -82,6 +89,14 @@ def test_nested_quotes_are_linked(spark):
     assert got[None, 3] == {("no thread", 0, 0, None, None, 3, 0)}
 
 
+def test_quotes_of_long_messages_with_clashing_columns(spark):
+    long = "\n".join(f"line {i} of a long message" for i in range(3000))
+    rows = [(1, 0, "u", long, 1, "x")] + [(1, k, "a", "> " + long.replace("\n", "\n> ") + "\nyes", 2, "y") for k in (1, 2)] + [(c, 0, "a", "> " + long.replace("\n", "\n> ") + "\nme too", 3, "z") for c in range(2, 6)]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth int, hash string")
+    got = {(r.conv_id, r.turn): (r.own_text, r.n_linked, r.root_conv, r.root_turn) for r in chat.link_quotations(m).collect()}
+    assert got == {(1, 0): (long, 0, 1, 0), (1, 1): ("yes", 1, 1, 0), (1, 2): ("yes", 1, 1, 0)} | {(c, 0): ("me too", 1, 1, 0) for c in range(2, 6)}
+
+
 def test_chat_without_rows(spark):
     assert chat.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -120,6 +135,23 @@ def test_missing_segment_is_found(spark, tmp_path):
     assert not warc.reassemble(records.filter("total_length is null")).first().whole
 
 
+def test_foreign_archives_with_the_marker_in_a_block(spark, tmp_path):
+    import gzip
+
+    def record(name, block):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%s>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (name, len(block), block)
+
+    blocks = {"a": b"x WARC/1.1\r\nWARC/1.1\r\n y", "b": b"", "c": "é WARC/1.1\r\n\r\nWARC-Type: none".encode(), "d": b"plain"}
+    for k in range(3):
+        with gzip.open(tmp_path / f"{k}.gz", "wb") as f:
+            for name, block in blocks.items():
+                f.write(record(f"{name}{k}".encode(), block))
+    got = {r.record_id: (bytes(r.block), r.whole) for r in warc.read_records(spark, str(tmp_path), foreign=True).collect()}
+    assert got == {f"<{n}{k}>": (b, True) for n, b in blocks.items() for k in range(3)}
+    plain = warc.read_records(spark, str(tmp_path)).filter("record_id is not null").collect()
+    assert sum(not r.whole for r in plain) == 6
+
+
 def test_chunked_bodies():
     head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
     assert warc.chunked_body(head + b"3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n") == b"abcde"
@@ -165,6 +197,14 @@ def test_packing_repeated_and_no_rows(spark):
     assert packing.packed_documents(twice.limit(0), BYTE_VOCABULARY).count() == 0
 
 
+def test_packing_null_ids_and_very_long_texts(spark):
+    texts = ["word " * 30000, "z" * 60000, None]
+    rows = packing.packed_documents(docs_of(spark, texts, [5, None, None]), BYTE_VOCABULARY).collect()
+    tokenizer = Tokenizer.from_file(BYTE_VOCABULARY)
+    want = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    assert sum(r.length for r in rows) == sum(want) and sum(r.length for r in rows if r.doc_id == 5) == want[0]
+
+
 def test_crossover_keeps_every_item():
     rng = random.Random(1)
     size = [rng.randint(1, 99) for _ in range(300)]
@@ -436,6 +476,21 @@ def test_extendible_hashing_like_a_loop(spark):
     assert sharding.extendible_shards(docs.limit(0), 1000).count() == 0
 
 
+def test_uneven_shards_and_null_ids(spark):
+    """One id with most bytes, so that buckets end at very different depths; null ids are one hash value."""
+    docs = docs_of(spark, ["x" * 90] * 400 + ["h" * 4000] * 30 + ["n" * 10] * 3, [*range(400), *[7777] * 30, None, None, None])
+    rows = sharding.extendible_shards(docs, 500).collect()
+    assert len(rows) == 433 and sum(r.bytes for r in rows) == 36000 + 120000 + 30
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.depth, r.shard] += r.bytes
+    assert all(sizes[r.depth, r.shard] == r.shard_bytes for r in rows) and all(r.shard_bytes <= 500 or r.doc_id == 7777 for r in rows)
+    # no bucket could have been left whole: its parent is over the limit
+    for depth, shard in sizes:
+        if depth:
+            assert sum(b for (d, s), b in sizes.items() if d >= depth - 1 and s >> (d - depth + 1) == shard >> 1) > 500
+
+
 def test_shards_are_written(spark, tmp_path):
     docs = docs_of(spark, ["x" * 100 for _ in range(40)])
     sharding.write_shards(docs, str(tmp_path / "s"), 1000)
@@ -478,6 +533,14 @@ def test_alignment_finds_the_offset(spark):
     assert (link["query"], link["match"], link["offset"]) == (0, 1, -8)
 
 
+def test_long_audio_and_its_excerpt(spark):
+    a = tones(np.random.default_rng(7).integers(0, 24, 3000))
+    pcm = lambda x: x.astype("<i2").tobytes()
+    r = spark.createDataFrame([(0, pcm(a)), (1, pcm(a[1000 * media.HOP : 1200 * media.HOP]))], "rec long, pcm binary")
+    got = {x.rec: x for x in media.match_recordings(r, "rec", "pcm").collect()}
+    assert got[0].n_matches == 1 and got[0].best_match == 1 and got[0].n_codes > 5000
+
+
 def test_excerpts_have_the_codes_of_the_whole():
     a = tones(np.random.default_rng(6).integers(0, 24, 90))
     assert (media.fingerprint(a[20 * media.HOP : 90 * media.HOP]) == media.fingerprint(a)[20:74]).all()
@@ -634,6 +697,14 @@ def test_jaccard_on_documents(spark):
     assert Counter(map(tuple, jaccard.jaccard_components(d).collect())) == components([(r.doc_id, r.text) for r in d.collect()])
 
 
+def test_jaccard_of_very_long_texts_and_text_ids(spark):
+    long = [f"w{i}" for i in range(60_000)]
+    texts = [" ".join(long), " ".join(long[:55_000]), " ".join(long[::-1]), "short text"]
+    docs = spark.createDataFrame(list(zip("dcba", texts)), "doc_id string, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {"d": (59_996, "c"), "c": (54_996, "c"), "b": (59_996, "b"), "a": (1, "a")}
+
+
 def test_jaccard_without_rows_or_links(spark):
     assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
     assert {tuple(r) for r in jaccard.jaccard_components(docs_of(spark, ["a b c d e f", None, ""])).collect()} == {(0, 2, 0), (1, 0, 1), (2, 0, 2)}
