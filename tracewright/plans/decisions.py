@@ -9,7 +9,7 @@ from tracewright.operators import gates as G
 from tracewright.operators import joins as J
 from tracewright.operators import models as M
 from tracewright.operators import windows as W
-from tracewright.plans.features import ENVELOPE_SQL, FREQ, GROUPS, LIMITS_SQL, WEV, WIN, frequencies, group_counts, limits, scores, windowed
+from tracewright.plans.features import ENVELOPE_SQL, FREQ, GROUPS, LIMITS_SQL, WEV, WIN, frequencies, group_counts, limits, scores, window_counts, windowed
 from tracewright.operators.robust import counted_quantiles, envelope, event_bounds
 from tracewright.registry import query
 from tracewright.sources.tables import EV, events
@@ -19,8 +19,8 @@ GATES_SQL = f"""{LIMITS_SQL}, rt AS (SELECT workload, win, syscall, {wilson_sql(
   gt AS (SELECT workload, win, max(ratio) > 1 AS gate, arg_max(syscall, (ratio, syscall)) AS gate_syscall, max(ratio) AS gate_ratio FROM rt GROUP BY ALL)"""
 
 
-def gates(spark, sf_dir):
-    return G.behaviour_gate(frequencies(spark, sf_dir), limits(spark, sf_dir), WIN, "workload", "syscall")
+def gates(spark, sf_dir, counts=None):
+    return G.behaviour_gate(frequencies(spark, sf_dir, counts), limits(spark, sf_dir, counts), WIN, "workload", "syscall")
 
 
 @query("g1_behaviour_gates", f"WITH {GATES_SQL} SELECT workload, win, gate, gate_syscall, round(gate_ratio, 6) AS gate_ratio FROM gt")
@@ -104,10 +104,11 @@ CHAIN_SQL = f"""{GATES_SQL}, {_RULE_SQL.removeprefix(EV + ", ")}, ws AS (SELECT
 
 def chain_windows(spark, sf_dir, components=COMPONENTS):
     """(component, workload, win, n, score, skip, gate, extreme, warned, clean, limit): what the chain decides on, by component of the score."""
-    w = windowed(spark, sf_dir).groupBy(*WIN).agg(F.count("*").alias("n"), F.max("value").alias("top"), F.avg("value").alias("mean"))
+    counts = window_counts(spark, sf_dir)
+    w = counts.groupBy(*WIN).agg(F.sum("n").alias("n"), F.max("top").alias("top"), (F.sum("amount") / F.sum("n")).alias("mean"))
     first, second = F.least(F.lit(1.0), F.col("top") / 400), F.least(F.lit(1.0), F.col("mean") / 100)
     bounds = event_bounds(w, "workload", "n", (0.1, 0.9), CHAIN["volume"])
-    gated = gates(spark, sf_dir).select(*WIN, (F.col("gate_ratio") > CHAIN["ratio"]).alias("gate"))
+    gated = gates(spark, sf_dir, counts).select(*WIN, (F.col("gate_ratio") > CHAIN["ratio"]).alias("gate"))
     w = w.join(bounds, "workload").join(gated, WIN, "left").withColumn("gate", F.coalesce("gate", F.lit(False)))
     w = w.withColumn("extreme", F.col("n") > F.col("high")).withColumn("skip", G.quality_skip(F.col("n"), F.col("low"), F.col("win") % 12 * F.lit(10.0), 4, 20.0)).withColumn("ended", (F.col("win") + 1) * 21600000000)
     w = J.asof(w, warnings(spark, sf_dir).select("workload", F.col("us").alias("warned_at")), ["workload"], "ended", "warned_at", 21600000000).withColumn("warned", F.col("warned_at").isNotNull())

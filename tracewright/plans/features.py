@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.syscalls import BEHAVIOUR_SYSCALLS, Z_TWO_SIDED, wilson, wilson_sql
@@ -10,6 +11,7 @@ from tracewright.operators import robust as R
 from tracewright.operators.windows import aligned_windows
 from tracewright.plans.identity import AGENT_SQL, agent_messages, parse_agent_messages
 from tracewright.registry import query
+from tracewright.sources.files import scratch
 from tracewright.sources.tables import EV, events, table
 
 WIN = ["workload", "win"]
@@ -22,9 +24,21 @@ def windowed(spark, sf_dir):
     return aligned_windows(events(spark, sf_dir), "us", 6 * 3600)
 
 
-def frequencies(spark, sf_dir):
-    """(workload, win, syscall, n, total, freq)."""
-    return O.syscall_counts(windowed(spark, sf_dir), WIN, "syscall").withColumn("freq", F.col("n") / F.col("total"))
+def window_counts(spark, sf_dir):
+    """(workload, win, syscall, n, top, amount) of each window and call, written once for plans that read it several times."""
+    path = scratch(spark, "window-counts")
+    w = windowed(spark, sf_dir).groupBy(*WIN, "syscall").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.sum("value").alias("amount"))
+    w.write.parquet(path)
+    return spark.read.schema(w.schema).parquet(path)
+
+
+def frequencies(spark, sf_dir, counts=None):
+    """(workload, win, syscall, n, total, freq); counts are window_counts, if they are there."""
+    if counts is None:
+        rows = O.syscall_counts(windowed(spark, sf_dir), WIN, "syscall")
+    else:
+        rows = counts.select(*WIN, "syscall", "n").withColumn("total", F.sum("n").over(Window.partitionBy(*WIN)))
+    return rows.withColumn("freq", F.col("n") / F.col("total"))
 
 
 @query(
@@ -127,8 +141,8 @@ def mad_sql(rows: str, key: str, value: str, more: str = "") -> str:
     st AS (SELECT s1.*, d.mad FROM s1 JOIN (SELECT {key}, quantile_cont(abs({value} - med), 0.5) AS mad FROM {rows} JOIN s1 USING ({key}) GROUP BY {key}) d USING ({key}))"""
 
 
-def train_frequencies(spark, sf_dir):
-    return frequencies(spark, sf_dir).filter(F.col("win") % 2 == 0)
+def train_frequencies(spark, sf_dir, counts=None):
+    return frequencies(spark, sf_dir, counts).filter(F.col("win") % 2 == 0)
 
 
 LIMITS_SQL = f"""{FREQ}, tf AS (SELECT workload, syscall, n / total AS freq FROM fr WHERE win % 2 = 0 AND syscall IN ({_NAMES})),
@@ -136,8 +150,8 @@ LIMITS_SQL = f"""{FREQ}, tf AS (SELECT workload, syscall, n / total AS freq FROM
   lm AS (SELECT workload, syscall, least(0.95, greatest(0.20, top + greatest(0.02, 0.5 * 1.4826 * mad))) AS limit_value FROM st)"""
 
 
-def limits(spark, sf_dir):
-    return R.behaviour_limits(train_frequencies(spark, sf_dir), "workload", "syscall", "freq", q=0.5, floor=0.20, deviations=0.5)
+def limits(spark, sf_dir, counts=None):
+    return R.behaviour_limits(train_frequencies(spark, sf_dir, counts), "workload", "syscall", "freq", q=0.5, floor=0.20, deviations=0.5)
 
 
 @query("a11_behaviour_limits", f"WITH {LIMITS_SQL} SELECT workload, syscall, round(limit_value, 6) AS limit_value FROM lm")

@@ -250,10 +250,10 @@ def f17(spark, sf_dir):
     return o.select("k", F.round(age, 6).alias("age"), (age < 20).alias("starting"), (F.col("drift") > 0.010).alias("inconsistent"))
 
 
-@query("f18_column_digest", """SELECT n_name, sha256('["' || n_name || '","' || n_nationkey || '"]') AS digest FROM nation""")
+@query("f18_column_digest", """SELECT c_custkey, sha256('["' || c_mktsegment || '","' || c_custkey || '"]') AS digest FROM customer""")
 def f18(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    return n.select("n_name", F.sha2(F.to_json(F.array("n_name", F.col("n_nationkey").cast("string"))), 256).alias("digest"))
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.sha2(F.to_json(F.array("c_mktsegment", F.col("c_custkey").cast("string"))), 256).alias("digest"))
 
 
 @query(

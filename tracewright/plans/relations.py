@@ -259,10 +259,12 @@ def j19(spark, sf_dir):
     return X.adjacent_pairs(table(spark, sf_dir, "supplier").withColumn("v", F.col("s_acctbal").cast("double")), ["s_nationkey"], "s_suppkey", "v").select("s_nationkey", "block", F.round("off", 6).alias("off_value"), F.round("on", 6).alias("on_value"))
 
 
-@query("j20_expected_matrix", "SELECT r_name, n_name, trial FROM region, nation, (SELECT unnest(generate_series(1, 5)) AS trial) WHERE r_regionkey = n_regionkey")
+@query("j20_expected_matrix", f"WITH {EV} SELECT pod, syscall, trial FROM (SELECT DISTINCT pod FROM ev), (SELECT DISTINCT syscall FROM ev), (SELECT unnest(generate_series(1, 5)) AS trial)")
 def j20(spark, sf_dir):
-    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    return r.join(n, r["r_regionkey"] == n["n_regionkey"]).select("r_name", "n_name").crossJoin(spark.range(1, 6).withColumnRenamed("id", "trial"))
+    """Every pod, call and trial that an evaluation should have."""
+    e = events(spark, sf_dir)
+    trials = spark.range(1, 6).withColumnRenamed("id", "trial")
+    return e.select("pod").distinct().crossJoin(e.select("syscall").distinct()).crossJoin(trials)
 
 
 @query(

@@ -52,20 +52,19 @@ def s6(spark, sf_dir):
     return m.join(d, "row_idx").select(F.col("row_idx").alias("vec_id"), "label", F.round("first", 6).alias("first"))
 
 
-@query("s7_csv_results", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("s7_csv_results", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
 def s7(spark, sf_dir):
-    path = S.scratch(spark, "csv")
-    S.write_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
-    n = table(spark, sf_dir, "nation").schema
-    return spark.read.option("header", True).schema(f"n_nationkey {n['n_nationkey'].dataType.simpleString()}, n_name string, n_regionkey {n['n_regionkey'].dataType.simpleString()}").csv(path)
+    path, o = S.scratch(spark, "csv"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    S.write_csv(o, path)
+    return spark.read.option("header", True).schema(o.schema).csv(path)
 
 
-@query("s8_immutable_write", "SELECT r_name, true AS refused FROM region")
+@query("s8_immutable_write", "SELECT c_custkey, true AS refused FROM customer")
 def s8(spark, sf_dir):
-    path, r = S.scratch(spark, "once"), table(spark, sf_dir, "region").select("r_name")
-    S.write_once(r, path)
+    path, c = S.scratch(spark, "once"), table(spark, sf_dir, "customer").select("c_custkey")
+    S.write_once(c, path)
     try:
-        S.write_once(r, path)
+        S.write_once(c, path)
         refused = False
     except AnalysisException:
         refused = True

@@ -15,7 +15,8 @@ HOUR = 3600
 def _counters(spark, sf_dir):
     """Running counts by pod, call and day; every tenth day the counter starts anew."""
     e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / 86400000000).cast("long"))
-    daily = e.groupBy("pod", "syscall", "day").agg(F.count("*").alias("n"))
+    # dealt once by source and counter, which serves this window and those over the counters
+    daily = e.groupBy("pod", "syscall", "day").agg(F.count("*").alias("n")).repartition("pod", "syscall")
     w = Window.partitionBy("pod", "syscall", F.floor(F.col("day") / 10)).orderBy("day")
     return daily.select("pod", "syscall", "day", F.sum("n").over(w).alias("total"))
 
