@@ -32,8 +32,10 @@ HOT_LIMIT = 1_000_000
 HOT_LEAST = 8
 #: Blocks of the upper halves of shingle hashes in which counts are summed: each has 2**32 / BLOCKS values at most.
 BLOCKS = 1024
+#: Parts in which a row's columns are dealt when its component is joined.
+DEALS = 16
 #: Shingles that a task gathers before it hands on their counts.
-FLUSH = 4_000_000
+FLUSH = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,7 +332,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, blocks: int = BLOCKS)
     links = written(_linked(tried, sets), "links")
     parts = connected_components(links)
 
-    placed = postings.join(parts, "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("part"))
+    # a long text has many columns, so its row is dealt by parts of them
+    dealt = parts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    placed = postings.withColumn("deal", F.pmod("token", F.lit(DEALS)).cast("int")).join(dealt, ["key", "deal"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("part"))
     spread = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
     placed = written(placed.join(spread, "token", "left_semi"), "open-postings")
     classes = placed.groupBy("token", "n", "pos").agg(F.min("part").alias("low"), F.max("part").alias("high"))

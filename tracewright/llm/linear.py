@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.shared import Words, is_training_row, text_slices, written
@@ -20,6 +20,8 @@ FEATURE_BITS = 20
 SPACE = 1 << FEATURE_BITS
 #: Labelled rows that a model is fitted on, at most; a documented bound, chosen by a hash of the id.
 SAMPLE_ROWS = 12_000
+#: Rows that an id of the sample has, at most.
+MOST_COPIES = 8
 #: Features that a model may use, at most, and the fewest sampled texts that each must occur in.
 MODEL_FEATURES, LEAST_TEXTS = 1 << 15, 3
 
@@ -38,20 +40,23 @@ def distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, label) of at most rows training rows of docs that have a label; their ids are few enough to be sent to all tasks.
 
-    Rows whose id or label is null are no examples; of repeated ids the largest label and the least text count, so the
-    sample has no more rows than ids.
+    Rows whose id or label is null are no examples, of repeated labels the largest counts. Ids that more than MOST_COPIES
+    rows of docs share are no examples either, and of the others as many are taken as have rows rows together.
     """
+    copies = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & is_training_row(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
-        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+        .join(copies.filter(F.col("copies") <= MOST_COPIES), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    # the window is over the rows of the limit, not over the table
+    so_far = F.sum("copies").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = ids.withColumn("so_far", so_far).filter(F.col("so_far") <= rows).select("doc_id", "label")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
 
 
 def feature_table(sample: DataFrame, features: Features, swap: Callable[[str], str | None] | None = None) -> DataFrame:

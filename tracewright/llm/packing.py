@@ -234,6 +234,9 @@ def _pack_round(items: DataFrame, capacity: int, blocks: int, seed: int) -> Data
     """
     dealt = items.select("item", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
     dealt = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    # an island is small and takes long, so its tasks don't follow the size of what is shuffled
+    spark = items.sparkSession
+    tasks = min(blocks * ISLANDS, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item")
@@ -248,7 +251,7 @@ def _pack_round(items: DataFrame, capacity: int, blocks: int, seed: int) -> Data
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "items": [rows["item"].to_numpy()], "sizes": [rows["length"].to_numpy()], "people": [[_frozen(p, len(size)) for p in population]]})
 
     schema = "block int, island int, items array<long>, sizes array<int>, people array<binary>"
-    state = written(dealt.groupBy("block", "island").applyInPandas(settle, schema), "islands")
+    state = written(dealt.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(settle, schema), "islands")
     for epoch in range(1, EPOCHS):
         # the best of each island goes to the next one; each island is a row and evolves in a task of its own
         elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("people")[0].alias("elite"))
@@ -263,7 +266,7 @@ def _pack_round(items: DataFrame, capacity: int, blocks: int, seed: int) -> Data
                     people.append([_frozen(p, len(size)) for p in population])
                 yield rows.drop(columns="elite").assign(people=people)
 
-        moved = state.join(elite, ["block", "island"]).select("block", "island", "items", "sizes", "people", "elite")
+        moved = state.join(elite, ["block", "island"]).select("block", "island", "items", "sizes", "people", "elite").repartition(tasks, "block", "island")
         state = written(moved.mapInPandas(migrate, schema), "islands") if epoch + 1 < EPOCHS else moved.mapInPandas(migrate, schema)
 
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
