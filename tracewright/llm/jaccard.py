@@ -32,8 +32,6 @@ HOT_LIMIT = 1_000_000
 HOT_LEAST = 8
 #: Blocks of the upper halves of shingle hashes in which counts are summed: each has 2**32 / BLOCKS values at most.
 BLOCKS = 1024
-#: Parts in which a row's columns are dealt when its component is joined.
-DEALS = 16
 #: Shingles that a task gathers before it hands on their counts.
 FLUSH = 1 << 20
 
@@ -193,10 +191,19 @@ def _prefixes(texts: DataFrame, hot) -> DataFrame:
     return texts.mapInArrow(run, "token long, key long, n int, pos int")
 
 
-def _set_key(text: pd.Series) -> pd.Series:
-    """The hash of each text's shingle set, as in the rows of _grouped."""
-    parts = [shingle_sets(data, offsets)[2] for _, _, data, offsets in text_slices(pa.array(text, pa.string()))]
-    return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+def _asked_keys(bits):
+    """A function of (key_bit of an id, text): the hash of the text's shingle set, as in the rows of _grouped, if the broadcast
+    bitmap may mean the id, else null. One Python node does both; Spark may not move it, or it would be run twice."""
+
+    def keys(bit: pd.Series, text: pd.Series) -> pd.Series:
+        chosen = in_bitmap(bits.value, bit.to_numpy())
+        parts = [shingle_sets(data, offsets)[2] for _, _, data, offsets in text_slices(pa.array(text[chosen], pa.string()))]
+        out = pd.Series(np.zeros(len(text), np.int64), dtype="Int64")
+        out[~chosen] = pd.NA
+        out[chosen] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return out
+
+    return F.pandas_udf(keys, "long").asNondeterministic()
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,8 +221,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = judged.unionByName(groups.filter("part is null").select("doc_id", "key", F.lit(True).alias("stays")))
     sets = judged.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("copies"))
     sets = written(sets.filter(~F.col("stays") | (F.col("copies") > 1)), "judged-sets")
-    maybe = maybe_in(sets.select("doc_id"), "doc_id")(id_col)
-    asked = docs.filter(maybe).select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), F.pandas_udf(_set_key, "long")(text_col).alias("key"))
+    if sets.isEmpty():
+        return docs
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(sets, "doc_id"))
+    maybe = maybe_in(bits)(id_col)
+    asked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), _asked_keys(bits)(key_bit(id_col), F.col(text_col)).alias("key")).filter("key is not null")
     known = asked.join(sets, ["doc_id", "key"], "left").filter("coalesce(stays, true)")
     kept = docs.filter(~maybe).unionByName(known.filter("copies is null or copies = 1").select("_row.*"))
     if sets.filter("stays").isEmpty():
@@ -225,7 +235,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _sets(texts: DataFrame, doc_keys: DataFrame, keys: DataFrame) -> DataFrame:
     """The whole sets of the wanted keys. Documents are thinned out by a bitmap of their ids before they are shingled."""
-    wanted = doc_keys.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"))
+    # exact copies are summed up before they meet, so that a large group of them is no large task
+    wanted = doc_keys.groupBy("key").agg(F.min("doc_id").alias("id")).join(keys, "key")
     bits = texts.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "id"))
     bit = key_bit("doc_id").alias("bit")
 
@@ -332,9 +343,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, blocks: int = BLOCKS)
     links = written(_linked(tried, sets), "links")
     parts = connected_components(links)
 
-    # a long text has many columns, so its row is dealt by parts of them
-    dealt = parts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    placed = postings.withColumn("deal", F.pmod("token", F.lit(DEALS)).cast("int")).join(dealt, ["key", "deal"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("part"))
+    placed = postings.join(parts, "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("part"))
     spread = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
     placed = written(placed.join(spread, "token", "left_semi"), "open-postings")
     classes = placed.groupBy("token", "n", "pos").agg(F.min("part").alias("low"), F.max("part").alias("high"))

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +84,8 @@ def in_bitmap(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def maybe_in(keys: DataFrame, *names: str):
-    """A function of columns that tells the rows whose key may be among keys; False is sure. No key, no call of Python."""
-    if keys.isEmpty():
-        return lambda *columns: F.lit(False)
-    bits = keys.sparkSession.sparkContext.broadcast(key_bitmap(keys, *names))
+def maybe_in(bits: Broadcast):
+    """A function of columns that tells the rows whose key may be in a broadcast bitmap; False is sure."""
 
     @F.pandas_udf("boolean")
     def maybe(bit: pd.Series) -> pd.Series:

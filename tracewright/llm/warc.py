@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import join_uneven, maybe_in, scratch_path, written
+from tracewright.llm.shared import join_uneven, key_bitmap, maybe_in, scratch_path, written
 
 #: A record starts with this line; written blocks never hold it, as a chunk always ends inside of it.
 MARK = "WARC/1.1\r\n"
@@ -65,7 +65,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     digest = F.sha2(F.col("payload").cast("binary"), 256).alias("digest")
     marks = _marks(rows.select("id", F.octet_length("payload").cast("long").alias("bytes"), digest))
     # payloads are not shuffled, but for rows that may be marked: a bitmap of bounded size tells them by their ids
-    maybe = maybe_in(marks, "id")("id")
+    maybe = F.lit(False) if marks.isEmpty() else maybe_in(pages.sparkSession.sparkContext.broadcast(key_bitmap(marks, "id")))("id")
     plain = rows.filter(~maybe).select("*", digest, F.lit(None).cast(pages.schema[id_col].dataType).alias("first"), F.lit(False).alias("copied"))
     asked = rows.filter(maybe).select("*", digest)
     judged = asked.join(marks, asked["id"].eqNullSafe(marks["id"]) & (asked["digest"] == marks["digest"]), "left")
