@@ -54,8 +54,10 @@ def test_all_nodes_hold_all_events(spark):
 def test_the_flagship_decides(spark):
     import __spark_entry__ as entry
 
-    rows = entry.entry(spark).collect()
-    assert len(rows) > 100 and {"normal", "behavior_gated", "calibrating", "low_event_skip"} <= {r.decision for r in rows}
+    assert {"calibrating", "low_event_skip", "pod_startup_grace"} <= {r.decision for r in entry.entry(spark).collect()}
+    rows = catalog.QUERIES["g10_decisions"](spark, SF.replace("0.001", "0.01")).collect()
+    assert {r.decision for r in rows} == {"normal", "behavior_gated", "calibrating", "low_event_skip", "collection_quality_skip", "pod_startup_grace", "pending_confirmation", "detection", "cooldown"}
+    assert {r.path for r in rows} == {"", "hard_ml", "hysteresis_ml", "extreme_volume_ml", "fast_path_behavior_ml_floor", "behavior_persistence_ml_floor"}
 
 
 @pytest.mark.parametrize("name, column", [("f19_event_digest", "verified"), ("j12_identity_checks", "other_run"), ("q8_accounting_identities", "rate_agrees"), ("q9_single_identity", "one_model")])
