@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, jaccard, media, packing, quality, repetition, sharding, toxicity, warc
+from tracewright.llm import bpe, chat, jaccard, media, packing, quality, repetition, runs, sharding, toxicity, warc
 from tracewright.llm.shared import table
 from tracewright.session import ship
 
@@ -78,6 +78,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.word_runs(runs.with_planted_runs(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quotations": op2_quotations,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
+    "op13_runs": op13_runs,
 }
 OP2_SQL = r"""
 WITH RECURSIVE m AS (
@@ -137,4 +142,41 @@ SELECT doc_id, bytes, CAST(depth AS INT) AS depth, prefix AS shard, CAST(shard_b
 FROM leaf WHERE k = 1
 """
 
-ORACLES: dict[str, str] = {"op2_quotations": OP2_SQL, "op3_warc": OP3_SQL, "op7_sharding": OP7_SQL}
+#: crc32 of a text column of ASCII characters.
+_CRC32 = "xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+OP13_SQL = rf"""
+WITH s AS (
+  SELECT doc_id, row_number() OVER () AS r, CAST(doc_id AS VARCHAR) AS s, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), h AS (
+  SELECT doc_id, r, w, len(w) AS n, CASE WHEN s <> '' THEN {_CRC32} END AS h FROM s
+), g AS (
+  SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h
+), t AS (
+  SELECT r, unnest(range(n)) AS i, n, w, a, 1 + (n - a) // (3 + g % 8) AS p FROM g
+), words AS (
+  SELECT r, i, n, w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] AS word FROM t
+), pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length
+), digests AS (
+  SELECT r, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY r
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT g.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256,
+  CAST(g.n AS BIGINT) AS n_words
+FROM g LEFT JOIN digests USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_quotations": OP2_SQL, "op3_warc": OP3_SQL, "op7_sharding": OP7_SQL, "op13_runs": OP13_SQL}

@@ -185,6 +185,11 @@ class Words:
         return out
 
 
+def chain_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring blocks from their hashes."""
+    return _mix(left * np.uint64(0xD6E8FEB86659FD93) + right)
+
+
 def combine(*parts: np.ndarray) -> np.ndarray:
     """One hash of several aligned hashes, in order."""
     out = np.full(len(parts[0]), len(parts), np.uint64)
