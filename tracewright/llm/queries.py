@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, jaccard, media, packing, quality, repetition, runs, sharding, toxicity, warc
+from tracewright.llm import bpe, chat, jaccard, media, packing, quality, repetition, runs, sharding, toxicity, urls, warc
 from tracewright.llm.shared import table
 from tracewright.session import ship
 
@@ -78,6 +78,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(prepared(table(spark, sf_dir, "pages")), urls.labelled_urls(spark), urls.filter_rules(spark))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.word_runs(runs.with_planted_runs(documents(spark, sf_dir)))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
+    "op12_urls": op12_urls,
     "op13_runs": op13_runs,
 }
 OP2_SQL = r"""
