@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, jaccard, media, packing, quality, repetition, runs, sharding, toxicity, urls, warc
+from tracewright.llm import bpe, chat, jaccard, media, negatives, packing, quality, repetition, runs, sharding, toxicity, urls, warc
 from tracewright.llm.shared import table
 from tracewright.session import ship
 
@@ -78,6 +79,13 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector gets the next label, so that some hard negatives are false ones."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = prepared(table(spark, sf_dir, "embeddings")).withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(prepared(table(spark, sf_dir, "pages")), urls.labelled_urls(spark), urls.filter_rules(spark))
 
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_repetition": op9_repetition,
     "op10_jaccard": op10_jaccard,
+    "op11_negatives": op11_negatives,
     "op12_urls": op12_urls,
     "op13_runs": op13_runs,
 }
@@ -147,6 +156,24 @@ SELECT doc_id, bytes, CAST(depth AS INT) AS depth, prefix AS shard, CAST(shard_b
 FROM leaf WHERE k = 1
 """
 
+OP11_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.id) AS INT) AS rank,
+  s.id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.id) <= 10
+"""
+
 #: crc32 of a text column of ASCII characters.
 _CRC32 = "xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
 
@@ -184,4 +211,4 @@ SELECT g.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BI
 FROM g LEFT JOIN digests USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_quotations": OP2_SQL, "op3_warc": OP3_SQL, "op7_sharding": OP7_SQL, "op13_runs": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_quotations": OP2_SQL, "op3_warc": OP3_SQL, "op7_sharding": OP7_SQL, "op11_negatives": OP11_SQL, "op13_runs": OP13_SQL}
