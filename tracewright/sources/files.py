@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset and all tasks run here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset and all tasks run in this process (tests), a local folder that is kept for the session's context.
+    On a cluster without the setting it raises: executors would write to their own disks and rows would be missing.
+    """
+    base, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # the setting can't be changed in a running session
+        base = sc._tracewright_scratch = getattr(sc, "_tracewright_scratch", None) or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
