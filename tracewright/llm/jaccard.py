@@ -225,7 +225,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return docs
     bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(sets, "doc_id"))
     maybe = maybe_in(bits)(id_col)
-    asked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), _asked_keys(bits)(key_bit(id_col), F.col(text_col)).alias("key")).filter("key is not null")
+    asked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), _asked_keys(bits)(key_bit(8 * len(bits.value), id_col), F.col(text_col)).alias("key")).filter("key is not null")
     known = asked.join(sets, ["doc_id", "key"], "left").filter("coalesce(stays, true)")
     kept = docs.filter(~maybe).unionByName(known.filter("copies is null or copies = 1").select("_row.*"))
     if sets.filter("stays").isEmpty():
@@ -238,7 +238,7 @@ def _sets(texts: DataFrame, doc_keys: DataFrame, keys: DataFrame) -> DataFrame:
     # exact copies are summed up before they meet, so that a large group of them is no large task
     wanted = doc_keys.groupBy("key").agg(F.min("doc_id").alias("id")).join(keys, "key")
     bits = texts.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "id"))
-    bit = key_bit("doc_id").alias("bit")
+    bit = key_bit(8 * len(bits.value), "doc_id").alias("bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value

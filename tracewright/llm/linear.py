@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.shared import Words, is_training_row, text_slices, written
@@ -20,8 +20,8 @@ FEATURE_BITS = 20
 SPACE = 1 << FEATURE_BITS
 #: Labelled rows that a model is fitted on, at most; a documented bound, chosen by a hash of the id.
 SAMPLE_ROWS = 12_000
-#: Rows that an id of the sample has, at most.
-MOST_COPIES = 8
+#: Labelled ids that are looked for, for each row of the sample, and the most that are sent to all tasks for that.
+ASKED, MOST_ASKED = 8, 1_000_000
 #: Features that a model may use, at most, and the fewest sampled texts that each must occur in.
 MODEL_FEATURES, LEAST_TEXTS = 1 << 15, 3
 
@@ -38,25 +38,32 @@ def distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most rows training rows of docs that have a label; their ids are few enough to be sent to all tasks.
+    """(doc_id, text, label) of at most rows training rows of docs that have a label, one of each id and text.
 
-    Rows whose id or label is null are no examples, of repeated labels the largest counts. Ids that more than MOST_COPIES
-    rows of docs share are no examples either, and of the others as many are taken as have rows rows together.
+    Ids are compared as text, so they may be of any type. Rows whose id or label is null are no examples, of repeated
+    labels the largest counts. Labelled ids are looked for among docs in the order of a hash, first some times as many as
+    rows asks for, and more only while too few are there; so neither labels nor docs are shuffled whole.
     """
-    copies = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    own = lambda df: F.col("doc_id").cast("string").alias("doc_id")
     ids = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        labels.select(own(labels), F.col(label).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & is_training_row(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
-        .join(copies.filter(F.col("copies") <= MOST_COPIES), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
-    # the window is over the rows of the limit, not over the table
-    so_far = F.sum("copies").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.withColumn("so_far", so_far).filter(F.col("so_far") <= rows).select("doc_id", "label")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    total, asked = ids.count(), ASKED * rows
+    while True:
+        some = ids if asked >= total else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(asked)
+        some = F.broadcast(some) if asked <= MOST_ASKED else some
+        # of the rows of an id, each text once; which ones are there is found out without their texts
+        there = docs.select(own(docs), "text").join(some, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("of")).groupBy("doc_id", "label", "of").agg(F.count("*").alias("copies"))
+        there = written(there.orderBy(F.xxhash64("doc_id"), "doc_id", "of").limit(rows), "examples")
+        found, most = there.agg(F.count("*"), F.max("copies")).first()
+        if found >= rows or asked >= total:
+            break
+        asked *= ASKED
+    sample = docs.select(own(docs), "text").withColumn("of", F.xxhash64("text")).join(F.broadcast(there.drop("copies")), ["doc_id", "of"])
+    return (sample if (most or 1) == 1 else sample.groupBy("doc_id", "of").agg(F.min("text").alias("text"), F.min("label").alias("label"))).select("doc_id", "text", "label")
 
 
 def feature_table(sample: DataFrame, features: Features, swap: Callable[[str], str | None] | None = None) -> DataFrame:

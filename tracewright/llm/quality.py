@@ -101,11 +101,12 @@ def fit_probability(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> LinearModel:
-    """Fit on at most rows labelled training rows; without both classes the score is the share of class 1."""
+    """Fit on at most rows labelled training rows; without features or one of the classes the model is not fitted, and
+    every score is the share of class 1, but a half at least."""
     table = feature_table(labelled_sample(docs, labels, "quality", rows), quality_features)
     feature, c1, c0, n1, n0 = class_counts(table)
     if not len(feature) or not n1 or not n0:
-        return LinearModel(quality_features, feature[:0], np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return LinearModel(quality_features, feature[:0], np.zeros(0), max(0.0, float(np.log((n1 + 0.5) / (n0 + 0.5)))), fitted=False)
     p, q = c1 + SMOOTHING, c0 + SMOOTHING
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     label, on, _ = design(table, feature)
@@ -119,12 +120,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> LinearMo
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score in 0..1 and predicted (score >= threshold) for every row of docs.
 
-    Null and empty texts get the score of no n-grams. A null id is scored and never held out. Repeated rows repeat.
-    Empty docs give no rows; empty labels give a constant score. Other columns of docs and labels are not read.
+    Null and empty texts get the score of no n-grams. Ids may be of any type; a null id is scored and never held out.
+    Repeated rows repeat. Empty docs give no rows. Labels without both classes among the documents give a constant score
+    of a half or more, so every row is predicted 1. Other columns of docs and labels are not read.
     """
     return scored(docs, fit(docs, labels, **options), threshold)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of docs, unchanged, whose own text scores threshold or more; the same cases as quality()."""
-    return chosen(docs, fit(docs, labels, **options), threshold, 1)
+    """The rows of docs, unchanged, whose own text scores threshold or more; the same cases as quality().
+
+    A model that the labels could not fit rejects nothing, whatever the threshold.
+    """
+    model = fit(docs, labels, **options)
+    return chosen(docs, model, threshold, 1) if model.fitted else docs

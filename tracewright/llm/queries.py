@@ -110,22 +110,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_runs": op13_runs,
 }
 OP2_SQL = r"""
-WITH RECURSIVE m AS (
-  SELECT conv_id, turn, role, text, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS norm FROM conversations
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, text, regexp_replace(coalesce(text, ''), '^\n+|\n+$', '', 'g') AS own FROM conversations
+), m AS (
+  SELECT *, lower(trim(regexp_replace(own, '\s+', ' ', 'g'))) AS norm FROM t
+), passages AS (
+  SELECT conv_id, turn, norm AS passage FROM m WHERE norm <> ''
+  UNION SELECT conv_id, turn, lower(trim(regexp_replace(unnest(regexp_split_to_array(own, '\n\s*\n')), '\s+', ' ', 'g'))) FROM m WHERE norm <> ''
+), pieces AS (
+  SELECT conv_id, turn, list_filter(string_split(regexp_replace(own, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS p FROM m
+), parts AS (
+  SELECT conv_id, turn, lower(trim(regexp_replace(unnest(p), '\s+', ' ', 'g'))) AS part FROM pieces
+  UNION SELECT conv_id, turn, lower(trim(regexp_replace(unnest(string_split(own, chr(10))), '\s+', ' ', 'g'))) FROM m
+), quoted AS (
+  SELECT m.conv_id, m.turn, (m.conv_id + m.turn) % 3 = 0 AND len(e.p) > 2 AS cut, e.p,
+    CASE WHEN (m.conv_id + m.turn) % 3 = 0 AND len(e.p) > 2 THEN lower(trim(regexp_replace(e.p[1] || ' ' || e.p[2], '\s+', ' ', 'g'))) ELSE b.norm END AS passage
+  FROM m JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1 JOIN pieces e ON e.conv_id = b.conv_id AND e.turn = b.turn WHERE b.norm <> ''
+  UNION ALL
+  SELECT m.conv_id, m.turn, false, NULL, b.norm FROM m JOIN m b ON b.conv_id = m.conv_id - 1 AND b.turn = 0 WHERE m.turn = 0 AND m.conv_id % 2 = 1 AND b.norm <> ''
+), whole AS (
+  SELECT *, (SELECT max(o.turn) FROM passages o WHERE o.conv_id = q.conv_id AND o.passage = q.passage AND o.turn < q.turn) AS near,
+    (SELECT min({'c': o.conv_id, 't': o.turn}) FROM passages o WHERE o.conv_id <> q.conv_id AND o.passage = q.passage) AS far
+  FROM quoted q
+), asked AS (
+  SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(unnest(p[1:2]), '\s+', ' ', 'g'))) AS part FROM whole WHERE cut AND near IS NULL AND far IS NULL
+), votes AS (
+  SELECT a.conv_id, a.turn, (SELECT max(o.turn) FROM parts o WHERE o.conv_id = a.conv_id AND o.part = a.part AND o.turn < a.turn) AS source FROM asked a
+), winners AS (
+  SELECT conv_id, turn, source FROM votes GROUP BY conv_id, turn, source QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, source) = 1
 ), linked AS (
-  SELECT m.conv_id, m.turn, m.role, trim(regexp_replace(coalesce(m.text, ''), '^\n+|\n+$', '', 'g')) AS own_text,
-    (SELECT count(DISTINCT e.turn) FROM m e WHERE e.conv_id = m.conv_id AND e.turn BETWEEN m.turn - 3 AND m.turn - 1 AND e.norm <> '') AS n_quotes,
-    (SELECT max(o.turn) FROM m p JOIN m o ON o.conv_id = p.conv_id AND o.norm = p.norm
-      WHERE p.conv_id = m.conv_id AND p.turn = m.turn - 1 AND p.norm <> '' AND o.turn < m.turn) AS reply_turn
-  FROM m
+  SELECT m.conv_id, m.turn, m.role, trim(m.own) AS own_text, q.passage IS NOT NULL AS quotes_one,
+    (SELECT count(DISTINCT e.turn) FROM m e WHERE e.conv_id = m.conv_id AND e.turn BETWEEN m.turn - 3 AND m.turn - 2 AND e.norm <> '') AS n_deep,
+    CASE WHEN near IS NOT NULL THEN m.conv_id WHEN far IS NOT NULL THEN far.c WHEN source IS NOT NULL THEN m.conv_id END AS reply_conv, coalesce(near, far.t, source) AS reply_turn
+  FROM m LEFT JOIN whole q USING (conv_id, turn) LEFT JOIN winners w USING (conv_id, turn)
 ), chain AS (
-  SELECT conv_id, turn, turn AS root_turn, 0 AS depth FROM linked WHERE reply_turn IS NULL
+  SELECT conv_id, turn, conv_id AS root_conv, turn AS root_turn, 0 AS depth FROM linked WHERE reply_turn IS NULL
   UNION ALL
-  SELECT l.conv_id, l.turn, c.root_turn, c.depth + 1 FROM linked l JOIN chain c ON c.conv_id = l.conv_id AND c.turn = l.reply_turn
+  SELECT l.conv_id, l.turn, c.root_conv, c.root_turn, c.depth + 1 FROM linked l JOIN chain c ON c.conv_id = l.reply_conv AND c.turn = l.reply_turn
 )
-SELECT l.conv_id, l.turn, l.role, l.own_text, CAST(l.n_quotes AS INT) AS n_quotes, CAST(l.n_quotes AS BIGINT) AS n_linked,
-  CASE WHEN l.reply_turn IS NOT NULL THEN l.conv_id END AS reply_conv, l.reply_turn,
-  l.conv_id AS root_conv, c.root_turn, CAST(c.depth AS BIGINT) AS depth
+SELECT l.conv_id, l.turn, l.role, l.own_text, CAST(l.n_deep + l.quotes_one::INT AS INT) AS n_quotes, CAST(l.n_deep + (reply_turn IS NOT NULL)::INT AS BIGINT) AS n_linked,
+  reply_conv, l.reply_turn, c.root_conv, c.root_turn, CAST(c.depth AS BIGINT) AS depth
 FROM linked l JOIN chain c USING (conv_id, turn)
 """
 

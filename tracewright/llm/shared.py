@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,24 +13,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset and all tasks run here (tests).
-
-    On a cluster without the setting it raises: executors would write to their own disks and rows would be missing.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+from tracewright.sources.files import scratch
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,8 +36,8 @@ def is_training_row(doc_id) -> F.Column:
 
 #: Keys at most that go to all tasks because many rows share them, and the rows from which a key is one of them.
 HOT_KEYS, HOT_ROWS = 1024, 1000
-#: Bits of a bitmap of keys: 4 MB however many keys there are.
-BITMAP_BITS = 1 << 25
+#: Bits of a bitmap of keys for each key, and at least and at most: 128 KB to 128 MB.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 
 
 def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
@@ -65,15 +51,20 @@ def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n: str, tota
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
-def key_bit(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS))
+def key_bit(bits: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
 
 
 def key_bitmap(keys: DataFrame, *names: str) -> np.ndarray:
-    """A bitmap of hash values of keys; it only thins out what is joined with them later."""
-    bit = key_bit(*names).alias("bit")
-    rows = keys.select(bit).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect()
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    """A bitmap of hash values of keys; it only thins out what is joined with them later.
+
+    It has 16 to 32 bits for each row of keys, so about one other key in 16 is taken for one of them at most, up to the
+    32 million rows for which MOST_BITS are enough. With more, what is joined later is thinned out less.
+    """
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+    bit = key_bit(bits, *names).alias("bit")
+    rows = keys.select(bit).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).toLocalIterator()
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -86,12 +77,13 @@ def in_bitmap(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 def maybe_in(bits: Broadcast):
     """A function of columns that tells the rows whose key may be in a broadcast bitmap; False is sure."""
+    size = 8 * len(bits.value)
 
     @F.pandas_udf("boolean")
     def maybe(bit: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(bits.value, bit.to_numpy()))
 
-    return lambda *columns: maybe(key_bit(*columns))
+    return lambda *columns: maybe(key_bit(size, *columns))
 
 
 # ---------------------------------------------------------------- text columns as byte arrays
@@ -104,6 +96,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
+#: Its first multiples, modulo 2**64.
+_LENGTHS = np.arange(9, dtype=np.uint64) * _LENGTH
 #: Words of more bytes are hashed one by one.
 _LONG_WORD = 256
 #: Masks of the first 0 to 8 bytes of a little-endian integer.
@@ -171,7 +165,7 @@ class Words:
         at, size = self.eights(lower), self.end - self.start
         first = at[self.start] & _MASK[np.minimum(size, 8)]
         if prefixes:
-            return [np.where(size < k, np.uint64(0), _mix((first & _MASK[k]) + np.uint64(k) * _LENGTH)) for k in prefixes]
+            return [np.where(size < k, np.uint64(0), _mix((first & _MASK[k]) + _LENGTHS[k])) for k in prefixes]
         out = _mix(first + size.astype(np.uint64) * _LENGTH)
         rest, done = np.flatnonzero(size > 8), 8
         while len(rest) and done < _LONG_WORD:

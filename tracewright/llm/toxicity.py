@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tracewright.llm.linear import SAMPLE_ROWS, LinearModel, bucket, chosen, class_counts, design, feature_table, labelled_sample, scored
 from tracewright.llm.shared import Words
@@ -93,11 +93,11 @@ def fit_logistic(y: np.ndarray, on: list[np.ndarray], off: list[np.ndarray | Non
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> LinearModel:
     """Fit on at most rows labelled training rows; without features or one of the classes the model is not fitted and
-    every score is the share of class 1."""
+    every score is the share of class 1, but less than a half."""
     table = feature_table(labelled_sample(docs, labels, "toxic", rows), toxicity_features, identity_swap(terms))
     feature, _, _, n1, n0 = class_counts(table, MODEL_FEATURES)
     if not len(feature) or not n1 or not n0:
-        return LinearModel(toxicity_features, feature[:0], np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))), fitted=False)
+        return LinearModel(toxicity_features, feature[:0], np.zeros(0), min(-0.1, float(np.log((n1 + 0.5) / (n0 + 0.5)))), fitted=False)
     y, on, off = design(table, feature)
     weight, bias = fit_logistic(y, on, off, len(feature), counterfactual=counterfactual)
     return LinearModel(toxicity_features, feature, weight, bias)
@@ -106,16 +106,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: tupl
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """doc_id, held_out, score in 0..1 and predicted (score >= threshold) for every row of docs.
 
-    Null and empty texts get the score of no words. A null id is scored and never held out. Repeated rows repeat. Empty
-    docs give no rows. Labels without both classes among the documents give a constant score and predict 0 everywhere.
-    Other columns of docs and labels are not read.
+    Null and empty texts get the score of no words. Ids may be of any type; a null id is scored and never held out.
+    Repeated rows repeat. Empty docs give no rows. Labels without both classes among the documents give a constant score
+    of less than a half, so every row is predicted 0. Other columns of docs and labels are not read.
     """
-    model = fit(docs, labels, **options)
-    out = scored(docs, model, threshold)
-    return out if model.fitted else out.withColumn("predicted", F.lit(0))
+    return scored(docs, fit(docs, labels, **options), threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs, unchanged, whose own text scores below threshold; the same cases as toxicity()."""
+    """The rows of docs, unchanged, whose own text scores below threshold; the same cases as toxicity().
+
+    A model that the labels could not fit rejects nothing, whatever the threshold.
+    """
     model = fit(docs, labels, **options)
     return chosen(docs, model, threshold, 0) if model.fitted else docs

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import join_uneven, key_bitmap, maybe_in, scratch_path, written
+from tracewright.llm.shared import join_uneven, key_bitmap, maybe_in, written
+from tracewright.sources.files import scratch
 
 #: A record starts with this line; written blocks never hold it, as a chunk always ends inside of it.
 MARK = "WARC/1.1\r\n"
@@ -42,6 +43,16 @@ def _field(name: str, value) -> F.Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
 
+def _urn(column: str) -> F.Column:
+    """The name of a page, without its closing mark; ids of any type, as percent-encoded text. Null for null."""
+    return F.concat(F.lit("<urn:page:"), F.url_encode(F.col(column).cast("string")))
+
+
+def _page(column: str, kind) -> F.Column:
+    """The id in a name; null where there is none."""
+    return F.when(F.col(column).startswith("<urn:page:"), F.url_decode(F.regexp_extract(column, r"^<urn:page:([^/>]*)", 1))).cast(kind)
+
+
 def _marks(keys: DataFrame) -> DataFrame:
     """(id, digest, first, copied) of the rows (id, bytes, digest) that revisit first, or whose id other rows have too."""
     keys = written(keys, "payload-keys")
@@ -71,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     judged = asked.join(marks, asked["id"].eqNullSafe(marks["id"]) & (asked["digest"] == marks["digest"]), "left")
     marked = plain.unionByName(judged.select(*[asked[c] for c in asked.columns], "first", F.coalesce("copied", F.lit(False)).alias("copied")))
     own = F.when(F.col("copied") | F.col("id").isNull(), F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))).otherwise("")
-    name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), own, F.lit(">"))
+    name = F.concat(F.coalesce(_urn("id"), F.lit("<urn:none:")), own, F.lit(">"))
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = F.when(F.col("first").isNull(), F.concat(F.lit(f"{http}Transfer-Encoding: chunked\r\n\r\n"), _chunked(F.col("payload"), chunk_bytes))).otherwise(F.lit(f"{http}\r\n"))
     # the block is a column of its own before it is cut, or each piece would make it anew
@@ -88,7 +99,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         _field("WARC-Target-URI", F.col("url")),
         _field("WARC-Payload-Digest", F.when(start, F.concat(F.lit("sha256:"), "digest"))),
         _field("WARC-Profile", F.when(F.col("first").isNotNull() & start, F.lit(REVISIT_PROFILE))),
-        _field("WARC-Refers-To", F.when(start, F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))),
+        _field("WARC-Refers-To", F.when(start, F.concat(_urn("first"), F.lit(">")))),
         _field("WARC-Segment-Number", F.when(many, F.col("k") + 1)),
         _field("WARC-Segment-Origin-ID", F.when(~start, F.col("name"))),
         _field("WARC-Segment-Total-Length", F.when(~start & (F.col("k") == F.col("n") - 1), F.col("total"))),
@@ -219,10 +230,9 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows give no rows; other columns are not read.
     """
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType
-    path = path or scratch_path(spark, "archives")
+    path = path or scratch(spark, "archives")
     write_archives(pages, path, id_col, url_col, payload_col, **options)
-    page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:([^/>]*)", 1), F.lit("")).cast(kind)
-    back = read_archives(spark, path).select("type", page("record_id").alias("id"), page("refers_to").alias("refers_to"), "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("found"))
+    back = read_archives(spark, path).select("type", _page("record_id", kind).alias("id"), _page("refers_to", kind).alias("refers_to"), "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("found"))
     back = written(back, "read-records")
     sound = F.col("bytes").isNotNull() & (F.col("found") == F.col("digest"))
     responses = back.filter("type = 'response'").withColumn("bytes", F.when(sound, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.col("id").cast("string"))).cast("long")))
