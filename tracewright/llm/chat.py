@@ -133,18 +133,21 @@ def _roots(parents: DataFrame) -> DataFrame:
     A cycle (copies in two conversations that quote each other) would never end: its messages keep the pointer that
     they have when doubling adds no root.
     """
-    now = written(parents.withColumn("depth", F.lit(1).cast("long")), "pointers")
-    total, left = now.count(), None
+    now, left, done = written(parents.withColumn("depth", F.lit(1).cast("long")), "pointers"), None, None
     while True:
-        up = now.select(F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("far_conv"), F.col("up_turn").alias("far_turn"), F.col("depth").alias("more"))
+        known = now if done is None else now.unionByName(done)
+        up = known.select(F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("far_conv"), F.col("up_turn").alias("far_turn"), F.col("depth").alias("more"))
         # very many messages may have one parent, which is joined without one task for all of them
         above = written(now.groupBy("up_conv", "up_turn").agg(F.count("*").alias("n")).join(up, ["up_conv", "up_turn"], "left"), "parents")
-        n = above.agg(F.sum(F.when(F.col("more").isNotNull(), F.col("n")))).first()[0]
+        total, n = above.agg(F.sum("n"), F.sum(F.when(F.col("more").isNotNull(), F.col("n")))).first()
         if not n or n == left:
-            return now
+            return known
         left = n
-        joined = join_uneven(now, above, ["up_conv", "up_turn"], "n", total)
-        now = written(joined.select("conv", "turn", F.coalesce("far_conv", "up_conv").alias("up_conv"), F.coalesce("far_turn", "up_turn").alias("up_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "pointers")
+        joined = written(join_uneven(now, above, ["up_conv", "up_turn"], "n", total), "joined-pointers")
+        # what points to a root is not joined again
+        ended = joined.filter("more is null").select(*now.columns)
+        done = ended if done is None else done.unionByName(ended)
+        now = joined.filter("more is not null").select("conv", "turn", F.col("far_conv").alias("up_conv"), F.col("far_turn").alias("up_turn"), (F.col("depth") + F.col("more")).alias("depth"))
 
 
 def quoting_messages(conversations: DataFrame, levels: int = 3) -> DataFrame:
