@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.registry import query
 from tracewright.sources import files as S
 from tracewright.sources.tables import EV, events, table
+from tracewright.sources.tailing import tail_lines
 from tracewright.streaming import stateful as T
 
 
@@ -116,12 +119,66 @@ def s10_order(spark, sf_dir):
     return S.concatenated(v, "round", "vec_id", "embedding").select("vec_id", "place", "width_agrees")
 
 
+#: Micro-batches that the registered streams take at least, and the files that each part is written as at most.
+STREAM_PARTS, PART_FILES = 3, 4
+
+
+def written_in_parts(rows, at: str, path: str) -> None:
+    """rows as JSON files that come one part after the other, in order of the column at."""
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    for k in range(STREAM_PARTS):
+        bounds = [low + (high - low + 1) * i // STREAM_PARTS for i in (k, k + 1)] if low is not None else [0, 0]
+        rows.filter(F.col(at).between(bounds[0], bounds[1] - 1)).repartition(PART_FILES).write.mode("append").json(path)
+
+
 def event_stream(spark, sf_dir, *columns: str):
-    """The events as a stream over a folder of JSON files (S3)."""
+    """The events as a stream over a folder of JSON files (S3), which are read in several micro-batches in order of time."""
     path = S.scratch(spark, "tail")
     e = events(spark, sf_dir).select("event_id", "us", "pod", "workload", "syscall", "value")
-    e.write.json(path)
-    return T.tail(spark, path, e.schema).select(*columns)
+    written_in_parts(e, "us", path)
+    return T.tail(spark, path, e.schema, PART_FILES).select(*columns)
+
+
+@query("s3_tail", f"WITH {EV} SELECT event_id, us, pod, syscall FROM ev")
+def s3_tail(spark, sf_dir):
+    """S3: files are tailed, rotated under the stream's feet and written anew, with a half-written last line in between."""
+    path, new = S.scratch(spark, "live").removeprefix("file://"), S.scratch(spark, "next").removeprefix("file://")
+    e = events(spark, sf_dir).select("event_id", "us", "pod", "syscall")
+    lines = e.select(F.to_json(F.struct(*e.columns)).alias("value"), (F.col("event_id") % 2).alias("half"))
+    for half, folder in ((0, path), (1, new)):
+        lines.filter(F.col("half") == half).select("value").repartition(PART_FILES).write.text(f"file://{folder}")
+    stream = S.json_lines(tail_lines(spark, f"{path}/*.txt").select("value"), "value", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema))
+    out = S.scratch(spark, "tailed")
+    files = sorted(f for f in os.listdir(path) if f.endswith(".txt"))
+    cut = {}
+    for f in files:  # the last line's end is still to come
+        with open(f"{path}/{f}", "r+b") as g:
+            cut[f] = g.seek(-1, 2)
+            g.truncate()
+    T.run(stream, out)
+    for f in files:
+        with open(f"{path}/{f}", "ab") as g:
+            g.write(b"\n")
+        os.rename(f"{path}/{f}", f"{path}/{f}.1")
+    T.run(stream, out)
+    for f, name in zip(sorted(f for f in os.listdir(new) if f.endswith(".txt")), [*files, *(f"{i}.txt" for i in range(PART_FILES))]):
+        os.rename(f"{new}/{f}", f"{path}/{name}")
+    return T.run(stream, out)
+
+
+@query(
+    "st_late_rows",
+    f"""WITH {EV}, a AS (SELECT *, us + CASE WHEN event_id % 5 = 0 THEN 7200000000 WHEN event_id % 7 = 0 THEN 259200000000 ELSE 0 END AS arrived FROM ev),
+    m AS (SELECT *, coalesce(us <= max(us) OVER (PARTITION BY workload ORDER BY arrived, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM a)
+    SELECT workload, event_id, us, late, CAST(sum(late::INT) OVER (PARTITION BY workload ORDER BY arrived, event_id) AS BIGINT) AS n_late FROM m""",
+)
+def st_w10(spark, sf_dir):
+    """W10 on a stream: every fifth event arrives two hours late and others three days; late rows are marked and counted."""
+    path = S.scratch(spark, "arrivals")
+    delay = F.when(F.col("event_id") % 5 == 0, 7_200_000_000).when(F.col("event_id") % 7 == 0, 259_200_000_000).otherwise(0)
+    e = events(spark, sf_dir).select("event_id", "us", "workload", (F.col("us") + delay).cast("long").alias("arrived"))
+    written_in_parts(e, "arrived", path)
+    return T.run(T.mark_late(T.tail(spark, path, e.schema, PART_FILES), "workload", "us", "arrived", "event_id"), S.scratch(spark, "late"))
 
 
 @query(
@@ -136,17 +193,17 @@ def st_w1(spark, sf_dir):
     return T.run(T.anchored_windows(event_stream(spark, sf_dir, "workload", "us", "event_id"), "workload", "us", 6 * 3_600_000_000), S.scratch(spark, "windows"))
 
 
-def walk_sql(key: str) -> str:
-    """Expressions o, f and g: the windows (key, anchor, n) of W1 over ev by a walk over its ordered events."""
-    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY us, event_id) AS k FROM ev),
+def walk_sql(key: str, idle: str = "") -> str:
+    """Expressions o, f and g: the windows (key, anchor, n) of W1 over ev by a walk over its ordered events; idle is a first case of its choice."""
+    return f"""o AS (SELECT *, row_number() OVER w AS k, lag(us) OVER w AS before FROM ev WINDOW w AS (PARTITION BY {key} ORDER BY us, event_id)),
     f AS (SELECT {key}, k, us, us AS anchor FROM o WHERE k = 1 UNION ALL
-      SELECT o.{key}, o.k, o.us, CASE WHEN o.us - f.anchor >= 43200000000 THEN o.us WHEN o.us - f.anchor >= 21600000000 THEN f.anchor + 21600000000 ELSE f.anchor END FROM f JOIN o ON o.{key} = f.{key} AND o.k = f.k + 1),
+      SELECT o.{key}, o.k, o.us, CASE {idle} WHEN o.us - f.anchor >= 43200000000 THEN o.us WHEN o.us - f.anchor >= 21600000000 THEN f.anchor + 21600000000 ELSE f.anchor END FROM f JOIN o ON o.{key} = f.{key} AND o.k = f.k + 1),
     g AS (SELECT {key}, anchor, count(*) AS n, max(us) AS last FROM f GROUP BY ALL)"""
 
 
 @query(
     "st_idle_flush",
-    f"""WITH RECURSIVE {EV}, {walk_sql("pod")}, e AS (SELECT pod, max(us) AS ended FROM ev GROUP BY pod)
+    f"""WITH RECURSIVE {EV}, {walk_sql("pod", "WHEN o.us - o.before >= 21600000000 THEN o.us")}, e AS (SELECT pod, max(us) AS ended FROM ev GROUP BY pod)
     SELECT pod, anchor AS window_start, n FROM g JOIN e USING (pod) WHERE last < ended OR (ended + 21600000000) // 1000 < ((SELECT max(us) FROM ev) - 3600000000) // 1000""",
 )
 def st_w3(spark, sf_dir):

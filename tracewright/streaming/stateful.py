@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -24,56 +26,105 @@ def tail(spark: SparkSession, path: str, schema: StructType, files_per_trigger:
 
 def run(stream: DataFrame, path: str) -> DataFrame:
     """Work off what is there, exactly once, into Parquet files and read them."""
-    stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with rocks_state(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started in here keep their state in RocksDB, on disk, which processors with timers and lists need."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
 def _kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def _in_order(parts: Iterator[pd.DataFrame], order: list[str], *more: str) -> list[list]:
+    """The columns of a key's rows in a micro-batch, in order. Of the bounded batches only these columns stay, as arrays."""
+    held = [[p[c].to_numpy() for c in (*order, *more)] for p in parts]
+    columns = [np.concatenate(c) for c in zip(*held)]
+    place = np.lexsort(columns[len(order) - 1 :: -1])
+    return [c[place].tolist() for c in columns]
+
+
+class _Windows(StatefulProcessor):
+    """The open window of a key: (anchor, n, time of the last event), and a timer for its silence."""
+
+    def __init__(self, names: tuple[str, str, str | None], width: int, idle_ms: int | None, idle: int | None):
+        self.names, self.width, self.idle_ms, self.idle = names, width, idle_ms, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "anchor long, n long, last long")
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[self.names[0], "window_start", "n"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        name, time, closing = self.names
+        anchor, n, last = self.open.get() if self.open.exists() else (None, 0, None)
+        times, *departs = _in_order(rows, [time, *([closing] if closing else [])])
+        out = []
+        for t, gone in zip(times, departs[0] if closing else [False] * len(times)):
+            if anchor is None or t - anchor >= 2 * self.width or self.idle and t - last >= self.idle:
+                nxt = t
+            else:
+                nxt = anchor + self.width if t - anchor >= self.width else anchor
+            if n and (gone or nxt != anchor):
+                out.append((key[0], anchor, n))
+                n = 0
+            anchor, n = (None, 0) if gone else (nxt, n + 1)
+            last = t if last is None else max(last, t)
+        for at in list(self.handle.listTimers()) if self.idle_ms or self.idle else []:
+            self.handle.deleteTimer(at)
+        if anchor is None:
+            self.open.clear()
+        else:
+            self.open.update((anchor, n, last))
+            if self.idle_ms:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            if self.idle:
+                self.handle.registerTimer(max((last + self.idle) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.open.exists():
+            anchor, n, _ = self.open.get()
+            out = [(key[0], anchor, n)] if n else []
+            self.open.clear()
+        yield self._rows(out)
+
+    def close(self) -> None:
+        pass
+
+
 def anchored_windows(events: DataFrame, key: str, time: str, width: int, idle_ms: int | None = None, idle: int | None = None, delay: str = "0 seconds", closing: str | None = None) -> DataFrame:
     """(key, window_start, n) of each closed window.
 
     W3: after idle_ms of wall time without an event, or idle microseconds of event time by which the watermark (delay behind
-    the newest event) has passed a key, its open window is handed on. W4: a row whose closing column holds says that
+    the newest event) has passed a key, a timer hands its open window on. W4: a row whose closing column holds says that
     its key departs at that time; the window that is open then is handed on, and the row itself does not count.
 
     A micro-batch is put in order within a key; what comes in a later batch with an earlier time counts in the window
-    that is open. After a flush the next event opens a window at its own time.
+    that is open. After a silence of idle the next event opens a window at its own time, whether a timer came first or
+    not, so windows do not depend on where micro-batches end. Start such streams in rocks_state().
     """
     if idle:
         events = events.withColumn("_at", F.timestamp_micros(time)).withWatermark("_at", delay)
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        anchor, n, last = state.get if state.exists else (None, 0, 0)
-        if state.hasTimedOut:
-            if n:
-                out.append((k[0], anchor, n))
-            state.remove()
-            yield pd.DataFrame(out, columns=[key, "window_start", "n"])
-            return
-        rows = [(int(t), c) for p in parts for t, c in zip(p[time], p[closing] if closing else [False] * len(p))]
-        for t, departs in sorted(rows):
-            if anchor is None or t - anchor >= 2 * width:
-                nxt = t
-            else:
-                nxt = anchor + width if t - anchor >= width else anchor
-            if n and (departs or nxt != anchor):
-                out.append((k[0], anchor, n))
-                n = 0
-            anchor, n = (None, 0) if departs else (nxt, n + 1)
-            last = max(last, t)
-        state.update((anchor, n, last))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        if idle:
-            state.setTimeoutTimestamp(max((last + idle) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "window_start", "n"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {_kind(events, key)}, window_start long, n long", "anchor long, n long, last long", "append", timeout)
+    mode = "ProcessingTime" if idle_ms else "EventTime" if idle else "None"
+    return events.groupBy(key).transformWithStateInPandas(_Windows((key, time, closing), width, idle_ms, idle), f"`{key}` {_kind(events, key)}, window_start long, n long", "append", mode)
 
 
 def cooldown(alerts: DataFrame, key: str, time: str, quiet: int) -> DataFrame:
@@ -96,8 +147,8 @@ def run_length(rows: DataFrame, key: str, time: str, tie: str, flag: str) -> Dat
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (run,) = state.get if state.exists else (0,)
-        p, out = pd.concat(list(parts)).sort_values([time, tie]), []
-        for i, f in zip(p[tie], p[flag]):
+        out = []
+        for _, i, f in zip(*_in_order(parts, [time, tie], flag)):
             run = run + 1 if f else 0
             out.append((k[0], int(i), run))
         state.update((run,))
@@ -111,8 +162,7 @@ def sequence_rule(events: DataFrame, within: int, privilege: list[str], consume:
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (last,), out = state.get if state.exists else (None,), []
-        rows = pd.concat(list(parts)).sort_values(["us", "event_id"])
-        for t, i, call in zip(rows["us"], rows["event_id"], rows["syscall"]):
+        for t, i, call in zip(*_in_order(parts, ["us", "event_id"], "syscall")):
             if call in privilege and last is not None and t - last <= within:
                 out.append((i, k[0], last))
             if call == "execve":
@@ -125,21 +175,73 @@ def sequence_rule(events: DataFrame, within: int, privilege: list[str], consume:
     return events.groupBy("pod").applyInPandasWithState(step, "event_id long, pod long, first_us long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def agent_decisions(rows: DataFrame, key: str, time: str, tie: str, score: str, **options: float) -> DataFrame:
-    """The same steps as the batch form; the state is that of AgentState as JSON."""
+class _Agents(StatefulProcessor):
+    """What is remembered of an agent: its last scores as a list, and (pending, time of the last alert)."""
+
+    def __init__(self, names: tuple[str, str, str, str], settings: dict, ttl_ms: int | None):
+        self.names, self.settings, self.ttl = names, settings, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scores = handle.getListState("scores", "score double", self.ttl)
+        self.counts = handle.getValueState("counts", "pending long, last double", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        name, time, tie, score = self.names
+        agent = AgentState(**self.settings)
+        if self.counts.exists():
+            agent.remember([s for (s,) in self.scores.get()])
+            agent.pending, agent.last = self.counts.get()
+        out = [(key[0], i, *agent.step(float(s), float(t))) for t, i, s in zip(*_in_order(rows, [time, tie], score))]
+        self.scores.put([(s,) for s in agent.scores]) if agent.scores else self.scores.clear()
+        self.counts.update((agent.pending, agent.last))
+        yield pd.DataFrame(out, columns=[name, tie, "decision", "limit_now"])
+
+    def close(self) -> None:
+        pass
+
+
+def agent_decisions(rows: DataFrame, key: str, time: str, tie: str, score: str, ttl_ms: int | None = None, **options: float) -> DataFrame:
+    """The same steps as the batch form. An agent that is not heard of for ttl_ms of wall time is forgotten."""
     settings = {"minimum": 0.5, "need": 2, "quiet": 3.0, "cap": 120, "ready": 10} | options
+    kind = f"`{key}` {_kind(rows, key)}, `{tie}` long, decision string, limit_now double"
+    return rows.groupBy(key).transformWithStateInPandas(_Agents((key, time, tie, score), settings, ttl_ms), kind, "append", "ProcessingTime" if ttl_ms else "None")
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        agent = AgentState(**settings)
-        if state.exists:
-            scores, agent.pending, agent.last = json.loads(state.get[0])
-            agent.remember(scores)
-        p = pd.concat(list(parts)).sort_values([time, tie])
-        out = [(k[0], int(i), *agent.step(float(s), float(t))) for s, t, i in zip(p[score], p[time], p[tie])]
-        state.update((json.dumps([list(agent.scores), agent.pending, agent.last]),))
-        yield pd.DataFrame(out, columns=[key, tie, "decision", "limit_now"])
-
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {_kind(rows, key)}, `{tie}` long, decision string, limit_now double", "memory string", "append", GroupStateTimeout.NoTimeout)
+
+class _Late(StatefulProcessor):
+    """The newest time of a key, and how many of its rows came behind it."""
+
+    def __init__(self, names: tuple[str, str, str, str]):
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "t long, n_late long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        name, time, arrival, tie = self.names
+        newest, n = self.newest.get() if self.newest.exists() else (None, 0)
+        out = []
+        for a, i, t in zip(*_in_order(rows, [arrival, tie], time)):
+            late = newest is not None and t <= newest
+            n += late
+            newest = t if newest is None else max(newest, t)
+            out.append((key[0], i, t, late, n))
+        self.newest.update((newest, n))
+        yield pd.DataFrame(out, columns=[name, tie, time, "late", "n_late"])
+
+    def close(self) -> None:
+        pass
+
+
+def mark_late(rows: DataFrame, key: str, time: str, arrival: str, tie: str) -> DataFrame:
+    """(key, tie, time, late, n_late) of every row, in the order of arrival: whether its time is not after all that its
+    key had before, and how many such rows the key has had so far. No row is dropped: late ones are a side output."""
+    kind = f"`{key}` {_kind(rows, key)}, `{tie}` long, `{time}` long, late boolean, n_late long"
+    return rows.groupBy(key).transformWithStateInPandas(_Late((key, time, arrival, tie)), kind, "append", "None")
+
+
+def late_by_key(marked: DataFrame, key: str, time: str) -> DataFrame:
+    """Rows, late rows and the newest time of each key, of the rows of mark_late()."""
+    return marked.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("late").cast("long")).alias("n_late"), F.max(time).alias("newest"))
 
 
 def deduplicated(rows: DataFrame, key: list[str], at: Column, delay: str) -> DataFrame:
