@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -451,3 +452,56 @@ def test_phases_between_valid_rows(spark):
     bad = spark.createDataFrame([("a", None, 5), ("b", 11, 19), ("c", 20, None), ("d", 31, 39), ("e", None, None)], "k string, after_t long, before_t long")
     phases = spark.createDataFrame([(0, 10), (20, 30)], "started long, stopped long")
     assert {r.k: r.touches_phase for r in joins.touches_phase(bad, phases, 7).collect()} == {"a": True, "b": False, "c": True, "d": False, "e": True}
+
+
+# ---------------------------------------------------------------- dyadic cells
+
+
+def test_cells_tile_an_interval(spark):
+    rng = random.Random(8)
+    spans = [(a, a + rng.choice([0, 1, 5, 37, 4000, 10**6])) for a in (rng.randint(-5000, 5000) for _ in range(200))]
+    for r in spark.createDataFrame(spans, "s long, e long").select("s", "e", joins.cells(F.col("s"), F.col("e"), 1.0).alias("c")).collect():
+        covered = sorted((c.cell << c.level, (c.cell + 1) << c.level) for c in r.c)
+        assert covered[0][0] == r.s and covered[-1][1] == r.e + 1 and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
+        assert len(covered) <= 2 * (r.e + 1 - r.s).bit_length()
+
+
+def test_overlaps_and_points_of_long_and_short_intervals(spark):
+    rng = random.Random(4)
+    some = lambda n, *names: [(f"k{rng.randint(0, 2)}", i, s := rng.randint(-300, 3000), s + rng.choice([0, 1, 9, 400, 2500])) for i in range(n)]  # noqa: E731, F841
+    left, right = some(120), some(90)
+    l = spark.createDataFrame(left, "k string, i long, began long, ended long")  # noqa: E741
+    r = spark.createDataFrame(right, "k string, j long, started long, stopped long")
+    for width in (10.0, 700.0):
+        got = sorted((x.i, x.j) for x in joins.overlaps(l, r, ["k"], width).collect())
+        assert got == sorted((i, j) for k, i, b, e in left for m, j, s, t in right if k == m and b < t and s < e)
+        held = Counter((x.i, x.j) for x in joins.contained(l, r, ["k"], width).collect())
+        inside = {(i, j) for k, i, b, e in left for m, j, s, t in right if k == m and s <= b and e <= t}
+        assert held == Counter([*inside, *((i, None) for _, i, _, _ in left if not any(i == a for a, _ in inside))])
+
+
+def test_bootstraps_of_few_and_many_blocks_draw_alike(spark):
+    rng = random.Random(6)
+    rows = [(g, b, rng.randint(0, 9), None if rng.random() < 0.1 else rng.random()) for g, n in (("a", 7), ("b", 40), ("c", 1)) for b in range(n)]
+    blocks = spark.createDataFrame(rows, "g string, block int, hits int, v double")
+    asked = {"hits": ("sum", "hits"), "mid": ("median", "v")}
+    runs = [{(r.g, r.iter): (r.hits, None if r.mid is None else round(r.mid, 12)) for r in outcomes.bootstrap(blocks, ["g"], asked, 50, 3, most=most).collect()} for most in (100, 10, 0)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 150
+
+
+def test_pareto_sums_of_parts_fit_as_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [("a", float(v)) for v in rng.pareto(4, 3000)] + [("b", float(v)) for v in rng.exponential(1, 900)] + [("few", 0.5)] * 4 + [("flat", 0.25)] * 60
+    d = spark.createDataFrame(rows, "k string, score double").repartition(5)
+    for most in (1, 1000):
+        monkeypatch.setattr(robust, "KEPT_KEYS", most)
+        got = {r.k: (r.limit, r.method) for r in robust.pareto_threshold(d, "k", "score", 0.1).collect()}
+        for k in "ab":
+            x = np.array([v for g, v in rows if g == k])
+            u, mad = np.quantile(x, 0.9), np.median(np.abs(x - np.median(x)))
+            excess = np.sort(x[x > u] - u)
+            shape, scale = robust.fit_pareto(excess)
+            rest = 0.005 / (len(excess) / len(x))
+            want = min(max(u + scale / shape * (rest**-shape - 1) + 0.5 * max(mad, 1e-3), 0.1), 0.995)
+            assert got[k][1] == "pareto" and got[k][0] == pytest.approx(want, abs=1e-4)
+        assert "flat" not in got and got.get("few", (None, "empirical")) == (None, "empirical")

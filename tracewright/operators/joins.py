@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,31 +32,59 @@ def paired(first: DataFrame, second: DataFrame, key: list[str], outcome: str, sa
     return a.join(b, key, "full_outer").select(*key, f"{outcome}_1", f"{outcome}_2", problem.alias("problem"))
 
 
-def buckets(start, end, width) -> F.Column:
-    """The numbers of the time buckets that a closed interval touches."""
-    return F.sequence(F.floor(start / width), F.floor(end / width))
+def cells(start, end, width) -> F.Column:
+    """The dyadic cells (level, number) that tile the buckets of a closed interval: cell n of level l is the buckets
+    n * 2**l to (n + 1) * 2**l - 1 of a width. Each level has two at most, so an interval of m buckets has 2 log2(m) or so."""
+    first, last = F.floor(start / width), F.floor(end / width) + 1
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(last - first, F.lit(1)))).cast("int") + 1)
+
+    def at(level):
+        size = F.pow(F.lit(2.0), level)
+        low, high = F.ceil(first / size).cast("long"), F.floor(last / size).cast("long")
+        left = F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), low)
+        right = F.when((low < high) & (F.pmod(high, F.lit(2)) == 1) & ((high - 1 > low) | left.isNull()), high - 1)
+        return F.transform(F.filter(F.array(left, right), lambda n: n.isNotNull()), lambda n: F.struct(level.alias("level"), n.alias("cell")))
+
+    return F.filter(F.flatten(F.transform(levels, at)), lambda c: c.isNotNull())
+
+
+def points_in(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, keys: list[str], width: float) -> DataFrame:
+    """Rows of points and intervals of equal keys with low <= at <= high; each pair once, as an interval's cells don't overlap.
+
+    An interval is dealt to the cells that tile it and a point to its cell of each level that intervals have, which is
+    one level where they are about as long as a width.
+    """
+    spread = intervals.filter(F.col(low) <= F.col(high)).withColumn("_c", F.explode(cells(F.col(low), F.col(high), width)))
+    levels = [r[0] for r in spread.select("_c.level").distinct().collect()]  # 60 at most
+    if not levels:
+        levels = [0]
+    place = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.floor(F.col(at) / width) / 2.0**n).cast("long").alias("cell")) for n in levels])
+    dealt = points.withColumn("_c", F.explode(place))
+    return dealt.join(spread, [*keys, "_c"]).filter((F.col(low) <= F.col(at)) & (F.col(at) <= F.col(high))).drop("_c")
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Rows of left (keys, began, ended) and right (keys, started, stopped) that overlap strictly.
 
-    Both sides are dealt by key and by time bucket of about an interval's length; a pair counts in the bucket where the
-    later of both starts, so it comes out once.
+    Of two such intervals the later start is a point of the other one: the pairs are those where right starts inside of
+    left, and those where left starts inside of right but not with it.
     """
-    l = left.withColumn("_b", F.explode(buckets(F.col("began"), F.col("ended"), width)))  # noqa: E741
-    r = right.withColumn("_b", F.explode(buckets(F.col("started"), F.col("stopped"), width)))
-    first = F.floor(F.greatest("began", "started") / width)
-    return l.join(r, [*keys, "_b"]).filter((F.col("began") < F.col("stopped")) & (F.col("started") < F.col("ended")) & (F.col("_b") == first)).drop("_b")
+    columns = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
+    strictly = (F.col("began") < F.col("stopped")) & (F.col("started") < F.col("ended"))
+    one = points_in(right, "started", left, "began", "ended", keys, width).filter(strictly)
+    two = points_in(left, "began", right, "started", "stopped", keys, width).filter(strictly & (F.col("began") > F.col("started")))
+    return one.select(*columns).unionByName(two.select(*columns))
 
 
 def contained(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Left rows (began, ended) with the right interval (started, stopped) that holds them; without one, null."""
-    r = right.withColumn("_b", F.explode(buckets(F.col("started"), F.col("stopped"), width)))
-    l = left.withColumn("_b", F.floor(F.col("began") / width))  # noqa: E741
-    cond = (F.col("started") <= F.col("began")) & (F.col("ended") <= F.col("stopped"))
-    for k in ["_b", *keys]:
-        cond = cond & (l[k] == r[k])
-    return l.join(r, cond, "left").select(*[l[c] for c in left.columns], *[r[c] for c in right.columns if c not in keys])
+    more = [c for c in right.columns if c not in keys]
+    found = points_in(left, "began", right, "started", "stopped", keys, width).filter(F.col("ended") <= F.col("stopped")).select(*left.columns, *more)
+    held = found.select(*[F.col(c).alias(f"_{c}") for c in left.columns]).distinct()
+    same = [left[c].eqNullSafe(held[f"_{c}"]) for c in left.columns]
+    # equal rows have equal intervals, so rows without one are told by their values
+    alone = left.join(held, reduce(and_, same), "left_anti")
+    return found.unionByName(alone.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in more]))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, ttl: float) -> DataFrame:
@@ -99,9 +129,7 @@ def attribute_greedily(alerts: DataFrame, markers: DataFrame, key: str, horizon:
 def earliest_match(trials: DataFrame, alerts: DataFrame, keys: list[str], horizon: float, width: float) -> DataFrame:
     """Trials (trial, keys, started, stopped) with detected and latency of the first alert in [started, stopped + horizon]."""
     t = trials.withColumn("_end", F.col("stopped") + horizon)
-    spread = t.withColumn("_b", F.explode(buckets(F.col("started"), F.col("_end"), width)))
-    a = alerts.select(*keys, F.col("at"), F.floor(F.col("at") / width).alias("_b"))
-    hits = spread.join(a, [*keys, "_b"]).filter((F.col("at") >= F.col("started")) & (F.col("at") <= F.col("_end"))).groupBy("trial").agg(F.min("at").alias("first_at"))
+    hits = points_in(alerts.select(*keys, "at"), "at", t, "started", "_end", keys, width).groupBy("trial").agg(F.min("at").alias("first_at"))
     return trials.join(hits, "trial", "left").withColumn("detected", F.col("first_at").isNotNull()).withColumn("latency", F.col("first_at") - F.col("started"))
 
 
@@ -115,9 +143,7 @@ def censored_horizons(intervals: DataFrame, keys: list[str], horizon: float, gua
 
 def attribute_once(alerts: DataFrame, intervals: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Alerts (keys, alert_id, at) with the one interval [started, attribution_end) that holds them; count says how many did."""
-    spread = intervals.withColumn("_b", F.explode(buckets(F.col("started"), F.col("attribution_end"), width)))
-    a = alerts.withColumn("_b", F.floor(F.col("at") / width))
-    found = a.join(spread, [*keys, "_b"]).filter((F.col("at") >= F.col("started")) & (F.col("at") < F.col("attribution_end")))
+    found = points_in(alerts, "at", intervals, "started", "attribution_end", keys, width).filter(F.col("at") < F.col("attribution_end"))
     return found.groupBy("alert_id").agg(F.count("*").alias("count"), F.min("trial").alias("trial"))
 
 
@@ -131,13 +157,13 @@ def bracket_bad_rows(rows: DataFrame, key: str, order: str, time: str) -> DataFr
 
 def touches_phase(bad: DataFrame, phases: DataFrame, width: float) -> DataFrame:
     """Bracketed rows (after_t, before_t, null where there is no neighbour) with touches_phase: a phase [started, stopped]
-    meets the closed bracket. Open ends reach as far as the phases do; brackets and phases meet by time buckets."""
+    meets the closed bracket. Open ends reach as far as the phases do; brackets and phases meet by the cells of points_in()."""
     ends = F.broadcast(phases.agg(F.min("started").alias("_lo"), F.max("stopped").alias("_hi")))  # one row
     b = bad.crossJoin(ends)
     low, high = F.greatest(F.coalesce("after_t", "_lo"), "_lo"), F.least(F.coalesce("before_t", "_hi"), "_hi")
     inside = b.withColumn("_from", low).withColumn("_to", high)
-    spread = inside.filter("_from <= _to").select("_from", "_to", *bad.columns, F.explode(buckets(F.col("_from"), F.col("_to"), width)).alias("_b"))
-    marks = phases.withColumn("_b", F.explode(buckets(F.col("started"), F.col("stopped"), width)))
-    hits = spread.join(marks, "_b").filter((F.col("_from") <= F.col("stopped")) & (F.col("_to") >= F.col("started")))
+    inside, marks = inside.filter("_from <= _to").select("_from", "_to", *bad.columns), phases.select("started", "stopped")
+    # of two that meet, the later start is in the other one
+    hits = points_in(marks, "started", inside, "_from", "_to", [], width).select(*bad.columns).union(points_in(inside, "_from", marks, "started", "stopped", [], width).select(*bad.columns))
     hits = hits.select(*[F.col(c).alias(f"_h_{c}") for c in bad.columns], F.lit(True).alias("_hit")).distinct()
     return bad.join(hits, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in bad.columns], "left").select(*bad.columns, F.coalesce("_hit", F.lit(False)).alias("touches_phase"))

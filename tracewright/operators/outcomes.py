@@ -51,10 +51,9 @@ def confusion(trials: DataFrame, key: list[str], attack: Column, alert: Column)
     return c.select(*c.columns, F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), F.try_divide(fp, fp + tn).alias("false_rate"))
 
 
-def drawn(seed: int, n: Column | str, iteration: str = "iter", slot: str = "slot") -> Column:
+def drawn(seed: int, iteration: Column, slot: Column, n: Column) -> Column:
     """A number below n from md5 of seed, iteration and slot: the same on any engine."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.col(iteration).cast("string"), F.col(slot).cast("string"))
-    n = F.col(n) if isinstance(n, str) else n
+    text = F.concat_ws("|", F.lit(str(seed)), iteration.cast("string"), slot.cast("string"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n
 
 
@@ -62,16 +61,50 @@ def drawn_sql(seed: int, n: str) -> str:
     return f"CAST('0x' || substr(md5('{seed}|' || iter || '|' || slot), 1, 8) AS BIGINT) % {n}"
 
 
-def bootstrap(blocks: DataFrame, group: list[str], columns: list[str], iterations: int, seed: int) -> DataFrame:
-    """(group, iter, the columns' sums..., values): each iteration draws a group's number of blocks with replacement.
+#: Blocks of a group up to which they are carried as an array; the draws of larger groups are joined with them.
+ARRAY_BLOCKS = 4096
+#: Tasks that the iterations of a group are dealt to.
+PARTS = 32
 
-    Blocks are numbered in each group; draws are generated from the group sizes and joined back by number, so one
-    iteration of one group is never held in one place.
-    """
+
+def _sampled(blocks: DataFrame, group: list[str], columns: list[str], iterations: int, seed: int) -> DataFrame:
+    """(group, iter, the columns' values...) of each drawn block: draws are generated from the group sizes and joined by number."""
     numbered = blocks.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("block")) - 1)
     sizes = blocks.groupBy(*group).agg(F.count("*").alias("_n"))
     draws = sizes.select(*group, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("slot"))
-    return draws.withColumn("_k", drawn(seed, "_n")).join(numbered.select(*group, "_k", *columns), [*group, "_k"]).select(*group, "iter", *columns)
+    return draws.withColumn("_k", drawn(seed, F.col("iter"), F.col("slot"), F.col("_n"))).join(numbered.select(*group, "_k", *columns), [*group, "_k"]).select(*group, "iter", *columns)
+
+
+def bootstrap(blocks: DataFrame, group: list[str], estimates: dict[str, tuple[str, str]], iterations: int, seed: int, most: int = ARRAY_BLOCKS) -> DataFrame:
+    """(group, iter, the estimates): each iteration draws a group's number of blocks with replacement.
+
+    estimates: name to ("sum" or "median", column). The blocks of a group, which are sums over what was observed, are one
+    array of most blocks at most, and a row for each iteration draws from it by the same md5 numbers as SQL can; so only
+    groups x iterations rows are made, and none is shuffled. Groups of more blocks have their draws joined with them.
+    """
+    columns = sorted({c for _, c in estimates.values()})
+    sizes = blocks.groupBy(*group).agg(F.count("*").alias("_n"))
+    small = blocks.join(sizes.filter(F.col("_n") <= most).select(*group), group, "left_semi")
+    arrays = small.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("block", *columns))).alias("_b")).withColumn("_n", F.size("_b").cast("long"))
+    # a few rows become very many: they are dealt out before
+    per = -(-iterations // PARTS)
+    parts = arrays.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(PARTS, *group, "_p")
+    rows = parts.withColumn("iter", F.explode(F.sequence(F.col("_p") * per, F.col("_p") * per + per - 1))).filter(F.col("iter") < iterations)
+    # the draws are a column of their own, so that several estimates are of the same draws
+    rows = rows.withColumn("_d", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda slot: drawn(seed, F.col("iter"), slot, F.col("_n"))))
+
+    def value(kind: str, column: str) -> Column:
+        taken = F.transform("_d", lambda k: F.get(F.col("_b"), k.cast("int"))[column])
+        if kind == "sum":
+            return F.aggregate(taken, F.lit(0).cast("double"), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+        x = F.array_sort(F.filter(taken, lambda v: v.isNotNull()))
+        return (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")).cast("double") + F.get(x, F.ceil((F.size(x) - 1) / 2).cast("int")).cast("double")) / 2
+
+    out = rows.select(*group, "iter", *[value(*e).alias(name) for name, e in estimates.items()])
+    if sizes.filter(F.col("_n") > most).isEmpty():
+        return out
+    large = _sampled(blocks.join(sizes.filter(F.col("_n") > most).select(*group), group, "left_semi"), group, columns, iterations, seed)
+    return out.unionByName(large.groupBy(*group, "iter").agg(*[(F.sum(F.col(c).cast("double")) if kind == "sum" else F.percentile(c, 0.5)).alias(name) for name, (kind, c) in estimates.items()]))
 
 
 def interval(estimates: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -188,7 +221,7 @@ def overhead(blocks: DataFrame, group: list[str], block: str, rate: tuple[str, s
     throughput lost and of latency gained from off to on, with bootstrap intervals of 0.95. rate and latency name (off, on)."""
     b = blocks.select(*group, F.col(block).alias("block"), (100 * (1 - F.col(rate[1]) / F.col(rate[0]))).alias("loss"), (100 * (F.col(latency[1]) / F.col(latency[0]) - 1)).alias("rise"))
     med = lambda c: F.percentile(c, 0.5)
-    drawn_ = bootstrap(b, group, ["loss", "rise"], iterations, seed).groupBy(*group, "iter").agg(med("loss").alias("loss"), med("rise").alias("rise"))
+    drawn_ = bootstrap(b, group, {"loss": ("median", "loss"), "rise": ("median", "rise")}, iterations, seed)
     ends = drawn_.groupBy(*group).agg(*[F.percentile(c, q).alias(f"{c}_{n}") for c in ("loss", "rise") for n, q in (("low", 0.025), ("high", 0.975))])
     return b.groupBy(*group).agg(F.count("*").alias("blocks"), med("loss").alias("loss"), med("rise").alias("rise")).join(ends, group)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,39 +88,81 @@ def threshold(rows: DataFrame, key: list[str], score: str, minimum: float, margi
     return s.select(*key, "n", F.when(F.col("n") < min_samples, F.lit(minimum)).otherwise(value).alias("limit"))
 
 
-def fit_pareto(excess: np.ndarray) -> tuple[float, float]:
-    """Shape and scale of a generalised Pareto law by its likelihood along one parameter (shape / scale)."""
-    top, mean = excess.max(), excess.mean()
-    theta = np.concatenate([-np.geomspace(1e-6, 0.999, 200) / top, np.geomspace(1e-4, 50, 400) / mean])
-    shape = np.log1p(np.outer(theta, excess)).mean(axis=1)
+#: Values whose logarithms are summed at once, and keys whose sums a task keeps.
+SUMMED_AT_ONCE, KEPT_KEYS = 4096, 1000
+
+
+def pareto_grid(top: float, mean: float) -> np.ndarray:
+    """Ratios shape / scale of generalised Pareto laws that are tried for exceedances of this maximum and mean."""
+    return np.concatenate([-np.geomspace(1e-6, 0.999, 200) / top, np.geomspace(1e-4, 50, 400) / mean])
+
+
+def best_pareto(theta: np.ndarray, mean_log: np.ndarray) -> tuple[float, float]:
+    """Shape and scale of the largest likelihood on a grid, from the means of log(1 + theta * x)."""
     with np.errstate(all="ignore"):
-        likelihood = -np.log(shape / theta) - shape - 1
-    likelihood[~np.isfinite(likelihood) | (shape / theta <= 0)] = -np.inf
+        likelihood = -np.log(mean_log / theta) - mean_log - 1
+    likelihood[~np.isfinite(likelihood) | (mean_log / theta <= 0)] = -np.inf
     k = int(np.argmax(likelihood))
-    return float(shape[k]), float(shape[k] / theta[k])
+    return float(mean_log[k]), float(mean_log[k] / theta[k])
+
+
+def _log_sums(theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sum((np.log1p(np.outer(theta, x[i : i + SUMMED_AT_ONCE])).sum(axis=1) for i in range(0, len(x), SUMMED_AT_ONCE)), np.zeros(len(theta)))
+
+
+def fit_pareto(excess: np.ndarray) -> tuple[float, float]:
+    """Shape and scale of a generalised Pareto law by its likelihood along one parameter (shape / scale)."""
+    theta = pareto_grid(excess.max(), excess.mean())
+    return best_pareto(theta, _log_sums(theta, excess) / len(excess))
 
 
 def pareto_threshold(rows: DataFrame, key: str, score: str, minimum: float, margin: float = 0.5, q: float = 0.995, tail: float = 0.9, min_exceedances: int = 10) -> DataFrame:
     """(key, limit, method): a Pareto tail over the 0.9 quantile, extrapolated; null where it is no good fit.
 
-    Only scores over the quantile reach Python, a tenth of a key's rows.
+    The likelihood is a sum for each point of a grid. Each task sums up the logarithms of the exceedances that it reads,
+    for each key, and only these sums meet: neither shuffle nor memory grows with the number of exceedances.
     """
     s = median_and_mad(rows, [key], score, {"u": tail}, large=True)
-    above = rows.select(key, score).join(s, key).filter(F.col(score) > F.col("u")).select(key, (F.col(score) - F.col("u")).cast("double").alias("excess"), "n", "u", "mad")
+    above = rows.select(key, score).join(s, key).filter(F.col(score) > F.col("u")).select(key, (F.col(score) - F.col("u")).cast("double").alias("excess"))
+    ends = above.groupBy(key).agg(F.max("excess").alias("top"), F.avg("excess").alias("mean"), F.count("*").alias("m")).filter(F.col("m") >= min_exceedances)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), keys), pa.array([x.tolist() for x in held.values()], pa.list_(pa.float64()))], [key, "sums"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            keys = batch.column(0).type
+            coded = batch.column(0).dictionary_encode()
+            code, names = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            x, top, mean = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            for c in np.unique(code).tolist():
+                at = np.flatnonzero(code == c)
+                sums = _log_sums(pareto_grid(top[at[0]], mean[at[0]]), x[at])
+                name = names[c]
+                held[name] = held[name] + sums if name in held else sums
+            if len(held) > KEPT_KEYS:
+                yield flush()
+        if held:
+            yield flush()
 
     def fit(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        x, n, u, mad = p["excess"].to_numpy(), p["n"].iloc[0], p["u"].iloc[0], p["mad"].iloc[0]
-        limit, method = None, "empirical"
-        if len(x) >= min_exceedances:
-            shape, scale = fit_pareto(np.sort(x))
-            rest = (1 - q) / (len(x) / n)
-            tail_value = scale / shape * (rest**-shape - 1) if abs(shape) > 1e-9 else -scale * np.log(rest)
-            if -1 < shape < 2 and scale > 0 and np.isfinite(tail_value):
-                limit, method = float(np.clip(max(minimum, u + tail_value + margin * max(mad, 1e-3)), minimum, 0.995)), "pareto"
+        top, mean, m, n, u, mad = (p[c].iloc[0] for c in ("top", "mean", "m", "n", "u", "mad"))
+        shape, scale = best_pareto(pareto_grid(top, mean), np.sum(p["sums"].to_list(), axis=0) / m)
+        rest, limit, method = (1 - q) / (m / n), None, "empirical"
+        tail_value = scale / shape * (rest**-shape - 1) if abs(shape) > 1e-9 else -scale * np.log(rest)
+        if -1 < shape < 2 and scale > 0 and np.isfinite(tail_value):
+            limit, method = float(np.clip(max(minimum, u + tail_value + margin * max(mad, 1e-3)), minimum, 0.995)), "pareto"
         return pd.DataFrame({key: [k[0]], "limit": [limit], "method": [method]})
 
-    kind = rows.schema[key].dataType.simpleString()
-    return above.groupBy(key).applyInPandas(fit, f"`{key}` {kind}, limit double, method string")
+    sums = above.join(ends.drop("m"), key).select(key, "excess", "top", "mean").mapInArrow(partial, f"`{key}` {kind}, sums array<double>")
+    fitted = sums.join(ends, key).join(s, key).groupBy(key).applyInPandas(fit, f"`{key}` {kind}, limit double, method string")
+    short = s.join(ends.select(key), key, "left_anti").join(above.select(key).distinct(), key, "left_semi").select(key, F.lit(None).cast("double").alias("limit"), F.lit("empirical").alias("method"))
+    return fitted.unionByName(short)
 
 
 def agent_threshold(rows: DataFrame, key: str, score: str, minimum: float) -> DataFrame:

@@ -119,20 +119,20 @@ _CI = "SELECT lang, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_con
 
 @query("t2_bootstrap_median", f"WITH {resampled_sql(11)}, e AS (SELECT lang, iter, quantile_cont(mean_chars, 0.5) AS v FROM rs GROUP BY ALL) {_CI}")
 def t2(spark, sf_dir):
-    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["mean_chars"], ITERATIONS, 11)
-    return O.interval(drawn.groupBy("lang", "iter").agg(F.percentile("mean_chars", 0.5).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
+    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], {"v": ("median", "mean_chars")}, ITERATIONS, 11)
+    return O.interval(drawn, ["lang"], "v").select("lang", *r6("low", "high"))
 
 
 @query("t3_block_bootstrap", f"WITH {resampled_sql(12)}, e AS (SELECT lang, iter, sum(hits) / sum(n) AS v FROM rs GROUP BY ALL) {_CI}")
 def t3(spark, sf_dir):
-    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["hits", "n"], ITERATIONS, 12)
-    return O.interval(drawn.groupBy("lang", "iter").agg((F.sum("hits") / F.sum("n")).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
+    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], {"hits": ("sum", "hits"), "n": ("sum", "n")}, ITERATIONS, 12)
+    return O.interval(drawn.withColumn("v", F.col("hits") / F.col("n")), ["lang"], "v").select("lang", *r6("low", "high"))
 
 
 @query("t4_rate_bootstrap", f"WITH {resampled_sql(13)}, e AS (SELECT lang, iter, 1000 * sum(hits) / sum(chars) AS v FROM rs GROUP BY ALL) {_CI}")
 def t4(spark, sf_dir):
-    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["hits", "chars"], ITERATIONS, 13)
-    return O.interval(drawn.groupBy("lang", "iter").agg((1000 * F.sum("hits") / F.sum("chars")).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
+    drawn = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], {"hits": ("sum", "hits"), "chars": ("sum", "chars")}, ITERATIONS, 13)
+    return O.interval(drawn.withColumn("v", 1000 * F.col("hits") / F.col("chars")), ["lang"], "v").select("lang", *r6("low", "high"))
 
 
 @query(
@@ -142,7 +142,7 @@ def t4(spark, sf_dir):
 )
 def t5(spark, sf_dir):
     """Per cent of difference between the medians of an arm and the base arm."""
-    m = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], ["mean_chars"], ITERATIONS, 14).groupBy("lang", "iter").agg(F.percentile("mean_chars", 0.5).alias("m"))
+    m = O.bootstrap(source_blocks(spark, sf_dir), ["lang"], {"m": ("median", "mean_chars")}, ITERATIONS, 14)
     base = m.filter("lang = 'en'").select("iter", F.col("m").alias("b"))
     return O.interval(m.filter("lang <> 'en'").join(base, "iter").select("lang", (100 * (F.col("m") / F.col("b") - 1)).alias("v")), ["lang"], "v").select("lang", *r6("low", "high"))
 
@@ -174,6 +174,20 @@ def t7(spark, sf_dir):
     return O.sign_flip(d, ["s_nationkey"], "v").select("s_nationkey", "n", *r6("p"))
 
 
+@query(
+    "t7_whole_units",
+    """WITH d AS (SELECT s_nationkey, CAST(floor(CAST(s_acctbal AS DOUBLE) / 100) AS BIGINT) - 30 AS v FROM supplier),
+    g AS (SELECT s_nationkey, count(*) AS n, CAST(abs(sum(v)) AS BIGINT) AS seen, CAST(sum(abs(v)) AS BIGINT) AS reach, list(v) AS vs FROM d GROUP BY s_nationkey),
+    c AS (SELECT *, list_reduce(list_prepend([CASE WHEN i = reach THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR i IN range(2 * reach + 1)], list_transform(vs, lambda v: [v::DOUBLE])),
+      lambda p, v: [0.5 * coalesce(p[CAST(i - v[1] AS BIGINT)], 0) * (i - v[1] >= 1)::INT + 0.5 * coalesce(p[CAST(i + v[1] AS BIGINT)], 0) * (i + v[1] >= 1)::INT FOR i IN range(1, len(p) + 1)]) AS p FROM g)
+    SELECT s_nationkey, n, round(list_sum([p[CAST(i AS BIGINT)] * (abs(i - 1 - reach) >= seen)::INT FOR i IN range(1, len(p) + 1)]), 6) AS p FROM c""",
+)
+def t7_whole(spark, sf_dir):
+    """T7 of differences in whole hundreds, whose sums SQL can count for groups of any size."""
+    d = table(spark, sf_dir, "supplier").select("s_nationkey", (F.floor(F.col("s_acctbal").cast("double") / 100) - 30).alias("v"))
+    return O.sign_flip(d, ["s_nationkey"], "v").select("s_nationkey", "n", *r6("p"))
+
+
 @query(
     "t8_holm",
     f"""WITH {PAIRED}, p AS (SELECT source, {MCNEMAR_SQL} AS p FROM pt), s AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY round(p, 9), source) + 1)) AS s FROM p)
