@@ -414,6 +414,10 @@ def test_corrupted_rows_are_told_from_real_ones(spark):
     scored = model.transform(examples.filter("i % 4 = 0").withColumn("x", array_to_vector("features"))).select("label", vector_to_array("probability")[1].alias("p")).collect()
     good, wrong = [r.p for r in scored if r.label == 0], [r.p for r in scored if r.label == 1]
     assert np.mean([a < b for a in good for b in wrong]) > 0.7
+    every = models.corruption_scores(examples, "i").collect()
+    good, wrong = ({r.i: r.score for r in every if r.label == n} for n in (0, 1))
+    assert set(good) == set(wrong) == set(real) and len(every) == 800
+    assert np.mean([a < b for a in good.values() for b in wrong.values()]) > 0.7
 
 
 # ---------------------------------------------------------------- resources and sources

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -160,6 +161,19 @@ def corruption_classifier(examples: DataFrame, trees: int = 32, depth: int = 8,
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(ready)
 
 
+def corruption_scores(examples: DataFrame, row_id: str, folds: int = 2, **options: int) -> DataFrame:
+    """M6: adds score to all corrupted() rows. Rows are dealt to folds by a hash of their id, and each fold is scored by a
+    classifier that was fitted on the others, so both forms of a row are always new to it."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    fold, out = F.pmod(F.xxhash64(row_id), F.lit(folds)), []
+    for k in range(folds):
+        model = corruption_classifier(examples.filter(fold != k), **options)
+        scored = model.transform(examples.filter(fold == k).withColumn("x", array_to_vector("features")))
+        out.append(scored.select(*examples.columns, vector_to_array("probability")[1].alias("score")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def ordered_split(rows: DataFrame, key: list[str], order: str, lead: int, share: float = 0.7, least: int = 10) -> DataFrame:
     """M7: adds part: fit for the first share of each sequence, then calibration, which also reads lead rows before (both); short ones go."""
     w = Window.partitionBy(*key)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tracewright.operators import models as M
@@ -76,10 +75,9 @@ def m5(spark, sf_dir):
 
 @query("m6_corruption_scores")
 def m6(spark, sf_dir):
+    """M6: every vector, as it is and corrupted, scored by the forest that has not seen it."""
     examples = M.corrupted(vectors(spark, sf_dir).withColumnRenamed("label", "workload"), ["workload"], "vec_id", "embedding")
-    model = M.corruption_classifier(examples.filter("vec_id % 4 <> 0"))
-    scored = model.transform(examples.filter("vec_id % 4 = 0").withColumn("x", array_to_vector("features")))
-    return scored.select("vec_id", "label", F.round(vector_to_array("probability")[1], 6).alias("score"))
+    return M.corruption_scores(examples, "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -244,10 +244,11 @@ def j17(spark, sf_dir):
     return J.paired(a, b, ["doc_id"], "found", ["meta"]).withColumnsRenamed({"found_1": "first_found", "found_2": "second_found"})
 
 
-@query("j18_method_pairs", "SELECT a.r_name AS one, b.r_name AS two FROM region a JOIN region b ON a.r_name < b.r_name")
+@query("j18_method_pairs", "WITH m AS (SELECT event_type AS m, count(*) AS n FROM events GROUP BY event_type) SELECT a.m AS one, b.m AS two, a.n AS n_one, b.n AS n_two FROM m a JOIN m b ON a.m < b.m")
 def j18(spark, sf_dir):
-    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("one"))
-    return r.join(r.withColumnRenamed("one", "two"), F.col("one") < F.col("two"))
+    """Pairs of the few methods that all events name."""
+    m = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("one")).agg(F.count("*").alias("n_one"))
+    return m.join(m.select(F.col("one").alias("two"), F.col("n_one").alias("n_two")), F.col("one") < F.col("two"))
 
 
 @query(
