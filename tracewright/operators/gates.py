@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.syscalls import wilson
-from tracewright.operators.folds import sorted_fold
+from tracewright.operators.folds import scanned_fold, sorted_fold
+from tracewright.sources.files import scratch
 
 
 def by(key: list[str], *order: str):
@@ -74,11 +75,67 @@ class _Sent:
         self.last = None
 
 
+class _Sends:
+    """What a part's alerts do to the time of the last one sent before them.
+
+    Alerts are sent again from some time on; the first one then is one of the part's first quiet or the next one. For each of
+    these that may be the first, the last alert that is sent after it: (up to which time from on, last one), merged where they meet.
+    """
+
+    def __init__(self, quiet: float):
+        self.quiet, self.first, self.upto, self.last = quiet, None, np.empty(0), np.empty(0)
+
+    def _follow(self, last: np.ndarray, t: np.ndarray) -> np.ndarray:
+        while True:
+            i = np.searchsorted(t, last + self.quiet, side="left")
+            if not (goes := i < len(t)).any():
+                return last
+            last = np.where(goes, t[np.minimum(i, len(t) - 1)], last)
+
+    def add_times(self, times: np.ndarray) -> None:
+        """Later times than all before, or equal to the last of them; in any order."""
+        t = np.unique(times)
+        if not len(t):
+            return
+        if self.first is None:
+            self.first, self.upto, self.last = t[0], t[:0], t[:0]
+        # those of the first quiet, and the next one, if none is at its end
+        new = t[: np.searchsorted(t, self.first + self.quiet, side="left") + 1]
+        if len(self.upto):
+            new = new[new > self.upto[-1]] if self.upto[-1] < self.first + self.quiet else new[:0]
+        last = np.concatenate([self._follow(self.last, t), self._follow(new, t)])
+        ends = np.r_[last[1:] != last[:-1], True]
+        self.upto, self.last = np.concatenate([self.upto, new])[ends], last[ends]
+
+    def result(self) -> tuple:
+        return self.upto, self.last
+
+    @staticmethod
+    def after(sent, part: tuple, quiet: float):
+        """The time of the last alert after a part, whose state before is sent or None."""
+        upto, last = part
+        i = 0 if sent is None else int(np.searchsorted(upto, sent + quiet, side="left"))
+        return last[i] if i < len(last) else sent
+
+
+class _SentTimes(_Sends):
+    def __init__(self, time: str, quiet: float):
+        super().__init__(quiet)
+        self.time = time
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        self.add_times(columns[self.time])
+
+
 def cooldown(alerts: DataFrame, key: list[str], time: str, quiet: float) -> DataFrame:
     """Alerts that are sent: the first, then each that is at least quiet after the last one sent, and those at the same time.
 
-    Alerts are read in order, from one that is sent to the next by binary search; the state of a key is one time.
+    Alerts are read in order, from one that is sent to the next by binary search; the state of a key is one time. Keys of
+    many alerts are read in parts (folds.scanned_fold); the sum of a part grows with its alerts of one quiet at most.
+    Without quiet all are sent.
     """
+    if quiet <= 0:
+        return alerts
 
     def step(s: _Sent, columns: dict[str, np.ndarray]) -> list:
         t = columns[time]
@@ -90,63 +147,115 @@ def cooldown(alerts: DataFrame, key: list[str], time: str, quiet: float) -> Data
             s.last = t[i]
             keep[i : np.searchsorted(t, s.last, side="right")] = True
 
-    return sorted_fold(alerts, key, [time], "_sent boolean", _Sent, step, [time]).filter("_sent").drop("_sent")
+    def after(s: _Sent, part: tuple) -> None:
+        s.last = _Sends.after(s.last, part, quiet)
+
+    return scanned_fold(alerts, key, [time], "_sent boolean", _Sent, step, [time], lambda: _SentTimes(time, quiet), after).filter("_sent").drop("_sent")
 
 
 class _Chain:
-    """What a key's decisions carry on: windows in a row on each path, and when it last alerted."""
+    """What a key's decisions carry on: windows in a row on each path (hard, behaviour, volume), and when it last alerted."""
 
     def __init__(self):
-        self.hard = self.behaviour = self.volume = 0
-        self.sent = None
+        self.counts, self.sent = (0, 0, 0), None
+
+
+def _confirming(counts: tuple[int, int, int], skip, calibrating, gate, score, limit, extreme, warned, k, near, behaviour_floor, warning_floor) -> tuple[tuple[int, int, int], str, str | None, bool]:
+    """The counts after a window, its decision but for the cooldown, its path, and whether it is confirmed."""
+    if skip is not None:
+        return (0, 0, 0), skip, None, False
+    if calibrating:
+        return counts, "calibrating", None, False
+    hard, behaviour, volume = counts
+    high = score >= limit
+    if gate:
+        volume = 0
+        hard, path = (hard + 1, "hard_ml") if high else (k, "hysteresis_ml") if hard == 1 and score >= near * limit else (0, None)
+        behaviour = behaviour + 1 if behaviour_floor < limit and score >= behaviour_floor else 0
+        confirmed = hard >= k
+        if not confirmed and warned and warning_floor < limit and score >= warning_floor:
+            confirmed, path = True, "fast_path_behavior_ml_floor"
+        elif not confirmed and behaviour >= k:
+            confirmed, path = True, "behavior_persistence_ml_floor"
+    else:
+        hard = behaviour = 0
+        volume = volume + 1 if high and extreme else 0
+        if not volume:
+            return (0, 0, 0), "behavior_gated" if high else "normal", None, False
+        confirmed, path = volume >= k, "extreme_volume_ml"
+    return (hard, behaviour, volume), "detection" if confirmed else "pending_confirmation", path, confirmed
+
+
+class _Courses:
+    """What a part's windows do to the counts and the last alert before them.
+
+    Counts matter up to the largest k, or 2, so there are few; each is followed, and where two become equal they are
+    followed as one. Which windows are confirmed, and so which alerts may be sent, hangs on the counts alone.
+    """
+
+    def __init__(self, read: list[str], quiet: float, most: int):
+        self.read, self.most = read, max(most, 2)
+        some = range(self.most + 1)
+        self.starts = [(h, b, 0) for h in some for b in some] + [(0, 0, v) for v in some if v]
+        self.live = {c: [i] for i, c in enumerate(self.starts)}
+        self.sends = [_Sends(quiet) for _ in self.starts]
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        confirmed: list[list] = [[] for _ in self.starts]
+        for *row, t in zip(*(columns[c].tolist() for c in self.read)):
+            live: dict[tuple, list[int]] = {}
+            for counts, who in self.live.items():
+                now, _, _, sure = _confirming(counts, *row)
+                live.setdefault(capped(now, self.most), []).extend(who)
+                for i in who if sure else ():
+                    confirmed[i].append(t)
+            self.live = live
+        for s, times in zip(self.sends, confirmed):
+            s.add_times(np.array(times))
+
+    def result(self) -> dict:
+        return {self.starts[i]: (counts, *self.sends[i].result()) for counts, who in self.live.items() for i in who}
+
+
+def capped(counts: tuple[int, int, int], most: int) -> tuple[int, int, int]:
+    return tuple(min(n, most) for n in counts)
 
 
 def decisions(rows: DataFrame, key: list[str], time: str, quiet: float) -> DataFrame:
-    """Adds decision and path to windows in order of time.
+    """Adds decision and path to windows in order of time, of which a key has one row each.
 
     rows have skip (why a window is not judged, or null; it starts all counts anew), calibrating (not judged either, but
     counts go on), gate, score, score_limit, extreme (more events than the learned maximum), warned (an early warning
     holds), and the policy: k (windows in a row that confirm), near (the share of the limit at which the second of two
     confirms), behaviour_floor and warning_floor (scores that confirm with persistent behaviour or with a warning; they
     count only below the limit). Confirmed windows within quiet after an alert are in cooldown, which they don't extend.
-    """
-
-    def one(s: _Chain, skip, calibrating, gate, score, limit, extreme, warned, k, near, behaviour_floor, warning_floor, t) -> tuple[str, str | None]:
-        if skip is not None:
-            s.hard = s.behaviour = s.volume = 0
-            return skip, None
-        if calibrating:
-            return "calibrating", None
-        high = score >= limit
-        if gate:
-            s.volume = 0
-            s.hard, path = (s.hard + 1, "hard_ml") if high else (k, "hysteresis_ml") if s.hard == 1 and score >= near * limit else (0, None)
-            s.behaviour = s.behaviour + 1 if behaviour_floor < limit and score >= behaviour_floor else 0
-            confirmed = s.hard >= k
-            if not confirmed and warned and warning_floor < limit and score >= warning_floor:
-                confirmed, path = True, "fast_path_behavior_ml_floor"
-            elif not confirmed and s.behaviour >= k:
-                confirmed, path = True, "behavior_persistence_ml_floor"
-        else:
-            s.hard = s.behaviour = 0
-            s.volume = s.volume + 1 if high and extreme else 0
-            if not s.volume:
-                return ("behavior_gated" if high else "normal"), None
-            confirmed, path = s.volume >= k, "extreme_volume_ml"
-        if not confirmed:
-            return "pending_confirmation", path
-        if s.sent is not None and t - s.sent < quiet:
-            return "cooldown", path
-        s.sent = t
-        return "detection", path
 
+    Rows are written once, as they are read several times. Keys of many windows are read in parts (folds.scanned_fold).
+    """
     read = ["skip", "calibrating", "gate", "score", "score_limit", "extreme", "warned", "k", "near", "behaviour_floor", "warning_floor", time]
+    schema, path = rows.schema, scratch(rows.sparkSession, "decided")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(schema).parquet(path)
+    most = max(rows.agg(F.max("k")).first()[0] or 0, 2)
+
+    def one(s: _Chain, *row) -> tuple[str, str | None]:
+        *row, t = row
+        s.counts, decision, path, confirmed = _confirming(s.counts, *row)
+        if confirmed:
+            if s.sent is not None and t - s.sent < quiet:
+                return "cooldown", path
+            s.sent = t
+        return decision, path
 
     def step(s: _Chain, columns: dict[str, np.ndarray]) -> list:
         out = [one(s, *row) for row in zip(*(columns[c].tolist() for c in read))]
         return [[d for d, _ in out], [p for _, p in out]]
 
-    return sorted_fold(rows, key, [time], "decision string, path string", _Chain, step, read)
+    def after(s: _Chain, part: dict) -> None:
+        s.counts, *sends = part[capped(s.counts, most)]
+        s.sent = _Sends.after(s.sent, sends, quiet)
+
+    return scanned_fold(rows, key, [time], "decision string, path string", _Chain, step, read, lambda: _Courses(read, quiet, most), after)
 
 
 def sequence_rule(events: DataFrame, key: str, order: list[str], name: str, time: str, network: Column, within: float, privilege: list[str], consume: list[str]) -> DataFrame:

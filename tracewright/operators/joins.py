@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.folds import sorted_fold
+from tracewright.operators.folds import scanned_fold
 
 
 def pair_intervals(rows: DataFrame, key: str, kind: str, time: str, same: list[str] | None = None) -> DataFrame:
@@ -101,28 +101,62 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return seen.select("_l.*", *[F.when(fresh, F.col(f"_r.{c}")).alias(c) for c in more])
 
 
+class _Markers:
+    """What a part of J7 does to the free markers before it: the alerts that ask for one of them, and those that it leaves."""
+
+    def __init__(self, horizon: float):
+        self.horizon, self.first, self.asking, self.free = horizon, None, [], deque()
+
+    def add(self, columns: dict) -> None:
+        for t, side, i in zip(*(columns[c].tolist() for c in ("t", "side", "id"))):
+            self.first = t if self.first is None else self.first
+            _expire(self.free, t, self.horizon)
+            if side == 0:
+                self.free.append((t, i))
+            elif self.free:
+                self.free.pop()
+            elif t - self.first <= self.horizon:
+                self.asking.append(t)
+
+    def result(self) -> tuple:
+        return self.asking, list(self.free)
+
+
+def _expire(free: deque, t: float, horizon: float) -> None:
+    while free and t - free[0][0] > horizon:
+        free.popleft()
+
+
 def attribute_greedily(alerts: DataFrame, markers: DataFrame, key: str, horizon: float) -> DataFrame:
     """(key, alert_id, marker_id): each alert, in order, takes the newest marker within horizon that none took.
 
     alerts (key, alert_id, at), markers (key, marker_id, marked). Both are read in one order; the state of a key is its
-    free markers of the last horizon.
+    free markers of the last horizon. Keys of many rows are read in parts (folds.scanned_fold): the sum of a part is its
+    alerts of the first horizon that found no marker in it, and its markers of the last horizon that are free.
     """
     both = alerts.select(key, F.col("at").alias("t"), F.lit(1).alias("side"), F.col("alert_id").alias("id")).union(markers.select(key, F.col("marked"), F.lit(0), F.col("marker_id")))
 
     def step(free: deque, columns: dict) -> list:
         taken = []
         for t, side, i in zip(*(columns[c].tolist() for c in ("t", "side", "id"))):
+            _expire(free, t, horizon)
             if side == 0:
                 free.append((t, i))
-                taken.append(None)
-                continue
-            while free and t - free[0][0] > horizon:
-                free.popleft()
-            taken.append(free.pop()[1] if free else None)
+            taken.append(free.pop()[1] if side and free else None)
         return [taken]
 
+    def after(free: deque, part: tuple) -> None:
+        asking, left = part
+        for t in asking:
+            _expire(free, t, horizon)
+            if free:
+                free.pop()
+        free.extend(left)
+        if left:
+            _expire(free, left[-1][0], horizon)
+
     kind = both.schema["id"].dataType.simpleString()
-    found = sorted_fold(both, [key], ["t", "side", "id"], f"marker_id {kind}", deque, step, ["t", "side", "id"])
+    found = scanned_fold(both, [key], ["t", "side", "id"], f"marker_id {kind}", deque, step, ["t", "side", "id"], lambda: _Markers(horizon), after)
     return found.filter("side = 1 and marker_id is not null").select(key, F.col("id").alias("alert_id"), "marker_id")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.folds import sorted_fold
+from tracewright.operators.folds import scanned_fold
 
 
 def ordered(key: list[str] | str, *order: str):
@@ -20,6 +20,60 @@ class _Anchor:
     def __init__(self):
         self.base, self.last = None, None
 
+    def opens_anew(self, before: float, time: float, width: float) -> bool:
+        """Whether a whole window of the grid is empty between two events."""
+        return time - before > width and np.floor((time - self.base) / width) - np.floor((before - self.base) / width) >= 2
+
+
+class _Grids:
+    """What a part's events do to the grid before them, which its phase tells: where it lies in (0, width].
+
+    A gap between two events of a width to two closes just the grids whose phase is in an arc of the circle, and a longer
+    one closes all; they go on as the grid of the event after the gap. So phases are cut into arcs (low, high, base),
+    and base is the event whose grid an arc has become, or None where the grid before goes on.
+    """
+
+    def __init__(self, time: str, width: float):
+        self.time, self.width = time, width
+        self.first, self.last, self.arcs = None, None, [(0.0, width, None)]
+
+    @staticmethod
+    def phase(at: float, width: float) -> float:
+        return at % width or width
+
+    def _close(self, before: float, at: float) -> None:
+        low = self.phase(before, self.width)
+        high = low + (at - before - self.width)
+        turned = high - self.width
+        inside = lambda p: low < p <= high or p <= turned
+        out: list[tuple] = []
+        for a, b, base in self.arcs:
+            ends = [b] if base is not None else [*sorted(x for x in {low, high, turned} if a < x < b), b]
+            for end in ends:
+                now = at if inside(end if base is None else self.phase(base, self.width)) else base
+                if out and out[-1][2] == now:
+                    out[-1] = (out[-1][0], end, now)
+                else:
+                    out.append((a, end, now))
+                a = end
+        self.arcs = out
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        t = columns[self.time].astype(float)
+        if self.first is None:
+            self.first = self.last = float(t[0])
+        before = np.r_[self.last, t[:-1]]
+        gaps = np.flatnonzero(t - before > self.width)
+        sure = gaps[t[gaps] - before[gaps] >= 2 * self.width]
+        if len(sure):
+            self.arcs, gaps = [(0.0, self.width, float(t[sure[-1]]))], gaps[gaps > sure[-1]]
+        for i in gaps.tolist():
+            self._close(float(before[i]), float(t[i]))
+        self.last = float(t[-1])
+
+    def result(self) -> tuple:
+        return self.first, self.last, self.arcs
+
 
 def anchored_windows(events: DataFrame, key: str, time: str, tie: str, width: float) -> DataFrame:
     """Adds anchor, the start of the event's window, in the unit of time.
@@ -27,7 +81,9 @@ def anchored_windows(events: DataFrame, key: str, time: str, tie: str, width: fl
     The first event of a key opens a window. An event at or past its end closes it and opens the next at that end, or,
     if the event is a further width late, at the event. Late data do not occur: events are put in order first. So from
     an anchor on windows are a grid, until an event leaves a whole window of it empty; only events after a gap of more
-    than a width can do that, and only these are looked at one by one. The state of a key is two times.
+    than a width can do that, and only these are looked at one by one. The state of a key is two times. Keys of many
+    events are read in parts (folds.scanned_fold), exactly where times and width are whole numbers below 2^53; of others
+    a time within a rounding error of a window's end may fall to either side.
     """
 
     def step(s: _Anchor, columns: dict[str, np.ndarray]) -> list:
@@ -37,12 +93,20 @@ def anchored_windows(events: DataFrame, key: str, time: str, tie: str, width: fl
         before = np.r_[s.last, t[:-1]]
         base, at = np.empty(len(t)), 0
         for i in np.flatnonzero(t - before > width).tolist():
-            if np.floor((t[i] - s.base) / width) - np.floor((before[i] - s.base) / width) >= 2:
+            if s.opens_anew(before[i], t[i], width):
                 base[at:i], at, s.base = s.base, i, t[i]
         base[at:], s.last = s.base, t[-1]
         return [base + np.floor((t - base) / width) * width]
 
-    return sorted_fold(events, [key], [time, tie], "anchor double", _Anchor, step, [time])
+    def after(s: _Anchor, part: tuple) -> None:
+        first, last, arcs = part
+        if s.base is None or s.opens_anew(s.last, first, width):
+            s.base = first
+        p = _Grids.phase(s.base, width)
+        became = next(base for low, high, base in arcs if low < p <= high)
+        s.base, s.last = s.base if became is None else became, last
+
+    return scanned_fold(events, [key], [time, tie], "anchor double", _Anchor, step, [time], lambda: _Grids(time, width), after)
 
 
 def aligned_windows(events: DataFrame, micros: str, width_seconds: int) -> DataFrame:
