@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.syscalls import wilson
 from tracewright.operators.folds import scanned_fold, sorted_fold
-from tracewright.sources.files import scratch
+from tracewright.sources.files import written
 
 
 def by(key: list[str], *order: str):
@@ -233,9 +233,7 @@ def decisions(rows: DataFrame, key: list[str], time: str, quiet: float) -> DataF
     Rows are written once, as they are read several times. Keys of many windows are read in parts (folds.scanned_fold).
     """
     read = ["skip", "calibrating", "gate", "score", "score_limit", "extreme", "warned", "k", "near", "behaviour_floor", "warning_floor", time]
-    schema, path = rows.schema, scratch(rows.sparkSession, "decided")
-    rows.write.parquet(path)
-    rows = rows.sparkSession.read.schema(schema).parquet(path)
+    rows = written(rows, "decided")
     most = max(rows.agg(F.max("k")).first()[0] or 0, 2)
 
     def one(s: _Chain, *row) -> tuple[str, str | None]:

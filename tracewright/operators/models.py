@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.robust import QUANTILE_BUCKETS, counted_quantiles, quantile, value_bucket
+from tracewright.sources.files import written
 
 
 def standardised(rows: DataFrame, stats: DataFrame, key: list[str], value: str, floor: float = 0.01, limit: float = 10.0) -> DataFrame:
@@ -31,7 +33,38 @@ def ensemble(first: Column, second: Column, component: Column) -> Column:
     return F.when(component == "first", first).when(component == "second", second).otherwise(0.8 * first + 0.2 * second)
 
 
-SALTS = 16
+#: Models up to this size, all keys together, are sent to all tasks; larger ones are joined to the rows.
+MODEL_BYTES = 16 << 20
+
+
+def applied(rows: DataFrame, model: DataFrame, size: Column, key: str, row_id: str, vector: str, name: str, unpack: Callable[[pd.Series], Any], score: Callable[[Any, np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, row_id, name): score(model of the row's key, matrix of vectors), null without a model or a vector.
+
+    model has one row for each key; size is the bytes of a row, and unpack makes it ready for score. Models are written
+    once and measured. Up to MODEL_BYTES rows are scored where they are read, without a shuffle, so a hot key is nothing
+    special; beyond, by a join with one row on the model's side, which adaptive execution splits where a key is hot.
+    """
+    model = written(model, name)
+    read = rows.select(key, row_id, vector)
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{row_id}` {rows.schema[row_id].dataType.simpleString()}, `{name}` double"
+
+    def score_all(parts: Iterator[pd.DataFrame], find: Callable[[Any, pd.Series], Any]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out, there = np.full(len(p), np.nan), p[vector].notna().to_numpy()
+            codes, keys = pd.factorize(p[key], use_na_sentinel=False)
+            for c, k in enumerate(keys):
+                at = np.flatnonzero((codes == c) & there)
+                if len(at) and (m := find(None if pd.isna(k) else k, p.iloc[at[0]])) is not None:
+                    out[at] = score(m, np.stack(p[vector].to_numpy()[at]).astype(float))
+            yield pd.DataFrame({key: p[key], row_id: p[row_id], name: out})
+
+    if (model.agg(F.sum(size)).first()[0] or 0) <= MODEL_BYTES:
+        held = {None if pd.isna(m[key]) else m[key]: unpack(m) for _, m in model.toPandas().iterrows()}
+        return read.mapInPandas(lambda parts: score_all(parts, lambda k, _: held.get(k)), schema)
+    own = model.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in model.columns if c != key], F.lit(True).alias("_has"))
+    joined = read.join(own, read[key].eqNullSafe(own["_key"]), "left")
+    plain = {c: c[1:] for c in own.columns}
+    return joined.mapInPandas(lambda parts: score_all(parts, lambda _, row: unpack(row[[*plain]].rename(plain)) if row["_has"] == 1 else None), schema)
 
 
 def fit_components(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -59,27 +92,24 @@ def fit_components(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 
 def reconstruction_error(rows: DataFrame, model: DataFrame, key: str, row_id: str, vector: str) -> DataFrame:
-    """M2: (key, row_id, error): mean squared rest after projection. A key's rows are dealt over SALTS tasks with a copy of its model each."""
-    salted = rows.select(key, row_id, vector, F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """M2: (key, row_id, error): mean squared rest after projection; see applied."""
 
-    def score(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or m.empty:
-            return pd.DataFrame({key: p[key], row_id: p[row_id], "error": [np.nan] * len(p)})
-        mean = np.asarray(m["mean"].iloc[0])
-        v = np.asarray(m["components"].iloc[0]).reshape(len(mean), -1)
-        x = np.stack(p[vector].to_numpy()).astype(float) - mean
-        return pd.DataFrame({key: p[key], row_id: p[row_id], "error": ((x - x @ v @ v.T) ** 2).mean(axis=1)})
+    def unpack(m: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.asarray(m["mean"], float)
+        return mean, np.asarray(m["components"], float).reshape(len(mean), -1)
 
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, row_id)}
-    return salted.groupBy(key, "salt").cogroup(copies.groupBy(key, "salt")).applyInPandas(score, f"`{key}` {kinds[key]}, `{row_id}` {kinds[row_id]}, error double")
+    def score(m: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+        x = x - m[0]
+        return ((x - x @ m[1] @ m[1].T) ** 2).mean(axis=1)
+
+    return applied(rows, model, 8 * (F.size("mean") + F.size("components")), key, row_id, vector, "error", unpack, score)
 
 
 def isolation_scores(rows: DataFrame, key: str, row_id: str, vector: str, trees: int = 16, sample: int = 64, seed: int = 7) -> DataFrame:
     """M5: (key, row_id, isolation): two to the minus mean path length over its usual value.
 
-    Each tree grows from a hash-chosen sample of at most sample rows of its key, on one task; the trees of a key, a
-    bounded table, are then copied to the salted parts of its rows.
+    Each tree grows from a hash-chosen sample of at most sample rows of its key, on one task; rows meet the trees of
+    their key as in applied.
     """
     spread = rows.select(key, F.col(row_id).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rank = F.row_number().over(Window.partitionBy(key, "tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id"))
@@ -111,29 +141,28 @@ def isolation_scores(rows: DataFrame, key: str, row_id: str, vector: str, trees:
         return pd.DataFrame({key: [g[0]], "tree": [g[1]], "size": [len(x)], "f": [list(f)], "cut": [list(cut)], "a": [list(a)], "b": [list(b)], "n": [list(n)]})
 
     forest = chosen.groupBy(key, "tree").applyInPandas(grow, f"`{key}` {kind}, tree int, size int, f array<int>, cut array<double>, a array<int>, b array<int>, n array<int>")
-    salted = rows.select(key, row_id, vector, F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = forest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    packed = forest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tree", "size", "f", "cut", "a", "b", "n"))).alias("trees"))
     usual = lambda n: 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
-    def walk(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or m.empty:
-            return pd.DataFrame({key: p[key], row_id: p[row_id], "isolation": [np.nan] * len(p)})
-        x, depth = np.stack(p[vector].to_numpy()).astype(float), np.zeros(len(p))
-        for t in m.sort_values("tree").itertuples():
+    def unpack(m: pd.Series) -> tuple[float, list[tuple]]:
+        grown = [([np.asarray(t[c]) for c in ("f", "cut", "a", "b")], np.array([usual(n) for n in t["n"]])) for t in m["trees"]]
+        return np.mean([usual(t["size"]) for t in m["trees"]]) or 1.0, grown
+
+    def walk(m: tuple[float, list[tuple]], x: np.ndarray) -> np.ndarray:
+        depth = np.zeros(len(x))
+        for (f, cut, a, b), rest in m[1]:
             # all rows go down a level at once
-            f, cut, a, b = np.asarray(t.f), np.asarray(t.cut), np.asarray(t.a), np.asarray(t.b)
             node, open_ = np.zeros(len(x), int), np.arange(len(x)) if f[0] >= 0 else np.zeros(0, int)
             while len(open_):
                 at = node[open_]
                 node[open_] = np.where(x[open_, f[at]] < cut[at], a[at], b[at])
                 depth[open_] += 1
                 open_ = open_[f[node[open_]] >= 0]
-            depth += np.array([usual(n) for n in t.n])[node]
-        scale = np.mean([usual(s) for s in m["size"]]) or 1.0
-        return pd.DataFrame({key: p[key], row_id: p[row_id], "isolation": 2 ** (-(depth / len(m)) / scale)})
+            depth += rest[node]
+        return 2 ** (-(depth / len(m[1])) / m[0])
 
-    kinds = rows.schema[row_id].dataType.simpleString()
-    return salted.groupBy(key, "salt").cogroup(copies.groupBy(key, "salt")).applyInPandas(walk, f"`{key}` {kind}, `{row_id}` {kinds}, isolation double")
+    bytes_ = F.aggregate("trees", F.lit(0), lambda n, t: n + 32 * F.size(t["f"]))
+    return applied(rows, packed, bytes_, key, row_id, vector, "isolation", unpack, walk)
 
 
 def corrupted(rows: DataFrame, key: list[str], order: str, vector: str, donors: float = 0.15, scaled: float = 0.08, seed: int = 3) -> DataFrame:

@@ -207,3 +207,27 @@ def summary(rows: DataFrame, key: list[str], value: str, saturated: float, appro
     q = F.percentile_approx(value, list(qs.values()), 10000) if approximate else quantile(value, *qs.values())
     s = rows.groupBy(*key).agg(*plain, q.alias("_q"))
     return s.select(*key, "n", "least", *[F.col("_q")[i].alias(k) for i, k in enumerate(qs)], "largest", "saturated")
+
+
+#: Size of a quantile sketch; the ranks of what it gives are off by less than SKETCH_ERROR of the rows, at 99 % confidence.
+SKETCH_K, SKETCH_ERROR = 2048, 0.002
+
+
+def quantile_sketches(rows: DataFrame, key: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """(key, n, least, largest, sketch) of the values that are not null, mergeable over days or nodes.
+
+    The sketch is a binary column of bounded size, so it can be kept in a table in place of its rows. A key without
+    values gives no row. Exact quantiles (summary) stay the default.
+    """
+    held = rows.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    return held.groupBy(*key).agg(F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("largest"), F.kll_sketch_agg_double("_v", k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, key: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Sketches of the same columns put together by a coarser key; the bound on the error stays that of k."""
+    return sketches.groupBy(*key).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("largest").alias("largest"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketched_summary(sketches: DataFrame, key: list[str], qs: dict[str, float]) -> DataFrame:
+    """(key, n, least, qs..., largest) from sketches; values are some of the rows' own."""
+    return sketches.select(*key, "n", "least", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(c) for c, q in qs.items()], "largest")

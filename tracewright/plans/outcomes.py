@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.syscalls import Z_TWO_SIDED, wilson, wilson_sql
 from tracewright.operators import outcomes as O
-from tracewright.operators.robust import summary
+from tracewright.operators.robust import SKETCH_ERROR, merged_sketches, quantile_sketches, sketched_summary, summary
 from tracewright.operators.sets import adjacent_pairs
 from tracewright.registry import query
 from tracewright.sources.tables import EV, days, events, table
@@ -87,6 +87,25 @@ def a32(spark, sf_dir):
     return s.select("syscall", "workload", "n", *r6(*s.columns[3:]))
 
 
+_RANKS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+
+
+@query(
+    "a32_merged_days",
+    f"""WITH {EV} SELECT workload, count(DISTINCT us // 86400000000) AS days, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS largest, {", ".join(f"true AS {p}_within" for p in _RANKS)} FROM ev GROUP BY workload""",
+)
+def a32_merged(spark, sf_dir):
+    """Sketches of days merged for each workload; of each quantile, whether its true rank, counted over all rows, is within the stated error."""
+    e = events(spark, sf_dir)
+    daily = quantile_sketches(e.withColumn("day", F.floor(F.col("us") / 86400000000)), ["workload", "day"], "value")
+    whole = sketched_summary(merged_sketches(daily, ["workload"]), ["workload"], _RANKS).join(daily.groupBy("workload").agg(F.count("*").alias("days")), "workload")
+    below = [F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"_{p}") for p in _RANKS]
+    upto = [F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"{p}_") for p in _RANKS]
+    ranks = e.select("workload", "value").join(whole.select("workload", *_RANKS), "workload").groupBy("workload").agg(*below, *upto)
+    within = [F.lit(q).between(F.col(f"_{p}") - SKETCH_ERROR, F.col(f"{p}_") + SKETCH_ERROR).alias(f"{p}_within") for p, q in _RANKS.items()]
+    return whole.join(ranks, "workload").select("workload", "days", "n", *r6("least", "largest"), *within)
+
+
 @query(
     "t1_confusion",
     f"""WITH {TR}, c AS (SELECT lang, count(*) FILTER (toxic = 1 AND found) AS tp, count(*) FILTER (toxic = 1 AND NOT found) AS fn, count(*) FILTER (toxic = 0 AND found) AS fp, count(*) FILTER (toxic = 0 AND NOT found) AS tn FROM tr GROUP BY lang)
