@@ -67,3 +67,44 @@ def test_a_small_sketch_is_exact(spark):
     d = spark.createDataFrame([("k", i % 7, float(i)) for i in range(1000)], "k string, day int, v double")
     r = robust.sketched_summary(robust.merged_sketches(robust.quantile_sketches(d, ["k", "day"], "v"), ["k"]), ["k"], {"p50": 0.5, "p99": 0.99}).first()
     assert (r.p50, r.p99) == (499.0, 989.0)
+
+
+def test_attention_like_a_loop(spark):
+    rng = random.Random(6)
+    nodes = {f"n{i}": (float(rng.randint(0, 1)), rng.random() * 3, rng.random()) for i in range(30)} | {"bare": (0.0, 0.0, 0.0), "alone": (1.0, 1.0, 1.0)}
+    ends = [n for n in nodes if n != "alone"]
+    edges = [(*rng.sample(ends, 2), rng.randint(1, 5)) for _ in range(80)] + [("hub", "n1", 1)] + [("n0", n, 2) for n in ends[1:]]
+    e = spark.createDataFrame(edges, "src string, dst string, n long")
+    f = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node string, a double, b double, c double")
+    both: dict = {}
+    for s, d, n in edges:
+        for x, y in ((s, d), (d, s)):
+            if x in nodes and y in nodes:
+                both[x, y] = both.get((x, y), 0) + n
+
+    def layer(h: dict) -> dict:
+        out = {}
+        for x in h:
+            near = [(y, n) for (a, y), n in both.items() if a == x and y in h]
+            if near:
+                v = {y: np.array(h[y]) for y, _ in near}
+                norm = lambda u: float(np.sqrt((np.array(u) ** 2).sum()))
+                w = np.array([n * np.exp(2 * (np.dot(h[x], v[y]) / (norm(h[x]) * norm(v[y])) if norm(h[x]) * norm(v[y]) else 0.0)) for y, n in near])
+                out[x] = sum(wi * v[y] for wi, (y, _) in zip(w / w.sum(), near))
+        return out
+
+    one = layer(nodes)
+    got = {r.node: (r.a, r.b, r.c) for r in models.attended(e, f, ["a", "b", "c"]).collect()}
+    assert set(got) == set(one) == set(nodes) - {"alone"} and all(np.allclose(got[k], one[k]) for k in one)
+    weights = models.attention_weights(e, f, ["a", "b", "c"])
+    total = weights.groupBy("node").agg(F.sum("weight").alias("t"))
+    shares = weights.join(total, "node").groupBy("node").agg(F.sum(F.col("weight") / F.col("t")).alias("s")).collect()
+    assert all(abs(r.s - 1) < 1e-9 for r in shares)
+    two = layer(one)
+    x, y = np.array([nodes[k] for k in two]), np.array([two[k] for k in two])
+    rest = np.stack([(x[:, i] - np.polyval(np.polyfit(y[:, i], x[:, i], 1), y[:, i])) ** 2 for i in range(3)], axis=1)
+    errors = {r.node: (r.error, r.worst) for r in models.attention_error(e, f, ["a", "b", "c"]).collect()}
+    assert set(errors) == set(two)
+    assert np.allclose([errors[k][0] for k in two], rest.mean(axis=1))
+    assert [errors[k][1] for k in two] == ["abc"[i] for i in rest.argmax(axis=1)]
+    assert models.attention_error(e.limit(0), f, ["a", "b", "c"]).count() == 0

@@ -247,6 +247,47 @@ def neighbour_error(edges: DataFrame, features: DataFrame, names: list[str]) ->
     return features.join(around.withColumnRenamed("src", "node"), "node").select("node", mse.alias("error"))
 
 
+def attention_weights(edges: DataFrame, features: DataFrame, names: list[str], sharpness: float = 2.0) -> DataFrame:
+    """(node, neighbour, weight, names of the neighbour): how much a node attends to each of its neighbours, not yet divided
+    by the node's sum.
+
+    Edges (src, dst, n) count both ways, and equal ones together. A weight is n times e to sharpness times the cosine
+    between the two nodes' features (0 with a node without any), so it needs no largest value of a node first: softmax
+    is one sum that tasks make in part, also where a node has very many edges. Ends without features take no part.
+    """
+    both = edges.select("src", "dst", "n").union(edges.select("dst", "src", "n")).groupBy(F.col("src").alias("node"), F.col("dst").alias("neighbour")).agg(F.sum("n").alias("_n"))
+    length = F.sqrt(sum((F.pow(F.col(c), 2) for c in names), F.lit(0.0)))
+    own = features.select("node", *[F.col(c).alias(f"_{c}") for c in names], length.alias("_own"))
+    other = features.select(F.col("node").alias("neighbour"), *names, length.alias("_other"))
+    dot = sum((F.col(c) * F.col(f"_{c}") for c in names), F.lit(0.0))
+    cosine = F.when((F.col("_own") > 0) & (F.col("_other") > 0), dot / (F.col("_own") * F.col("_other"))).otherwise(0.0)
+    return both.join(other, "neighbour").join(own, "node").select("node", "neighbour", (F.col("_n") * F.exp(sharpness * cosine)).alias("weight"), *names)
+
+
+def attended(edges: DataFrame, features: DataFrame, names: list[str], sharpness: float = 2.0) -> DataFrame:
+    """(node, names): one layer, the mean of a node's neighbours by attention. Nodes without neighbours go."""
+    return attention_weights(edges, features, names, sharpness).groupBy("node").agg(*[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in names])
+
+
+def attention_error(edges: DataFrame, features: DataFrame, names: list[str], layers: int = 2, sharpness: float = 2.0) -> DataFrame:
+    """(node, error, worst): mean squared rest of a node's features after they are told from its surroundings, and the
+    feature with most of it (ties: the first by name).
+
+    Surroundings are layers of attention over neighbours; a linear map for each feature, fitted over all nodes from sums,
+    leads back to the feature. features have one row for each node, with numbers that are not null. Each layer is two
+    joins of edges with nodes and one aggregate; edges and features should be tables, as they are read in each.
+    """
+    deep = features.select("node", *names)
+    for _ in range(layers):
+        deep = attended(edges, deep, names, sharpness)
+    pairs = written(features.select("node", *names).join(deep.select("node", *[F.col(c).alias(f"_{c}") for c in names]), "node"), "attended")
+    fit = [x for c in names for x in (F.coalesce(F.regr_slope(c, f"_{c}"), F.lit(0.0)).alias(f"_b_{c}"), F.coalesce(F.regr_intercept(c, f"_{c}"), F.avg(c)).alias(f"_a_{c}"))]
+    told = pairs.crossJoin(F.broadcast(pairs.agg(*fit)))  # one row
+    rests = [F.struct((-F.pow(F.col(c) - F.col(f"_a_{c}") - F.col(f"_b_{c}") * F.col(f"_{c}"), 2)).alias("rest"), F.lit(c).alias("name")) for c in names]
+    ranked = told.select("node", F.array_sort(F.array(*rests)).alias("_r"))
+    return ranked.select("node", (F.aggregate("_r", F.lit(0.0), lambda n, r: n - r["rest"]) / len(names)).alias("error"), F.get("_r", F.lit(0))["name"].alias("worst"))
+
+
 def error_threshold(errors: DataFrame, error: str = "error", q: float = 0.99, margin: float = 0.02) -> DataFrame:
     """Errors with limit, the 0.99 quantile of all + 0.02, and anomalous, whether the error is over it."""
     limit = counted_quantiles(errors, [], error, {"_q": q}).select((F.col("_q") + margin).alias("limit"))

@@ -9,6 +9,7 @@ from tracewright.operators import robust as R
 from tracewright.operators.features import graph_nodes, node_degrees
 from tracewright.plans.features import GRAPH_SQL, SCORED, edges, mad_sql, scores
 from tracewright.registry import query
+from tracewright.sources.files import written
 from tracewright.sources.tables import EV, events, table
 
 LONG = "el AS (SELECT vec_id, label, CAST(i - 1 AS INT) AS feature, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(generate_series(1, 64)) AS g(i))"
@@ -168,6 +169,36 @@ def m12_anomalous(spark, sf_dir):
     return t.select("node", F.round("limit", 5).alias("score_limit"), "anomalous")
 
 
+NODE_KINDS = ("agent", "pod", "tool", "resource")
+NODE_NAMES = [*[f"is_{k}" for k in NODE_KINDS], "degree"]
+
+
+def _attended_sql(before: str) -> str:
+    """One layer over bt (src, dst, n) and the features in an expression before."""
+    length = lambda x: f"sqrt({' + '.join(f'pow({x}.{c}, 2)' for c in NODE_NAMES)})"
+    dot = " + ".join(f"o.{c} * f.{c}" for c in NODE_NAMES)
+    return f"""SELECT node, {", ".join(f"sum(w * {c}) / sum(w) AS {c}" for c in NODE_NAMES)} FROM (SELECT bt.src AS node, bt.n * exp(2.0 * ({dot}) / ({length("o")} * {length("f")})) AS w, {", ".join(f"f.{c}" for c in NODE_NAMES)}
+      FROM bt JOIN {before} f ON f.node = bt.dst JOIN {before} o ON o.node = bt.src) GROUP BY node"""
+
+
+@query(
+    "m12_attention_errors",
+    f"""WITH {GRAPH_SQL}, bt AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, n FROM ed UNION ALL SELECT dst, src, n FROM ed) GROUP BY ALL),
+    kd AS (SELECT src AS node, CASE kind WHEN 'hosts' THEN 'pod' WHEN 'calls' THEN 'agent' ELSE 'tool' END AS kind FROM ed UNION SELECT dst, CASE kind WHEN 'hosts' THEN 'agent' WHEN 'calls' THEN 'tool' ELSE 'resource' END FROM ed),
+    f0 AS (SELECT node, {", ".join(f"max(CASE WHEN kind = '{k}' THEN 1.0::DOUBLE ELSE 0.0 END) AS is_{k}" for k in NODE_KINDS)}, any_value(g) AS degree FROM kd JOIN (SELECT src AS node, ln(1 + sum(n)) AS g FROM bt GROUP BY src) USING (node) GROUP BY node),
+    f1 AS MATERIALIZED ({_attended_sql("f0")}), f2 AS MATERIALIZED ({_attended_sql("f1")}),
+    ab AS (SELECT {", ".join(f"coalesce(regr_slope(x.{c}, y.{c}), 0) AS b_{c}, coalesce(regr_intercept(x.{c}, y.{c}), avg(x.{c})) AS a_{c}" for c in NODE_NAMES)} FROM f0 x JOIN f2 y USING (node))
+    SELECT x.node, round(({" + ".join(f"pow(x.{c} - a_{c} - b_{c} * y.{c}, 2)" for c in NODE_NAMES)}) / {len(NODE_NAMES)}, 5) AS error FROM f0 x JOIN f2 y USING (node), ab""",
+)
+def m12_attention(spark, sf_dir):
+    """Two layers of attention over kinds and degrees; see also m12_neighbour_errors."""
+    e = written(edges(spark, sf_dir), "edges")
+    nodes = graph_nodes(e)
+    kinds = nodes.groupBy("node").agg(*[F.max((F.col("kind") == k).cast("double")).alias(f"is_{k}") for k in NODE_KINDS])
+    f = kinds.join(node_degrees(e, nodes).select("node", F.col("out_degree").alias("degree")), "node")
+    return M.attention_error(e, written(f, "nodes"), NODE_NAMES).select("node", F.round("error", 5).alias("error"))
+
+
 @query(
     "m13_holdout_gate",
     f"""WITH {SCORED}, x AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY us, event_id) AS k, count(*) OVER (PARTITION BY workload) AS n FROM sc)
