@@ -49,3 +49,12 @@ def test_techniques_and_risk(spark):
 def test_sparse_round_trip(spark):
     rows = spark.createDataFrame([([0.0, 1.5, 0.0, -2.0],)], "v array<double>")
     assert rows.select(S.dense(S.sparse(F.col("v")), 4).alias("x")).first().x == [0.0, 1.5, 0.0, -2.0]
+
+
+def test_hash_bins_of_large_numbers(spark):
+    """Products beyond a long wrap, also of negative numbers; null stays null."""
+    numbers = [0, 65535, 65536, 53_000 << 16, 120_000, 2**40 + 12345, 2**63 - 1, -(2**63), -7, None]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, n long")
+    got = [tuple(r) for r in rows.select("i", S.hash_bin(F.col("n"), 6), S.hash_bin_pair(F.col("n"), F.lit(977), 6)).orderBy("i").collect()]
+    bin_of = lambda n: ((n * 2654435761) & 0xFFFFFFFF) >> 26
+    assert got == [(i, None if n is None else bin_of(n), None if n is None else bin_of((n << 16) ^ 977)) for i, n in enumerate(numbers)]
