@@ -156,6 +156,14 @@ def test_conformal_ties_count(spark):
     assert got == {1: pytest.approx(2 / 20), 2: pytest.approx(16 / 20), 3: pytest.approx(1 / 20)}
 
 
+def test_ordered_split_takes_decimal_shares(spark):
+    """0.7 of 90 rows is 63, and rows of one time are dealt by their id."""
+    rows = [("p", i // 4, i) for i in range(90)]
+    random.Random(8).shuffle(rows)
+    split = models.ordered_split(spark.createDataFrame(rows, "pod string, t int, i int").repartition(3), ["pod"], "t", "i", 3)
+    assert {r.i: r.part for r in split.collect()} == {i: "fit" if i < 60 else "both" if i < 63 else "calibration" for i in range(90)}
+
+
 def test_components_reconstruct(spark):
     rng = random.Random(1)
     rows = [(0, i, [x, 2 * x, -x]) for i, x in enumerate(rng.uniform(-1, 1) for _ in range(30))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -203,11 +204,14 @@ def corruption_scores(examples: DataFrame, row_id: str, folds: int = 2, **option
     return reduce(DataFrame.unionByName, out)
 
 
-def ordered_split(rows: DataFrame, key: list[str], order: str, lead: int, share: float = 0.7, least: int = 10) -> DataFrame:
-    """M7: adds part: fit for the first share of each sequence, then calibration, which also reads lead rows before (both); short ones go."""
+def ordered_split(rows: DataFrame, key: list[str], order: str, tie: str, lead: int, share: float = 0.7, least: int = 10) -> DataFrame:
+    """M7: adds part: fit for the first share of each sequence, then calibration, which also reads lead rows before (both); short ones go.
+
+    The share is taken as the decimal that it is written as, so that 0.7 of 90 rows is 63. Rows of one time are in order of tie.
+    """
     w = Window.partitionBy(*key)
-    r = rows.withColumn("_k", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= least)
-    cut = F.floor(F.col("_n") * share)
+    r = rows.withColumn("_k", F.row_number().over(w.orderBy(order, tie))).withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= least)
+    cut = F.floor(F.col("_n") * F.lit(Decimal(str(share))))
     return r.withColumn("part", F.when(F.col("_k") <= cut - lead, "fit").when(F.col("_k") <= cut, "both").otherwise("calibration")).drop("_k", "_n")
 
 

@@ -87,7 +87,7 @@ def m6(spark, sf_dir):
     SELECT event_id, CASE WHEN k <= floor(n * 0.7) - 3 THEN 'fit' WHEN k <= floor(n * 0.7) THEN 'both' ELSE 'calibration' END AS part FROM x WHERE n >= 60""",
 )
 def m7(spark, sf_dir):
-    return M.ordered_split(events(spark, sf_dir), ["pod"], "us", 3, least=60).select("event_id", "part")
+    return M.ordered_split(events(spark, sf_dir), ["pod"], "us", "event_id", 3, least=60).select("event_id", "part")
 
 
 @query(
