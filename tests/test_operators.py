@@ -492,6 +492,24 @@ def test_overlaps_and_points_of_long_and_short_intervals(spark):
         assert held == Counter([*inside, *((i, None) for _, i, _, _ in left if not any(i == a for a, _ in inside))])
 
 
+def test_draws_are_those_of_md5(spark):
+    slots = np.arange(20_000).astype("S8")
+    for iteration in (0, 9999):
+        want = [int(hashlib.md5(f"15|{iteration}|{k}".encode()).hexdigest()[:8], 16) % len(slots) for k in range(len(slots))]
+        assert outcomes._drawn_numbers(15, iteration, slots).tolist() == want
+    column = outcomes.drawn(15, F.lit(9999), F.col("id"), F.lit(20_000))
+    assert [r.k for r in spark.range(50).select("id", column.alias("k")).orderBy("id").collect()] == want[:50]
+
+
+def test_draws_of_thousands_of_blocks_are_not_joined(spark):
+    """A group of 6000 blocks, as suppliers at 60 times sf0.1 have, is drawn from where its array is; its rows are not shuffled."""
+    blocks = spark.range(6000).select(F.lit("g").alias("g"), F.col("id").alias("block"), (F.col("id") % 997).cast("double").alias("v"))
+    rows = outcomes.bootstrap(blocks, ["g"], {"mid": ("median", "v")}, 3, 3)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    k = outcomes._drawn_numbers(3, 2, np.arange(6000).astype("S8"))
+    assert {r.iter: r.mid for r in rows.collect()}[2] == np.median(k % 997) and rows.count() == 3
+
+
 def test_bootstraps_of_few_and_many_blocks_draw_alike(spark):
     rng = random.Random(6)
     rows = [(g, b, rng.randint(0, 9), None if rng.random() < 0.1 else rng.random()) for g, n in (("a", 7), ("b", 40), ("c", 1)) for b in range(n)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +64,57 @@ def drawn_sql(seed: int, n: str) -> str:
 
 
 #: Blocks of a group up to which they are carried as an array; the draws of larger groups are joined with them.
-ARRAY_BLOCKS = 4096
+ARRAY_BLOCKS = 1 << 20
 #: Tasks that the iterations of a group are dealt to.
 PARTS = 32
+#: Draws of an iteration that are hashed at once: so few that their columns stay in a core's cache.
+DRAWN_AT_ONCE = 1 << 13
+#: Of md5: the bits by which each step of a round turns, the constant of each step, and the first state.
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = np.floor(2.0**32 * np.abs(np.sin(np.arange(1, 65)))).astype(np.uint32)
+_STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _md5_heads(start: bytes, ends: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of the md5 of start and each of ends (bytes), together 55 bytes at most."""
+    width, sizes = ends.dtype.itemsize, len(start) + np.char.str_len(ends)
+    block = np.zeros((len(ends), 64), np.uint8)
+    block[:, : len(start)] = np.frombuffer(start, np.uint8)
+    block[:, len(start) : len(start) + width] = ends.view(np.uint8).reshape(len(ends), width)
+    block[np.arange(len(ends)), sizes] = 0x80
+    block[:, 56:58] = (8 * sizes).astype("<u2").view(np.uint8).reshape(-1, 2)
+    words = [w if w.any() else None for w in np.ascontiguousarray(block.view("<u4").T)]
+    a, b, c, d = (np.full(len(ends), x, np.uint32) for x in _STATE)
+    for step in range(64):
+        kind = step // 16
+        f = d ^ (b & (c ^ d)) if kind == 0 else c ^ (d & (b ^ c)) if kind == 1 else b ^ c ^ d if kind == 2 else c ^ (b | ~d)
+        word = words[(step, 5 * step + 1, 3 * step + 5, 7 * step)[kind] % 16]
+        f += a
+        f += _SINES[step]
+        if word is not None:
+            f += word
+        turn = _TURNS[kind][step % 4]
+        over = f >> np.uint32(32 - turn)
+        f <<= np.uint32(turn)
+        f |= over
+        f += b
+        a, b, c, d = d, f, b, c
+    return (a + np.uint32(_STATE[0])).byteswap().astype(np.int64)
+
+
+def _drawn_numbers(seed: int, iteration: int, slots: np.ndarray) -> np.ndarray:
+    """drawn() for all slots of an iteration: as many numbers below their number as there are slots."""
+    start = b"%d|%d|" % (seed, iteration)
+    return np.concatenate([_md5_heads(start, slots[k : k + DRAWN_AT_ONCE]) for k in range(0, len(slots), DRAWN_AT_ONCE)]) % len(slots)
+
+
+def _estimate(kind: str, values: np.ndarray, known: np.ndarray) -> float | None:
+    """The sum or the median of the known values; a sum of none is 0, a median of none is null."""
+    x = values if known.all() else values[known]
+    if kind == "sum":
+        return float(x.sum())
+    middle = [(len(x) - 1) // 2, len(x) // 2]
+    return float(np.partition(x, middle)[middle].sum() / 2) if len(x) else None
 
 
 def _sampled(blocks: DataFrame, group: list[str], columns: list[str], iterations: int, seed: int) -> DataFrame:
@@ -79,28 +129,36 @@ def bootstrap(blocks: DataFrame, group: list[str], estimates: dict[str, tuple[st
     """(group, iter, the estimates): each iteration draws a group's number of blocks with replacement.
 
     estimates: name to ("sum" or "median", column). The blocks of a group, which are sums over what was observed, are one
-    array of most blocks at most, and a row for each iteration draws from it by the same md5 numbers as SQL can; so only
-    groups x iterations rows are made, and none is shuffled. Groups of more blocks have their draws joined with them.
+    array of most blocks at most. Tasks of some iterations each draw from it by the same md5 numbers as SQL can, and hold one
+    iteration's draws at a time; so only groups x iterations rows are made, and none is shuffled. Groups of more blocks have
+    their draws joined with them.
     """
     columns = sorted({c for _, c in estimates.values()})
     sizes = blocks.groupBy(*group).agg(F.count("*").alias("_n"))
     small = blocks.join(sizes.filter(F.col("_n") <= most).select(*group), group, "left_semi")
-    arrays = small.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("block", *columns))).alias("_b")).withColumn("_n", F.size("_b").cast("long"))
+    arrays = small.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("block", *columns))).alias("_b"))
     # a few rows become very many: they are dealt out before
     per = -(-iterations // PARTS)
+    arrays = arrays.select(*group, *[F.col("_b")[c].cast("array<double>").alias(f"_{i}") for i, c in enumerate(columns)])
     parts = arrays.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(PARTS, *group, "_p")
-    rows = parts.withColumn("iter", F.explode(F.sequence(F.col("_p") * per, F.col("_p") * per + per - 1))).filter(F.col("iter") < iterations)
-    # the draws are a column of their own, so that several estimates are of the same draws
-    rows = rows.withColumn("_d", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda slot: drawn(seed, F.col("iter"), slot, F.col("_n"))))
-
-    def value(kind: str, column: str) -> Column:
-        taken = F.transform("_d", lambda k: F.get(F.col("_b"), k.cast("int"))[column])
-        if kind == "sum":
-            return F.aggregate(taken, F.lit(0).cast("double"), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
-        x = F.array_sort(F.filter(taken, lambda v: v.isNotNull()))
-        return (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")).cast("double") + F.get(x, F.ceil((F.size(x) - 1) / 2).cast("int")).cast("double")) / 2
-
-    out = rows.select(*group, "iter", *[value(*e).alias(name) for name, e in estimates.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column("_p").to_pylist()
+            for row in range(batch.num_rows):
+                held = [batch.column(f"_{i}").slice(row, 1).flatten() for i in range(len(columns))]
+                known = {c: h.is_valid().to_numpy(zero_copy_only=False) for c, h in zip(columns, held)}
+                values = {c: h.fill_null(0.0).to_numpy() for c, h in zip(columns, held)}
+                n, iters = len(held[0]), range(first[row] * per, min(first[row] * per + per, iterations))
+                slots, out = np.arange(n).astype("S8"), []
+                for i in iters:
+                    k = _drawn_numbers(seed, i, slots)
+                    out.append([_estimate(kind, values[c][k], known[c][k]) for kind, c in estimates.values()])
+                same = pa.array(np.full(len(iters), row))
+                yield pa.RecordBatch.from_arrays([*[batch.column(g).take(same) for g in group], pa.array(iters, pa.int32()), *[pa.array(v, pa.float64()) for v in (zip(*out) if out else [[]] * len(estimates))]], [*group, "iter", *estimates])
+
+    kinds = ", ".join(f"`{g}` {blocks.schema[g].dataType.simpleString()}" for g in group)
+    out = parts.mapInArrow(run, f"{kinds}, iter int, " + ", ".join(f"`{name}` double" for name in estimates))
     if sizes.filter(F.col("_n") > most).isEmpty():
         return out
     large = _sampled(blocks.join(sizes.filter(F.col("_n") > most).select(*group), group, "left_semi"), group, columns, iterations, seed)
