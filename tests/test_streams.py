@@ -103,3 +103,18 @@ def test_late_rows_are_marked_and_counted(spark, tmp_path):
         want.append((pod, i, t, behind, late[pod]))
     assert sorted(map(tuple, marked.collect())) == sorted(want)
     assert {r.pod: (r.n_late, r.newest) for r in stateful.late_by_key(marked, "pod", "t").collect()} == {p: (late[p], newest[p]) for p in "ab"}
+
+
+def test_windows_of_many_keys_share_buckets(spark, tmp_path, monkeypatch):
+    """State rows are those of the buckets, not of the keys; a bucket's timer hands on only the keys that are silent."""
+    monkeypatch.setattr(stateful, "KEY_BUCKETS", 3)
+    second, schema = 1_000_000, "pod long, t long"
+    rows = [(p, (1000 + t) * second) for p in range(60) for t in (p, p + 20, p + 90)] + [(None, 1005 * second), (7, 1400 * second)]
+    write_files(spark, sorted(rows, key=lambda r: r[1]), schema, str(tmp_path / "in"), 4)
+    windows = stateful.anchored_windows(stream_of(spark, tmp_path / "in", schema), "pod", "t", 60 * second, idle=60 * second, delay="10 seconds")
+    with stateful.rocks_state(spark):
+        q = windows.writeStream.format("memory").queryName("bucketed").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= 3
+    want = [(p, (1000 + s) * second, n) for p in range(60) for s, n in ((p, 2), (p + 90, 1))] + [(None, 1005 * second, 1)]
+    assert sorted(map(tuple, spark.table("bucketed").collect()), key=repr) == sorted(want, key=repr)

@@ -58,56 +58,8 @@ def _in_order(parts: Iterator[pd.DataFrame], order: list[str], *more: str) -> li
     return [c[place].tolist() for c in columns]
 
 
-class _Windows(StatefulProcessor):
-    """The open window of a key: (anchor, n, time of the last event), and a timer for its silence."""
-
-    def __init__(self, names: tuple[str, str, str | None], width: int, idle_ms: int | None, idle: int | None):
-        self.names, self.width, self.idle_ms, self.idle = names, width, idle_ms, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "anchor long, n long, last long")
-
-    def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[self.names[0], "window_start", "n"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        name, time, closing = self.names
-        anchor, n, last = self.open.get() if self.open.exists() else (None, 0, None)
-        times, *departs = _in_order(rows, [time, *([closing] if closing else [])])
-        out = []
-        for t, gone in zip(times, departs[0] if closing else [False] * len(times)):
-            if anchor is None or t - anchor >= 2 * self.width or self.idle and t - last >= self.idle:
-                nxt = t
-            else:
-                nxt = anchor + self.width if t - anchor >= self.width else anchor
-            if n and (gone or nxt != anchor):
-                out.append((key[0], anchor, n))
-                n = 0
-            anchor, n = (None, 0) if gone else (nxt, n + 1)
-            last = t if last is None else max(last, t)
-        for at in list(self.handle.listTimers()) if self.idle_ms or self.idle else []:
-            self.handle.deleteTimer(at)
-        if anchor is None:
-            self.open.clear()
-        else:
-            self.open.update((anchor, n, last))
-            if self.idle_ms:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-            if self.idle:
-                self.handle.registerTimer(max((last + self.idle) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._rows(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.open.exists():
-            anchor, n, _ = self.open.get()
-            out = [(key[0], anchor, n)] if n else []
-            self.open.clear()
-        yield self._rows(out)
-
-    def close(self) -> None:
-        pass
+#: Buckets that the keys of anchored_windows are dealt to.
+KEY_BUCKETS = 1024
 
 
 def anchored_windows(events: DataFrame, key: str, time: str, width: int, idle_ms: int | None = None, idle: int | None = None, delay: str = "0 seconds", closing: str | None = None) -> DataFrame:
@@ -119,12 +71,55 @@ def anchored_windows(events: DataFrame, key: str, time: str, width: int, idle_ms
 
     A micro-batch is put in order within a key; what comes in a later batch with an earlier time counts in the window
     that is open. After a silence of idle the next event opens a window at its own time, whether a timer came first or
-    not, so windows do not depend on where micro-batches end. Start such streams in rocks_state().
+    not, so windows do not depend on where micro-batches end. Keys are dealt to KEY_BUCKETS by hash: a bucket's state has
+    (key, anchor, n, time of the last event, when it is due) of each open window, and its timer is that of the first due, so
+    that very many keys do not cost a call into Python each.
     """
+    kind = _kind(events, key)
+    events = events.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS))).withColumn(key, F.col(key).cast("string"))
     if idle:
         events = events.withColumn("_at", F.timestamp_micros(time)).withWatermark("_at", delay)
-    mode = "ProcessingTime" if idle_ms else "EventTime" if idle else "None"
-    return events.groupBy(key).transformWithStateInPandas(_Windows((key, time, closing), width, idle_ms, idle), f"`{key}` {_kind(events, key)}, window_start long, n long", "append", mode)
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        windows = {k: w for k, *w in zip(*state.get)} if state.exists else {}
+        now = state.getCurrentProcessingTimeMs() if idle_ms else state.getCurrentWatermarkMs() if idle else 0
+        out, seen = [], set()
+        if not state.hasTimedOut:
+            times, keys, *departs = _in_order(parts, [time], key, *([closing] if closing else []))
+            for t, k, gone in zip(times, keys, departs[0] if closing else [False] * len(times)):
+                anchor, n, last, _ = windows.get(k, (None, 0, None, 0))
+                if anchor is None or t - anchor >= 2 * width or idle and t - last >= idle:
+                    nxt = t
+                else:
+                    nxt = anchor + width if t - anchor >= width else anchor
+                if n and (gone or nxt != anchor):
+                    out.append((k, anchor, n))
+                    n = 0
+                if gone:
+                    windows.pop(k, None)
+                else:
+                    last = t if last is None else max(last, t)
+                    windows[k] = (nxt, n + 1, last, now + idle_ms if idle_ms else (last + idle) // 1000 if idle else 0)
+                seen.add(k)
+        if idle_ms or idle:
+            for k in [k for k, w in windows.items() if w[3] < now and k not in seen]:
+                anchor, n, *_ = windows.pop(k)
+                out.append((k, anchor, n))
+        if windows:
+            state.update((list(windows), *map(list, zip(*windows.values()))))
+            first = min(w[3] for w in windows.values())
+            if idle_ms:
+                state.setTimeoutDuration(max(first - now, 1))
+            elif idle:
+                state.setTimeoutTimestamp(max(first, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[key, "window_start", "n"])
+
+    mode = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    held = f"`{key}` array<string>, anchor array<long>, n array<long>, last array<long>, due array<long>"
+    rows = events.groupBy("_bucket").applyInPandasWithState(step, f"`{key}` string, window_start long, n long", held, "append", mode)
+    return rows.withColumn(key, F.col(key).cast(kind))
 
 
 def cooldown(alerts: DataFrame, key: str, time: str, quiet: int) -> DataFrame:
