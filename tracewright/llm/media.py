@@ -38,6 +38,8 @@ CUTS = (
 MAX_BIT_ERROR, LEAST_OVERLAP = 0.15, 0.5
 #: Fingerprints and integers in a block, about, at most; a longer fingerprint is a block of its own.
 BLOCK_ROWS, BLOCK_CODES = 256, 1 << 18
+#: Agreements of pairs at all offsets that are held at once, about.
+CACHED_VALUES = 1 << 19
 #: Recordings that vectors_as_audio hands on at once.
 PLAYED_ROWS = 64
 
@@ -146,18 +148,21 @@ def best_offsets(left: list[np.ndarray], right: list[np.ndarray], max_bit_error:
     size = _smooth(int(sizes[0].max() + sizes[1].max() - least))
     place = np.arange(size)
     offset = np.where(place <= sizes[1].max() - least, place, place - size)
-    chunk = max(1, min((1 << 19) // size, int(((1 << 24) // size) ** 0.5)))
+    # as many pairs at once as a core's cache holds; a side's spectra are made once
+    chunk = max(1, int((CACHED_VALUES // size) ** 0.5))
+    of_left = [(q0, _spectra(left[q0 : q0 + chunk], size).conj()) for q0 in range(0, len(left), chunk)]
     for r0 in range(0, len(right), chunk):
         of_right = _spectra(right[r0 : r0 + chunk], size)
-        for q0 in range(0, len(left), chunk):
-            product = _spectra(left[q0 : q0 + chunk], size).conj() @ of_right.transpose(0, 2, 1)
+        for q0, of_chunk in of_left:
+            product = of_chunk @ of_right.transpose(0, 2, 1)
             agree = np.fft.irfft(product.transpose(1, 2, 0), size, axis=2)
             m, n = sizes[0][q0 : q0 + chunk, None, None], sizes[1][None, r0 : r0 + chunk, None]
             m, n = m[:1] if (m == m[0]).all() else m, n[:, :1] if (n == n[:, :1]).all() else n
             overlap = np.minimum(m, n - offset) - np.maximum(0, -offset)
             limit = np.where((overlap >= 1) & (overlap >= least_overlap * np.minimum(m, n)), overlap * (32 * (1 - 2 * max_bit_error) - 1e-3) - 1, np.inf)
             found: dict[tuple[int, int], tuple] = {}
-            for i, j, k in zip(*np.nonzero(agree >= limit.astype(np.float32))):
+            near = np.flatnonzero(agree >= limit.astype(np.float32))
+            for i, j, k in zip(*np.unravel_index(near, agree.shape)):
                 d, x, y = int(offset[k]), left[q0 + i], right[r0 + j]
                 start = max(0, -d)
                 n_both = min(len(x), len(y) - d) - start
