@@ -1,5 +1,9 @@
 """Cases in which rows, links or ids were once lost."""
 
+import tracemalloc
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +107,47 @@ def test_bitmaps_grow_with_their_keys(spark, monkeypatch):
     assert spark.range(20_000, 40_000).filter(maybe("id")).count() < 1500
 
 
+def test_bitmaps_are_fetched_by_few_jobs(spark):
+    """One job for each partition of a shuffle filled the driver's memory with what it keeps of jobs."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("bitmap", "")
+        bits = shared.key_bitmap(spark.range(1000), "id")
+        jobs = len(sc.statusTracker().getJobIdsForGroup("bitmap"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert 1 <= jobs < 10
+    assert shared.in_bitmap(bits, np.array([r[0] for r in spark.range(1000).select(shared.key_bit(8 * len(bits), "id")).collect()])).all()
+
+
+def test_fits_hold_little_besides_their_rows():
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(2000, 500, replace=False)).astype(np.int32) for _ in range(1000)]
+    y, ratio = rng.choice([-1, 1], 1000), rng.normal(size=2000)
+    tracemalloc.start()
+    quality.dual_coordinate_descent(y, rows, ratio, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in rows) / 2
+
+
+def test_chosen_features_are_the_first_by_difference(spark):
+    rows = [(k % 2, [f for f in range(40) if (k * (f + 3)) % 7 < (3 if k % 2 else 2) + f % 3]) for k in range(60)]
+    table = spark.createDataFrame(rows, "label int, on array<int>").repartition(5)
+    c1, c = (Counter(f for label, on in rows if label >= least for f in on) for least in (1, 0))
+    rate = {f: c[f] / 60 for f in c if c[f] >= 3}
+    z = {f: abs(c1[f] / 30 - (c[f] - c1[f]) / 30) / (r * (1 - r) + 1e-9) ** 0.5 for f, r in rate.items()}
+    feature, got1, got0, n1, n0 = linear.class_counts(table, 25)
+    assert (n1, n0, feature.tolist()) == (30, 30, sorted(z, key=lambda f: (-z[f], f))[:25])
+    assert got1.tolist() == [c1[f] for f in feature] and got0.tolist() == [c[f] - c1[f] for f in feature]
+
+
 def test_scratch_without_a_checkpoint_folder():
     class Conf:
         def get(self, key, default):

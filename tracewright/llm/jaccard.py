@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -223,9 +224,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = written(sets.filter(~F.col("stays") | (F.col("copies") > 1)), "judged-sets")
     if sets.isEmpty():
         return docs
-    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(sets, "doc_id"))
-    maybe = maybe_in(bits)(id_col)
-    asked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), _asked_keys(bits)(key_bit(8 * len(bits.value), id_col), F.col(text_col)).alias("key")).filter("key is not null")
+    bits, size = _sent_bitmap(sets, "doc_id")
+    maybe = maybe_in(bits, size)(id_col)
+    asked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), _asked_keys(bits)(key_bit(size, id_col), F.col(text_col)).alias("key")).filter("key is not null")
     known = asked.join(sets, ["doc_id", "key"], "left").filter("coalesce(stays, true)")
     kept = docs.filter(~maybe).unionByName(known.filter("copies is null or copies = 1").select("_row.*"))
     if sets.filter("stays").isEmpty():
@@ -233,12 +234,19 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return kept.unionByName(known.filter("copies > 1").dropDuplicates(["doc_id", "key"]).select("_row.*"))
 
 
+def _sent_bitmap(keys: DataFrame, name: str) -> tuple[Broadcast, int]:
+    """A broadcast key_bitmap and its bits; the driver keeps no array of it."""
+    bitmap = key_bitmap(keys, name)
+    return keys.sparkSession.sparkContext.broadcast(bitmap), 8 * len(bitmap)
+
+
 def _sets(texts: DataFrame, doc_keys: DataFrame, keys: DataFrame) -> DataFrame:
-    """The whole sets of the wanted keys. Documents are thinned out by a bitmap of their ids before they are shingled."""
+    """The whole sets of the wanted keys, each of which doc_keys has. Documents are thinned out by a bitmap of their ids
+    before they are shingled."""
     # exact copies are summed up before they meet, so that a large group of them is no large task
-    wanted = doc_keys.groupBy("key").agg(F.min("doc_id").alias("id")).join(keys, "key")
-    bits = texts.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "id"))
-    bit = key_bit(8 * len(bits.value), "doc_id").alias("bit")
+    wanted = written(doc_keys.groupBy("key").agg(F.min("doc_id").alias("id")).join(keys, "key"), "wanted-keys")
+    bits, size = _sent_bitmap(wanted, "id")
+    bit = key_bit(size, "doc_id").alias("bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -254,7 +262,7 @@ def _sets(texts: DataFrame, doc_keys: DataFrame, keys: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([k for _, k in at_key], pa.int64()), pa.array([flat[ends[d] : ends[d + 1]].view(np.int64) for d, _ in at_key], pa.list_(pa.int64()))], ["key", "shingles"])
 
     found = texts.select("doc_id", "text", bit).mapInArrow(run, "key long, shingles array<long>")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +98,10 @@ def class_counts(table: DataFrame, limit: int = MODEL_FEATURES) -> tuple[np.ndar
     rate1, rate0 = F.col("c1") / max(n1, 1), (F.col("c") - F.col("c1")) / max(n0, 1)
     mean = F.col("c") / max(n1 + n0, 1)
     z = F.abs(rate1 - rate0) / F.sqrt(mean * (1 - mean) + F.lit(1e-9))
-    rows = counts.filter(F.col("c") >= LEAST_TEXTS).orderBy(z.desc(), "feature").limit(limit).collect()
-    feature = np.array([r["feature"] for r in rows], np.int64)
-    return feature, np.array([r["c1"] for r in rows], float), np.array([r["c"] - r["c1"] for r in rows], float), n1, n0
+    # by toArrow() the first limit rows meet in a task; by collect() each partition would send as many to the driver
+    rows = counts.filter(F.col("c") >= LEAST_TEXTS).orderBy(z.desc(), "feature").limit(limit).toArrow()
+    feature, c1, c = (rows[x].to_numpy().astype(np.int64) for x in ("feature", "c1", "c"))
+    return feature, c1.astype(float), (c - c1).astype(float), n1, n0
 
 
 def design(table: DataFrame, feature: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray | None]]:
@@ -123,8 +125,11 @@ def design(table: DataFrame, feature: np.ndarray) -> tuple[np.ndarray, list[np.n
 
     rows = table.mapInArrow(run, table.schema).toArrow()  # SAMPLE_ROWS rows at most
     arrays = [[None if not v.is_valid else v.values.to_numpy() for v in rows.column(c)] for c in ("on", "off")]
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["label"][i].as_py(), len(arrays[0][i]), arrays[0][i].tobytes()))
-    return np.array([rows["label"][i].as_py() for i in order]), [arrays[0][i] for i in order], [arrays[1][i] for i in order]
+    label, order = rows["label"].to_pylist(), []
+    size = lambda i: (label[i], len(arrays[0][i]))
+    for _, tied in groupby(sorted(range(rows.num_rows), key=size), size):  # only rows of one size need their bytes, side by side
+        order += sorted(tied, key=lambda i: arrays[0][i].tobytes())
+    return np.array([label[i] for i in order]), [arrays[0][i] for i in order], [arrays[1][i] for i in order]
 
 
 @dataclass

@@ -70,14 +70,17 @@ def dual_coordinate_descent(y: np.ndarray, rows: list[np.ndarray], ratio: np.nda
     The last value is a constant feature. Each step solves one dual variable, kept between 0 and its class' cost.
     """
     w, alpha, rng = np.zeros(len(ratio) + 1), np.zeros(len(y)), np.random.default_rng(seed)
-    values = [np.append(ratio[x] / max(np.sqrt((ratio[x] ** 2).sum()), 1e-6), 1.0) for x in rows]
-    places = [np.append(x, len(ratio)) for x in rows]
-    square = np.array([(v * v).sum() for v in values])
+    norm = [max(np.sqrt((ratio[x] ** 2).sum()), 1e-6) for x in rows]
+
+    def example(i: int) -> tuple[np.ndarray, np.ndarray]:  # made when it is asked for: all at once would take several times the rows' memory
+        return np.append(rows[i], len(ratio)), np.append(ratio[rows[i]] / norm[i], 1.0)
+
+    square = np.array([(v * v).sum() for _, v in map(example, range(len(rows)))])
     share = {c: max((y == c).mean(), 1e-9) for c in (-1, 1)}
     limit = np.array([cost * 0.5 / share[c] for c in y])
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            p, v = places[i], values[i]
+            p, v = example(i)
             step = np.clip(alpha[i] - (y[i] * (w[p] @ v) - 1) / square[i], 0, limit[i]) - alpha[i]
             if step:
                 alpha[i] += step

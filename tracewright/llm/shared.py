@@ -38,6 +38,8 @@ def is_training_row(doc_id) -> F.Column:
 HOT_KEYS, HOT_ROWS = 1024, 1000
 #: Bits of a bitmap of keys for each key, and at least and at most: 128 KB to 128 MB.
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
+#: Bits of a bitmap that the driver fetches by one job: 8 MB.
+FETCHED_BITS = 1 << 26
 
 
 def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
@@ -59,11 +61,13 @@ def key_bitmap(keys: DataFrame, *names: str) -> np.ndarray:
     """A bitmap of hash values of keys; it only thins out what is joined with them later.
 
     It has 16 to 32 bits for each row of keys, so about one other key in 16 is taken for one of them at most, up to the
-    32 million rows for which MOST_BITS are enough. With more, what is joined later is thinned out less.
+    32 million rows for which MOST_BITS are enough. With more, what is joined later is thinned out less. The driver runs
+    a job for each partition that it fetches, so the buckets are gathered in partitions of FETCHED_BITS before that.
     """
     bits = max(LEAST_BITS, min(MOST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
     bit = key_bit(bits, *names).alias("bit")
-    rows = keys.select(bit).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).toLocalIterator()
+    buckets = keys.select(bit).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+    rows = buckets.repartition(-(-bits // FETCHED_BITS)).toLocalIterator()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -75,9 +79,10 @@ def in_bitmap(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def maybe_in(bits: Broadcast):
-    """A function of columns that tells the rows whose key may be in a broadcast bitmap; False is sure."""
-    size = 8 * len(bits.value)
+def maybe_in(bits: Broadcast, size: int = 0):
+    """A function of columns that tells the rows whose key may be in a broadcast bitmap; False is sure. size: its bits, if
+    they are known; else the driver reads the bitmap again."""
+    size = size or 8 * len(bits.value)
 
     @F.pandas_udf("boolean")
     def maybe(bit: pd.Series) -> pd.Series:
