@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -141,6 +141,49 @@ def test_sign_flip_counts_agree(monkeypatch):
     assert outcomes.sign_flip_p(v) == pytest.approx(want, abs=2e-6)
 
 
+def test_sign_flips_in_cents_like_the_whole_law():
+    rng = np.random.default_rng(9)
+    # all in cents, whole hundreds but for two values, and values that repeat
+    for cents in (rng.integers(-40000, 70000, 60), np.append(rng.integers(-60, 100, 90) * 100, [1, 37]), np.repeat(rng.integers(-9000, 15000, 15), 8)):
+        law, a, seen = np.ones(1), np.abs(cents), abs(int(cents.sum()))
+        for k in a:
+            law = (np.append(law, np.zeros(2 * k)) + np.append(np.zeros(2 * k), law)) / 2
+        assert outcomes.sign_flip_p(cents / 100) == pytest.approx(2 * law[(int(a.sum()) + seen) // 2 * 2 :].sum(), abs=1e-11)
+
+
+def test_sign_flips_where_few_values_break_whole_thousands():
+    # a step of 1000.00 cents apart from one cent: sums lie in pairs, which a rounded law smears
+    rng = np.random.default_rng(9)
+    for few in ([1], [1, 2, 40]):
+        cents = np.append(rng.integers(-20, 25, 60) * 100000, few)
+        law = {0: 1.0}
+        for k in cents.tolist():
+            step = defaultdict(float)
+            for s, share in law.items():
+                step[s + k] += share / 2
+                step[s - k] += share / 2
+            law = step
+        want = sum(share for s, share in law.items() if abs(s) >= abs(int(cents.sum())))
+        assert outcomes.sign_flip_p(cents / 100) == pytest.approx(want, abs=1e-11)
+
+
+def test_sign_flips_of_very_large_groups(spark):
+    # S = a X + b Y of two walks, whose law is known
+    a, b, up, down = 1000003, 777777, (5050, 5000), (4950, 5001)
+    seen = a * (up[0] - down[0]) + b * (up[1] - down[1])
+    walk = lambda n: np.exp([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) for k in range(n + 1)])
+    m, n = up[0] + down[0], up[1] + down[1]
+    least = np.ceil((seen - a * (2 * np.arange(m + 1) - m)) / b)  # Y at least so much
+    tail = np.append(np.cumsum(walk(n)[::-1])[::-1], 0)
+    want = 2 * (walk(m) * tail[np.clip(np.ceil((least + n) / 2), 0, n + 1).astype(int)]).sum()
+    v = np.repeat([a, -a, b, -b], [up[0], down[0], up[1], down[1]]) / 100
+    assert outcomes.sign_flip_p(v) == pytest.approx(want, abs=1e-9)
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(g, float(x) / 100) for g in range(20) for x in rng.integers(-500000, 500000, 2000)], "g int, v double")
+    out = outcomes.sign_flip(d, ["g"], "v").withColumn("task", F.spark_partition_id()).collect()
+    assert len(out) == 20 and {r.n for r in out} == {2000} and len({r.task for r in out}) > 4
+
+
 def test_paired_table_and_confusion(spark):
     pairs = spark.createDataFrame([(1, True, False), (1, True, True), (1, False, True), (1, False, False)], "g int, a boolean, b boolean")
     assert outcomes.paired_table(pairs, ["g"], "a", "b").first()[1:] == (1, 1, 1, 1)
