@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out labels, and their edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -577,6 +578,30 @@ def test_alignment_like_all_offsets(spark):
     assert (0, 1) in got and got[60, 61][2] == 45 and (0, 5) not in got
 
 
+def test_pairs_below_the_limit_at_all_offsets_are_not_transformed(monkeypatch):
+    rng = np.random.default_rng(11)
+    codes = lambda n: np.repeat(rng.integers(0, 1 << 32, n), 4)[: n * 3].astype(np.uint32)
+    noisy = lambda c, e: c ^ np.packbits(rng.random((len(c), 32)) < e, axis=1).view(">u4").ravel().astype(np.uint32)
+    right = [codes(int(rng.integers(24, 40))) for _ in range(300)]
+    # copies on both sides of the limit of 0.15, some of them from the middle on
+    left = [noisy(right[k][k % 50 :] if k % 2 else right[k], (0.02, 0.12, 0.146, 0.15, 0.154, 0.2)[k % 6]) for k in range(90)]
+    irfft, transformed = np.fft.irfft, []
+    monkeypatch.setattr(np.fft, "irfft", lambda x, *a, **k: transformed.append(math.prod(x.shape[:-1])) or irfft(x, *a, **k))
+    got = sorted(media.best_offsets(left, right, 0.15, 0.5))
+    assert len(got) >= 40 and sum(transformed) < len(left) * len(right) / 20
+    monkeypatch.setattr(media, "_highest", lambda x, y, size: np.full((x.shape[1], y.shape[3]), np.inf))
+    assert got == sorted(media.best_offsets(left, right, 0.15, 0.5)) and sum(transformed) > len(left) * len(right)
+
+
+def test_recordings_of_one_batch_like_each_alone(spark):
+    rng = np.random.default_rng(12)
+    sounds = [rng.integers(-9000, 9000, n).astype("<i2") for n in (9000, 12000, 9000, 300, 0, 12000, 9000, 70 * media.HOP)]
+    r = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sounds)] + [(99, None)], "id long, pcm binary").coalesce(1)
+    got = {x.id: x.codes for x in media.fingerprints(r, "id", "pcm").collect()}
+    assert got.pop(99) == [] and got == {k: media.fingerprint(x.astype(float)).tolist() for k, x in enumerate(sounds)}
+    assert [len(got[k]) for k in (2, 3, 7)] == [(9000 - media.FRAME) // media.HOP + 2 - media.WIDTH, 0, 70 - media.WIDTH]
+
+
 # ---------------------------------------------------------------- 9
 
 
